@@ -31,8 +31,7 @@ def to_long(c, digits: int = 0) -> Column:
 
 def to_number(c) -> Column:
     """Lenient numeric coercion: bad text → NULL, NaN → NULL (``errors="coerce"``)."""
-    x = col_of(c).try_cast("double")
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    return F.nanvl(col_of(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def clip(c, lo=None, hi=None) -> Column:

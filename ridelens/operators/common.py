@@ -94,10 +94,22 @@ def with_share(
 # ---------------------------------------------------------------------------
 def axis_frame(spark, key: str, values: Sequence, labels: Sequence[str] | None = None,
                label_col: str = "label", key_type: str = "int") -> DataFrame:
-    """A spine with one row per axis value (and an optional label column)."""
-    if labels is None:
-        return spark.createDataFrame([(v,) for v in values], f"{key} {key_type}")
-    return spark.createDataFrame(list(zip(values, labels)), f"{key} {key_type}, {label_col} string")
+    """A spine with one row per axis value (and an optional label column).
+
+    Built JVM-side (``inline`` of a literal array) so it plans as a tiny local
+    relation, not a Python RDD.
+    """
+    return literal_rows(spark, [key] + ([label_col] if labels is not None else []),
+                        [(v,) for v in values] if labels is None else list(zip(values, labels)),
+                        [key_type] + (["string"] if labels is not None else []))
+
+
+def literal_rows(spark, names: Sequence[str], rows: Sequence[Sequence], types: Sequence[str]) -> DataFrame:
+    """A small fixed table as a JVM-side ``inline(array(struct(...)))``."""
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def densify(agg: DataFrame, spine: DataFrame, key: str | Sequence[str],

@@ -28,6 +28,7 @@ from ridelens.operators.common import (
     axis_frame,
     densify,
     exact_percentiles,
+    literal_rows,
     order_by_count,
     top_k,
     top_n_share,
@@ -302,7 +303,8 @@ def ratings_distribution(df: DataFrame) -> DataFrame:
     hits = long.where(F.col("r").isin(1.0, 2.0, 3.0, 4.0, 5.0)).select(
         "type", F.col("r").cast("int").alias("rating"))
     counts = hits.groupBy("type", "rating").agg(F.count(F.lit(1)).alias("n"))
-    spine = spark.createDataFrame([(t, r) for t, _ in RATING_SIDES for r in range(1, 6)], "type string, rating int")
+    spine = literal_rows(spark, ["type", "rating"], [(t, r) for t, _ in RATING_SIDES for r in range(1, 6)],
+                         ["string", "int"])
     out = densify(counts, spine, ["type", "rating"], {"n": 0})
     total = df.agg(F.count(F.lit(1))).scalar()
     return with_share(out, "n", 2, total=total)

@@ -46,3 +46,13 @@ def label_table(name: str, labels: Sequence[str], idx: str = "bin_idx", label: s
 
 def int_axis(name: str, col: str, values: Sequence[int]) -> str:
     return f"{name} AS (SELECT CAST(x AS INTEGER) AS {col} FROM (VALUES {', '.join(f'({v})' for v in values)}) t(x))"
+
+
+def flag(cond: str) -> str:
+    """Predicate → 1.0 / 0.0 as DOUBLE, NULL counted as 0."""
+    return f"(CASE WHEN {cond} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+
+
+def share(n: str, total: str, digits: int) -> str:
+    """``pround(n / total * 100, digits)`` with DOUBLE division."""
+    return pr(f"CAST({n} AS DOUBLE) / CAST({total} AS DOUBLE) * 100.0", digits)
