@@ -96,6 +96,12 @@ def main():
             print(f"{name:32s} SQL-ERROR {str(e)[:400]}")
             bad += 1
             continue
+        stypes = {f.name: f.dataType.simpleString() for f in qs[name](spark, a.sf).schema.fields}
+        otypes = dict(zip(con.sql(sql).columns, [str(t) for t in con.sql(sql).types]))
+        tmap = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+                "BOOLEAN": "boolean", "FLOAT": "float", "DATE": "date", "HUGEINT": "hugeint"}
+        tdiff = {c: (stypes.get(c), otypes.get(c)) for c in stypes
+                 if tmap.get(otypes.get(c, ""), otypes.get(c)) != stypes.get(c)}
         sc, sr = _rows(sdf)
         oc, orr = _rows(odf)
         same_cols = sc == oc
@@ -104,7 +110,8 @@ def main():
         status = "OK" if exact else ("APPROX" if approx else "MISMATCH")
         if status != "OK":
             bad += 1
-        print(f"{name:32s} {status:8s} rows s={len(sdf)} o={len(odf)} cols_eq={same_cols} spark={ts:.1f}s")
+        print(f"{name:32s} {status:8s} rows s={len(sdf)} o={len(odf)} cols_eq={same_cols} spark={ts:.1f}s"
+              + (f" TYPES {tdiff}" if tdiff else ""))
         if status != "OK" or a.show:
             if not same_cols:
                 print("   spark cols:", sc)
