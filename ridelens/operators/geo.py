@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridelens.functions import pround
 from ridelens.operators.clean import INR_TO_USD
 
 # Fixed value: our default region box (lat 28.0–29.1, lon 76.5–77.9).
@@ -85,7 +86,7 @@ def region_share(all_rows: DataFrame, region: DataFrame) -> DataFrame:
     return spark.range(1).select(
         n_all.alias("total_all"),
         n_reg.alias("total_region"),
-        (F.try_divide(n_reg.cast("double"), F.greatest(n_all.cast("double"), F.lit(1.0))) * F.lit(100.0))
+        pround(F.try_divide(n_reg.cast("double"), F.greatest(n_all.cast("double"), F.lit(1.0))) * F.lit(100.0), 4)
         .alias("region_pct"),
     )
 
