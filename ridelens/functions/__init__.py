@@ -32,5 +32,6 @@ from ridelens.functions.text import (  # noqa: F401
     is_blank,
     min_sec,
     number_text,
+    strip_ws,
     with_unit,
 )

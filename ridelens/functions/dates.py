@@ -91,7 +91,7 @@ def hour_of_time_text(c, fmt: str = "HH:mm:ss") -> Column:
 def date_parts(c, fmt: str = "yyyy-MM-dd") -> dict[str, Column]:
     """Month, day and weekday (0=Monday) of a date or date text."""
     x = col_of(c)
-    d = F.coalesce(F.try_to_date(x.cast("string"), F.lit(fmt)), x.try_cast("date"))
+    d = F.coalesce(F.try_to_date(x.cast("string"), fmt), x.try_cast("date"))
     return {
         "month": F.month(d),
         "day": F.dayofmonth(d),

@@ -25,7 +25,7 @@ def eq_ci(a, b) -> Column:
 
 def is_blank(c) -> Column:
     """NULL or only whitespace."""
-    return F.coalesce(F.length(F.trim(col_of(c))) == 0, F.lit(True))
+    return F.coalesce(F.length(strip_ws(c)) == 0, F.lit(True))
 
 
 def number_text(c) -> Column:
@@ -57,3 +57,8 @@ def min_sec(c) -> dict[str, Column]:
         "seconds": F.when(x.isNotNull(), secs),
         "label": F.when(x.isNotNull(), label),
     }
+
+
+def strip_ws(c) -> Column:
+    """Strip leading/trailing whitespace of any kind (Python ``str.strip``)."""
+    return F.regexp_replace(col_of(c), r"\A\s+|\s+\z", "")

@@ -17,6 +17,7 @@ from ridelens.functions import (
     date_parts,
     hour_of_time_text,
     is_blank,
+    strip_ws,
     to_number,
 )
 from ridelens.schemas import CLEAN_COLUMNS, CLEAN_FILL, CLEAN_NAMES
@@ -176,13 +177,13 @@ def validate_feedback(df: DataFrame, message: str = "message", email: str = "ema
     reason = (
         F.when(is_blank(msg), F.lit("missing message"))
         .when(is_blank(mail), F.lit("missing email"))
-        .when(~F.trim(mail).rlike(EMAIL_PATTERN), F.lit("invalid email"))
+        .when(~strip_ws(mail).rlike(EMAIL_PATTERN), F.lit("invalid email"))
     )
     tagged = df.withColumn("reason", reason)
     valid = tagged.where(F.col("reason").isNull()).drop("reason").withColumns(
         {
-            message: F.trim(msg),
-            email: F.trim(mail),
+            message: strip_ws(msg),
+            email: strip_ws(mail),
             rating: clip(F.col(rating).cast("int"), 1, 5).cast("int"),
         }
     )
