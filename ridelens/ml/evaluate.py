@@ -16,12 +16,12 @@ def regression_report(pred: DataFrame, label: str = "label", prediction: str = "
                       digits: int | None = 6) -> DataFrame:
     """MSE, RMSE, R², MAE in one aggregate."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    mean_y = pred.agg(F.avg(label)).scalar()
     k = pred.agg(
         F.avg((y - p) * (y - p)).alias("mse"),
         F.avg(F.abs(y - p)).alias("mae"),
         F.sum((y - p) * (y - p)).alias("_sse"),
-        F.sum((y - mean_y) * (y - mean_y)).alias("_sst"),
+        # total sum of squares from the numerically stable central moment
+        (F.var_pop(y) * F.count(y)).alias("_sst"),
         F.count(F.lit(1)).alias("n"),
     )
     r2 = F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))

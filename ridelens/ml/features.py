@@ -170,7 +170,9 @@ def onehot_block(cols: list[str], prefix: str, unseen: str = "keep") -> tuple[li
     idx = [f"{prefix}_{c}_idx" for c in cols]
     vec = [f"{prefix}_{c}_ohe" for c in cols]
     si = StringIndexer(inputCols=cols, outputCols=idx, handleInvalid=unseen, stringOrderType="alphabetAsc")
-    ohe = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid=unseen)
+    # the encoder itself must keep its default "error": the indexer's extra slot
+    # is then a regular last category, the one dropLast removes
+    ohe = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True)
     return [si, ohe], vec
 
 
