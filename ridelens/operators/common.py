@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,23 +154,88 @@ def top_n_share(agg: DataFrame, n: str, k: int, key: str | Sequence[str], out: s
 # ---------------------------------------------------------------------------
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
                       by: str | Sequence[str] | None = None, approx: bool = False,
-                      accuracy: int = 10000) -> DataFrame:
-    """Exact (linear-interpolated) percentiles of ``value`` per ``by`` group.
-
-    The input is first reduced to ``(by, value, frequency)`` – one shuffle keyed by
-    *value* as well, so a hot group is spread over many tasks – and the
-    frequency-weighted ``percentile`` then merges only distinct values. NULL values
-    are ignored. ``approx=True`` switches to ``percentile_approx`` (constant memory
-    per group, for continuous values at very large scale).
+                      accuracy: int = 10000, method: str = "bracket") -> DataFrame:
+    """Exact (linearly interpolated) percentiles of ``value`` per ``by`` group.
+
+    ``method="bracket"`` (default) never merges a whole group in one task:
+      1. one partial aggregate per group gives the row count and, for every
+         requested ``p``, a value bracket from ``percentile_approx`` at
+         ``p ± 2/accuracy`` – constant memory per group (groups smaller than
+         ``4·accuracy`` rows simply use their min/max);
+      2. a second pass counts the rows below each bracket and keeps only the
+         rows inside it, reduced to ``(value, frequency)``; the exact ranks
+         ``floor(p·(n−1))`` and the next one are then located by a running sum
+         over that small bracket table (at most ``max(4·accuracy, 4n/accuracy)``
+         rows per group, whatever the skew).
+    ``method="freq"`` reduces to ``(group, value, frequency)`` and merges every
+    distinct value of a group in one task – fine for low-cardinality values.
+    ``approx=True`` returns ``percentile_approx`` itself. NULL/NaN are ignored.
     """
     keys = _cols(by)
-    src = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    src = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+    names = list(probs)
+    ps = [float(probs[n]) for n in names]
     if approx:
-        aggs = [F.percentile_approx("_v", p, accuracy).alias(name) for name, p in probs.items()]
-        return src.groupBy(*keys).agg(*aggs)
-    freq = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
-    aggs = [F.percentile(F.col("_v"), F.lit(p), F.col("_f")).alias(name) for name, p in probs.items()]
-    return freq.groupBy(*keys).agg(*aggs)
+        return src.groupBy(*keys).agg(
+            *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in zip(names, ps)])
+    if method == "freq":
+        freq = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
+        return freq.groupBy(*keys).agg(
+            *[F.percentile(F.col("_v"), F.lit(p), F.col("_f")).alias(n) for n, p in zip(names, ps)])
+
+    eps = 2.0 / accuracy
+    lo_p = [max(0.0, p - eps) for p in ps]
+    hi_p = [min(1.0, p + eps) for p in ps]
+    stats = src.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p]), accuracy).alias("_alo"),
+        F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_p]), accuracy).alias("_ahi"),
+    )
+    # Groups under 4·accuracy rows bracket their whole range (they are small);
+    # above that the 2/accuracy margin is ≥ 8 ranks, which covers both the
+    # sketch's rank error and the gap between its rank ⌈p·n⌉ and ⌊p·(n−1)⌋.
+    small = F.col("_n") < F.lit(4 * accuracy)
+    lo = [F.when(small | F.lit(lo_p[i] == 0.0), F.col("_min")).otherwise(F.col("_alo")[i]) for i in range(len(ps))]
+    hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_ahi")[i]) for i in range(len(ps))]
+    bracket = stats.select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
+    if keys:
+        rows = src.join(bracket, keys, "inner")
+    else:  # one group: the bracket is a one-row scalar subquery, no join
+        b = bracket.select(F.struct("_n", "_lo", "_hi")).scalar()
+        rows = src.select("_v", b["_n"].alias("_n"), b["_lo"].alias("_lo"), b["_hi"].alias("_hi"))
+    below = rows.groupBy(*keys).agg(
+        F.first("_n").alias("_n"),
+        F.array(*[F.count(F.when(F.col("_v") < F.col("_lo")[i], 1)) for i in range(len(ps))]).alias("_below"))
+    inside = F.filter(
+        F.array(*[F.when((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]), F.lit(i))
+                  for i in range(len(ps))]),
+        lambda x: x.isNotNull())
+    win = rows.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_f"))
+    win = (win.join(below, keys, "inner") if keys
+           else win.select("*", below.select(F.struct("_n", "_below")).scalar().alias("_s"))
+           .select(*win.columns, "_s._n", "_s._below"))
+    pvals = F.array(*[F.lit(p) for p in ps])[F.col("_i")]
+    pos = pvals * (F.col("_n") - 1).cast("double")
+    k0 = F.floor(pos)
+    k1 = F.least(k0 + 1, F.col("_n") - 1)
+    order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = F.col("_below")[F.col("_i")] + F.sum("_f").over(order)
+    ranked = win.select(*keys, "_i", "_v", cum.alias("_cum"), pos.alias("_pos"), k0.alias("_k0"),
+                        k1.alias("_k1"))
+    per = ranked.groupBy(*keys, "_i").agg(
+        F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_v1"),
+        F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
+    val = F.col("_v0") + (F.col("_pos") - F.col("_k0")) * (F.col("_v1") - F.col("_v0"))
+    out = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
+    if keys:
+        return out
+    # keep the one-row contract of a global aggregate on empty input
+    return df.sparkSession.range(1).select(*[out.select(n).scalar().alias(n) for n in names])
 
 
 def mode_of(df: DataFrame, value: str, by: str | Sequence[str] | None = None,

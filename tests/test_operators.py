@@ -215,3 +215,21 @@ def test_region_subset_and_share(spark):
     assert reg.join(clean, "booking_id", "left_anti").count() == 0
     s = G.region_share(clean, reg).first()
     assert s.total_region == reg.count()
+
+
+def test_bracket_percentiles_large_groups_match_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    hot = rng.gamma(2.0, 3.0, 20000)  # one hot group, continuous values
+    cold = rng.normal(50, 5, 900)
+    rows = [("hot", float(x)) for x in hot] + [("cold", float(x)) for x in cold] + [("tiny", 1.0), ("tiny", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    # accuracy=100 → groups of ≥ 400 rows take the approximate-bracket path
+    got = {r.k: r for r in CM.exact_percentiles(df, "x", probs, by="k", accuracy=100).collect()}
+    for k, arr in (("hot", hot), ("cold", cold), ("tiny", np.array([1.0, 2.0]))):
+        for name, p in probs.items():
+            assert abs(got[k][name] - np.quantile(arr, p)) < 1e-9, (k, name)
+    g = CM.exact_percentiles(df.where("k = 'hot'"), "x", {"p50": 0.5}, accuracy=100).first()
+    assert abs(g.p50 - np.quantile(hot, 0.5)) < 1e-9
