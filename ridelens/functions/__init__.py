@@ -29,9 +29,13 @@ from ridelens.functions.text import (  # noqa: F401
     EMAIL_PATTERN,
     contains_ci,
     eq_ci,
+    fmt_currency,
+    fmt_pct,
+    fmt_thousands,
     is_blank,
     min_sec,
     number_text,
+    stars,
     strip_ws,
     with_unit,
 )

@@ -62,3 +62,24 @@ def min_sec(c) -> dict[str, Column]:
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace of any kind (Python ``str.strip``)."""
     return F.regexp_replace(col_of(c), r"\A\s+|\s+\z", "")
+
+
+def fmt_thousands(c, digits: int = 0) -> Column:
+    """``12,345`` / ``12,345.68`` – thousands separators."""
+    return F.format_number(col_of(c).cast("double"), digits)
+
+
+def fmt_currency(c, symbol: str = "$", digits: int = 2) -> Column:
+    """``$1,234.50``."""
+    return F.concat(F.lit(symbol), F.format_number(col_of(c).cast("double"), digits))
+
+
+def fmt_pct(c, digits: int = 1) -> Column:
+    """``61.9%`` from a percentage value, half-even rounded."""
+    return F.concat(F.format_string(f"%.{digits}f", pround(col_of(c), digits)), F.lit("%"))
+
+
+def stars(c, symbol: str = "★") -> Column:
+    """A rating as a row of stars, rounded half-even, clamped 0–5."""
+    n = F.greatest(F.lit(0), F.least(F.lit(5), pround(col_of(c), 0).cast("int")))
+    return F.when(col_of(c).isNotNull(), F.repeat(F.lit(symbol), n))

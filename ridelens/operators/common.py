@@ -253,6 +253,56 @@ def mode_of(df: DataFrame, value: str, by: str | Sequence[str] | None = None,
     return freq.groupBy(*keys).agg(best.alias(out))
 
 
+def group_summary(df: DataFrame, keys: str | Sequence[str], aggs: dict[str, tuple[str, str]],
+                  dropna: bool = False) -> DataFrame:
+    """Named aggregates per group (A4): ``aggs`` maps output → (column, function)
+    with functions ``count`` (non-null), ``size`` (rows), ``mean``, ``sum``,
+    ``min``, ``max``, ``nunique``, ``std``. ``dropna`` drops NULL keys like
+    pandas' default ``groupby``."""
+    fns = {
+        "count": lambda c: F.count(F.col(c)),
+        "size": lambda c: F.count(F.lit(1)),
+        "mean": lambda c: F.avg(F.col(c)),
+        "sum": lambda c: F.sum(F.col(c)),
+        "min": lambda c: F.min(F.col(c)),
+        "max": lambda c: F.max(F.col(c)),
+        "nunique": lambda c: F.count_distinct(F.col(c)),
+        "std": lambda c: F.stddev_samp(F.col(c)),
+    }
+    ks = _cols(keys)
+    src = df
+    if dropna:
+        for k in ks:
+            src = src.where(F.col(k).isNotNull())
+    return src.groupBy(*ks).agg(*[fns[f](c).alias(name) for name, (c, f) in aggs.items()])
+
+
+def kpis(df: DataFrame, col: str, digits: int | None = 4) -> DataFrame:
+    """Rows, non-null, sum, mean, min, max and the max − min span of a column."""
+    x = F.col(col).cast("double")
+    r = (lambda c: pround(c, digits)) if digits is not None else (lambda c: c)
+    return df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(x).alias("n_valid"),
+        r(F.sum(x)).alias("total"),
+        r(F.avg(x)).alias("mean"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        r(F.max(x) - F.min(x)).alias("span"),
+    )
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """First rows for a quick look (O5) – a ``limit``, nothing else."""
+    return df.limit(n)
+
+
+def mode_or(df: DataFrame, col: str, default, out: str = "mode") -> DataFrame:
+    """Most frequent non-null value, or ``default`` when there is none."""
+    m = mode_of(df, col).select(F.col("mode").cast("string")).scalar()
+    return df.sparkSession.range(1).select(F.coalesce(m, F.lit(str(default))).alias(out))
+
+
 def distinct_count(df: DataFrame, col: str) -> Column:
     """Exact distinct non-null count as an aggregate expression (A10)."""
     return F.count_distinct(F.col(col))

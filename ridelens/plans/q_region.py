@@ -261,3 +261,41 @@ m AS (SELECT {case_bins("ride_distance", BN.TRIP_LENGTH_EDGES)} AS bin_idx, medi
 def distance_vs_wait_median(spark, sf):
     return R.distance_vs_wait_median(region(spark, sf))
 
+
+
+# ---------------------------------------------------------------------------
+# J8 route points, A34 history modes (scorer defaults)
+# ---------------------------------------------------------------------------
+@register("route_points", with_views(
+    """SELECT booking_id, COALESCE(pickup_latitude, 0.0) AS pickup_latitude,
+              COALESCE(pickup_longitude, 0.0) AS pickup_longitude,
+              COALESCE(drop_latitude, 0.0) AS drop_latitude, COALESCE(drop_longitude, 0.0) AS drop_longitude
+       FROM B_geo
+       WHERE COALESCE(pickup_latitude, 0.0) <> 0 AND COALESCE(pickup_longitude, 0.0) <> 0
+         AND COALESCE(drop_latitude, 0.0) <> 0 AND COALESCE(drop_longitude, 0.0) <> 0"""))
+def route_points(spark, sf):
+    """Pickup → drop point pairs of every booking whose four coordinates are known
+    (geocoded with the scorer's 0.0 default, then zero points dropped)."""
+    g = G.enrich_pickup_drop(bookings_clean(spark, sf), locations(spark, sf), default=0.0)
+    return G.route_points(g).select("booking_id", "pickup_latitude", "pickup_longitude", "drop_latitude",
+                                    "drop_longitude")
+
+
+def _mode_sql(col: str, default: str) -> str:
+    return (f"COALESCE((SELECT CAST({col} AS VARCHAR) FROM B_region WHERE {col} IS NOT NULL GROUP BY {col} "
+            f"ORDER BY count(*) DESC, CAST({col} AS VARCHAR) ASC LIMIT 1), '{default}')")
+
+
+@register("history_modes", with_views(
+    f"""SELECT {_mode_sql('month', 'January')} AS month, {_mode_sql('day', '1')} AS day,
+               {_mode_sql('booking_status', 'Completed')} AS booking_status,
+               {_mode_sql('payment_method', 'UPI')} AS payment_method"""))
+def history_modes(spark, sf):
+    """Most frequent month, day, status and payment of the region history, with the
+    scorer's defaults when a column has no value (A34, M29)."""
+    from ridelens.ml.score import MODE_DEFAULTS
+    from ridelens.operators.common import mode_or
+
+    reg = region(spark, sf)
+    cols = [mode_or(reg, c, d, out=c).select(c).scalar().alias(c) for c, d in MODE_DEFAULTS.items()]
+    return spark.range(1).select(*cols)

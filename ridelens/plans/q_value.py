@@ -262,3 +262,36 @@ g AS (SELECT vehicle_type, count(booking_id) AS total_bookings, {_SUCCESS} AS sr
 @register("vehicle_summary_text", _VEHICLE_TEXT_SQL)
 def vehicle_summary_text(spark, sf):
     return R.vehicle_summary_text(bookings(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# A4 / A9 generic group summary and value stats
+# ---------------------------------------------------------------------------
+@register("value_stats", with_views(
+    f"""SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(booking_value) AS BIGINT) AS n_valid,
+               {pr("sum(booking_value)", 4)} AS total, {pr("avg(booking_value)", 4)} AS mean,
+               min(booking_value) AS min, max(booking_value) AS max,
+               {pr("max(booking_value) - min(booking_value)", 4)} AS span FROM B"""))
+def value_stats(spark, sf):
+    """Rows, valid values, sum, mean, min, max and span of the raw booking value."""
+    from ridelens.operators.common import kpis
+
+    return kpis(bookings(spark, sf), "booking_value")
+
+
+@register("payment_group_summary", with_views(
+    f"""SELECT payment_method, CAST(count(*) AS BIGINT) AS rides, CAST(count(booking_value) AS BIGINT) AS valued,
+               {pr("avg(booking_value)", 4)} AS mean_value, {pr("sum(booking_value)", 4)} AS total_value,
+               min(ride_distance) AS min_distance, max(ride_distance) AS max_distance,
+               CAST(count(DISTINCT vehicle_type) AS BIGINT) AS vehicle_types
+        FROM B GROUP BY payment_method"""))
+def payment_group_summary(spark, sf):
+    """Named aggregates per payment method, NULL method kept as a group (A4)."""
+    from ridelens.operators.common import group_summary
+
+    g = group_summary(bookings(spark, sf), "payment_method", {
+        "rides": ("booking_id", "size"), "valued": ("booking_value", "count"),
+        "mean_value": ("booking_value", "mean"), "total_value": ("booking_value", "sum"),
+        "min_distance": ("ride_distance", "min"), "max_distance": ("ride_distance", "max"),
+        "vehicle_types": ("vehicle_type", "nunique")})
+    return g.withColumns({"mean_value": pround("mean_value", 4), "total_value": pround("total_value", 4)})

@@ -90,3 +90,13 @@ def test_lit_helper_is_jvm_side(spark):
     assert "ExistingRDD" not in plan
     assert [tuple(r) for r in df.orderBy("h").collect()] == [(0, "a"), (1, "b"), (2, "c")]
     assert df.where(F.col("h") == 1).count() == 1
+
+
+def test_text_formatters(spark):
+    from ridelens.functions import fmt_currency, fmt_pct, fmt_thousands, stars
+
+    df = spark.createDataFrame([(12345.678, 61.95, 4.6), (0.5, 0.04, None)], "v double, p double, r double")
+    r = df.select(fmt_thousands("v").alias("a"), fmt_currency("v").alias("b"), fmt_pct("p").alias("c"),
+                  stars("r").alias("d")).collect()
+    assert (r[0].a, r[0].b, r[0].c, r[0].d) == ("12,346", "$12,345.68", "62.0%", "★★★★★")
+    assert r[1].d is None and r[1].b == "$0.50"
