@@ -69,10 +69,11 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int | None = Non
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced class weights ``n / (k * n_c)`` per class."""
+    from ridelens.operators.common import scalars
+
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.sum("n")).scalar()
-    k = c.agg(F.count(F.lit(1))).scalar()
-    return c.withColumn(out, total.cast("double") / (k.cast("double") * F.col("n").cast("double")))
+    st = scalars(c.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")), "total", "k")
+    return c.withColumn(out, st["total"].cast("double") / (st["k"].cast("double") * F.col("n").cast("double")))
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions import bin_index, bin_label, pround
-from ridelens.operators.common import axis_frame, densify, exact_percentiles, with_share
+from ridelens.operators.common import axis_frame, densify, exact_percentiles, scalars, with_share
 
 INF = float("inf")
 
@@ -130,9 +130,8 @@ def equi_width_histogram(df: DataFrame, col: str, bins: int, n: str = "n") -> Da
     """
     spark = df.sparkSession
     v = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    stats = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
+    st = scalars(v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")), "lo", "hi")
+    lo, hi = st["lo"], st["hi"]
     width = hi - lo
     raw = F.floor((F.col("_x") - lo) * F.lit(float(bins)) / width)
     idx = F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
@@ -154,8 +153,8 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     Quartiles use :func:`exact_percentiles`; the whiskers / outlier count are a
     second partial aggregate with the fences passed as scalar subqueries.
     """
-    q = exact_percentiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
+    q = scalars(exact_percentiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "q1", "median", "q3")
+    q1, q3 = q["q1"], q["q3"]
     iqr = q3 - q1
     lo_f = q1 - F.lit(whisker) * iqr
     hi_f = q3 + F.lit(whisker) * iqr
@@ -168,7 +167,7 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     return agg.select(
-        q1.alias("q1"), q.select("median").scalar().alias("median"), q3.alias("q3"),
+        q1.alias("q1"), q["median"].alias("median"), q3.alias("q3"),
         iqr.alias("iqr"), lo_f.alias("lower_fence"), hi_f.alias("upper_fence"),
         "whisker_low", "whisker_high", "n_outliers", "n",
     )

@@ -64,6 +64,15 @@ def top_k(df: DataFrame, by: str, k: int, key: str | Sequence[str], ascending: b
     return df.orderBy(first, *[F.col(c).asc_nulls_last() for c in _cols(key)]).limit(k)
 
 
+def scalars(df: DataFrame, *cols: str) -> Column:
+    """One scalar subquery returning a struct of ``cols`` of a one-row frame.
+
+    Use its fields (``s["a"]``, ``s["b"]``) instead of one subquery per value:
+    the same subquery referenced several times runs once (subquery reuse).
+    """
+    return df.select(F.struct(*cols)).scalar()
+
+
 def total_of(df: DataFrame, n: str = "n") -> Column:
     """Scalar subquery ``SUM(n)`` over ``df`` – the share denominator."""
     return df.agg(F.sum(n)).scalar()
@@ -231,11 +240,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_v1"),
         F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
     val = F.col("_v0") + (F.col("_pos") - F.col("_k0")) * (F.col("_v1") - F.col("_v0"))
-    out = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    if keys:
-        return out
-    # keep the one-row contract of a global aggregate on empty input
-    return df.sparkSession.range(1).select(*[out.select(n).scalar().alias(n) for n in names])
+    # without keys this is a global aggregate: exactly one row, NULLs when empty
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
 def mode_of(df: DataFrame, value: str, by: str | Sequence[str] | None = None,

@@ -19,7 +19,7 @@ from ridelens.functions import (
     to_number,
     weekday_name,
 )
-from ridelens.operators.common import axis_frame, densify, with_share
+from ridelens.operators.common import axis_frame, densify, scalars, with_share
 
 
 def normalize_weekday(df: DataFrame, col: str = "weekday", rule: str = "minmax") -> DataFrame:
@@ -31,16 +31,16 @@ def normalize_weekday(df: DataFrame, col: str = "weekday", rule: str = "minmax")
     """
     c = F.col(col)
     if rule == "minmax":
-        stats = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-        lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
+        st = scalars(df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")), "lo", "hi")
+        lo, hi = st["lo"], st["hi"]
         rebase = (lo >= 1) & (hi <= 7)
         return df.withColumn(col, F.when(rebase, c - 1).otherwise(clip(c, 0, 6)).cast("int"))
     if rule == "no_valid":
-        flags = df.agg(
+        fl = scalars(df.agg(
             F.max(F.when(c.between(1, 7), 1).otherwise(0)).alias("any17"),
             F.max(F.when(c.between(0, 6), 1).otherwise(0)).alias("any06"),
-        )
-        shift = (flags.select("any17").scalar() == 1) & (flags.select("any06").scalar() == 0)
+        ), "any17", "any06")
+        shift = (fl["any17"] == 1) & (fl["any06"] == 0)
         return df.withColumn(col, F.when(shift & c.between(1, 7), c - 1).otherwise(c))
     raise ValueError(f"unknown rule {rule!r}")
 
@@ -48,11 +48,11 @@ def normalize_weekday(df: DataFrame, col: str = "weekday", rule: str = "minmax")
 def normalize_hour(df: DataFrame, col: str = "hour") -> DataFrame:
     """Rebase 1–24 → 0–23 (``% 24``) only when no value lies in 0..23."""
     c = F.col(col)
-    flags = df.agg(
+    fl = scalars(df.agg(
         F.max(F.when(c.between(1, 24), 1).otherwise(0)).alias("any124"),
         F.max(F.when(c.between(0, 23), 1).otherwise(0)).alias("any023"),
-    )
-    shift = (flags.select("any124").scalar() == 1) & (flags.select("any023").scalar() == 0)
+    ), "any124", "any023")
+    shift = (fl["any124"] == 1) & (fl["any023"] == 0)
     return df.withColumn(col, F.when(shift & c.between(1, 24), F.pmod(c, F.lit(24))).otherwise(c))
 
 

@@ -60,9 +60,9 @@ def bookings(spark: SparkSession, sf_dir: str, keep_ts: bool = False) -> DataFra
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    pick = F.broadcast(nation.select(F.col("n_nationkey").alias("p_key"), F.col("n_name").alias("pickup_location")))
-    drop = F.broadcast(nation.select(F.col("n_nationkey").alias("d_key"), F.col("n_name").alias("drop_location")))
+    # nation is the fixed 25-row TPC-H dimension: broadcast. Both lookups use the
+    # same plan so the broadcast exchange is built once and reused.
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
 
     eid = F.col("event_id")
     k = F.regexp_extract(F.col("props"), r"([0-9]+)", 1).try_cast("int")
@@ -73,10 +73,14 @@ def bookings(spark: SparkSession, sf_dir: str, keep_ts: bool = False) -> DataFra
         k.alias("k"),
     ).withColumn("booking_status", _status(eid * F.lit(7919) % F.lit(100)))
 
+    with_cust = base.join(cust, base.user_id == cust.c_custkey, "inner")
+    p = nation.alias("p")
+    d = nation.alias("d")
     joined = (
-        base.join(cust, base.user_id == cust.c_custkey, "inner")
-        .join(pick, F.col("c_nationkey") == F.col("p_key"), "inner")
-        .join(drop, F.col("k") % F.lit(25) == F.col("d_key"), "inner")
+        with_cust.join(p, F.col("c_nationkey") == F.col("p.n_nationkey"), "inner")
+        .join(d, F.col("k") % F.lit(25) == F.col("d.n_nationkey"), "inner")
+        .select(*with_cust.columns, F.col("p.n_name").alias("pickup_location"),
+                F.col("d.n_name").alias("drop_location"))
     )
     tenth = F.lit(10).cast("double")
     extra = ["ts"] if keep_ts else []
