@@ -142,3 +142,17 @@ def test_data_dictionary(spark):
 
     d = data_dictionary(spark)
     assert d.count() == 21 and d.first().column_name == "Date"
+
+
+def test_pipeline_matches_catalogue(spark, tmp_dir):
+    from ridelens.plans import catalog
+    from ridelens.plans.pipeline import build_tables, run_reports
+
+    sf = "/root/testdata/sf0.001"
+    tables = build_tables(spark, sf, base=tmp_dir)
+    reps = run_reports(tables, ["value_distribution", "zone_kpis", "heatmap_weekday_hour", "column_profile"])
+    qs = catalog.queries()
+    for name, df in reps.items():
+        a = sorted(map(tuple, df.collect()), key=repr)
+        b = sorted(map(tuple, qs[name](spark, sf).select(*df.columns).collect()), key=repr)
+        assert a == b, name
