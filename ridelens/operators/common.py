@@ -171,10 +171,10 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
          requested ``p``, a value bracket from ``percentile_approx`` at
          ``p ± 2/accuracy`` – constant memory per group (groups smaller than
          ``4·accuracy`` rows simply use their min/max);
-      2. a second pass counts the rows below each bracket and keeps only the
-         rows inside it, reduced to ``(value, frequency)``; the exact ranks
-         ``floor(p·(n−1))`` and the next one are then located by a running sum
-         over that small bracket table (at most ``max(4·accuracy, 4n/accuracy)``
+      2. a second pass reduces the rows inside each bracket to
+         ``(value, frequency)`` and all rows below it to one counter; the exact
+         ranks ``floor(p·(n−1))`` and the next one are then located by a running
+         sum over that small bracket table (at most ``max(4·accuracy, 4n/accuracy)``
          rows per group, whatever the skew).
     ``method="freq"`` reduces to ``(group, value, frequency)`` and merges every
     distinct value of a group in one task – fine for low-cardinality values.
@@ -215,26 +215,28 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     else:  # one group: the bracket is a one-row scalar subquery, no join
         b = bracket.select(F.struct("_n", "_lo", "_hi")).scalar()
         rows = src.select("_v", b["_n"].alias("_n"), b["_lo"].alias("_lo"), b["_hi"].alias("_hi"))
-    below = rows.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        F.array(*[F.count(F.when(F.col("_v") < F.col("_lo")[i], 1)) for i in range(len(ps))]).alias("_below"))
-    inside = F.filter(
-        F.array(*[F.when((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]), F.lit(i))
-                  for i in range(len(ps))]),
+    # One pass: for every p, a row inside its bracket keeps its value, a row below
+    # it becomes the marker −∞ (all of them collapse into one partial row), a
+    # row above it is dropped. The running sum over the sorted bracket table
+    # then starts at the below-count by itself.
+    minus_inf = F.lit(float("-inf"))
+    tagged = F.filter(
+        F.array(*[
+            F.when(F.col("_v") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), minus_inf.alias("v")))
+            .when(F.col("_v") <= F.col("_hi")[i], F.struct(F.lit(i).alias("i"), F.col("_v").alias("v")))
+            for i in range(len(ps))
+        ]),
         lambda x: x.isNotNull())
-    win = rows.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(
-        F.count(F.lit(1)).alias("_f"))
-    win = (win.join(below, keys, "inner") if keys
-           else win.select("*", below.select(F.struct("_n", "_below")).scalar().alias("_s"))
-           .select(*win.columns, "_s._n", "_s._below"))
+    win = (rows.select(*keys, "_n", F.explode(tagged).alias("_t"))
+           .groupBy(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.v").alias("_v"))
+           .agg(F.count(F.lit(1)).alias("_f")))
     pvals = F.array(*[F.lit(p) for p in ps])[F.col("_i")]
     pos = pvals * (F.col("_n") - 1).cast("double")
     k0 = F.floor(pos)
     k1 = F.least(k0 + 1, F.col("_n") - 1)
     order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.col("_below")[F.col("_i")] + F.sum("_f").over(order)
-    ranked = win.select(*keys, "_i", "_v", cum.alias("_cum"), pos.alias("_pos"), k0.alias("_k0"),
-                        k1.alias("_k1"))
+    ranked = win.select(*keys, "_i", "_v", F.sum("_f").over(order).alias("_cum"), pos.alias("_pos"),
+                        k0.alias("_k0"), k1.alias("_k1"))
     per = ranked.groupBy(*keys, "_i").agg(
         F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_v0"),
         F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_v1"),
