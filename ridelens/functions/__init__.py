@@ -20,6 +20,7 @@ from ridelens.functions.numeric import (  # noqa: F401
     bin_index,
     bin_label,
     clip,
+    numeric,
     pround,
     safe_ratio,
     to_long,

@@ -34,6 +34,20 @@ def to_number(c) -> Column:
     return F.nanvl(col_of(c).try_cast("double"), F.lit(None).cast("double"))
 
 
+def numeric(df, c: str) -> Column:
+    """Column ``c`` of ``df`` as a number.
+
+    A numeric column passes through untouched, so predicates on it still reach
+    the Parquet scan (NaN has already become NULL at ingest); only text columns
+    take the lenient :func:`to_number` path.
+    """
+    from pyspark.sql.types import NumericType
+
+    if isinstance(df.schema[c].dataType, NumericType):
+        return F.col(c)
+    return to_number(c)
+
+
 def clip(c, lo=None, hi=None) -> Column:
     """Clamp into ``[lo, hi]``; NULL stays NULL (``Series.clip``)."""
     x = col_of(c)

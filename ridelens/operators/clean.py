@@ -17,6 +17,7 @@ from ridelens.functions import (
     date_parts,
     hour_of_time_text,
     is_blank,
+    numeric,
     strip_ws,
     to_number,
 )
@@ -130,7 +131,7 @@ def clean_bookings(raw: DataFrame, date_col: str = "Date", time_col: str = "Time
     df = standardize_columns(df)
     df = df.select(*CLEAN_COLUMNS)
     for c in ("avg_vtat", "booking_value", "ride_distance", "driver_rating", "customer_rating"):
-        df = df.withColumn(c, to_number(c))
+        df = df.withColumn(c, numeric(df, c).cast("double"))
     return fill_missing(df)
 
 
@@ -142,7 +143,7 @@ def valid_amount(df: DataFrame, col: str, min_value: float = 0.0, strict: bool =
 
     The column is coerced leniently first (text that is not a number is dropped).
     """
-    v = to_number(col)
+    v = numeric(df, col)
     cond = v > F.lit(min_value) if strict else v >= F.lit(min_value)
     return df.withColumn(col, v).where(cond)
 

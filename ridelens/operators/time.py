@@ -14,6 +14,7 @@ from ridelens.functions import (
     WEEKDAY_ABBR,
     clip,
     month_name,
+    numeric,
     parse_hour,
     parse_weekday,
     to_number,
@@ -60,9 +61,9 @@ def time_frame(df: DataFrame) -> DataFrame:
     """The demand tab's ``df_time``: numeric hour/weekday/month, rows with all three,
     hour clipped 0–23, month 1–12, weekday rebased (minmax rule)."""
     t = df.select(
-        to_number("hour").alias("hour"),
-        to_number("weekday").alias("weekday"),
-        to_number("month").alias("month"),
+        numeric(df, "hour").alias("hour"),
+        numeric(df, "weekday").alias("weekday"),
+        numeric(df, "month").alias("month"),
     ).dropna()
     t = t.select(
         clip(F.col("hour").cast("int"), 0, 23).alias("hour"),

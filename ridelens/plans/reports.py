@@ -16,6 +16,7 @@ from ridelens.functions import (
     between,
     bin_index,
     contains_ci,
+    numeric,
     pround,
     to_long,
     to_number,
@@ -236,7 +237,8 @@ def vehicle_summary_text(df: DataFrame) -> DataFrame:
 # R5 trip characteristics
 # ---------------------------------------------------------------------------
 def trip_frame(df: DataFrame, dist: str = "ride_distance", vtat: str = "avg_vtat") -> DataFrame:
-    return df.select(to_number(dist).alias("ride_distance"), to_number(vtat).alias("avg_vtat")).dropna()
+    return df.select(numeric(df, dist).cast("double").alias("ride_distance"),
+                     numeric(df, vtat).cast("double").alias("avg_vtat")).dropna()
 
 
 _TRIP_MEANS = {"avg_vtat_min": ("avg_vtat", 1), "avg_distance_km": ("ride_distance", 2)}
@@ -366,7 +368,7 @@ def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_locatio
     # k rows: rank them in one small window
     ranked = top.withColumn("zone_rank", F.row_number().over(
         Window.orderBy(F.col("n").desc(), F.col("location").asc())))
-    z = df.select(F.col(zone).cast("string").alias("location"), to_number("hour").alias("hour"))
+    z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour"))
     z = z.where(F.col("hour").between(0, 23)).withColumn("hour", F.col("hour").cast("int"))
     z = semi_top_k(z, ranked, "location")
     p = pivot_hours(z, "location")
@@ -381,7 +383,7 @@ def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_locatio
 # ---------------------------------------------------------------------------
 def service_frame(df: DataFrame, h1: int | None = None, h2: int | None = None,
                   vtat: str = "avg_vtat") -> DataFrame:
-    d = df.withColumns({"_v": to_number(vtat), "_h": to_number("hour")})
+    d = df.withColumns({"_v": numeric(df, vtat), "_h": numeric(df, "hour")})
     d = d.where(F.col("_v").isNotNull() & F.col("_h").between(0, 23))
     if h1 is not None:
         d = d.where(F.col("_h") >= F.lit(h1))
@@ -415,7 +417,7 @@ def service_bins(df: DataFrame, h1: int | None = None, h2: int | None = None) ->
 def zone_service(df: DataFrame, h1: int | None = None, h2: int | None = None) -> DataFrame:
     """Per pickup zone: mean VTAT, rides, mean coordinates."""
     d = service_frame(df, h1, h2).withColumns(
-        {"_lat": to_number("pickup_latitude"), "_lon": to_number("pickup_longitude")}
+        {"_lat": numeric(df, "pickup_latitude"), "_lon": numeric(df, "pickup_longitude")}
     ).where(F.col("pickup_location").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
     return d.groupBy("pickup_location").agg(
         pround(F.avg("_v"), P).alias("avg_vtat"),
@@ -431,9 +433,9 @@ def zone_service(df: DataFrame, h1: int | None = None, h2: int | None = None) ->
 def revenue_frame(df: DataFrame, zone: str | None = None) -> DataFrame:
     """Rows with a positive value, a zone and an hour in 0..23."""
     d = df.select(
-        to_number("booking_value").alias("booking_value"),
+        numeric(df, "booking_value").cast("double").alias("booking_value"),
         F.col("pickup_location"),
-        to_number("hour").alias("hour"),
+        numeric(df, "hour").alias("hour"),
     ).dropna()
     d = d.where(F.col("hour").between(0, 23) & (F.col("booking_value") > 0)).withColumn(
         "hour", F.col("hour").cast("int"))
@@ -509,7 +511,7 @@ def zone_options(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def vehicle_mix(df: DataFrame) -> DataFrame:
     """Rides, mean fare, revenue and revenue in thousands per vehicle type."""
-    d = df.select("vehicle_type", to_number("booking_value").alias("v")).where(F.col("vehicle_type").isNotNull())
+    d = df.select("vehicle_type", numeric(df, "booking_value").alias("v")).where(F.col("vehicle_type").isNotNull())
     g = d.groupBy("vehicle_type").agg(
         F.count("vehicle_type").alias("rides"), F.avg("v").alias("avg_fare"), F.sum("v").alias("revenue"))
     return g.select(
@@ -523,7 +525,7 @@ def mix_kpis(df: DataFrame) -> DataFrame:
     vc = value_counts(df, "vehicle_type", dropna=True)
     top3 = top_k(vc, "n", 3, "vehicle_type").agg(F.sum("n")).scalar()
     tot = total_of(vc, "n")
-    k = df.agg(pround(F.avg(as_flag(to_number("ride_distance") < 5)) * F.lit(100.0), P).alias("pct_lt_5km"))
+    k = df.agg(pround(F.avg(as_flag(numeric(df, "ride_distance") < 5)) * F.lit(100.0), P).alias("pct_lt_5km"))
     return k.select(
         pround(F.coalesce(F.try_divide(top3.cast("double") * F.lit(100.0), tot.cast("double")), F.lit(0.0)), P)
         .alias("top3_pct"),
