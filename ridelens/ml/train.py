@@ -56,8 +56,10 @@ def regressors(label: str = "label", n: int | None = None, label_std: float | No
         "Ridge": LinearRegression(labelCol=label, regParam=ridge_reg, elasticNetParam=0.0, standardization=False),
         "Lasso": LinearRegression(labelCol=label, regParam=0.001, elasticNetParam=1.0, maxIter=5000,
                                   standardization=False),
-        "RF": RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=rf_depth, seed=20),
-        "HGB": GBTRegressor(labelCol=label, stepSize=0.05, maxBins=255, maxIter=100, maxDepth=5, seed=20),
+        "RF": RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=rf_depth, seed=20,
+                                    cacheNodeIds=True, checkpointInterval=10),
+        "HGB": GBTRegressor(labelCol=label, stepSize=0.05, maxBins=255, maxIter=100, maxDepth=5, seed=20,
+                            checkpointInterval=10),
     }
 
 
@@ -78,14 +80,23 @@ def value_stages(df: DataFrame, feature_set: str = "reference", min_frequency: f
 
 def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int = 3,
                               id_col: str = "booking_id", seed: int = 42,
-                              metrics=("rmse", "r2")) -> DataFrame:
+                              metrics=("rmse", "r2"), persist: bool = True) -> DataFrame:
     """k-fold CV of several regressors sharing one preprocessing.
 
     Returns a leaderboard ``(model, <metric>_mean, <metric>_std)`` sorted by the
-    first metric (M18). Preprocessing is fitted on each training split only.
+    first metric (M18). Preprocessing is fitted on each training split only. The
+    folded input is written once to the shared checkpoint folder (``persist``),
+    so the k × models fits read files instead of recomputing the source joins,
+    and an executor loss recomputes from those files.
     """
     spark = df.sparkSession
     folded = kfold(df, id_col, k, seed)
+    if persist:
+        import uuid
+
+        from ridelens.sources.files import persist_table
+
+        folded = persist_table(folded, f"cv_input_{uuid.uuid4().hex[:12]}")
     rows = []
     for name, est in models.items():
         vals = {m: [] for m in metrics}
@@ -147,9 +158,15 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
     """
     from pyspark.ml.feature import IndexToString, StringIndexer
 
+    import uuid
+
+    from ridelens.sources.files import persist_table
+
     d = status_frame(df)
     d = stratified_folds(d, label, id_col, k)
     d = with_class_weights(d, label)
+    # folds and weights computed once, written to the shared folder, read by every fit
+    d = persist_table(d, f"oof_input_{uuid.uuid4().hex[:12]}")
     n_weight = d.agg(F.sum("weight")).first()[0]
     k_used = d.agg(F.max("fold")).first()[0] + 1
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
@@ -213,7 +230,8 @@ def wait_stages(df: DataFrame) -> list:
 def wait_estimator(label: str = "label"):
     """RF wait-time model: 200 trees, depth 16, leaf ≥ 10, 50 % features, 70 % rows."""
     return RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=16, minInstancesPerNode=10,
-                                 featureSubsetStrategy="0.5", subsamplingRate=0.7, seed=42)
+                                 featureSubsetStrategy="0.5", subsamplingRate=0.7, seed=42,
+                                 cacheNodeIds=True, checkpointInterval=10)
 
 
 def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id"):

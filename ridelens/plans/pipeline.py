@@ -18,18 +18,14 @@ from ridelens.operators import geo as G
 from ridelens.operators import profile as PF
 from ridelens.operators import time as TM
 from ridelens.plans import reports as R
-from ridelens.session import scratch_path
 from ridelens.sources.driver_views import bookings, bookings_clean, locations
-from ridelens.sources.files import write_table
+from ridelens.sources.files import persist_table, write_table
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
                 base: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/{name}" if base else scratch_path(spark, name)
-    write_table(df, path, "parquet", partition_by=partition_by)
-    return spark.read.parquet(path)
+    return persist_table(df, name, partition_by, base)
 
 
 def build_tables(spark: SparkSession, sf_dir: str, base: str | None = None) -> dict[str, DataFrame]:

@@ -66,6 +66,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.format(fmt).save(path)
 
 
+def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
+                  base: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder (or ``base``) and
+    read it back – cuts the lineage so lost executors recompute from files."""
+    from ridelens.session import scratch_path
+
+    spark = df.sparkSession
+    path = f"{base.rstrip('/')}/{name}" if base else scratch_path(spark, name)
+    write_table(df, path, "parquet", partition_by=partition_by)
+    return spark.read.parquet(path)
+
+
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Persist the cleaned bookings table (S4), partitioned by month for pruning."""
     write_table(df, path, fmt, partition_by=["month"] if "month" in df.columns and fmt == "parquet" else None)
