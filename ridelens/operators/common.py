@@ -19,6 +19,7 @@ Scale notes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -179,8 +180,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     ``method="freq"`` reduces to ``(group, value, frequency)`` and merges every
     distinct value of a group in one task – fine for low-cardinality values.
     ``approx=True`` returns ``percentile_approx`` itself. NULL/NaN are ignored.
+    ``accuracy="auto"`` sizes the sketch from the largest group (one extra count
+    job, one number to the driver) so the exact-rank table stays near a
+    million rows per group at any data size.
     """
     keys = _cols(by)
+    if accuracy == "auto":
+        accuracy = auto_accuracy(df, by)
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
     names = list(probs)
@@ -246,6 +252,14 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
+def auto_accuracy(df: DataFrame, by=None, window_rows: int = 1_000_000) -> int:
+    """Sketch accuracy that keeps ``4n/accuracy`` ≤ ``window_rows`` for the
+    largest group (clamped to 10⁴ … 10⁷)."""
+    keys = _cols(by)
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return int(min(10_000_000, max(10_000, math.ceil(4 * biggest / window_rows))))
+
+
 def mode_of(df: DataFrame, value: str, by: str | Sequence[str] | None = None,
             out: str = "mode") -> DataFrame:
     """Most frequent non-null value per group; ties → smallest value.

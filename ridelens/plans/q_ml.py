@@ -174,3 +174,26 @@ def score_requests(spark, sf):
     return out.select("request_id", "pickup_location", "drop_location",
                       pround("predicted_wait_min", 4).alias("predicted_wait_min"), "wait_label",
                       pround("predicted_value", 4).alias("predicted_value"))
+
+
+@register("status_cv_metrics")
+def status_cv_metrics(spark, sf):
+    """Balanced status model: accuracy and macro F1, mean ± std over stratified folds."""
+    return TR.status_cv_metrics(TR.oof_status(region(spark, sf)))
+
+
+@register("train_test_split_sizes")
+def train_test_split_sizes(spark, sf):
+    """80/20 hash split of the region table on the booking id: rows per side (M9)."""
+    train, test = FD.train_test_split(region(spark, sf), "booking_id", 0.2, seed=42)
+    return train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split"))) \
+        .groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("value_holdout_ols")
+def value_holdout_ols(spark, sf):
+    """Booking-value OLS on an 80/20 hash split: MSE, RMSE, R², MAE on the test side."""
+    d = TR.value_frame(region(spark, sf))
+    train, test = FD.train_test_split(d, "booking_id", 0.2, seed=42)
+    m = Pipeline(stages=TR.value_stages(train) + [LinearRegression(labelCol="label", regParam=0.0)]).fit(train)
+    return EV.regression_report(m.transform(test), "label", "prediction", digits=6)
