@@ -89,3 +89,27 @@ def accuracy_macro_f1(pred: DataFrame, label: str = "label", prediction: str = "
         F.max(F.when(F.col("class") == "accuracy", F.col("f1"))).alias("accuracy"),
         F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("f1_macro"),
     )
+
+
+def cv_classification_metrics(pred: DataFrame, fold: str = "fold", label: str = "label",
+                              prediction: str = "prediction") -> DataFrame:
+    """Accuracy and macro F1 per fold, then mean ± population std over folds (M21),
+    all in one lazy plan: per ``(fold, class)`` counts → per-fold metrics → one row.
+    Classes are those seen as label or prediction within the fold (zero division → 0)."""
+    a = F.col(label).cast("string")
+    p = F.col(prediction).cast("string")
+    as_label = pred.select(fold, a.alias("c"), F.lit(1).alias("sup"), F.when(a == p, 1).otherwise(0).alias("tp"),
+                           F.lit(0).alias("np"))
+    as_pred = pred.select(fold, p.alias("c"), F.lit(0).alias("sup"), F.lit(0).alias("tp"), F.lit(1).alias("np"))
+    per = as_label.unionByName(as_pred).where(F.col("c").isNotNull()).groupBy(fold, "c").agg(
+        F.sum("sup").alias("support"), F.sum("tp").alias("tp"), F.sum("np").alias("npred"))
+    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred").cast("double")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
+    f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
+    by_fold = per.groupBy(fold).agg(
+        (F.sum("tp").cast("double") / F.sum("support").cast("double")).alias("accuracy"),
+        F.avg(f1).alias("f1_macro"))
+    return by_fold.agg(
+        F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
+        F.avg("f1_macro").alias("f1_macro_mean"), F.stddev_pop("f1_macro").alias("f1_macro_std"),
+        F.count(F.lit(1)).alias("n_folds"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INFREQUENT = "__infrequent__"
+MISSING = "__missing__"
 
 NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
 
@@ -81,8 +82,9 @@ class _LevelParams(HasInputCols, HasOutputCols):
 
 class LevelGrouper(Estimator, _LevelParams, DefaultParamsReadable, DefaultParamsWritable):
     """Group infrequent levels into ``__infrequent__`` (M5) and optionally impute the
-    mode for NULLs (M6 for strings). Levels are counted in one aggregate over all
-    input columns (stacked as ``(column, level)``)."""
+    mode for NULLs (M6 for strings); a NULL that is not imputed becomes the level
+    ``__missing__``. Levels are counted in one aggregate over all input columns
+    (stacked as ``(column, level)``)."""
 
     @keyword_only
     def __init__(self, inputCols=None, outputCols=None, minFrequency=0.0, minCount=0, imputeMode=False):
@@ -133,8 +135,9 @@ class LevelGrouperModel(Model, _LevelParams, DefaultParamsReadable, DefaultParam
             if impute and c in modes:
                 x = F.coalesce(x, F.lit(modes[c]))
             levels = kept.get(c, [])
-            out[o] = F.when(x.isNull(), x).when(x.isin(*levels), x).otherwise(F.lit(INFREQUENT)) if levels \
-                else F.when(x.isNull(), x).otherwise(F.lit(INFREQUENT))
+            # a missing value is its own level (as in the reference's encoder)
+            known = x.isin(*levels) if levels else F.lit(False)
+            out[o] = F.when(x.isNull(), F.lit(MISSING)).when(known, x).otherwise(F.lit(INFREQUENT))
         return df.withColumns(out)
 
 

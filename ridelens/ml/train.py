@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.ml.evaluate import accuracy_macro_f1, regression_report
+from ridelens.ml.evaluate import regression_report
 from ridelens.ml.features import preprocessor
 from ridelens.ml.folds import kfold, stratified_folds, with_class_weights
 from ridelens.operators.clean import null_as_category
@@ -185,22 +185,10 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
 
 
 def status_cv_metrics(oof: DataFrame) -> DataFrame:
-    """Accuracy / macro F1 mean ± std (population) over folds."""
-    per = []
-    folds = [r[0] for r in oof.select("fold").distinct().collect()]
-    for f in sorted(folds):
-        per.append(accuracy_macro_f1(oof.where(F.col("fold") == f)).first())
-    acc = [r["accuracy"] for r in per]
-    f1 = [r["f1_macro"] for r in per]
-
-    def ms(v):
-        m = sum(v) / len(v)
-        return m, (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5
-
-    (am, asd), (fm, fsd) = ms(acc), ms(f1)
-    return oof.sparkSession.createDataFrame([(am, asd, fm, fsd)],
-                                            "accuracy_mean double, accuracy_std double, f1_macro_mean double, "
-                                            "f1_macro_std double")
+    """Accuracy / macro F1 mean ± std (population) over folds (M21), one aggregate."""
+    from ridelens.ml.evaluate import cv_classification_metrics
+
+    return cv_classification_metrics(oof, "fold", "label", "prediction")
 
 
 def train_booking_status(df: DataFrame, label: str = "booking_status"):

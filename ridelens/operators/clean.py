@@ -19,7 +19,6 @@ from ridelens.functions import (
     is_blank,
     numeric,
     strip_ws,
-    to_number,
 )
 from ridelens.schemas import CLEAN_COLUMNS, CLEAN_FILL, CLEAN_NAMES
 

@@ -17,7 +17,6 @@ from ridelens.functions import (
     numeric,
     parse_hour,
     parse_weekday,
-    to_number,
     weekday_name,
 )
 from ridelens.operators.common import axis_frame, densify, scalars, with_share

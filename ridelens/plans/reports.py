@@ -19,7 +19,6 @@ from ridelens.functions import (
     numeric,
     pround,
     to_long,
-    to_number,
     with_unit,
 )
 from ridelens.operators import bins as BN

@@ -156,3 +156,28 @@ def test_pipeline_matches_catalogue(spark, tmp_dir):
         a = sorted(map(tuple, df.collect()), key=repr)
         b = sorted(map(tuple, qs[name](spark, sf).select(*df.columns).collect()), key=repr)
         assert a == b, name
+
+
+def test_cv_classification_metrics_matches_per_fold(spark):
+    rows = [(0, "a", "a"), (0, "b", "a"), (0, "b", "b"), (1, "a", "a"), (1, "a", "b"), (1, "c", "c")]
+    p = spark.createDataFrame(rows, "fold int, label string, prediction string")
+    m = EV.cv_classification_metrics(p).first()
+    per = [EV.accuracy_macro_f1(p.where(F.col("fold") == f)).first() for f in (0, 1)]
+    import statistics
+
+    accs = [r.accuracy for r in per]
+    f1s = [r.f1_macro for r in per]
+    assert abs(m.accuracy_mean - statistics.mean(accs)) < 1e-9
+    assert abs(m.accuracy_std - statistics.pstdev(accs)) < 1e-9
+    assert abs(m.f1_macro_mean - statistics.mean(f1s)) < 1e-9 and m.n_folds == 2
+
+
+def test_level_grouper_all_null_column(spark):
+    from pyspark.ml import Pipeline
+
+    train = spark.createDataFrame([(None, "x"), (None, "y")], "c string, d string")
+    st, vecs = onehot_block(["c_g"], "cat")
+    m = Pipeline(stages=[LevelGrouper(inputCols=["c"], outputCols=["c_g"], imputeMode=True)] + st).fit(train)
+    out = m.transform(spark.createDataFrame([(None, "x"), ("new", "y")], "c string, d string")).collect()
+    assert out[0].c_g == "__missing__" and out[1].c_g == INFREQUENT
+    assert out[0][vecs[0]].numNonzeros() == 1 and out[1][vecs[0]].numNonzeros() == 0
