@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridelens.functions import min_sec, month_to_num, parse_weekday, to_number
 from ridelens.ml.features import NUMERIC_TYPES
-from ridelens.operators.common import mode_of
+from ridelens.operators.common import modes
 from ridelens.operators.geo import geocode, location_lookup
 
 # Defaults when the history has no usable value (reference scorer).
@@ -28,18 +28,16 @@ REASON_INPUTS = ["reason_for_cancelling_by_customer", "driver_cancellation_reaso
 def build_inputs(requests: DataFrame, history: DataFrame, locations: DataFrame) -> DataFrame:
     """Request rows → model input rows.
 
-    History modes are scalar subqueries (one partial aggregate each); the
+    History modes come from one stacked aggregate read as one scalar subquery; the
     geocoding joins use the reduced location lookup with default 0.0 (D15).
     """
     lk = location_lookup(locations)
     df = geocode(geocode(requests, lk, "pickup_location", "pickup", 0.0), lk, "drop_location", "drop", 0.0)
-    cols = {}
-    for c, default in MODE_DEFAULTS.items():
-        if c in history.columns:
-            m = mode_of(history, c).select(F.col("mode").cast("string")).scalar()
-            cols[c] = F.coalesce(m, F.lit(str(default)))
-        else:
-            cols[c] = F.lit(str(default))
+    present = {c: d for c, d in MODE_DEFAULTS.items() if c in history.columns}
+    cols = {c: F.lit(str(d)) for c, d in MODE_DEFAULTS.items() if c not in present}
+    if present:
+        m = modes(history, present).select(F.struct(*present)).scalar()  # one pass, one subquery
+        cols.update({c: m[c] for c in present})
     for c, v in CONSTANT_INPUTS.items():
         cols[c] = F.lit(v)
     for c in REASON_INPUTS:

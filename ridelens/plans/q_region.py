@@ -294,8 +294,6 @@ def history_modes(spark, sf):
     """Most frequent month, day, status and payment of the region history, with the
     scorer's defaults when a column has no value (A34, M29)."""
     from ridelens.ml.score import MODE_DEFAULTS
-    from ridelens.operators.common import mode_or
+    from ridelens.operators.common import modes
 
-    reg = region(spark, sf)
-    cols = [mode_or(reg, c, d, out=c).select(c).scalar().alias(c) for c, d in MODE_DEFAULTS.items()]
-    return spark.range(1).select(*cols)
+    return modes(region(spark, sf), MODE_DEFAULTS)
