@@ -83,9 +83,15 @@ def parse_hour(c) -> Column:
     return F.coalesce(num, hm, ampm, ampm_min)
 
 
-def hour_of_time_text(c, fmt: str = "HH:mm:ss") -> Column:
-    """``HH:mm:ss`` text → hour (0–23); unparseable → NULL."""
-    return F.hour(F.try_to_timestamp(col_of(c).cast("string"), F.lit(fmt)))
+def hour_of_time_text(c, fmt: str = "HH:mm:ss", strict: bool = False) -> Column:
+    """``HH:mm:ss`` text → hour (0–23).
+
+    Unparseable text gives NULL, or – with ``strict=True`` – fails the query like
+    the reference's parser (``to_timestamp`` raises under ANSI mode)."""
+    x = col_of(c).cast("string")
+    if strict:
+        return F.hour(F.to_timestamp(x, fmt))
+    return F.hour(F.try_to_timestamp(x, F.lit(fmt)))
 
 
 def date_parts(c, fmt: str = "yyyy-MM-dd") -> dict[str, Column]:

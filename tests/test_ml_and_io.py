@@ -181,3 +181,23 @@ def test_level_grouper_all_null_column(spark):
     out = m.transform(spark.createDataFrame([(None, "x"), ("new", "y")], "c string, d string")).collect()
     assert out[0].c_g == "__missing__" and out[1].c_g == INFREQUENT
     assert out[0][vecs[0]].numNonzeros() == 1 and out[1][vecs[0]].numNonzeros() == 0
+
+
+def test_scoring_model_roundtrip(spark, tmp_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from ridelens.ml import score as SC
+    from ridelens.ml.features import preprocessor
+
+    train = spark.createDataFrame([(float(i), float(2 * i + 1), "m" + str(i % 2)) for i in range(30)],
+                                  "avg_vtat double, label double, month string")
+    m = Pipeline(stages=preprocessor(standard=["avg_vtat"], onehot=["month"]) + [LinearRegression()]).fit(train)
+    spec = SC.model_spec(train, ["avg_vtat", "month"])
+    path = os.path.join(tmp_dir, "scoring")
+    SC.save_scoring_model(m, spec, path)
+    m2, spec2 = SC.load_scoring_model(spark, path)
+    assert spec2 == spec
+    req = spark.createDataFrame([("3", "m1")], "avg_vtat string, month string")
+    p = m2.transform(SC.align_to_model(req, spec2)).first().prediction
+    assert abs(p - 7.0) < 1e-6

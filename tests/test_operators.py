@@ -233,3 +233,40 @@ def test_bracket_percentiles_large_groups_match_numpy(spark):
             assert abs(got[k][name] - np.quantile(arr, p)) < 1e-9, (k, name)
     g = CM.exact_percentiles(df.where("k = 'hot'"), "x", {"p50": 0.5}, accuracy=100).first()
     assert abs(g.p50 - np.quantile(hot, 0.5)) < 1e-9
+
+
+def test_column_helpers(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, 100.0, -1.0, None)], "`Booking ID` int, `Booking Value` double, "
+                                                        "driver_rating double, Reason string")
+    assert C.resolve_column(df, ["booking_value", "Booking Value"]) == "Booking Value"
+    assert C.resolve_column(df, ["reason"]) == "Reason"
+    assert C.resolve_column(df, ["nope"]) is None
+    with pytest.raises(ValueError):
+        C.require_columns(df, ["Booking ID", "missing_col"])
+    with pytest.raises(ValueError):
+        C.drop_columns(df, ["missing_col"], strict=True)
+    assert C.drop_columns(df, ["missing_col"]).columns == df.columns
+    std = C.standardize_columns(df)
+    assert "booking_id" in std.columns and "booking_value" in std.columns
+    r = C.to_usd(std, "booking_value").first()
+    assert abs(r.booking_value - 1.1) < 1e-12
+    cat = C.null_as_category(df, ["Reason"]).first()
+    assert cat.Reason == "nan"
+    fl = C.with_unrated_flags(df.withColumn("customer_rating", F.lit(None).cast("double"))).first()
+    assert fl.driver_unrated is True and fl.customer_unrated is False
+    shown = C.display_names(std, {"booking_value": "Booking value (USD)"})
+    assert "Booking value (USD)" in shown.columns
+
+
+def test_strict_time_parsing_raises(spark):
+    import pytest
+
+    from ridelens.functions import hour_of_time_text
+
+    df = spark.createDataFrame([("07:15:00",), ("bad",)], "t string")
+    assert [r.h for r in df.select(hour_of_time_text("t").alias("h")).collect()] == [7, None]
+    if spark.conf.get("spark.sql.ansi.enabled") == "true":
+        with pytest.raises(Exception):
+            df.select(hour_of_time_text("t", strict=True).alias("h")).collect()
