@@ -116,7 +116,7 @@ def peak_shares(df: DataFrame, hour: str = "hour") -> DataFrame:
 
 
 def heatmap_time_frame(df: DataFrame, weekday: str = "weekday", hour: str = "hour") -> DataFrame:
-    """Heat-map normalisation (A:1510-1541 in spirit): parse numbers or names,
+    """Heat-map normalisation: parse numbers or names,
     rebase 1–7 / 1–24 codings (``no_valid`` rules), keep 0..6 × 0..23."""
     t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"))
     t = normalize_weekday(t, "weekday", "no_valid")
