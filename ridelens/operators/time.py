@@ -119,8 +119,19 @@ def heatmap_time_frame(df: DataFrame, weekday: str = "weekday", hour: str = "hou
     """Heat-map normalisation: parse numbers or names,
     rebase 1–7 / 1–24 codings (``no_valid`` rules), keep 0..6 × 0..23."""
     t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"))
-    t = normalize_weekday(t, "weekday", "no_valid")
-    t = normalize_hour(t, "hour")
+    w, h = F.col("weekday"), F.col("hour")
+    # both "no_valid" rules (as normalize_weekday / normalize_hour) from ONE aggregate
+    fl = scalars(t.agg(
+        F.max(F.when(w.between(1, 7), 1).otherwise(0)).alias("w17"),
+        F.max(F.when(w.between(0, 6), 1).otherwise(0)).alias("w06"),
+        F.max(F.when(h.between(1, 24), 1).otherwise(0)).alias("h124"),
+        F.max(F.when(h.between(0, 23), 1).otherwise(0)).alias("h023"),
+    ), "w17", "w06", "h124", "h023")
+    t = t.select(
+        F.when((fl["w17"] == 1) & (fl["w06"] == 0) & w.between(1, 7), w - 1).otherwise(w).alias("weekday"),
+        F.when((fl["h124"] == 1) & (fl["h023"] == 0) & h.between(1, 24), F.pmod(h, F.lit(24))).otherwise(h)
+        .alias("hour"),
+    )
     return t.dropna().where(F.col("weekday").between(0, 6) & F.col("hour").between(0, 23))
 
 
