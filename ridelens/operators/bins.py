@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions import bin_index, pround
-from ridelens.operators.common import axis_frame, densify, exact_percentiles, scalars, with_share
+from ridelens.operators.common import axis_counts, axis_frame, densify, exact_percentiles, scalars, with_share
 
 INF = float("inf")
 
@@ -48,12 +48,10 @@ def binned_counts(df: DataFrame, col: str, edges: Sequence[float], labels: Seque
     Share denominator is ``max(rows of df, 1)`` – rows outside every bin count in
     the denominator but in no bin, as in the reference.
     """
-    spark = df.sparkSession
-    binned = with_bin(df.select(col), col, edges)
-    counts = binned.where(F.col("bin_idx").isNotNull()).groupBy("bin_idx").agg(F.count(F.lit(1)).alias(n))
-    total = binned.agg(F.count(F.lit(1))).scalar()
-    out = densify(counts, bin_spine(spark, labels), "bin_idx", {n: 0})
-    return with_share(out, n, digits, total=total, out=pct, floor_one=True)
+    out = axis_counts(df, bin_index(col, edges), labels, n, extra={"_total": F.count(F.lit(1))})
+    den = F.greatest(F.col("_total").cast("double"), F.lit(1.0))
+    return out.select("bin_idx", "label", n,
+                      pround(F.try_divide(F.col(n).cast("double"), den) * F.lit(100.0), digits).alias(pct))
 
 
 def binned_summary(df: DataFrame, col: str, edges: Sequence[float], labels: Sequence[str],

@@ -122,6 +122,35 @@ def literal_rows(spark, names: Sequence[str], rows: Sequence[Sequence], types: S
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def axis_counts(df: DataFrame, idx: Column, labels: Sequence[str], n: str = "n",
+                idx_name: str = "bin_idx", label_name: str = "label",
+                extra: dict[str, Column] | None = None, trim_trailing: bool = False) -> DataFrame:
+    """Rows per position of a small fixed axis, zeros kept, as ONE global aggregate.
+
+    ``idx`` gives each row its axis position (0..len-1, NULL = none). The
+    aggregate keeps one counter per position (plus ``extra`` aggregates such as
+    a total), so every task emits a single partial row and nothing is shuffled by
+    key; ``inline`` then turns the row into one row per position. Meant for
+    axes of a handful of positions (bins, rating values). ``trim_trailing``
+    drops the empty positions after the last non-empty one, read from the same
+    row (no second pass).
+    """
+    src = df.select(idx.alias("_ix"))
+    cells = [F.count(F.when(F.col("_ix") == F.lit(i), F.lit(1))).alias(f"_c{i}") for i in range(len(labels))]
+    ex = extra or {}
+    wide = src.agg(*cells, *[e.alias(k) for k, e in ex.items()])
+    rows = F.array(*[
+        F.struct(F.lit(i).alias(idx_name), F.lit(lbl).alias(label_name), F.col(f"_c{i}").alias(n))
+        for i, lbl in enumerate(labels)
+    ])
+    if not trim_trailing:
+        return wide.select(*ex.keys(), F.inline(rows))
+    last = F.greatest(*[F.when(F.col(f"_c{i}") > 0, F.lit(i)) for i in range(len(labels))],
+                      F.lit(-1)) if len(labels) > 0 else F.lit(-1)
+    out = wide.select(*ex.keys(), last.alias("_last"), F.inline(rows))
+    return out.where(F.col(idx_name) <= F.col("_last")).drop("_last")
+
+
 def densify(agg: DataFrame, spine: DataFrame, key: str | Sequence[str],
             fill: dict | None = None) -> DataFrame:
     """Left-join a bounded aggregate onto its axis spine and fill the holes.

@@ -25,6 +25,7 @@ from ridelens.operators import bins as BN
 from ridelens.operators.clean import INR_TO_USD, to_usd, valid_amount
 from ridelens.operators.common import (
     arg_max,
+    axis_counts,
     axis_frame,
     densify,
     exact_percentiles,
@@ -296,19 +297,17 @@ RATING_SIDES = (("Driver", "driver_rating"), ("Customer", "customer_rating"))
 
 def ratings_distribution(df: DataFrame) -> DataFrame:
     """Exact ratings 1..5 per side, zero-filled, share of *all* rows (2 dp)."""
-    spark = df.sparkSession
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(c).cast("double").alias("r"))
-                            for t, c in RATING_SIDES])).alias("x")
-    ).select("x.type", "x.r")
-    hits = long.where(F.col("r").isin(1.0, 2.0, 3.0, 4.0, 5.0)).select(
-        "type", F.col("r").cast("int").alias("rating"))
-    counts = hits.groupBy("type", "rating").agg(F.count(F.lit(1)).alias("n"))
-    spine = literal_rows(spark, ["type", "rating"], [(t, r) for t, _ in RATING_SIDES for r in range(1, 6)],
-                         ["string", "int"])
-    out = densify(counts, spine, ["type", "rating"], {"n": 0})
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return with_share(out, "n", 2, total=total)
+    # one aggregate: 5 counters per side plus the row total, then one row per cell
+    cells, items = [], []
+    for t, c in RATING_SIDES:
+        for r in range(1, 6):
+            name = f"_{t}{r}"
+            cells.append(F.count(F.when(F.col(c).cast("double") == F.lit(float(r)), F.lit(1))).alias(name))
+            items.append(F.struct(F.lit(t).alias("type"), F.lit(r).alias("rating"), F.col(name).alias("n")))
+    wide = df.agg(F.count(F.lit(1)).alias("_total"), *cells)
+    out = wide.select("_total", F.inline(F.array(*items)))
+    pct = pround(F.try_divide(F.col("n").cast("double"), F.col("_total").cast("double")) * F.lit(100.0), 2)
+    return out.select("type", "rating", "n", pct.alias("pct"))
 
 
 def _unrated(c: str) -> F.Column:
@@ -405,12 +404,8 @@ def service_quality(df: DataFrame, h1: int | None = None, h2: int | None = None,
 
 def service_bins(df: DataFrame, h1: int | None = None, h2: int | None = None) -> DataFrame:
     """Pickup-wait histogram, trailing empty bins trimmed."""
-    d = service_frame(df, h1, h2).select("_v")
-    spark = df.sparkSession
-    counts = d.select(bin_index("_v", BN.WAIT_EDGES).alias("bin_idx")).where(F.col("bin_idx").isNotNull()) \
-        .groupBy("bin_idx").agg(F.count(F.lit(1)).alias("rides"))
-    full = densify(counts, BN.bin_spine(spark, BN.WAIT_LABELS), "bin_idx", {"rides": 0})
-    return BN.trim_trailing_empty(full, "rides")
+    d = service_frame(df, h1, h2)
+    return axis_counts(d, bin_index("_v", BN.WAIT_EDGES), BN.WAIT_LABELS, "rides", trim_trailing=True)
 
 
 def zone_service(df: DataFrame, h1: int | None = None, h2: int | None = None) -> DataFrame:
@@ -480,10 +475,7 @@ def top_zone_share(df: DataFrame, k: int = 5) -> DataFrame:
 def revenue_value_bins(df: DataFrame, zone: str | None = None) -> DataFrame:
     """Rides per USD bucket (values already USD), zero bins kept."""
     d = revenue_frame(df, zone)
-    spark = df.sparkSession
-    c = d.select(bin_index("booking_value", BN.VALUE_USD_EDGES).alias("bin_idx")).where(
-        F.col("bin_idx").isNotNull()).groupBy("bin_idx").agg(F.count(F.lit(1)).alias("rides"))
-    return densify(c, BN.bin_spine(spark, BN.VALUE_USD_LABELS), "bin_idx", {"rides": 0})
+    return axis_counts(d, bin_index("booking_value", BN.VALUE_USD_EDGES), BN.VALUE_USD_LABELS, "rides")
 
 
 def arpu_by_hour(df: DataFrame, zone: str | None = None) -> DataFrame:
