@@ -102,3 +102,24 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, names: list[str
         write_table(df, f"{out_dir.rstrip('/')}/{name}")
         written.append(name)
     return written
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m ridelens.plans.pipeline --sf DIR --out DIR [--master local[8]] [report ...]``"""
+    import argparse
+
+    from ridelens.session import get_session
+
+    ap = argparse.ArgumentParser(description="clean once, persist, write every report")
+    ap.add_argument("--sf", required=True, help="folder with the input tables")
+    ap.add_argument("--out", required=True, help="output folder for the report tables")
+    ap.add_argument("--master", default=None, help="only for local runs; a cluster submit sets its own")
+    ap.add_argument("reports", nargs="*")
+    a = ap.parse_args(argv)
+    spark = get_session(a.master)
+    for name in run_pipeline(spark, a.sf, a.out, a.reports or None):
+        print(name)
+
+
+if __name__ == "__main__":
+    main()
