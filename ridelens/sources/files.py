@@ -78,6 +78,25 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str | list[str], buckets: int,
+                   path: str | None = None, sort: bool = True) -> DataFrame:
+    """Save ``df`` as a catalog table bucketed (and sorted) by ``key`` and return it.
+
+    Two tables bucketed the same way on the join key join without an exchange
+    on either side – the way to co-locate a repeatedly used fact ⋈ dimension
+    join (e.g. events ⋈ customer on the user key) that is too big to broadcast.
+    ``path`` places the data in shared storage (an external table).
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys)
+    if sort:
+        w = w.sortBy(*keys)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Persist the cleaned bookings table (S4), partitioned by month for pruning."""
     write_table(df, path, fmt, partition_by=["month"] if "month" in df.columns and fmt == "parquet" else None)

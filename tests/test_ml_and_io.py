@@ -201,3 +201,24 @@ def test_scoring_model_roundtrip(spark, tmp_dir):
     req = spark.createDataFrame([("3", "m1")], "avg_vtat string, month string")
     p = m2.transform(SC.align_to_model(req, spec2)).first().prediction
     assert abs(p - 7.0) < 1e-6
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_dir):
+    from ridelens.sources.driver_views import table
+    from ridelens.sources.files import write_bucketed
+
+    sf = "/root/testdata/sf0.001"
+    ev = write_bucketed(table(spark, sf, "events"), "rl_events_b", "user_id", 8, os.path.join(tmp_dir, "ev"))
+    cu = write_bucketed(table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id"),
+                        "rl_customer_b", "user_id", 8, os.path.join(tmp_dir, "cu"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = ev.join(cu, "user_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == table(spark, sf, "events").join(
+            table(spark, sf, "customer"), F.col("user_id") == F.col("c_custkey")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS rl_events_b")
+        spark.sql("DROP TABLE IF EXISTS rl_customer_b")
