@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -20,11 +21,33 @@ def read_bookings(spark: SparkSession, path: str, schema: T.StructType | None =
     dropped. Parquet keeps its own schema and gets predicate/column pushdown.
     """
     if fmt == "parquet":
-        return drop_index_columns(spark.read.parquet(path))
+        return nan_to_null(drop_index_columns(spark.read.parquet(path)))
     r = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", "")
     r = r.option("mode", "PERMISSIVE")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return drop_index_columns(r.csv(path))
+    return nan_to_null(drop_index_columns(r.csv(path)))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN → NULL in every float/double column (pandas writes missing numbers as
+    NaN; Spark would otherwise order NaN above every value and count it)."""
+    cols = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+            for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(cols) if cols else df
+
+
+def read_locations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Read a location dimension (``location, latitude, longitude``) with a ``_line``
+    column that follows the file order, so :func:`ridelens.operators.geo.location_lookup`
+    (``order_col="_line"``) reproduces "first match in the file wins".
+
+    ``monotonically_increasing_id`` grows with the split order and, inside a
+    split, with the row order – file order for a file read split by split.
+    """
+    from ridelens.schemas import LOCATION_SCHEMA
+
+    df = read_bookings(spark, path, LOCATION_SCHEMA if fmt == "csv" else None, fmt)
+    return df.withColumn("_line", F.monotonically_increasing_id())
 
 
 def load_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",

@@ -222,3 +222,24 @@ def test_bucketed_tables_join_without_exchange(spark, tmp_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS rl_events_b")
         spark.sql("DROP TABLE IF EXISTS rl_customer_b")
+
+
+def test_read_locations_first_match_and_nan(spark, tmp_dir):
+    from ridelens.operators.geo import geocode, location_lookup
+    from ridelens.sources.files import read_bookings, read_locations
+    from ridelens.schemas import RAW_SCHEMA
+
+    loc = os.path.join(tmp_dir, "loc.csv")
+    with open(loc, "w") as f:
+        f.write("location,latitude,longitude\nZeta,28.9,77.9\nzeta,28.1,77.1\nAlpha,NaN,77.0\n")
+    locs = read_locations(spark, loc)
+    lk = location_lookup(locs, order_col="_line")
+    req = spark.createDataFrame([("ZETA",), ("alpha",)], "p string")
+    got = {r.p: (r.pickup_latitude, r.pickup_longitude) for r in geocode(req, lk, "p", "pickup").collect()}
+    assert got["ZETA"] == (28.9, 77.9)  # first line wins, whatever its spelling
+    assert got["alpha"][0] is None  # NaN read as NULL
+    raw = os.path.join(tmp_dir, "raw.csv")
+    with open(raw, "w") as f:
+        f.write(",".join(fl.name for fl in RAW_SCHEMA.fields) + "\n" + ",".join(["x"] * 8 + ["NaN"] + [""] * 12) + "\n")
+    r = read_bookings(spark, raw, RAW_SCHEMA).first()
+    assert r["Avg VTAT"] is None
