@@ -243,3 +243,26 @@ def test_read_locations_first_match_and_nan(spark, tmp_dir):
         f.write(",".join(fl.name for fl in RAW_SCHEMA.fields) + "\n" + ",".join(["x"] * 8 + ["NaN"] + [""] * 12) + "\n")
     r = read_bookings(spark, raw, RAW_SCHEMA).first()
     assert r["Avg VTAT"] is None
+
+
+def test_ridge_mapping_matches_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(3)
+    n, alpha = 200, 1.0
+    X = rng.normal(size=(n, 3)) * np.array([1.0, 5.0, 0.5])
+    y = X @ np.array([2.0, -1.0, 4.0]) + 3.0 + rng.normal(scale=2.0, size=n)
+    # closed form with an unpenalised intercept: centre, solve, recover the intercept
+    xm, ym = X.mean(axis=0), y.mean()
+    w = np.linalg.solve((X - xm).T @ (X - xm) + alpha * np.eye(3), (X - xm).T @ (y - ym))
+    b = ym - xm @ w
+    df = spark.createDataFrame([(float(a), float(c), float(d), float(t)) for (a, c, d), t in zip(X, y)],
+                               "a double, c double, d double, label double")
+    feats = VectorAssembler(inputCols=["a", "c", "d"], outputCol="features").transform(df)
+    reg = alpha * float(np.std(y)) / n  # population std of the label
+    m = LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, tol=1e-12,
+                         maxIter=1000).fit(feats)
+    assert np.allclose(m.coefficients.toArray(), w, atol=1e-6)
+    assert abs(m.intercept - b) < 1e-6
