@@ -101,7 +101,7 @@ def binned_median(df: DataFrame, col: str, edges, labels, value: str, out: str =
     """Median of ``value`` per bin of ``col`` on the full axis; empty bin → NULL."""
     spark = df.sparkSession
     binned = with_bin(df.select(col, value), col, edges).where(F.col("bin_idx").isNotNull())
-    med = exact_percentiles(binned, value, {out: 0.5}, by="bin_idx", approx=approx)
+    med = exact_percentiles(binned, value, {out: 0.5}, by="bin_idx", approx=approx, bounded_groups=True)
     return densify(med, bin_spine(spark, labels), "bin_idx")
 
 

@@ -193,7 +193,8 @@ def top_n_share(agg: DataFrame, n: str, k: int, key: str | Sequence[str], out: s
 # ---------------------------------------------------------------------------
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
                       by: str | Sequence[str] | None = None, approx: bool = False,
-                      accuracy: int = 10000, method: str = "bracket") -> DataFrame:
+                      accuracy: int = 10000, method: str = "bracket",
+                      extra: dict | None = None, bounded_groups: bool = False) -> DataFrame:
     """Exact (linearly interpolated) percentiles of ``value`` per ``by`` group.
 
     ``method="bracket"`` (default) never merges a whole group in one task:
@@ -212,6 +213,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     ``accuracy="auto"`` sizes the sketch from the largest group (one extra count
     job, one number to the driver) so the exact-rank table stays near a
     million rows per group at any data size.
+    ``bounded_groups=True`` (the caller knows the number of groups is small, e.g.
+    bins or a list of columns) broadcasts the one-row-per-group bracket to the
+    rows, so the rows are never shuffled by group key; otherwise the join is left
+    to Spark (AQE broadcast when small, skew join when a group is hot).
+    ``extra`` maps output names to functions of the value column
+    (e.g. ``{"n": F.count, "mean": F.avg}``); they are computed in the same
+    first pass (no extra scan) and returned next to the percentiles.
     """
     keys = _cols(by)
     if accuracy == "auto":
@@ -220,10 +228,14 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
     names = list(probs)
     ps = [float(probs[n]) for n in names]
+    ex = [fn(F.col("_v")).alias(n) for n, fn in (extra or {}).items()]
+    ex_names = list(extra or {})
     if approx:
         return src.groupBy(*keys).agg(
-            *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in zip(names, ps)])
+            *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in zip(names, ps)], *ex)
     if method == "freq":
+        if ex:
+            raise ValueError("extra aggregates need method='bracket' or approx=True")
         freq = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
         return freq.groupBy(*keys).agg(
             *[F.percentile(F.col("_v"), F.lit(p), F.col("_f")).alias(n) for n, p in zip(names, ps)])
@@ -237,6 +249,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p]), accuracy).alias("_alo"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_p]), accuracy).alias("_ahi"),
+        *ex,
     )
     # Groups under 4·accuracy rows bracket their whole range (they are small);
     # above that the 2/accuracy margin is ≥ 8 ranks, which covers both the
@@ -246,7 +259,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_ahi")[i]) for i in range(len(ps))]
     bracket = stats.select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
     if keys:
-        rows = src.join(bracket, keys, "inner")
+        rows = src.join(F.broadcast(bracket) if bounded_groups else bracket, keys, "inner")
     else:  # one group: the bracket is a one-row scalar subquery, no join
         b = bracket.select(F.struct("_n", "_lo", "_hi")).scalar()
         rows = src.select("_v", b["_n"].alias("_n"), b["_lo"].alias("_lo"), b["_hi"].alias("_hi"))
@@ -278,7 +291,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
     val = F.col("_v0") + (F.col("_pos") - F.col("_k0")) * (F.col("_v1") - F.col("_v0"))
     # without keys this is a global aggregate: exactly one row, NULLs when empty
-    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
+    out = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
+    if not ex_names:
+        return out
+    if keys:  # the extras come from the same first-pass aggregate (its exchange is reused)
+        return stats.select(*keys, *ex_names).join(out, keys, "left")
+    e = stats.select(F.struct(*ex_names)).scalar()
+    return out.select(*names, *[e[n].alias(n) for n in ex_names])
 
 
 def auto_accuracy(df: DataFrame, by=None, window_rows: int = 1_000_000) -> int:

@@ -85,17 +85,11 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, approx: bool =
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols
     ])))
-    stats = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        pround(F.avg("value"), digits).alias("mean"),
-        pround(F.stddev_samp("value"), digits).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_percentiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by="column_name", approx=approx)
-    q = q.select("column_name", *[pround(c, digits).alias(c) for c in ("q25", "q50", "q75")])
-    return stats.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    q = exact_percentiles(long, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by="column_name",
+                          approx=approx, bounded_groups=True, extra={"count": F.count, "mean": F.avg, "std": F.stddev_samp,
+                                                "min": F.min, "max": F.max})
+    return q.select("column_name", "count", pround("mean", digits).alias("mean"), pround("std", digits).alias("std"),
+                    "min", *[pround(c, digits).alias(c) for c in ("q25", "q50", "q75")], "max")
 
 
 def correlation(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

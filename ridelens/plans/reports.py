@@ -59,16 +59,14 @@ def value_distribution(df: DataFrame, col: str = "booking_value", rate: float =
 
 
 def value_kpis(df: DataFrame, col: str = "booking_value", rate: float = INR_TO_USD) -> DataFrame:
-    """Rows, mean, median (USD) and % in $0–5 (2 dp, as the histogram)."""
+    """Rows, mean, median (USD) and % in $0–5 (2 dp, as the histogram) – one pass
+    for the aggregates and the median's sketch."""
     u = usd_values(df, col, rate)
-    med = exact_percentiles(u, "usd", {"m": 0.5}).select("m").scalar()
-    k = u.agg(
-        F.count(F.lit(1)).alias("n"),
-        pround(F.avg("usd"), P).alias("avg_usd"),
-        pround(F.count(F.when(F.col("usd") <= 5, 1)) / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100.0, 2)
-        .alias("pct_0_5"),
-    )
-    return k.select("n", "avg_usd", pround(med, P).alias("median_usd"), "pct_0_5")
+    k = exact_percentiles(u, "usd", {"m": 0.5}, extra={
+        "n": F.count, "avg": F.avg, "c5": lambda v: F.count(F.when(v <= 5, F.lit(1)))})
+    return k.select(
+        "n", pround("avg", P).alias("avg_usd"), pround("m", P).alias("median_usd"),
+        pround(F.col("c5") / F.greatest(F.col("n"), F.lit(1)) * 100.0, 2).alias("pct_0_5"))
 
 
 def value_tail(df: DataFrame, col: str = "booking_value") -> DataFrame:
@@ -392,14 +390,12 @@ def service_frame(df: DataFrame, h1: int | None = None, h2: int | None = None,
 
 def service_quality(df: DataFrame, h1: int | None = None, h2: int | None = None,
                     approx: bool = False) -> DataFrame:
-    """Median VTAT, % pickups ≤ 10 min and rides within the hour range."""
+    """Median VTAT, % pickups ≤ 10 min and rides within the hour range (A43) –
+    the counts ride along in the median's first pass."""
     d = service_frame(df, h1, h2)
-    med = exact_percentiles(d, "_v", {"m": 0.5}, approx=approx).select("m").scalar()
-    k = d.agg(
-        F.count(F.lit(1)).alias("n"),
-        pround(F.avg(as_flag(F.col("_v") <= 10)) * F.lit(100.0), P).alias("pct_le_10"),
-    )
-    return k.select("n", pround(med, P).alias("median_vtat"), "pct_le_10")
+    k = exact_percentiles(d, "_v", {"m": 0.5}, approx=approx, extra={
+        "n": F.count, "le10": lambda v: F.avg(as_flag(v <= 10)) * F.lit(100.0)})
+    return k.select("n", pround("m", P).alias("median_vtat"), pround("le10", P).alias("pct_le_10"))
 
 
 def service_bins(df: DataFrame, h1: int | None = None, h2: int | None = None) -> DataFrame:
@@ -439,18 +435,15 @@ def revenue_frame(df: DataFrame, zone: str | None = None) -> DataFrame:
 
 
 def zone_kpis(df: DataFrame, zone: str | None = None, by_zone: bool = True, approx: bool = False) -> DataFrame:
-    """Mean, median, % in $0–5 (closed) per zone, or overall."""
+    """Mean, median, % in $0–5 (closed) per zone, or overall (A41) – one pass for
+    the aggregates and the median's sketch."""
     d = revenue_frame(df, zone)
-    keys = ["pickup_location"] if by_zone else []
-    med = exact_percentiles(d, "booking_value", {"median_usd": 0.5}, by=keys or None, approx=approx)
-    k = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rides"),
-        pround(F.avg("booking_value"), P).alias("avg_usd"),
-        pround(F.avg(as_flag(between("booking_value", 0, 5))) * F.lit(100.0), P).alias("pct_0_5"),
-    )
-    if keys:
-        return k.join(med, keys).withColumn("median_usd", pround("median_usd", P))
-    return k.select("*", pround(med.select("median_usd").scalar(), P).alias("median_usd"))
+    keys = ["pickup_location"] if by_zone else None
+    k = exact_percentiles(d, "booking_value", {"median_usd": 0.5}, by=keys, approx=approx, extra={
+        "rides": F.count, "avg_usd": F.avg,
+        "pct_0_5": lambda v: F.avg(as_flag(between(v, 0, 5))) * F.lit(100.0)})
+    return k.select(*(keys or []), "rides", pround("avg_usd", P).alias("avg_usd"),
+                    pround("pct_0_5", P).alias("pct_0_5"), pround("median_usd", P).alias("median_usd"))
 
 
 def revenue_by_zone(df: DataFrame, k: int = 10) -> DataFrame:
