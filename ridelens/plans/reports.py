@@ -452,6 +452,7 @@ def revenue_by_zone(df: DataFrame, k: int = 10) -> DataFrame:
     top = top_k(g, "revenue", k, "pickup_location")
     from pyspark.sql import Window
 
+    # the window runs over the k rows of the top-k only, never over fact rows
     return top.select(
         F.row_number().over(Window.orderBy(F.col("revenue").desc(), F.col("pickup_location").asc())).alias("rank"),
         "pickup_location", pround("revenue", P).alias("revenue"),
