@@ -80,37 +80,55 @@ def value_stages(df: DataFrame, feature_set: str = "reference", min_frequency: f
 
 def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int = 3,
                               id_col: str = "booking_id", seed: int = 42,
-                              metrics=("rmse", "r2"), persist: bool = True) -> DataFrame:
+                              metrics=("rmse", "r2"), persist: bool = True,
+                              parallelism: int = 4) -> DataFrame:
     """k-fold CV of several regressors sharing one preprocessing.
 
     Returns a leaderboard ``(model, <metric>_mean, <metric>_std)`` sorted by the
-    first metric (M18). Preprocessing is fitted on each training split only. The
-    folded input is written once to the shared checkpoint folder (``persist``),
-    so the k × models fits read files instead of recomputing the source joins,
-    and an executor loss recomputes from those files.
+    first metric (M18). Per fold, the preprocessing is fitted once on the
+    training split only, the transformed training/test features are written to
+    the shared checkpoint folder (``persist``: lineage cut, re-read by every
+    model, recomputed from files after an executor loss), and the models are
+    fitted concurrently (``parallelism`` driver threads submitting independent
+    Spark jobs).
     """
+    import uuid
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ridelens.sources.files import persist_table
+
     spark = df.sparkSession
     folded = kfold(df, id_col, k, seed)
+    tag = uuid.uuid4().hex[:12]
     if persist:
-        import uuid
-
-        from ridelens.sources.files import persist_table
-
-        folded = persist_table(folded, f"cv_input_{uuid.uuid4().hex[:12]}")
+        folded = persist_table(folded, f"cv_input_{tag}")
+    vals = {name: {m: [] for m in metrics} for name in models}
+    for f in range(k):
+        train, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        prep = Pipeline(stages=list(stages)).fit(train)
+        tr = prep.transform(train).select("features", "label")
+        te = prep.transform(test).select("features", "label")
+        if persist:
+            tr = persist_table(tr, f"cv_{tag}_train{f}")
+            te = persist_table(te, f"cv_{tag}_test{f}")
+
+        def fit_eval(item, tr=tr, te=te):
+            name, est = item
+            rep = regression_report(est.fit(tr).transform(te), "label", "prediction", digits=None).first()
+            return name, rep
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            for name, rep in pool.map(fit_eval, models.items()):
+                for m in metrics:
+                    vals[name][m].append(float(rep[m]) if rep[m] is not None else float("nan"))
     rows = []
-    for name, est in models.items():
-        vals = {m: [] for m in metrics}
-        for f in range(k):
-            train, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-            model = Pipeline(stages=list(stages) + [est]).fit(train)
-            rep = regression_report(model.transform(test), "label", "prediction", digits=None).first()
-            for m in metrics:
-                vals[m].append(float(rep[m]) if rep[m] is not None else float("nan"))
+    for name in models:
         row = {"model": name}
         for m in metrics:
-            mean = sum(vals[m]) / len(vals[m])
+            v = vals[name][m]
+            mean = sum(v) / len(v)
             row[f"{m}_mean"] = mean
-            row[f"{m}_std"] = (sum((v - mean) ** 2 for v in vals[m]) / len(vals[m])) ** 0.5
+            row[f"{m}_std"] = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5
         rows.append(row)
     cols = ["model"] + [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
     lb = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows],
