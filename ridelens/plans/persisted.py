@@ -1,4 +1,4 @@
-"""Batch pipeline: clean once, persist, run every report on the persisted tables.
+"""Persisted-tables run: clean once, persist, run every report on the persisted tables.
 
 This is how the reports run in production (and what the reference does with its
 cleaned CSV): the cleaning job's output and the region table are written as
@@ -93,7 +93,7 @@ def run_reports(tables: dict[str, DataFrame], names: list[str] | None = None) ->
     return {n: fn(tables[key]) for n, (key, fn) in REPORTS.items() if names is None or n in names}
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, names: list[str] | None = None) -> list[str]:
+def run_persisted_reports(spark: SparkSession, sf_dir: str, out_dir: str, names: list[str] | None = None) -> list[str]:
     """Build the tables once and write every report as Parquet under ``out_dir``."""
     tables = build_tables(spark, sf_dir)
     written = []
@@ -105,7 +105,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out_dir: str, names: list[str
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``python -m ridelens.plans.pipeline --sf DIR --out DIR [--master local[8]] [report ...]``"""
+    """``python -m ridelens.plans.persisted --sf DIR --out DIR [--master local[8]] [report ...]``"""
     import argparse
 
     from ridelens.session import get_session
@@ -117,7 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("reports", nargs="*")
     a = ap.parse_args(argv)
     spark = get_session(a.master)
-    for name in run_pipeline(spark, a.sf, a.out, a.reports or None):
+    for name in run_persisted_reports(spark, a.sf, a.out, a.reports or None):
         print(name)
 
 

@@ -144,9 +144,9 @@ def test_data_dictionary(spark):
     assert d.count() == 21 and d.first().column_name == "Date"
 
 
-def test_pipeline_matches_catalogue(spark, tmp_dir):
+def test_persisted_reports_match_catalogue(spark, tmp_dir):
     from ridelens.plans import catalog
-    from ridelens.plans.pipeline import build_tables, run_reports
+    from ridelens.plans.persisted import build_tables, run_reports
 
     sf = "/root/testdata/sf0.001"
     tables = build_tables(spark, sf, base=tmp_dir)
