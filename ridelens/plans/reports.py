@@ -29,7 +29,6 @@ from ridelens.operators.common import (
     axis_frame,
     densify,
     exact_percentiles,
-    literal_rows,
     order_by_count,
     top_k,
     top_n_share,
