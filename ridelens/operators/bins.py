@@ -60,15 +60,28 @@ def binned_summary(df: DataFrame, col: str, edges: Sequence[float], labels: Sequ
     """Per-bin count, rounded means and share, *used bins only*.
 
     ``means`` maps output name → (source column, digits). Rows outside every
-    bin are excluded from counts and from the share denominator.
+    bin are excluded from counts and from the share denominator. With a handful
+    of bins this is one global aggregate (a count and the means per bin as
+    conditional aggregates, plus the binned total), turned into one row per bin
+    – no keyed shuffle, no join, no second pass.
     """
-    spark = df.sparkSession
-    binned = with_bin(df, col, edges).where(F.col("bin_idx").isNotNull())
-    aggs = [F.count(F.lit(1)).alias(n)] + [F.avg(src).alias(name) for name, (src, _) in means.items()]
-    g = binned.groupBy("bin_idx").agg(*aggs)
-    g = g.withColumns({name: pround(name, d) for name, (_, d) in means.items()})
-    labelled = g.join(F.broadcast(bin_spine(spark, labels)), "bin_idx", "inner")
-    return with_share(labelled, n, digits, out=pct)
+    b = df.select(bin_index(col, edges).alias("_ix"), *[F.col(src).alias(f"_m_{name}")
+                                                         for name, (src, _) in means.items()])
+    aggs = [F.count(F.col("_ix")).alias("_total")]
+    for i in range(len(labels)):
+        hit = F.col("_ix") == F.lit(i)
+        aggs.append(F.count(F.when(hit, F.lit(1))).alias(f"_c{i}"))
+        aggs += [F.avg(F.when(hit, F.col(f"_m_{name}"))).alias(f"_a{i}_{name}") for name in means]
+    wide = b.agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("bin_idx"), F.lit(lbl).alias("label"), F.col(f"_c{i}").alias(n),
+                 *[F.col(f"_a{i}_{name}").alias(name) for name in means])
+        for i, lbl in enumerate(labels)
+    ])
+    out = wide.select("_total", F.inline(rows)).where(F.col(n) > 0)
+    share = pround(F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double")) * F.lit(100.0), digits)
+    return out.select("bin_idx", "label", n, *[pround(name, d).alias(name) for name, (_, d) in means.items()],
+                      share.alias(pct))
 
 
 def joint_histogram(df: DataFrame, x: str, x_edges, x_labels, y: str, y_edges, y_labels,

@@ -247,16 +247,17 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p]), accuracy).alias("_alo"),
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_p]), accuracy).alias("_ahi"),
+        # one sketch answers both ends of every bracket
+        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_aq"),
         *ex,
     )
     # Groups under 4·accuracy rows bracket their whole range (they are small);
     # above that the 2/accuracy margin is ≥ 8 ranks, which covers both the
     # sketch's rank error and the gap between its rank ⌈p·n⌉ and ⌊p·(n−1)⌋.
     small = F.col("_n") < F.lit(4 * accuracy)
-    lo = [F.when(small | F.lit(lo_p[i] == 0.0), F.col("_min")).otherwise(F.col("_alo")[i]) for i in range(len(ps))]
-    hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_ahi")[i]) for i in range(len(ps))]
+    m = len(ps)
+    lo = [F.when(small | F.lit(lo_p[i] == 0.0), F.col("_min")).otherwise(F.col("_aq")[i]) for i in range(m)]
+    hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_aq")[m + i]) for i in range(m)]
     bracket = stats.select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
     if keys:
         rows = src.join(F.broadcast(bracket) if bounded_groups else bracket, keys, "inner")
