@@ -79,8 +79,11 @@ def binned_summary(df: DataFrame, col: str, edges: Sequence[float], labels: Sequ
         for i, lbl in enumerate(labels)
     ])
     out = wide.select("_total", F.inline(rows)).where(F.col(n) > 0)
-    share = pround(F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double")) * F.lit(100.0), digits)
-    return out.select("bin_idx", "label", n, *[pround(name, d).alias(name) for name, (_, d) in means.items()],
+    raw_share = F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double")) * F.lit(100.0)
+    share = pround(raw_share, digits) if digits is not None else raw_share
+    return out.select("bin_idx", "label", n,
+                      *[(pround(name, d) if d is not None else F.col(name)).alias(name)
+                        for name, (_, d) in means.items()],
                       share.alias(pct))
 
 

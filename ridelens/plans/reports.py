@@ -268,16 +268,16 @@ def trip_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def slowest_bin(df: DataFrame, min_count: int = 0) -> DataFrame:
-    """Distance bin with the highest mean VTAT (ties → more rides, lower bin)."""
-    t = trip_frame(df).withColumn("bin_idx", bin_index("ride_distance", BN.DISTANCE_EDGES))
-    g = t.where(F.col("bin_idx").isNotNull()).groupBy("bin_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("avg_vtat").alias("avg_vtat")
-    ).where(F.col("n") >= F.lit(min_count))
-    best = arg_max(g, ["avg_vtat", "n"], "bin_idx")
-    labels = BN.bin_spine(df.sparkSession, BN.DISTANCE_LABELS)
-    return best.join(F.broadcast(labels), "bin_idx").select(
-        "bin_idx", "label", pround("avg_vtat", P).alias("avg_vtat"), "n"
-    )
+    """Distance bin with the highest mean VTAT (ties → more rides, lower bin).
+
+    The per-bin count and mean come from one global aggregate (≤ 8 bins); the
+    arg-max then runs over those few rows."""
+    t = trip_frame(df)
+    s = BN.binned_summary(t, "ride_distance", BN.DISTANCE_EDGES, BN.DISTANCE_LABELS,
+                          {"avg_vtat": ("avg_vtat", None)}, digits=None)
+    s = s.where(F.col("n") >= F.lit(min_count))
+    best = arg_max(s, ["avg_vtat", "n"], "bin_idx")
+    return best.select("bin_idx", "label", pround("avg_vtat", P).alias("avg_vtat"), "n")
 
 
 # ---------------------------------------------------------------------------
