@@ -144,7 +144,8 @@ def valid_amount(df: DataFrame, col: str, min_value: float = 0.0, strict: bool =
     """
     v = numeric(df, col)
     cond = v > F.lit(min_value) if strict else v >= F.lit(min_value)
-    return df.withColumn(col, v).where(cond)
+    # NaN sorts above every number in Spark; the comparison conjunct still reaches the scan
+    return df.withColumn(col, v).where(cond & ~F.isnan(v))
 
 
 def rated(df: DataFrame, col: str, sentinel: float = -1.0) -> DataFrame:

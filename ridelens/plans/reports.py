@@ -379,7 +379,7 @@ def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_locatio
 def service_frame(df: DataFrame, h1: int | None = None, h2: int | None = None,
                   vtat: str = "avg_vtat") -> DataFrame:
     d = df.withColumns({"_v": numeric(df, vtat), "_h": numeric(df, "hour")})
-    d = d.where(F.col("_v").isNotNull() & F.col("_h").between(0, 23))
+    d = d.where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v")) & F.col("_h").between(0, 23))
     if h1 is not None:
         d = d.where(F.col("_h") >= F.lit(h1))
     if h2 is not None:

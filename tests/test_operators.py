@@ -270,3 +270,10 @@ def test_strict_time_parsing_raises(spark):
     if spark.conf.get("spark.sql.ansi.enabled") == "true":
         with pytest.raises(Exception):
             df.select(hour_of_time_text("t", strict=True).alias("h")).collect()
+
+
+def test_nan_never_counts_as_a_value(spark):
+    df = spark.createDataFrame([(float("nan"), 3), (2.0, 4), (None, 5)], "avg_vtat double, hour int")
+    assert C.valid_amount(df, "avg_vtat").count() == 1
+    r = R.service_quality(df).first()
+    assert r.n == 1 and r.median_vtat == 2.0
