@@ -277,3 +277,15 @@ def test_nan_never_counts_as_a_value(spark):
     assert C.valid_amount(df, "avg_vtat").count() == 1
     r = R.service_quality(df).first()
     assert r.n == 1 and r.median_vtat == 2.0
+
+
+def test_auto_accuracy_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    xs = rng.exponential(5.0, 3000)
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    assert CM.auto_accuracy(df) == 10_000  # floor of the clamp for a small table
+    assert CM.auto_accuracy(df, window_rows=1) == 12_000  # 4·3000/1, above the 10⁴ floor
+    r = CM.exact_percentiles(df, "x", {"p90": 0.9}, accuracy="auto").first()
+    assert abs(r.p90 - np.quantile(xs, 0.9)) < 1e-9
