@@ -266,3 +266,22 @@ def test_ridge_mapping_matches_closed_form(spark):
                          maxIter=1000).fit(feats)
     assert np.allclose(m.coefficients.toArray(), w, atol=1e-6)
     assert abs(m.intercept - b) < 1e-6
+
+
+def test_model_deterministic_under_repartition(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from ridelens.ml.features import preprocessor
+
+    rows = [(i, float(i % 13), float((i * 7) % 11), "c" + str(i % 4), float(2 * (i % 13) - (i * 7) % 11 + i % 3))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double, cat string, label double")
+    coefs = []
+    for d in (df, df.repartition(7, "cat"), df.repartition(3)):
+        train, _ = FD.train_test_split(d, "rid", 0.2, seed=42)
+        m = Pipeline(stages=preprocessor(standard=["a", "b"], onehot=["cat"]) + [LinearRegression()]).fit(train)
+        coefs.append(m.stages[-1].coefficients.toArray())
+    import numpy as np
+
+    assert all(np.allclose(coefs[0], c, atol=1e-8) for c in coefs[1:])
