@@ -72,10 +72,28 @@ def time_frame(df: DataFrame) -> DataFrame:
     return normalize_weekday(t, "weekday", "minmax")
 
 
+def time_counts(df: DataFrame) -> DataFrame:
+    """Rows per (hour, weekday, month) after the demand tab's normalisation, in ONE
+    pass over the rows: the rows are counted per raw key first (a small table,
+    ≤ 24 × weekdays × 12), and the global weekday rule is read from that table,
+    so the fact rows are never scanned a second time for it."""
+    t = df.select(
+        numeric(df, "hour").alias("hour"),
+        numeric(df, "weekday").alias("weekday"),
+        numeric(df, "month").alias("month"),
+    ).dropna()
+    t = t.select(
+        clip(F.col("hour").cast("int"), 0, 23).alias("hour"),
+        F.col("weekday").cast("int").alias("weekday"),
+        clip(F.col("month").cast("int"), 1, 12).alias("month"),
+    )
+    g = t.groupBy("hour", "weekday", "month").agg(F.count(F.lit(1)).alias("_n"))
+    return normalize_weekday(g, "weekday", "minmax")
+
+
 def demand_by(df: DataFrame, unit: str, digits: int = 1) -> DataFrame:
     """Rides per hour / weekday / month with share and names (A14). Observed values only."""
-    t = time_frame(df)
-    g = t.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
+    g = time_counts(df).groupBy(unit).agg(F.sum("_n").alias("n"))
     g = with_share(g, "n", digits)
     if unit == "weekday":
         g = g.withColumn("weekday_name", weekday_name("weekday"))
@@ -86,8 +104,7 @@ def demand_by(df: DataFrame, unit: str, digits: int = 1) -> DataFrame:
 
 def demand_kpis(df: DataFrame) -> DataFrame:
     """Average rides per hour (rounded), busiest hour (lowest on ties) and its count."""
-    t = time_frame(df)
-    g = t.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    g = time_counts(df).groupBy("hour").agg(F.sum("_n").alias("n"))
     return g.agg(
         F.rint(F.avg("n")).alias("avg_rides_per_hour"),
         F.min_by("hour", F.struct((-F.col("n")).alias("nn"), F.col("hour").alias("h"))).alias("busiest_hour"),
@@ -116,23 +133,29 @@ def peak_shares(df: DataFrame, hour: str = "hour") -> DataFrame:
 
 
 def heatmap_time_frame(df: DataFrame, weekday: str = "weekday", hour: str = "hour") -> DataFrame:
-    """Heat-map normalisation: parse numbers or names,
-    rebase 1–7 / 1–24 codings (``no_valid`` rules), keep 0..6 × 0..23."""
+    """Heat-map normalisation: parse numbers or names, rebase 1–7 / 1–24 codings
+    (``no_valid`` rules), keep 0..6 × 0..23. Returns rides per (weekday, hour).
+
+    One pass over the rows: they are counted per parsed (weekday, hour) first;
+    both global rules are read from that small table (one aggregate, one
+    subquery that reuses its shuffle) and applied to it.
+    """
     t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"))
+    g = t.groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("_n"))
     w, h = F.col("weekday"), F.col("hour")
-    # both "no_valid" rules (as normalize_weekday / normalize_hour) from ONE aggregate
-    fl = scalars(t.agg(
+    fl = scalars(g.agg(
         F.max(F.when(w.between(1, 7), 1).otherwise(0)).alias("w17"),
         F.max(F.when(w.between(0, 6), 1).otherwise(0)).alias("w06"),
         F.max(F.when(h.between(1, 24), 1).otherwise(0)).alias("h124"),
         F.max(F.when(h.between(0, 23), 1).otherwise(0)).alias("h023"),
     ), "w17", "w06", "h124", "h023")
-    t = t.select(
+    g = g.select(
         F.when((fl["w17"] == 1) & (fl["w06"] == 0) & w.between(1, 7), w - 1).otherwise(w).alias("weekday"),
         F.when((fl["h124"] == 1) & (fl["h023"] == 0) & h.between(1, 24), F.pmod(h, F.lit(24))).otherwise(h)
         .alias("hour"),
+        "_n",
     )
-    return t.dropna().where(F.col("weekday").between(0, 6) & F.col("hour").between(0, 23))
+    return g.dropna().where(F.col("weekday").between(0, 6) & F.col("hour").between(0, 23))
 
 
 def hour_columns(prefix: str = "h") -> list[str]:
@@ -156,7 +179,7 @@ def pivot_hours(df: DataFrame, row_key: str, value=None, fill=0) -> DataFrame:
 def heatmap_weekday_hour(df: DataFrame) -> DataFrame:
     """7 × 24 ride counts, every cell zero-filled."""
     t = heatmap_time_frame(df)
-    p = pivot_hours(t, "weekday")
+    p = pivot_hours(t, "weekday", F.sum("_n"))
     spine = axis_frame(df.sparkSession, "weekday", list(range(7)), WEEKDAY_ABBR, label_col="weekday_name")
     return densify(p, spine, "weekday", {h: 0 for h in hour_columns()}).select(
         "weekday", "weekday_name", *hour_columns()
