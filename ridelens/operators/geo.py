@@ -91,6 +91,20 @@ def region_share(all_rows: DataFrame, region: DataFrame) -> DataFrame:
     )
 
 
+def region_share_one_pass(clean: DataFrame, locations: DataFrame, bbox=DEFAULT_BBOX) -> DataFrame:
+    """:func:`region_share` in one pass: geocode once, count all rows and the rows
+    whose pickup and drop both fall in ``bbox`` in one aggregate."""
+    geo = enrich_pickup_drop(clean, locations)
+    inside = in_bbox("pickup_latitude", "pickup_longitude", bbox) & in_bbox("drop_latitude", "drop_longitude", bbox)
+    k = geo.agg(F.count(F.lit(1)).alias("total_all"), F.count(F.when(inside, F.lit(1))).alias("total_region"))
+    return k.select(
+        "total_all", "total_region",
+        pround(F.try_divide(F.col("total_region").cast("double"),
+                            F.greatest(F.col("total_all").cast("double"), F.lit(1.0))) * F.lit(100.0), 4)
+        .alias("region_pct"),
+    )
+
+
 def semi_top_k(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is among the top-k keys (J3); ``top`` has k rows → broadcast."""
     return df.join(F.broadcast(top.select(key)), key, "left_semi")

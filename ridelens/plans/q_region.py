@@ -43,7 +43,7 @@ def region_bookings(spark, sf):
                CAST((SELECT count(*) FROM B_region) AS BIGINT) AS total_region,
                {pr("CAST((SELECT count(*) FROM B_region) AS DOUBLE) / greatest(CAST((SELECT count(*) FROM B_clean) AS DOUBLE), 1.0) * 100.0", 4)} AS region_pct"""))
 def region_share(spark, sf):
-    return G.region_share(bookings_clean(spark, sf), region(spark, sf))
+    return G.region_share_one_pass(bookings_clean(spark, sf), locations(spark, sf))
 
 
 # ---------------------------------------------------------------------------

@@ -30,6 +30,7 @@ from ridelens.operators.common import (
     densify,
     exact_percentiles,
     order_by_count,
+    scalars,
     top_k,
     top_n_share,
     total_of,
@@ -331,13 +332,17 @@ def ratings_kpis(df: DataFrame) -> DataFrame:
 
 
 def uplift(df: DataFrame, low: float = 0.08, high: float = 0.13, col: str = "booking_value") -> DataFrame:
-    """Baseline revenue = mean USD value × rides; low/high uplift per year and month."""
-    avg_usd = usd_values(df, col).agg(F.avg("usd")).scalar()
-    k = df.agg(F.count(F.lit(1)).alias("total_rides"))
-    base = avg_usd * F.col("total_rides")
+    """Baseline revenue = mean USD value × rides; low/high uplift per year and month.
+
+    One pass: the mean over valid (numeric, ≥ 0, not NaN) values and the row
+    count are one aggregate."""
+    v = numeric(df, col)
+    usd = F.when((v >= 0) & ~F.isnan(v), v * F.lit(INR_TO_USD))
+    k = df.agg(F.count(F.lit(1)).alias("total_rides"), F.avg(usd).alias("_avg"))
+    base = F.col("_avg") * F.col("total_rides")
     return k.select(
         "total_rides",
-        pround(avg_usd, P).alias("avg_usd"),
+        pround("_avg", P).alias("avg_usd"),
         pround(base, P).alias("baseline"),
         pround(base * F.lit(low), P).alias("uplift_low"),
         pround(base * F.lit(high), P).alias("uplift_high"),
@@ -356,17 +361,25 @@ def top_locations(df: DataFrame, col: str, k: int = 10) -> DataFrame:
 
 
 def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_location") -> DataFrame:
-    """Top-k pickup zones × 24 hours, zero-filled, with ``zone_rank``."""
-    top = top_locations(df, zone, k)
+    """Top-k pickup zones × 24 hours, zero-filled, with ``zone_rank``.
+
+    One pass over the rows: they are counted per (zone, hour) first; the zone
+    totals (all rows, any hour), the top-k and the pivot all come from that
+    table (at most zones × distinct hours rows).
+    """
     from pyspark.sql import Window
 
+    z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour")) \
+        .where(F.col("location").isNotNull())
+    zh = z.groupBy("location", "hour").agg(F.count(F.lit(1)).alias("_n"))
+    totals = zh.groupBy("location").agg(F.sum("_n").alias("n"))
+    top = top_k(totals, "n", k, "location")
     # k rows: rank them in one small window
     ranked = top.withColumn("zone_rank", F.row_number().over(
         Window.orderBy(F.col("n").desc(), F.col("location").asc())))
-    z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour"))
-    z = z.where(F.col("hour").between(0, 23)).withColumn("hour", F.col("hour").cast("int"))
-    z = semi_top_k(z, ranked, "location")
-    p = pivot_hours(z, "location")
+    cells = semi_top_k(zh.where(F.col("hour").between(0, 23)).withColumn("hour", F.col("hour").cast("int")),
+                       ranked, "location")
+    p = pivot_hours(cells, "location", F.sum("_n"))
     spine = ranked.select("location", "zone_rank")
     return densify(p, spine, "location", {h: 0 for h in hour_columns()}).select(
         "zone_rank", "location", *hour_columns()
@@ -505,15 +518,24 @@ def vehicle_mix(df: DataFrame) -> DataFrame:
 
 
 def mix_kpis(df: DataFrame) -> DataFrame:
-    """Top-3 vehicle share of rides and share of trips < 5 km."""
-    vc = value_counts(df, "vehicle_type", dropna=True)
-    top3 = top_k(vc, "n", 3, "vehicle_type").agg(F.sum("n")).scalar()
-    tot = total_of(vc, "n")
-    k = df.agg(pround(F.avg(as_flag(numeric(df, "ride_distance") < 5)) * F.lit(100.0), P).alias("pct_lt_5km"))
-    return k.select(
-        pround(F.coalesce(F.try_divide(top3.cast("double") * F.lit(100.0), tot.cast("double")), F.lit(0.0)), P)
-        .alias("top3_pct"),
-        "pct_lt_5km",
+    """Top-3 vehicle share of rides and share of trips < 5 km.
+
+    One pass: rides and short trips are counted per vehicle type (NULL type kept
+    as its own group for the short-trip share); both KPIs come from those rows.
+    """
+    g = df.groupBy("vehicle_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(numeric(df, "ride_distance") < 5, F.lit(1))).alias("short"))
+    typed = g.where(F.col("vehicle_type").isNotNull())
+    top3 = top_k(typed, "n", 3, "vehicle_type").agg(F.sum("n")).scalar()
+    st = scalars(g.agg(F.sum(F.when(F.col("vehicle_type").isNotNull(), F.col("n"))).alias("typed"),
+                       F.sum("n").alias("rows"), F.sum("short").alias("short")), "typed", "rows", "short")
+    spark = df.sparkSession
+    return spark.range(1).select(
+        pround(F.coalesce(F.try_divide(top3.cast("double") * F.lit(100.0), st["typed"].cast("double")),
+                          F.lit(0.0)), P).alias("top3_pct"),
+        pround(F.try_divide(st["short"].cast("double"), st["rows"].cast("double")) * F.lit(100.0), P)
+        .alias("pct_lt_5km"),
     )
 
 
