@@ -194,7 +194,8 @@ def top_n_share(agg: DataFrame, n: str, k: int, key: str | Sequence[str], out: s
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
                       by: str | Sequence[str] | None = None, approx: bool = False,
                       accuracy: int = 10000, method: str = "bracket",
-                      extra: dict | None = None, bounded_groups: bool = False) -> DataFrame:
+                      extra: dict | None = None, bounded_groups: bool = False,
+                      carry: Sequence[str] = ()) -> DataFrame:
     """Exact (linearly interpolated) percentiles of ``value`` per ``by`` group.
 
     ``method="bracket"`` (default) never merges a whole group in one task:
@@ -219,12 +220,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     to Spark (AQE broadcast when small, skew join when a group is hot).
     ``extra`` maps output names to functions of the value column
     (e.g. ``{"n": F.count, "mean": F.avg}``); they are computed in the same
-    first pass (no extra scan) and returned next to the percentiles.
+    first pass (no extra scan) and returned next to the percentiles; ``carry``
+    names further columns of ``df`` those functions may read with ``F.col``.
     """
     keys = _cols(by)
     if accuracy == "auto":
         accuracy = auto_accuracy(df, by)
-    src = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+    src = df.select(*keys, F.col(value).cast("double").alias("_v"), *carry).where(
         F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
     names = list(probs)
     ps = [float(probs[n]) for n in names]
