@@ -34,7 +34,10 @@ def get_session(master: str | None = None, app: str = "ridelens", conf: dict | N
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -43,16 +46,24 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """The shared checkpoint folder: ``spark.checkpoint.dir`` from the session.
 
     Only when the session names none (local tests) is a fresh scratch folder
-    created and set – never on a cluster that configures its own.
+    created and set – never on a cluster that configures its own. Works without
+    a ``SparkContext`` handle (e.g. a remote session) as long as the folder is
+    configured.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 – no context handle on this kind of session
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
     path = fallback or tempfile.mkdtemp(prefix="ridelens-ckpt-")
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    else:
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
