@@ -63,7 +63,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if sc is not None:
         sc.setCheckpointDir(path)
     else:
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 – a static setting on some sessions; the path is still returned
+            pass
     return path
 
 
