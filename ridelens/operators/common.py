@@ -1,5 +1,5 @@
-"""Building blocks shared by all reports: counts, shares, densify, top-k, arg-max,
-exact percentiles and modes.
+"""Building blocks shared by all reports: counts, shares, densify, axis counts,
+top-k, arg-max, exact percentiles, modes.
 
 Scale notes
 -----------
@@ -9,12 +9,14 @@ Scale notes
 * Totals for shares come from a *scalar subquery* over the already aggregated
   rows (``DataFrame.scalar()``): no join, no single-partition window, and the
   shuffle stage it needs is the same one as the main aggregate (AQE reuses it).
-* Densifying onto a fixed axis joins a spine of at most ``len(axis)`` rows with
-  an aggregate keyed by that axis, so both sides are bounded by the axis length;
-  only such relations are broadcast.
-* Exact percentiles / modes pre-aggregate on ``(keys, value)`` first, so a hot key
-  is spread over the shuffle by value and the per-key merge only sees that key's
-  *distinct* values with their frequencies.
+* Small fixed axes (a handful of bins) are one global aggregate with a counter
+  per position (:func:`axis_counts`); larger axes join a spine of at most
+  ``len(axis)`` rows with an aggregate keyed by that axis – both sides bounded
+  by the axis length, which is what makes the broadcast safe.
+* Exact percentiles never merge a whole group in one task: a sketch brackets
+  each rank, and only the rows inside the bracket are ranked exactly
+  (:func:`exact_percentiles`). Modes reduce to ``(key, value, count)`` and pick
+  with ``min_by`` (partial, bounded).
 """
 
 from __future__ import annotations
