@@ -137,9 +137,18 @@ def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int
     return lb.orderBy(F.col(first).asc() if metrics[0] in ("rmse", "mae", "mse") else F.col(first).desc())
 
 
+def _save(model, train_df: DataFrame, features: list[str], save_path: str | None) -> None:
+    """Persist a refitted model with its feature spec (S7), if asked."""
+    if save_path:
+        from ridelens.ml.score import model_spec, save_scoring_model
+
+        save_scoring_model(model, model_spec(train_df, features), save_path)
+
+
 def train_booking_value(df: DataFrame, feature_set: str = "reference", k: int = 3,
-                        models: dict | None = None):
-    """Booking-value job (M26): CV leaderboard, best model refitted on all rows.
+                        models: dict | None = None, save_path: str | None = None):
+    """Booking-value job (M26): CV leaderboard, best model refitted on all rows,
+    optionally saved with its feature spec (S7).
 
     Returns ``(leaderboard, best_pipeline_model)``.
     """
@@ -149,7 +158,10 @@ def train_booking_value(df: DataFrame, feature_set: str = "reference", k: int =
     stages = value_stages(d, feature_set)
     lb = cross_validate_regression(d, ms, stages, k)
     best = lb.first()["model"]
-    return lb, Pipeline(stages=list(stages) + [ms[best]]).fit(d)
+    model = Pipeline(stages=list(stages) + [ms[best]]).fit(d)
+    onehot = VALUE_ONEHOT if feature_set == "reference" else VALUE_BOOKING_TIME_ONEHOT
+    _save(model, d, VALUE_STANDARD + VALUE_ROBUST + VALUE_MINMAX + onehot, save_path)
+    return lb, model
 
 
 def status_stages(df: DataFrame) -> list:
@@ -209,14 +221,16 @@ def status_cv_metrics(oof: DataFrame) -> DataFrame:
     return cv_classification_metrics(oof, "fold", "label", "prediction")
 
 
-def train_booking_status(df: DataFrame, label: str = "booking_status"):
-    """Fit the balanced status model on all rows (M27 refit)."""
+def train_booking_status(df: DataFrame, label: str = "booking_status", save_path: str | None = None):
+    """Fit the balanced status model on all rows (M27 refit), optionally saved."""
     from pyspark.ml.feature import StringIndexer
 
     d = with_class_weights(status_frame(df), label)
     n_weight = d.agg(F.sum("weight")).first()[0]
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[idx] + status_stages(d) + [status_estimator(n_weight=n_weight)]).fit(d)
+    model = Pipeline(stages=[idx] + status_stages(d) + [status_estimator(n_weight=n_weight)]).fit(d)
+    _save(model, d, STATUS_NUMERIC + STATUS_ONEHOT, save_path)
+    return model
 
 
 def wait_frame(df: DataFrame) -> DataFrame:
@@ -240,10 +254,13 @@ def wait_estimator(label: str = "label"):
                                  cacheNodeIds=True, checkpointInterval=10)
 
 
-def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id"):
-    """Wait-time job (M28): 3-fold MAE mean ± std, then refit on all rows."""
+def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id", save_path: str | None = None):
+    """Wait-time job (M28): 3-fold MAE mean ± std, then refit on all rows,
+    optionally saved with its feature spec (S7)."""
     keep_id = df.withColumn("_rid", F.col(id_col))
     d = wait_frame(keep_id).withColumnRenamed("_rid", id_col)
     stages = wait_stages(d.drop(id_col))
     cv = cross_validate_regression(d, {"RF": wait_estimator()}, stages, k, id_col, metrics=("mae", "rmse", "r2"))
-    return cv, Pipeline(stages=stages + [wait_estimator()]).fit(d)
+    model = Pipeline(stages=stages + [wait_estimator()]).fit(d)
+    _save(model, d, [c for c in d.columns if c not in ("label", id_col)], save_path)
+    return cv, model

@@ -285,3 +285,23 @@ def test_model_deterministic_under_repartition(spark):
     import numpy as np
 
     assert all(np.allclose(coefs[0], c, atol=1e-8) for c in coefs[1:])
+
+
+def test_train_save_load_score(spark, tmp_dir):
+    from pyspark.ml.regression import LinearRegression
+
+    from ridelens.ml import score as SC
+    from ridelens.ml import train as TR
+    from ridelens.plans.q_region import region
+
+    reg = region(spark, "/root/testdata/sf0.001")
+    path = os.path.join(tmp_dir, "value_model")
+    lb, model = TR.train_booking_value(reg, models={"Linear": LinearRegression(labelCol="label")}, save_path=path)
+    assert lb.count() == 1
+    loaded, spec = SC.load_scoring_model(spark, path)
+    assert "avg_vtat" in spec["features"] and spec["types"]["avg_vtat"] == "double"
+    vt = TR.value_frame(reg)
+    a = [r.prediction for r in model.transform(vt).orderBy("booking_id").select("prediction").collect()]
+    b = [r.prediction for r in loaded.transform(SC.align_to_model(vt, spec)).orderBy("booking_id")
+         .select("prediction").collect()]
+    assert len(a) == len(b) and all(abs(x - y) < 1e-9 for x, y in zip(a, b))
