@@ -345,3 +345,18 @@ def sql_count(spark, sf):
         args={"t": "ridelens_lineitem"},
         views={"ridelens_lineitem": table(spark, sf, "lineitem")},
     )
+
+
+_B_NUMERIC = ["avg_vtat", "booking_value", "ride_distance", "driver_rating", "customer_rating"]
+_DESCRIBE_B_SQL = with_views(" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS count, {pr(f'avg({c})', 4)} AS mean,
+               {pr(f'stddev_samp({c})', 4)} AS std, CAST(min({c}) AS DOUBLE) AS min,
+               {pr(f'quantile_cont({c}, 0.25)', 4)} AS q25, {pr(f'quantile_cont({c}, 0.5)', 4)} AS q50,
+               {pr(f'quantile_cont({c}, 0.75)', 4)} AS q75, CAST(max({c}) AS DOUBLE) AS max FROM B"""
+    for c in _B_NUMERIC))
+
+
+@register("describe_bookings", _DESCRIBE_B_SQL)
+def describe_bookings(spark, sf):
+    """Numeric summary of the raw bookings (NULLs skipped per column)."""
+    return PF.describe(bookings(spark, sf), _B_NUMERIC)
