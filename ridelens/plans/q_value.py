@@ -295,3 +295,22 @@ def payment_group_summary(spark, sf):
         "min_distance": ("ride_distance", "min"), "max_distance": ("ride_distance", "max"),
         "vehicle_types": ("vehicle_type", "nunique")})
     return g.withColumns({"mean_value": pround("mean_value", 4), "total_value": pround("total_value", 4)})
+
+
+_STATUS_TOTAL_B_SQL = with_views(
+    """
+SELECT booking_status, CAST(n AS BIGINT) AS n, pct, is_total FROM s
+UNION ALL
+SELECT 'Total', CAST(sum(n) AS BIGINT), """ + pr("sum(pct)", 1) + """, true FROM s
+""",
+    f"""
+c AS (SELECT booking_status, count(*) AS n FROM B WHERE booking_status IS NOT NULL GROUP BY 1),
+s AS (SELECT booking_status, n, {share('n', '(SELECT sum(n) FROM c)', 1)} AS pct, false AS is_total FROM c)
+""",
+)
+
+
+@register("status_mix_total_bookings", _STATUS_TOTAL_B_SQL)
+def status_mix_total_bookings(spark, sf):
+    """Booking-status counts and shares with the printed total row (A47) on the bookings."""
+    return R.counts_with_total(bookings(spark, sf), "booking_status")
