@@ -360,3 +360,23 @@ _DESCRIBE_B_SQL = with_views(" UNION ALL ".join(
 def describe_bookings(spark, sf):
     """Numeric summary of the raw bookings (NULLs skipped per column)."""
     return PF.describe(bookings(spark, sf), _B_NUMERIC)
+
+
+_RAW_FLAGS = ["Cancelled Rides by Customer", "Cancelled Rides by Driver", "Incomplete Rides"]
+_FLAG_STATUS = {"Cancelled Rides by Customer": "Cancelled by Customer",
+                "Cancelled Rides by Driver": "Cancelled by Driver", "Incomplete Rides": "Incomplete"}
+_RAW_FLAG_SQL = with_views(" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, flag AS value, CAST(count(*) AS BIGINT) AS n
+        FROM (SELECT CASE WHEN booking_status = '{_FLAG_STATUS[c]}' THEN CAST(1 AS DOUBLE) END AS flag FROM B)
+        GROUP BY flag""" for c in _RAW_FLAGS))
+
+
+@register("raw_flag_counts", _RAW_FLAG_SQL)
+def raw_flag_counts(spark, sf):
+    """Value counts (NULL kept) of the raw cancellation / incomplete flag columns,
+    all three in one aggregate over the raw layout."""
+    raw = bookings_raw(spark, sf)
+    long = raw.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value")) for c in _RAW_FLAGS
+    ])))
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
