@@ -300,7 +300,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
     if not ex_names:
         return out
     if keys:  # the extras come from the same first-pass aggregate (its exchange is reused)
-        return stats.select(*keys, *ex_names).join(out, keys, "left")
+        return stats.select(*keys, *ex_names).join(F.broadcast(out) if bounded_groups else out, keys, "left")
     e = stats.select(F.struct(*ex_names)).scalar()
     return out.select(*names, *[e[n].alias(n) for n in ex_names])
 
