@@ -65,7 +65,7 @@ def open_new(folder: str, stem: str, suffix: str):
     name = f"{stem}-{uuid.uuid4().hex}{suffix}"
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return fs.open_output_stream(f"{path}/{name}"), f"{folder.rstrip('/')}/{name}"
+    return fs.open_output_stream(f"{path}/{name}", compression=None), f"{folder.rstrip('/')}/{name}"
 
 
 def open_read(uri: str):

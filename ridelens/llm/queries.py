@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from ridelens.llm.simhash import op4_simhash_near_dedup
 from ridelens.llm.substring_dedup import op10_substring_dedup
+from ridelens.llm.token_files import op8_token_output
+from ridelens.llm import warc
 
 QUERIES = {f.__name__: f for f in (
+    warc.op2_warc_bundles,
     op4_simhash_near_dedup,
+    op8_token_output,
     op10_substring_dedup,
 )}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_bundles": warc.ORACLE_SQL,
+}
