@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from ridelens.llm.simhash import op4_simhash_near_dedup
-from ridelens.llm.substring_dedup import op10_substring_dedup
-from ridelens.llm.token_files import op8_token_output
-from ridelens.llm import warc
+from ridelens.llm import decontaminate, minhash, mixing, secrets_scan, sharding, simhash, substring_dedup, token_files, warc
 
 QUERIES = {f.__name__: f for f in (
     warc.op2_warc_bundles,
-    op4_simhash_near_dedup,
-    op8_token_output,
-    op10_substring_dedup,
+    secrets_scan.op3_secret_scan,
+    simhash.op4_simhash_near_dedup,
+    mixing.op5_mix_sources,
+    sharding.op6_shard_tree,
+    decontaminate.op7_decontaminate,
+    token_files.op8_token_output,
+    minhash.op9_minhash_fingerprints,
+    substring_dedup.op10_substring_dedup,
 )}
 
+# The others need functions that SQL lacks (XXH64, CRC-32, a tokenizer, model fitting); tests hold those
+# against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_bundles": warc.ORACLE_SQL,
+    "op5_mix_sources": mixing.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
