@@ -97,6 +97,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
                       F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The documents in which no window of an item occurs, all columns unchanged."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+                       tokens(F.col("text")).alias("w"))
+    hits = find_hits(base, rarest_words(base, item_windows(items, window)))
+    found = materialize(hits.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(),
+                        "decon-found")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    return keyed.join(found, same, "left_anti").select(*docs.columns)
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items",

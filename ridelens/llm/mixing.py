@@ -76,8 +76,7 @@ def queue_documents(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> Data
     t = targets.select(F.col("source").alias("t"), "source_size", "target")
     run = run.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     run = run.join(t, F.col("source").eqNullSafe(F.col("t")))
-    return run.select("doc_id", "source", "size", "source_size", "target",
-                      (F.col("first") + F.col("own")).alias("upto"))
+    return run.select(*sizes.columns, "source_size", "target", (F.col("first") + F.col("own")).alias("upto"))
 
 
 def mixed_stream(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -107,6 +106,38 @@ def mixed_stream(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     return spot.withColumn("words", F.least(F.col("words"), left)).where("words > 0").drop("at", "own", "first")
 
 
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: ``docs`` (doc_id, text, source, n_chars, ...) with a row per copy taken.
+
+    A copy that is cut has its first words only, joined by one space, and its own n_chars.
+    """
+    text_key = F.xxhash64("text")
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"),
+                                    F.col("source").cast("string").alias("source"),
+                                    n_words(F.col("text")).alias("size")), "mix-sizes")
+    targets = materialize(source_targets(sizes, weights, max_repeats), "mix-targets")
+    queue = materialize(queue_documents(sizes, targets), "mix-queue")
+    copies = mixed_stream(queue, max_repeats).groupBy(
+        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("source").alias("_s")).agg(
+        F.collect_list(F.struct("words", "size")).alias("_copies"))
+    keyed = docs.withColumn("_key", text_key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col(
+        "source").cast("string").eqNullSafe(F.col("_s"))
+    # rows that repeat id, text and source share their copies
+    first = Window.partitionBy("_d", "_k", "_s").orderBy(F.xxhash64(*docs.columns))
+    rows = keyed.join(materialize(copies, "mix-copies"), same).withColumn("_n", F.row_number().over(first))
+    rows = rows.where("_n = 1").withColumn("_copy", F.explode("_copies"))
+    whole = F.col("_copy.words") == F.col("_copy.size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
+                               F.col("_copy.words").cast("int")), " ")
+    rows = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
+    out = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(
+            F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) of every row of ``docs`` (doc_id, text, source)."""
     sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from ridelens.llm import decontaminate, minhash, mixing, secrets_scan, sharding, simhash, substring_dedup, token_files, warc
+from ridelens.llm import (
+    decontaminate,
+    minhash,
+    mixing,
+    secrets_scan,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+    warc,
+)
 
 QUERIES = {f.__name__: f for f in (
+    toxicity.op1_toxicity,
     warc.op2_warc_bundles,
     secrets_scan.op3_secret_scan,
     simhash.op4_simhash_near_dedup,

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.llm.common import materialize
@@ -249,6 +249,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "text_key", "fp", "component_id", "rep_key")
 
 
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each group: the one with the smallest id."""
+    groups = simhash_components(docs, shingle=shingle, max_bits=max_bits)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key").eqNullSafe(
+        F.col("rep_key")))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    rows = keyed.join(kept, same)
+    # rows that repeat both id and text: one stays
+    first = Window.partitionBy("_d", "_k").orderBy(F.xxhash64(*docs.columns))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return rows.select(*docs.columns)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from ridelens.llm.common import documents
 

@@ -10,8 +10,8 @@ Method
    entry per chunk, not one per document.
 3. The entries of a bucket (about ``BUCKET_WINDOWS`` of the corpus' windows) meet in one group; a window that
    starts in a document with a smaller id is a repeat there.
-4. The repeats of a document return to it by a join; overlapping repeats merge into maximal removal intervals
-   and the words outside them are kept.
+4. The repeats return to their documents, packed by groups of documents of about ``GROUP_CHARS`` characters
+   (cogroup); overlapping repeats merge into maximal removal intervals and the words outside them are kept.
 
 Two windows are equal when both hashes agree: 64 bits and the bucket number, which is taken from the other
 hash. The expected number of false matches is about 10**-13 per window of the corpus, at every corpus size,
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,11 @@ from pyspark.sql import functions as F
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2**64
 CHUNK_WORDS = 1_000_000
 BUCKET_WINDOWS = 2_500_000
+GROUP_CHARS = 4_000_000
 CACHED_WORDS = 300_000
+# The primes of XXH64
+XXH64_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
+                2870177450012600261)
 
 
 class WordHashes(dict):
@@ -151,20 +156,40 @@ def window_entries(buckets: int, window: int):
     return run
 
 
-def _by_document(blobs: list[tuple[np.ndarray, ...]], hit: np.ndarray | None) -> pd.DataFrame:
-    """(id, key, hashes) rows of the entries marked by ``hit`` (all when None)."""
+def homes(ids: np.ndarray, count: int) -> np.ndarray:
+    """pmod(xxhash64(id), count) of 64-bit ids, as Spark computes it (XXH64 of one long, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in XXH64_PRIMES)
+
+    def rotated(x: np.ndarray, k: int) -> np.ndarray:
+        return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+    h = rotated(ids.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42) + p5 + np.uint64(8))
+    h = rotated(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64) % count
+
+
+def _by_home(blobs: list[tuple[np.ndarray, ...]], hit: np.ndarray | None, count: int) -> pd.DataFrame:
+    """(home, blob) rows: the entries marked by ``hit`` (all when None) for the groups their documents are in."""
     ids, keys, counts, hashes = (np.concatenate(x) for x in zip(*blobs, strict=True))
     run = np.repeat(np.arange(len(ids)), counts)
     if hit is not None:
         run, hashes = run[hit], hashes[hit]
-    at = _runs(run)
-    ends, raw, r = np.append(at, len(run))[1:], hashes.tobytes(), run[at]
-    return pd.DataFrame({"id": ids[r], "key": keys[r].astype(np.int64),
-                         "hashes": [raw[8 * a:8 * b] for a, b in zip(at, ends, strict=True)]})
-
-
-def bucket_repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the windows that a smaller document id also has, by document."""
+    home = homes(ids, count)
+    order = np.argsort(home[run], kind="stable")
+    run, hashes = run[order], hashes[order]
+    starts, rows = _runs(home[run]), []
+    for a, z in zip(starts, np.append(starts, len(run))[1:], strict=True):
+        at = _runs(run[a:z])
+        r = run[a:z][at]
+        sizes = np.diff(np.append(at, z - a))
+        rows.append((int(home[run[a]]), _pack(ids[r], keys[r], sizes, hashes[a:z])))
+    return pd.DataFrame(rows, columns=["home", "blob"])
+
+
+def bucket_repeats(pdf: pd.DataFrame, count: int) -> pd.DataFrame:
+    """Of one bucket: the windows that a smaller document id also has."""
     blobs = [_unpack(b) for b in pdf["blob"]]
     doc = np.concatenate([np.repeat(b[0], b[2]) for b in blobs])
     hashes = np.concatenate([b[3] for b in blobs])
@@ -174,13 +199,7 @@ def bucket_repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.repeat(np.minimum.reduceat(sorted_doc, starts), np.diff(np.append(starts, len(order))))
     hit = np.zeros(len(order), bool)
     hit[order] = sorted_doc > first
-    return _by_document(blobs, hit)
-
-
-def chunk_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield _by_document([_unpack(b) for b in pdf["blob"]], None)
+    return _by_home(blobs, hit, count)
 
 
 def removal_intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -194,25 +213,29 @@ def removal_intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def kept_rows(window: int):
-    """mapInPandas function: (id, text, hashes) -> (id, n_words, n_removed, removed, kept_text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_hashes, roll = WordHashes(), Rolling(BASES[0], window)
-        for pdf in batches:
-            out = []
-            for i, text, hashes in zip(pdf["id"].array, pdf["text"].array, pdf["hashes"].array, strict=True):
-                words = words_of(text) if isinstance(text, str) else []
-                n, spans = len(words), []
-                if hashes is not None and len(hashes) and n >= window:
-                    found = np.concatenate([np.frombuffer(h, np.uint64) for h in hashes])
-                    spans = removal_intervals(np.isin(roll(word_hashes.of(words)), found), window)
-                    ends = [0, *(x for s in spans for x in s), n]
-                    words = [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]
-                out.append((None if pd.isna(i) else int(i), n, n - len(words),
-                            [{"start": a, "end": b} for a, b in spans],
-                            b" ".join(words).decode("utf-8", "surrogatepass")))
-            res = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "removed", "kept_text"])
-            yield res.astype({"id": "Int64"})
+    """cogroup function: a group's documents (id, text) and its repeats -> id, n_words, n_removed, removed, kept_text."""
+
+    def run(docs: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
+        word_hashes, roll, found = WordHashes(), Rolling(BASES[0], window), defaultdict(list)
+        for blob in repeats["blob"]:
+            ids, keys, counts, hashes = _unpack(blob)
+            parts = np.split(hashes, np.cumsum(counts)[:-1])
+            for i, k, h in zip(ids.tolist(), keys.tolist(), parts, strict=True):
+                found[i, k].append(h)
+        out = []
+        for i, text in zip(docs["id"].array, docs["text"].array, strict=True):
+            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+            words, doc_id = raw.split(), None if pd.isna(i) else int(i)
+            n, spans = len(words), []
+            if (hashes := found.get((doc_id, zlib.crc32(raw)))) and n >= window:
+                hit = np.isin(roll(word_hashes.of(words)), np.concatenate(hashes))
+                spans = removal_intervals(hit, window)
+                ends = [0, *(x for s in spans for x in s), n]
+                words = [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]
+            out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans],
+                        b" ".join(words).decode("utf-8", "surrogatepass")))
+        res = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "removed", "kept_text"])
+        return res.astype({"id": "Int64"})
 
     return run
 
@@ -221,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_words, n_removed, removed (word intervals), kept_text (kept words, one space)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(chars / 6 / BUCKET_WINDOWS))
+    buckets, groups = max(1, math.ceil(chars / 6 / BUCKET_WINDOWS)), max(1, math.ceil(chars / GROUP_CHARS))
     entries = base.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(
         window_entries(buckets, window), "bucket int, blob binary")
     # one shuffle for both kinds: a bucket is a group, repeats found inside a chunk pass through
@@ -230,14 +253,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["part"].iloc[0] < 0:
-            return next(chunk_repeats(iter([pdf])))
-        return bucket_repeats(pdf)
-
-    repeats = spread.select("part", "blob").groupBy("part").applyInPandas(group, "id long, key long, hashes binary")
-    by_doc = repeats.groupBy("id", "key").agg(F.collect_list("hashes").alias("hashes"))
-    keyed = base.withColumn("key", F.crc32(F.col("text").cast("binary")))
-    joined = keyed.join(by_doc, ["id", "key"], "left").select("id", "text", "hashes")
-    return joined.mapInPandas(
+            return _by_home([_unpack(b) for b in pdf["blob"]], None, groups)
+        return bucket_repeats(pdf, groups)
+
+    repeats = spread.select("part", "blob").groupBy("part").applyInPandas(group, "home int, blob binary")
+    homed = base.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    return homed.groupBy("home").cogroup(repeats.groupBy("home")).applyInPandas(
         kept_rows(window),
         "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string",
     ).withColumnRenamed("id", id_col)
@@ -248,3 +269,26 @@ def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(documents(spark, sf_dir), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), first AS (
+  SELECT s, min(doc_id) AS m FROM win GROUP BY s
+), cov AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM win JOIN first USING (s) WHERE win.doc_id > first.m
+), word AS (
+  SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -46,6 +46,7 @@ FILE_DOCS = 500_000
 BATCH_CHARS = 1_000_000
 CACHED_PIECES = 400_000
 PIECE = re.compile(r"[^ \t-\r]+")
+SEPARATORS = re.compile(r"[\x1c-\x1f]")  # str.split cuts there, the tokenizer does not
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
@@ -177,28 +178,37 @@ class PieceEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Put pieces into the memory. Words of plain letters are one pre-token each, with one word-end id."""
-        words = [p for p in pieces if LETTERS.fullmatch(p)]
-        if words and self.ends_word.any():
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+    def _encode(self, words: list[str], others: list[str]) -> None:
+        """Put pieces into the memory. Each of ``words`` is one pre-token, with one word-end id."""
+        if words:
+            line = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(line.ids, np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(words):
                 w, raw = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
-                starts = np.append(0, ends[:-1]).tolist()
-                self.known.update((p, raw[a * w:z * w]) for p, a, z in zip(words, starts, ends.tolist(), strict=True))
-        rest = [p for p in pieces if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                ends = (ends * w).tolist()
+                self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            else:  # a vocabulary without word ends: piece by piece
+                others = others + words
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
         known = self.known
-        split = [PIECE.findall(t) for t in texts]
-        new = {p for s in split for p in s if p not in known}
-        parts = {p: m.groups() for p in new if (m := WORD_AND_STOP.fullmatch(p))}  # always two pre-tokens
-        self._encode([p for p in {*(new - parts.keys()), *(x for m in parts.values() for x in m)} if p not in known])
+        split = [PIECE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        words, others, parts = [], [], {}
+        for p in set().union(*split).difference(known):
+            if (p.isascii() and p.isalpha()) or LETTERS.fullmatch(p):
+                words.append(p)
+            elif m := WORD_AND_STOP.fullmatch(p):  # always two pre-tokens
+                parts[p] = m.groups()
+            else:
+                others.append(p)
+        more = {a for a, _ in parts.values()}.difference(known, words)
+        stops = {b for _, b in parts.values()}.difference(known, others)
+        self._encode([*words, *more], [*others, *stops])
         known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
