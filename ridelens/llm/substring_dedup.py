@@ -225,7 +225,7 @@ def kept_rows(window: int):
         out = []
         for i, text in zip(docs["id"].array, docs["text"].array, strict=True):
             raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            words, doc_id = raw.split(), None if pd.isna(i) else int(i)
+            words, doc_id = raw.split(), None if i is None else int(i)
             n, spans = len(words), []
             if (hashes := found.get((doc_id, zlib.crc32(raw)))) and n >= window:
                 hit = np.isin(roll(word_hashes.of(words)), np.concatenate(hashes))
@@ -257,7 +257,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return bucket_repeats(pdf, groups)
 
     repeats = spread.select("part", "blob").groupBy("part").applyInPandas(group, "home int, blob binary")
-    homed = base.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    # ids go as text: pandas would turn a column of integers and nulls into floats
+    homed = base.select(F.col("id").cast("string").alias("id"), "text",
+                        F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("home"))
     return homed.groupBy("home").cogroup(repeats.groupBy("home")).applyInPandas(
         kept_rows(window),
         "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string",
