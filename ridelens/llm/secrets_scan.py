@@ -104,7 +104,7 @@ def _scan(scope: int):
                 text = text if isinstance(text, str) else ""
                 strong = strong_spans(text)
                 weak, links = link_parts(text, strong, scope) if strong["access"] else ({}, [])
-                rows.append((None if pd.isna(i) else int(i), *(len(strong[k]) for k in KINDS[:3]),
+                rows.append((None if i is None else int(i), *(len(strong[k]) for k in KINDS[:3]),
                              span_text(strong), span_text(strong | weak), links))
             yield pd.DataFrame(rows, columns=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans",
                                               "links"]).astype({"id": "Int64"})
@@ -114,7 +114,8 @@ def _scan(scope: int):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """Per row: id, counts of the strong kinds, base_spans and all spans as text, links of multipart credentials."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # ids go as text: pandas would turn a column of integers and nulls into floats
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
     return base.mapInPandas(
         _scan(scope),
         "id long, n_assign long, n_access long, n_hex long, base_spans string, spans string, "

@@ -71,9 +71,11 @@ def _fingerprints(shingle: int):
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 3) -> DataFrame:
     """(id, text_key, fp): a 64-bit fingerprint (signed) per row; text_key tells rows of equal id apart."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+    # ids go through as text: pandas would turn a column of integers and nulls into floats
+    base = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("text_key"))
-    return base.mapInPandas(_fingerprints(shingle), "id long, text_key long, fp long")
+    fps = base.mapInPandas(_fingerprints(shingle), "id string, text_key long, fp long")
+    return fps.withColumn("id", F.col("id").cast("long"))
 
 
 # ---- the index ------------------------------------------------------------------------------------------------

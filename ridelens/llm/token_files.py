@@ -26,6 +26,7 @@ all written; other columns are ignored; an empty table writes no file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -43,10 +44,9 @@ TRAILER = "<8sHHQQQ"
 SAMPLE = 256
 FILE_IDS = 8_000_000
 FILE_DOCS = 500_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 8_000_000
+READ_IDS = 1_000_000
 CACHED_PIECES = 400_000
-PIECE = re.compile(r"[^ \t-\r]+")
-SEPARATORS = re.compile(r"[\x1c-\x1f]")  # str.split cuts there, the tokenizer does not
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
@@ -165,6 +165,26 @@ class TokenFile:
 
 # ---- encoding -------------------------------------------------------------------------------------------------
 
+PROBE = ["abc", "naïve", "ÀÉÎÕÜÿ", "ßø", "Quick", "tokenizers"]
+
+
+def plain_tokenizer(tokenizer_json: str):
+    """The tokenizer for single lower-cased words of Latin letters, which need no normalising and no cutting.
+
+    None if it would not give the same ids.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer_json)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "WhitespaceSplit"}, *(s for s in steps if s["type"] == "ByteLevel")]}}
+    plain, full = Tokenizer.from_str(json.dumps(spec)), Tokenizer.from_str(tokenizer_json)
+    same = all(plain.encode(w.lower(), add_special_tokens=False).ids == full.encode(w, add_special_tokens=False).ids
+               for w in PROBE)
+    return plain if same else None
+
+
 class PieceEncoder:
     """Ids of texts as bytes, through a bounded memory of encoded pieces."""
 
@@ -172,8 +192,8 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype, self.known = dtype, {}
+        self.tokenizer, self.plain = Tokenizer.from_str(tokenizer_json), plain_tokenizer(tokenizer_json)
+        self.dtype, self.known = dtype, {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -181,7 +201,9 @@ class PieceEncoder:
     def _encode(self, words: list[str], others: list[str]) -> None:
         """Put pieces into the memory. Each of ``words`` is one pre-token, with one word-end id."""
         if words:
-            line = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            line = " ".join(words)
+            line = (self.plain or self.tokenizer).encode_batch_fast([line.lower() if self.plain else line],
+                                                                    add_special_tokens=False)[0]
             ids = np.array(line.ids, np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(words):
@@ -193,13 +215,13 @@ class PieceEncoder:
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, self.dtype).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode the pieces that are not in the memory yet."""
         known = self.known
-        split = [PIECE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
         words, others, parts = [], [], {}
-        for p in set().union(*split).difference(known):
+        for p in pieces:
+            if p in known:
+                continue
             if (p.isascii() and p.isalpha()) or LETTERS.fullmatch(p):
                 words.append(p)
             elif m := WORD_AND_STOP.fullmatch(p):  # always two pre-tokens
@@ -210,7 +232,27 @@ class PieceEncoder:
         stops = {b for _, b in parts.values()}.difference(known, others)
         self._encode([*words, *more], [*others, *stops])
         known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as bytes. Words are numbered by Arrow, so Python sees each distinct piece once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > CACHED_PIECES:
+            self.known = {"": b""}
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = numbered.indices.to_numpy()
+        self._learn(pieces)
+        raws, width = list(map(self.known.__getitem__, pieces)), self.dtype.itemsize
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // width
+        ids, starts = np.frombuffer(b"".join(raws), self.dtype), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.append(0, np.cumsum(n))
+        out = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = (ends[split.offsets.to_numpy()] * width).tolist()
+        return [out[a:z] for a, z in zip(cut, cut[1:], strict=False)]
 
 
 def _write(folder: str, tokenizer, end_id: int, dtype: np.dtype):
@@ -221,7 +263,7 @@ def _write(folder: str, tokenizer, end_id: int, dtype: np.dtype):
         end = np.array([end_id], dtype).tobytes()
         for pdf in batches:
             encode = encode or PieceEncoder(tokenizer.value, dtype)
-            ids = [None if pd.isna(i) else int(i) for i in pdf["id"].array]
+            ids = [None if i is None else int(i) for i in pdf["id"].array]
             texts = [t if isinstance(t, str) else "" for t in pdf["text"].array]
             at = 0
             while at < len(texts):
@@ -251,7 +293,7 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = np.append(0, ends[:-1])
             at = 0
             while at < f.n:
-                z = max(at + 1, int(np.searchsorted(ends, starts[at] + BATCH_CHARS)))
+                z = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_IDS)))
                 raw = f.ids(int(starts[at]), int(ends[z - 1])).astype("<u4").tobytes()
                 cut = 4 * (np.stack([starts[at:z], ends[at:z]]) - starts[at])
                 yield pd.DataFrame({
@@ -274,6 +316,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = base.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first(), "text")
+    # ids go as text: pandas would turn a column of integers and nulls into floats
+    ordered = ordered.withColumn("id", F.col("id").cast("string"))
     files = materialize(ordered.mapInPandas(_write(folder, tokenizer, end_id, dtype),
                                             "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
     # one row per file: small, so one ordered window is fine

@@ -150,9 +150,9 @@ def _write(folder: str, date: str):
             for page_id, url, payload, digest, refers_to in zip(
                     *(pdf[c].array for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 out = out or BundleWriter(folder)
-                number = None if pd.isna(page_id) else int(page_id)
+                number = None if page_id is None else int(page_id)
                 record = make_record(number, url if isinstance(url, str) else None, bytes(payload), digest,
-                                     None if pd.isna(refers_to) else int(refers_to), date)
+                                     None if refers_to is None else int(refers_to), date)
                 rows.append((number, record_uri(number), out.uri, *out.add(record), len(record)))
                 if out.total >= BUNDLE_BYTES:
                     out.close()
@@ -200,7 +200,9 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write all pages as bundles; returns the index (page_id, record_id, path, frame, offset, length)."""
-    return materialize(plan_records(pages, min_bytes).mapInPandas(
+    # ids go as text: pandas would turn a column of integers and nulls into floats
+    plan = plan_records(pages, min_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return materialize(plan.mapInPandas(
         _write(folder, date), "page_id long, record_id string, path string, frame int, offset int, length int"),
         "warc-index")
 
