@@ -106,8 +106,8 @@ def _scan(scope: int):
                 weak, links = link_parts(text, strong, scope) if strong["access"] else ({}, [])
                 rows.append((None if i is None else int(i), *(len(strong[k]) for k in KINDS[:3]),
                              span_text(strong), span_text(strong | weak), links))
-            yield pd.DataFrame(rows, columns=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans",
-                                              "links"]).astype({"id": "Int64"})
+            out = pd.DataFrame(rows, columns=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "links"])
+            yield out.assign(id=pd.array([r[0] for r in rows], "Int64"))
 
     return run
 

@@ -235,7 +235,7 @@ def kept_rows(window: int):
             out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans],
                         b" ".join(words).decode("utf-8", "surrogatepass")))
         res = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "removed", "kept_text"])
-        return res.astype({"id": "Int64"})
+        return res.assign(id=pd.array([r[0] for r in out], "Int64"))
 
     return run
 

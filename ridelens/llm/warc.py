@@ -158,7 +158,7 @@ def _write(folder: str, date: str):
                     out.close()
                     out = None
             cols = ["page_id", "record_id", "path", "frame", "offset", "length"]
-            yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=cols).assign(page_id=pd.array([r[0] for r in rows], "Int64"))
         if out:
             out.close()
 
@@ -181,7 +181,8 @@ def _read_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((_number(f["WARC-Record-ID"]), size, digest, f["WARC-Type"],
                                  _number(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"),
                                  digest == stored and (not whole or size == len(r["payload"]))))
-                yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=cols).assign(
+                    page_id=pd.array([r[0] for r in rows], "Int64"), refers_to=pd.array([r[4] for r in rows], "Int64"))
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
