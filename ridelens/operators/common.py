@@ -193,116 +193,160 @@ def top_n_share(agg: DataFrame, n: str, k: int, key: str | Sequence[str], out: s
 # ---------------------------------------------------------------------------
 # exact percentiles / median / mode, skew-safe
 # ---------------------------------------------------------------------------
+# sub-ranges a bracket is cut into before its values are ranked
+RANK_RANGES = 1024
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
                       by: str | Sequence[str] | None = None, approx: bool = False,
                       accuracy: int = 10000, method: str = "bracket",
                       extra: dict | None = None, bounded_groups: bool = False,
                       carry: Sequence[str] = ()) -> DataFrame:
-    """Exact (linearly interpolated) percentiles of ``value`` per ``by`` group.
+    """Exact (linearly interpolated) percentiles of ``value`` per ``by`` group, in two passes over the rows.
 
     ``method="bracket"`` (default) never merges a whole group in one task:
-      1. one partial aggregate per group gives the row count and, for every
-         requested ``p``, a value bracket from ``percentile_approx`` at
-         ``p ± 2/accuracy`` – constant memory per group (groups smaller than
-         ``4·accuracy`` rows simply use their min/max);
-      2. a second pass reduces the rows inside each bracket to
-         ``(value, frequency)`` and all rows below it to one counter; the exact
-         ranks ``floor(p·(n−1))`` and the next one are then located by a running
-         sum over that small bracket table (at most ``max(4·accuracy, 4n/accuracy)``
-         rows per group, whatever the skew).
+      1. one partial aggregate per group gives the row count, the ``extra``
+         aggregates and, for every requested ``p``, a value bracket from
+         ``percentile_approx`` at ``p ± 2/accuracy`` – constant memory per group
+         (groups smaller than ``4·accuracy`` rows simply use their min/max);
+      2. a second pass reduces the rows inside a bracket to ``(sub-range, value,
+         frequency)`` and the rows below it to one counter. A bracket is cut into
+         ``RANK_RANGES`` sub-ranges by value; a running sum over their counts
+         finds the sub-range that holds the rank ``floor(p·(n−1))`` (and the next
+         one), and only that sub-range's values are ranked: about
+         ``4n/(accuracy·RANK_RANGES)`` distinct values in one task.
+    A rank outside its bracket would contradict the sketch's error bound; the
+    query then fails with a message instead of returning a wrong number.
     ``method="freq"`` reduces to ``(group, value, frequency)`` and merges every
     distinct value of a group in one task – fine for low-cardinality values.
-    ``approx=True`` returns ``percentile_approx`` itself. NULL/NaN are ignored.
+    ``approx=True`` returns ``percentile_approx`` itself. NULL/NaN are ignored; a
+    group that has nothing else is returned with NULL percentiles.
     ``accuracy="auto"`` sizes the sketch from the largest group (one extra count
-    job, one number to the driver) so the exact-rank table stays near a
-    million rows per group at any data size.
+    job, one number to the driver).
     ``bounded_groups=True`` (the caller knows the number of groups is small, e.g.
-    bins or a list of columns) broadcasts the one-row-per-group bracket to the
-    rows, so the rows are never shuffled by group key; otherwise the join is left
-    to Spark (AQE broadcast when small, skew join when a group is hot).
-    ``extra`` maps output names to functions of the value column
-    (e.g. ``{"n": F.count, "mean": F.avg}``); they are computed in the same
-    first pass (no extra scan) and returned next to the percentiles; ``carry``
-    names further columns of ``df`` those functions may read with ``F.col``.
+    bins, a list of columns, the zones of a counted dimension) broadcasts the
+    one-row-per-group bracket to the rows, so the rows are never shuffled by
+    group key; otherwise the join is left to Spark (AQE broadcast when small,
+    skew join when a group is hot).
+    ``extra`` maps output names to aggregate functions of the value column that
+    ignore NULLs (e.g. ``{"n": F.count, "mean": F.avg}``); they are computed in
+    the first pass and travel with the bracket; ``carry`` names further columns
+    of ``df`` those functions may read with ``F.col``.
     """
     keys = _cols(by)
     if accuracy == "auto":
         accuracy = auto_accuracy(df, by)
-    src = df.select(*keys, F.col(value).cast("double").alias("_v"), *carry).where(
-        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
-    names = list(probs)
+    v = F.col(value).cast("double")
+    src = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"), *carry)
+    if not keys or method == "freq":
+        src = src.where(F.col("_v").isNotNull())
+    names = sorted(probs, key=lambda n: probs[n])
     ps = [float(probs[n]) for n in names]
     ex = [fn(F.col("_v")).alias(n) for n, fn in (extra or {}).items()]
     ex_names = list(extra or {})
     if approx:
         return src.groupBy(*keys).agg(
-            *[F.percentile_approx("_v", p, accuracy).alias(n) for n, p in zip(names, ps)], *ex)
+            *[F.percentile_approx("_v", float(p), accuracy).alias(n) for n, p in probs.items()], *ex)
     if method == "freq":
         if ex:
             raise ValueError("extra aggregates need method='bracket' or approx=True")
         freq = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f"))
         return freq.groupBy(*keys).agg(
-            *[F.percentile(F.col("_v"), F.lit(p), F.col("_f")).alias(n) for n, p in zip(names, ps)])
+            *[F.percentile(F.col("_v"), F.lit(float(p)), F.col("_f")).alias(n) for n, p in probs.items()])
+
+    bracket = _brackets(src, keys, ps, accuracy, ex)
+    if keys:
+        rows = src.select(*keys, "_v").join(F.broadcast(bracket) if bounded_groups else bracket, keys, "inner")
+    else:  # one group: its bracket is a one-row scalar subquery, no join
+        rows = src.select("_v", bracket.select("_s").scalar().alias("_s"))
+    win = _bracketed(rows, keys, len(ps))
+    per = _ranked_values(win, keys, ps)
+    # without keys this is a global aggregate: exactly one row, NULLs when empty
+    picked = [F.max(F.when(F.col("_i") == names.index(n), F.col("_val"))).alias(n) for n in probs]
+    if keys:
+        return per.groupBy(*keys, "_s").agg(*picked).select(*keys, *probs, *[F.col(f"_s.{n}").alias(n) for n in ex_names])
+    s = bracket.select("_s").scalar()
+    return per.agg(*picked).select(*probs, *[s[n].alias(n) for n in ex_names])
+
 
-    eps = 2.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in ps]
-    hi_p = [min(1.0, p + eps) for p in ps]
+def _brackets(src: DataFrame, keys: list[str], ps: list[float], accuracy: int, ex: list[Column]) -> DataFrame:
+    """(keys, _s): per group the count, the extra aggregates and a value bracket per probability."""
+    eps, m = 2.0 / accuracy, len(ps)
+    lo_p, hi_p = [max(0.0, p - eps) for p in ps], [min(1.0, p + eps) for p in ps]
     stats = src.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         # one sketch answers both ends of every bracket
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_aq"),
-        *ex,
-    )
-    # Groups under 4·accuracy rows bracket their whole range (they are small);
-    # above that the 2/accuracy margin is ≥ 8 ranks, which covers both the
+        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_aq"), *ex)
+    # Above 4·accuracy rows the 2/accuracy margin is ≥ 8 ranks, which covers both the
     # sketch's rank error and the gap between its rank ⌈p·n⌉ and ⌊p·(n−1)⌋.
     small = F.col("_n") < F.lit(4 * accuracy)
-    m = len(ps)
     lo = [F.when(small | F.lit(lo_p[i] == 0.0), F.col("_min")).otherwise(F.col("_aq")[i]) for i in range(m)]
     hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_aq")[m + i]) for i in range(m)]
-    bracket = stats.select(*keys, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
-    if keys:
-        rows = src.join(F.broadcast(bracket) if bounded_groups else bracket, keys, "inner")
-    else:  # one group: the bracket is a one-row scalar subquery, no join
-        b = bracket.select(F.struct("_n", "_lo", "_hi")).scalar()
-        rows = src.select("_v", b["_n"].alias("_n"), b["_lo"].alias("_lo"), b["_hi"].alias("_hi"))
-    # One pass: for every p, a row inside its bracket keeps its value, a row below
-    # it becomes the marker −∞ (all of them collapse into one partial row), a
-    # row above it is dropped. The running sum over the sorted bracket table
-    # then starts at the below-count by itself.
-    minus_inf = F.lit(float("-inf"))
-    tagged = F.filter(
-        F.array(*[
-            F.when(F.col("_v") < F.col("_lo")[i], F.struct(F.lit(i).alias("i"), minus_inf.alias("v")))
-            .when(F.col("_v") <= F.col("_hi")[i], F.struct(F.lit(i).alias("i"), F.col("_v").alias("v")))
-            for i in range(len(ps))
-        ]),
-        lambda x: x.isNotNull())
-    win = (rows.select(*keys, "_n", F.explode(tagged).alias("_t"))
-           .groupBy(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.v").alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_f")))
-    pvals = F.array(*[F.lit(p) for p in ps])[F.col("_i")]
-    pos = pvals * (F.col("_n") - 1).cast("double")
-    k0 = F.floor(pos)
-    k1 = F.least(k0 + 1, F.col("_n") - 1)
-    order = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = win.select(*keys, "_i", "_v", F.sum("_f").over(order).alias("_cum"), pos.alias("_pos"),
-                        k0.alias("_k0"), k1.alias("_k1"))
-    per = ranked.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_v1"),
-        F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"))
-    val = F.col("_v0") + (F.col("_pos") - F.col("_k0")) * (F.col("_v1") - F.col("_v0"))
-    # without keys this is a global aggregate: exactly one row, NULLs when empty
-    out = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    if not ex_names:
-        return out
-    if keys:  # the extras come from the same first-pass aggregate (its exchange is reused)
-        return stats.select(*keys, *ex_names).join(F.broadcast(out) if bounded_groups else out, keys, "left")
-    e = stats.select(F.struct(*ex_names)).scalar()
-    return out.select(*names, *[e[n].alias(n) for n in ex_names])
+    rest = [c for c in stats.columns if c not in (*keys, "_min", "_max", "_aq")]
+    return stats.select(*keys, F.struct(*rest, F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi")).alias("_s"))
+
+
+def _bracketed(rows: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """(keys, _s, _i, _r, _v, _f): frequency of every value inside the bracket of probability ``_i``, with its
+    sub-range. Rows below brackets collapse into counters with ``_i = -1``: as brackets rise with the probability,
+    ``_r`` names the first one a row is below of (``m``: rows without a value)."""
+    lo, hi, v = F.col("_s._lo"), F.col("_s._hi"), F.col("_v")
+
+    def spot(i: int) -> Column:
+        at = F.floor((v - lo[i]) / (hi[i] - lo[i]) * F.lit(float(RANK_RANGES))).cast("int")
+        at = F.when(hi[i] > lo[i], F.least(at, F.lit(RANK_RANGES - 1))).otherwise(F.lit(0))
+        return F.struct(F.lit(i).alias("i"), at.alias("r"), v.alias("v"))
+
+    below = F.lit(m)
+    for i in reversed(range(m)):
+        below = F.when(v < lo[i], F.lit(i)).otherwise(below)
+    counter = F.struct(F.lit(-1).alias("i"), below.alias("r"), F.lit(None).cast("double").alias("v"))
+    parts = [F.when(v.isNull() | (v < lo[m - 1]), counter),
+             *[F.when((v >= lo[i]) & (v <= hi[i]), spot(i)) for i in range(m)]]
+    tagged = rows.select(*keys, "_s", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_t"))
+    return tagged.groupBy(*keys, "_s", F.col("_t.i").alias("_i"), F.col("_t.r").alias("_r"),
+                          F.col("_t.v").alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+
+
+def _ranked_values(win: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
+    """(keys, _s, _i, _val): the interpolated value of every probability, NULL rows for groups without values."""
+    m, group = len(ps), [*keys, "_s"]
+    counts = win.groupBy(*group, "_i", "_r").agg(F.sum("_f").alias("_f"))
+    # a counter counts for its own and for all higher brackets, as a sub-range before the first
+    cell = "array<struct<i:int,r:int,f:bigint>>"
+    later = F.transform(F.sequence(F.least("_r", F.lit(m - 1)), F.lit(m - 1)),
+                        lambda i: F.struct(i.alias("i"), F.lit(-1).alias("r"), F.col("_f").alias("f")))
+    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("r"), F.lit(0).cast("long").alias("f")))
+    one = F.array(F.struct(F.col("_i").alias("i"), F.col("_r").alias("r"), F.col("_f").alias("f")))
+    cells = F.when(F.col("_i") >= 0, one.cast(cell)).when(F.col("_r") < m, later.cast(cell)).otherwise(none.cast(cell))
+    flat = counts.select(*group, F.explode(cells).alias("_c")).groupBy(
+        *group, F.col("_c.i").alias("_i"), F.col("_c.r").alias("_r")).agg(F.sum("_c.f").alias("_f"))
+    # at most RANK_RANGES + 1 rows per group and probability
+    before = Window.partitionBy(*group, "_i").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.array(*[F.lit(p) for p in ps])[F.greatest("_i", F.lit(0))] * (F.col("_s._n") - 1).cast("double")
+    flat = flat.select(*group, "_i", "_r", "_f", F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_before"),
+                       pos.alias("_pos"))
+    k0 = F.floor("_pos")
+    k1 = F.least(k0 + 1, F.col("_s._n") - 1)
+    holds = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_f")) for k in (k0, k1)]
+    outside = F.raise_error(F.lit("a percentile's rank lies outside its bracket: raise accuracy")).cast("long")
+    hit = flat.where((F.col("_i") >= 0) & (holds[0] | holds[1])).select(
+        *[F.col(c).alias(f"_h{c}") for c in (*group, "_i", "_r")], "_pos",
+        F.when(F.col("_r") < 0, outside).otherwise(F.col("_before")).alias("_before"))
+    # null-safe equality adds no filters, so both readers of ``win`` share its exchange
+    same = [F.col(c).eqNullSafe(F.col(f"_h{c}")) for c in (*group, "_i", "_r")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    order = Window.partitionBy(*group, "_i", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = win.join(hit, cond).select(*group, "_i", "_v", "_pos",
+                                        (F.sum("_f").over(order) + F.col("_before")).alias("_cum"))
+    per = ranked.groupBy(*group, "_i").agg(
+        F.min(F.when(F.col("_cum") > k0, F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_cum") > k1, F.col("_v"))).alias("_v1"), F.first("_pos").alias("_pos"))
+    val = F.col("_v0") + (F.col("_pos") - F.floor("_pos")) * (F.col("_v1") - F.col("_v0"))
+    empty = flat.where("_i < 0").select(*group, "_i", F.lit(None).cast("double").alias("_val"))
+    return per.select(*group, "_i", val.alias("_val")).unionByName(empty)
 
 
 def auto_accuracy(df: DataFrame, by=None, window_rows: int = 1_000_000) -> int:
