@@ -23,6 +23,7 @@ from ridelens.functions.numeric import (  # noqa: F401
     numeric,
     pround,
     safe_ratio,
+    to_int,
     to_long,
     to_number,
 )

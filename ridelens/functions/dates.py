@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ridelens.functions._util import col_of
+from ridelens.functions.numeric import to_int
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's (English calendar names and the
@@ -60,7 +61,7 @@ def parse_weekday(c, unknown=None) -> Column:
     an unrecognised value gives ``unknown`` (NULL by default, 0 for the scorer).
     """
     text = F.lower(F.trim(col_of(c).cast("string")))
-    num = text.try_cast("double").cast("int")
+    num = to_int(text)
     named = F.element_at(_name_map(_weekday_lookup()), text).cast("int")
     out = F.coalesce(num, named)
     if unknown is not None:
@@ -69,18 +70,17 @@ def parse_weekday(c, unknown=None) -> Column:
 
 
 def parse_hour(c) -> Column:
-    """Hour from text: a number, else ``HH:mm``, else a 12-hour clock (``7 pm``, ``7:30 pm``).
+    """Hour from text: a number, ``HH:mm``, ``HH:mm:ss`` or a 12-hour clock (``7 pm``, ``7pm``, ``7:30 PM``, ``7:30PM``).
 
     Row-wise superset of the reference, which tries the text formats only when no
-    row of the column is numeric; this avoids a global pass.
+    row of the column is numeric; this avoids a global pass. Anything else
+    (``nan``, infinities, numbers that are no int) is NULL.
     """
     raw = F.trim(col_of(c).cast("string"))
-    up = F.upper(raw)
-    num = raw.try_cast("double").cast("int")
-    hm = F.hour(F.try_to_timestamp(raw, F.lit("H:mm")))
-    ampm = F.hour(F.try_to_timestamp(up, F.lit("h a")))
-    ampm_min = F.hour(F.try_to_timestamp(up, F.lit("h:mm a")))
-    return F.coalesce(num, hm, ampm, ampm_min)
+    up = F.regexp_replace(F.upper(raw), r"\s+(?=[AP]M$)", "")
+    clock = [F.hour(F.try_to_timestamp(raw, F.lit(f))) for f in ("H:mm", "H:mm:ss")]
+    half = [F.hour(F.try_to_timestamp(up, F.lit(f))) for f in ("ha", "h:mma")]
+    return F.coalesce(to_int(raw), *clock, *half)
 
 
 def hour_of_time_text(c, fmt: str = "HH:mm:ss", strict: bool = False) -> Column:

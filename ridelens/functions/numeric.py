@@ -34,6 +34,11 @@ def to_number(c) -> Column:
     return F.nanvl(col_of(c).try_cast("double"), F.lit(None).cast("double"))
 
 
+def to_int(c) -> Column:
+    """Lenient whole number: bad text, NaN, infinity and out-of-range values → NULL; fractions are cut off."""
+    return col_of(c).try_cast("double").try_cast("int")
+
+
 def numeric(df, c: str) -> Column:
     """Column ``c`` of ``df`` as a number.
 

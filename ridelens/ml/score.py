@@ -70,7 +70,7 @@ def align_to_model(df: DataFrame, spec: dict, overrides: dict | None = None) ->
                 v = parse_weekday(src).cast("double")
             else:
                 v = to_number(src)
-            out[c] = v.cast(t)
+            out[c] = v.try_cast(t)
         else:
             out[c] = src.cast("string")
     return df.withColumns(out)

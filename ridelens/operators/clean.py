@@ -19,6 +19,7 @@ from ridelens.functions import (
     is_blank,
     numeric,
     strip_ws,
+    to_int,
 )
 from ridelens.schemas import CLEAN_COLUMNS, CLEAN_FILL, CLEAN_NAMES
 
@@ -170,7 +171,8 @@ def validate_feedback(df: DataFrame, message: str = "message", email: str = "ema
                       rating: str = "rating") -> tuple[DataFrame, DataFrame]:
     """Split feedback rows into (valid, rejected).
 
-    Checks in the reference's order: blank message, blank e-mail, e-mail format.
+    Checks in the reference's order: blank message, blank e-mail, e-mail format; then a
+    rating that is there but no number (the reference's widget cannot produce one).
     Valid rows are trimmed and the rating is clamped to 1–5; rejected rows carry
     a ``reason``.
     """
@@ -179,13 +181,14 @@ def validate_feedback(df: DataFrame, message: str = "message", email: str = "ema
         F.when(is_blank(msg), F.lit("missing message"))
         .when(is_blank(mail), F.lit("missing email"))
         .when(~strip_ws(mail).rlike(EMAIL_PATTERN), F.lit("invalid email"))
+        .when(F.col(rating).isNotNull() & to_int(rating).isNull(), F.lit("invalid rating"))
     )
     tagged = df.withColumn("reason", reason)
     valid = tagged.where(F.col("reason").isNull()).drop("reason").withColumns(
         {
             message: strip_ws(msg),
             email: strip_ws(mail),
-            rating: clip(F.col(rating).cast("int"), 1, 5).cast("int"),
+            rating: clip(to_int(rating), 1, 5).cast("int"),
         }
     )
     rejected = tagged.where(F.col("reason").isNotNull())

@@ -17,6 +17,7 @@ from ridelens.functions import (
     numeric,
     parse_hour,
     parse_weekday,
+    to_int,
     weekday_name,
 )
 from ridelens.operators.common import axis_frame, densify, scalars, with_share
@@ -65,9 +66,9 @@ def time_frame(df: DataFrame) -> DataFrame:
         numeric(df, "month").alias("month"),
     ).dropna()
     t = t.select(
-        clip(F.col("hour").cast("int"), 0, 23).alias("hour"),
-        F.col("weekday").cast("int").alias("weekday"),
-        clip(F.col("month").cast("int"), 1, 12).alias("month"),
+        clip(to_int("hour"), 0, 23).alias("hour"),
+        to_int("weekday").alias("weekday"),
+        clip(to_int("month"), 1, 12).alias("month"),
     )
     return normalize_weekday(t, "weekday", "minmax")
 
@@ -83,9 +84,9 @@ def time_counts(df: DataFrame) -> DataFrame:
         numeric(df, "month").alias("month"),
     ).dropna()
     t = t.select(
-        clip(F.col("hour").cast("int"), 0, 23).alias("hour"),
-        F.col("weekday").cast("int").alias("weekday"),
-        clip(F.col("month").cast("int"), 1, 12).alias("month"),
+        clip(to_int("hour"), 0, 23).alias("hour"),
+        to_int("weekday").alias("weekday"),
+        clip(to_int("month"), 1, 12).alias("month"),
     )
     g = t.groupBy("hour", "weekday", "month").agg(F.count(F.lit(1)).alias("_n"))
     return normalize_weekday(g, "weekday", "minmax")

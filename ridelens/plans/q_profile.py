@@ -165,34 +165,36 @@ def table_shape(spark, sf):
 # text parsing
 # ---------------------------------------------------------------------------
 def _hour_text(spark, sf):
-    """B with an ``hour_text`` column written four ways (number, HH:00, 12-hour, junk)."""
+    """B with an ``hour_text`` column written in every accepted form, and in forms that are no hour."""
     b = bookings(spark, sf).select("booking_id", "hour")
-    h = F.col("hour")
-    h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
-    ampm = F.concat(h12.cast("string"), F.lit(" "), F.when(h < 12, F.lit("am")).otherwise(F.lit("pm")))
-    r = F.col("booking_id") % 4
-    text = (F.when(r == 0, h.cast("string"))
-            .when(r == 1, F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":00")))
-            .when(r == 2, ampm).otherwise(F.lit("xx")))
+    h = F.col("hour").cast("int")
+    h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12).cast("string")
+    hh = F.lpad(h.cast("string"), 2, "0")
+    low, up = (F.when(h < 12, F.lit(a)).otherwise(F.lit(p)) for a, p in (("am", "pm"), ("AM", "PM")))
+    forms = [h.cast("string"), F.concat(hh, F.lit(":00")), F.concat(h12, F.lit(" "), low), F.lit("xx"),
+             F.concat(hh, F.lit(":30:15")), F.concat(h12, low), F.concat(h12, F.lit(":30"), up),
+             F.concat(F.lit(" "), h12, F.lit(":30 "), low), F.lit("nan"), F.lit("Infinity"), F.lit("1e30"),
+             F.lit(None).cast("string")]
+    text = F.element_at(F.array(*forms), (F.col("booking_id") % len(forms) + 1).cast("int"))
     return b.select("booking_id", text.alias("hour_text"))
 
 
 _HOUR_TEXT_SQL = """
-ht AS (SELECT booking_id,
-              CASE booking_id % 4 WHEN 0 THEN CAST(hour AS VARCHAR)
-                   WHEN 1 THEN lpad(CAST(hour AS VARCHAR), 2, '0') || ':00'
-                   WHEN 2 THEN CAST(CASE WHEN hour % 12 = 0 THEN 12 ELSE hour % 12 END AS VARCHAR) || ' '
-                               || CASE WHEN hour < 12 THEN 'am' ELSE 'pm' END
-                   ELSE 'xx' END AS hour_text FROM B)
+hb AS (SELECT booking_id, CAST(hour AS INTEGER) AS h, booking_id % 12 AS f,
+              CAST(CASE WHEN hour % 12 = 0 THEN 12 ELSE hour % 12 END AS VARCHAR) AS h12,
+              lpad(CAST(CAST(hour AS INTEGER) AS VARCHAR), 2, '0') AS hh,
+              CASE WHEN hour < 12 THEN 'am' ELSE 'pm' END AS ap FROM B),
+ht AS (SELECT booking_id, h, f,
+              CASE f WHEN 0 THEN CAST(h AS VARCHAR) WHEN 1 THEN hh || ':00' WHEN 2 THEN h12 || ' ' || ap
+                     WHEN 3 THEN 'xx' WHEN 4 THEN hh || ':30:15' WHEN 5 THEN h12 || ap
+                     WHEN 6 THEN h12 || ':30' || upper(ap) WHEN 7 THEN ' ' || h12 || ':30 ' || ap
+                     WHEN 8 THEN 'nan' WHEN 9 THEN 'Infinity' WHEN 10 THEN '1e30' END AS hour_text FROM hb)
 """
 
 
 @register("parse_hour_text", with_views(
-    """SELECT booking_id, hour_text,
-              COALESCE(CAST(trunc(TRY_CAST(trim(hour_text) AS DOUBLE)) AS INTEGER),
-                       CAST(hour(try_strptime(trim(hour_text), '%H:%M')) AS INTEGER),
-                       CAST(hour(try_strptime(upper(trim(hour_text)), '%I %p')) AS INTEGER)) AS hour_parsed
-       FROM ht""", _HOUR_TEXT_SQL))
+    """SELECT booking_id, hour_text, CASE WHEN f IN (0, 1, 2, 4, 5, 6, 7) THEN h END AS hour_parsed FROM ht""",
+    _HOUR_TEXT_SQL))
 def parse_hour_text(spark, sf):
     t = _hour_text(spark, sf)
     return t.withColumn("hour_parsed", parse_hour("hour_text"))
@@ -203,31 +205,24 @@ def _weekday_text(spark, sf):
     w = F.col("weekday")
     full = F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), w + 1)
     abbr = F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_ABBR]), w + 1)
-    r = F.col("booking_id") % 5
+    r = F.col("booking_id") % 8
     text = (F.when(r == 0, full)
             .when(r == 1, F.concat(F.lit(" "), F.lower(abbr), F.lit(" ")))
             .when(r == 2, w.cast("string"))
-            .when(r == 3, F.upper(full)).otherwise(F.lit("xx")))
+            .when(r == 3, F.upper(full)).when(r == 4, F.lit("nan")).when(r == 5, F.lit("-Infinity"))
+            .when(r == 6, F.lit("1e30")).otherwise(F.lit("xx")))
     return b.select("booking_id", text.alias("weekday_text"))
 
 
-_WD_CASE = " ".join(f"WHEN '{full.lower()}' THEN {i} WHEN '{abbr.lower()}' THEN {i}"
-                    for i, (full, abbr) in enumerate(zip(WEEKDAY_NAMES, WEEKDAY_ABBR)))
-_WD_NAMES = "[" + ", ".join(f"'{n}'" for n in WEEKDAY_NAMES) + "]"
-_WD_ABBR = "[" + ", ".join(f"'{n}'" for n in WEEKDAY_ABBR) + "]"
-
-
 @register("parse_weekday_text", with_views(
-    f"""SELECT booking_id, weekday_text,
-              COALESCE(CAST(trunc(TRY_CAST(lower(trim(weekday_text)) AS DOUBLE)) AS INTEGER),
-                       CASE lower(trim(weekday_text)) {_WD_CASE} END) AS weekday_parsed
+    """SELECT booking_id, CASE r WHEN 0 THEN full_name WHEN 1 THEN ' ' || lower(left(full_name, 3)) || ' '
+                          WHEN 2 THEN CAST(w AS VARCHAR) WHEN 3 THEN upper(full_name) WHEN 4 THEN 'nan'
+                          WHEN 5 THEN '-Infinity' WHEN 6 THEN '1e30' ELSE 'xx' END AS weekday_text,
+              CASE WHEN r <= 3 THEN w END AS weekday_parsed
        FROM wt""",
-    f"""wt AS (SELECT booking_id,
-              CASE booking_id % 5 WHEN 0 THEN {_WD_NAMES}[weekday + 1]
-                   WHEN 1 THEN ' ' || lower({_WD_ABBR}[weekday + 1]) || ' '
-                   WHEN 2 THEN CAST(weekday AS VARCHAR)
-                   WHEN 3 THEN upper({_WD_NAMES}[weekday + 1])
-                   ELSE 'xx' END AS weekday_text FROM B)"""))
+    """wt AS (SELECT booking_id, booking_id % 8 AS r, CAST(weekday AS INTEGER) AS w,
+              CASE weekday WHEN 0 THEN 'Monday' WHEN 1 THEN 'Tuesday' WHEN 2 THEN 'Wednesday' WHEN 3 THEN 'Thursday'
+                   WHEN 4 THEN 'Friday' WHEN 5 THEN 'Saturday' WHEN 6 THEN 'Sunday' END AS full_name FROM B)"""))
 def parse_weekday_text(spark, sf):
     return _weekday_text(spark, sf).withColumn("weekday_parsed", parse_weekday("weekday_text"))
 
@@ -294,19 +289,23 @@ def clean_bookings(spark, sf):
 
 def feedback_rows(spark, sf):
     """Feedback-shaped rows from ``conversations``: message = text, rating = turn,
-    e-mail built from the conversation id (every 4th invalid, some blank)."""
+    e-mail built from the conversation id (every 4th invalid, some blank); the
+    rating comes as text, in places as no number at all."""
     cv = table(spark, sf, "conversations")
     cid = F.col("conv_id")
     email = (F.when(cid % 4 == 0, F.concat(F.lit("user"), cid.cast("string"), F.lit("@invalid")))
              .when(cid % 9 == 1, F.lit("   "))
              .otherwise(F.concat(F.lit("user"), cid.cast("string"), F.lit("@example.com"))))
-    return cv.select("conv_id", "turn", F.col("turn").cast("int").alias("rating"),
+    rating = (F.when(cid % 5 == 3, F.lit("nan")).when(cid % 7 == 5, F.lit("great")).when(cid % 11 == 2, F.lit("1e30"))
+              .when(cid % 13 == 6, F.lit(None)).otherwise(F.concat(F.col("turn").cast("string"), F.lit(".7"))))
+    return cv.select("conv_id", "turn", rating.alias("rating"),
                      F.col("text").alias("message"), email.alias("email"))
 
 
 _WS = r"'\A\s+|\s+\z'"
 _FB = f"""
-fb AS (SELECT conv_id, turn, CAST(turn AS INTEGER) AS rating, text AS message,
+fb AS (SELECT conv_id, turn, text AS message, conv_id % 5 = 3 OR conv_id % 7 = 5 OR conv_id % 11 = 2 AS bad_rating,
+              CASE WHEN conv_id % 13 <> 6 THEN CAST(turn AS INTEGER) END AS rating,
               CASE WHEN conv_id % 4 = 0 THEN 'user' || CAST(conv_id AS VARCHAR) || '@invalid'
                    WHEN conv_id % 9 = 1 THEN '   '
                    ELSE 'user' || CAST(conv_id AS VARCHAR) || '@example.com' END AS email
@@ -314,13 +313,14 @@ fb AS (SELECT conv_id, turn, CAST(turn AS INTEGER) AS rating, text AS message,
 tg AS (SELECT *, regexp_replace(message, {_WS}, '', 'g') AS m2, regexp_replace(email, {_WS}, '', 'g') AS e2 FROM fb),
 tr AS (SELECT *, CASE WHEN message IS NULL OR length(m2) = 0 THEN 'missing message'
                       WHEN email IS NULL OR length(e2) = 0 THEN 'missing email'
-                      WHEN NOT regexp_matches(e2, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'invalid email' END AS reason
+                      WHEN NOT regexp_matches(e2, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'invalid email'
+                      WHEN bad_rating THEN 'invalid rating' END AS reason
        FROM tg)
 """
 
 
 @register("feedback_valid", with_views(
-    """SELECT conv_id, turn, CAST(least(greatest(rating, 1), 5) AS INTEGER) AS rating, m2 AS message, e2 AS email
+    """SELECT conv_id, turn, CASE WHEN rating IS NOT NULL THEN CAST(least(greatest(rating, 1), 5) AS INTEGER) END AS rating, m2 AS message, e2 AS email
        FROM tr WHERE reason IS NULL""", _FB))
 def feedback_valid(spark, sf):
     valid, _ = C.validate_feedback(feedback_rows(spark, sf))
