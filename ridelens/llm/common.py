@@ -15,9 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-# Non-ASCII characters that have no lower-case form of their own (fixed values):
-# Latin-1 small letters and general punctuation.
-CASELESS_OTHER = r"[^\x00-\x7Fß-öø-ÿ‐-›]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A–Z only. ``lower`` is used where no other character can change."""
-    return F.when(text.rlike(CASELESS_OTHER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """Lower-case A-Z only."""
+    return F.translate(text, UPPER, LOWER)
 
 
 def filesystem(uri: str):
