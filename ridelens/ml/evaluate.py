@@ -6,7 +6,7 @@ rows; per-class tables are bounded by the number of classes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions import pround
@@ -29,56 +29,83 @@ def regression_report(pred: DataFrame, label: str = "label", prediction: str = "
     return k.select(*[(pround(v, digits) if digits is not None else v).alias(n) for n, v in cols.items()], "n")
 
 
-def _labels(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    return pred.select(F.col(label).cast("string").alias("c")).union(
-        pred.select(F.col(prediction).cast("string").alias("c"))).where(F.col("c").isNotNull()).distinct()
+MAX_CLASSES = 10_000
+
+
+def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(actual, predicted, n): the one pass over the predictions that every class metric is read from."""
+    return pred.groupBy(F.col(label).cast("string").alias("actual"),
+                        F.col(prediction).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(pred: DataFrame, label: str, prediction: str) -> DataFrame:
+    """All counted pairs as one row's array: at most ``MAX_CLASSES``² small entries, which is what
+    a confusion matrix is. More distinct labels than ``MAX_CLASSES`` are no classes; the query then fails."""
+    row = pair_counts(pred, label, prediction).agg(
+        F.collect_list(F.struct("actual", "predicted", "n")).alias("p"), F.count_distinct("actual").alias("k"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} distinct labels: not a classification"))
+    none = F.array().cast("array<struct<actual:string,predicted:string,n:bigint>>")
+    return row.select(F.when(F.col("k") > MAX_CLASSES, too_many.cast(
+        "array<struct<actual:string,predicted:string,n:bigint>>")).otherwise(F.coalesce("p", none)).alias("p"))
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Long confusion matrix ``(actual, predicted, n)`` over every pair of labels seen,
-    zeros included (M23). The label set is bounded by the number of classes; the
-    grid is generated by exploding that sorted set, not by a join."""
-    lab = _labels(pred, label, prediction)
-    labels_arr = lab.agg(F.sort_array(F.collect_set("c"))).scalar()
-    grid = lab.select(F.col("c").alias("actual"), F.explode(labels_arr).alias("predicted"))
-    counts = pred.groupBy(F.col(label).cast("string").alias("actual"),
-                          F.col(prediction).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(F.broadcast(counts), ["actual", "predicted"], "left").fillna({"n": 0})
+    zeros included (M23). One aggregate over the predictions; the grid is generated from its pairs."""
+    row = _pairs(pred, label, prediction)
+    classes = F.array_sort(F.array_compact(F.array_distinct(F.concat("p.actual", "p.predicted"))))
+    counted = F.map_from_entries(F.transform(
+        F.filter("p", lambda x: x["actual"].isNotNull() & x["predicted"].isNotNull()),
+        lambda x: F.struct(F.struct(x["actual"], x["predicted"]), x["n"])))
+    grid = row.select(classes.alias("c"), counted.alias("m"))
+    grid = grid.select("c", "m", F.explode("c").alias("actual")).select(
+        "m", "actual", F.explode("c").alias("predicted"))
+    n = F.try_element_at("m", F.struct("actual", "predicted"))
+    return grid.select("actual", "predicted", F.coalesce(n, F.lit(0).cast("long")).alias("n"))
+
+
+def class_counts(pred: DataFrame, label: str, prediction: str, by: list[str] | None = None) -> DataFrame:
+    """(by, class, support, tp, npred) from one aggregate over the predictions: each counted pair is a support
+    of its label and a prediction of its class."""
+    by = by or []
+    pairs = pred.groupBy(*by, F.col(label).cast("string").alias("a"), F.col(prediction).cast("string").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("a").alias("class"), F.col("n").alias("support"), hit.alias("tp"), zero.alias("npred")),
+        F.struct(F.col("p").alias("class"), zero.alias("support"), zero.alias("tp"), F.col("n").alias("npred")))
+    return pairs.select(*by, F.inline(sides)).where(F.col("class").isNotNull()).groupBy(*by, "class").agg(
+        F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("npred").alias("npred"))
 
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                           digits: int = 6) -> DataFrame:
     """Per-class precision / recall / F1 / support, plus ``accuracy``, ``macro avg``
-    and ``weighted avg`` rows; zero division gives 0 (M24)."""
-    a = F.col(label).cast("string")
-    p = F.col(prediction).cast("string")
-    lab = _labels(pred, label, prediction).withColumnRenamed("c", "class")
-    tp = pred.where(a == p).groupBy(a.alias("class")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = pred.groupBy(a.alias("class")).agg(F.count(F.lit(1)).alias("support"))
-    npred = pred.groupBy(p.alias("class")).agg(F.count(F.lit(1)).alias("npred"))
-    per = (lab.join(F.broadcast(tp), "class", "left").join(F.broadcast(sup), "class", "left")
-           .join(F.broadcast(npred), "class", "left").fillna({"tp": 0, "support": 0, "npred": 0}))
+    and ``weighted avg`` rows; zero division gives 0 (M24). One aggregate over the
+    predictions; the summary rows come from grouping sets over its per-class table."""
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    per = per.select("class", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support", "tp")
-    total = per.agg(F.sum("support")).scalar()
-    acc = per.agg(F.sum("tp")).scalar().cast("double") / total.cast("double")
-    macro = per.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support"))
+    per = class_counts(pred, label, prediction).select(
+        "class", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "support", "tp")
     w = F.col("support").cast("double")
-    weighted = per.agg(
-        F.lit("weighted avg").alias("class"),
-        (F.sum(F.col("precision") * w) / F.sum(w)).alias("precision"),
-        (F.sum(F.col("recall") * w) / F.sum(w)).alias("recall"),
-        (F.sum(F.col("f1") * w) / F.sum(w)).alias("f1"),
-        F.sum("support").alias("support"),
-    )
-    accuracy = per.agg(F.lit("accuracy").alias("class"), acc.alias("precision"), acc.alias("recall"),
-                       acc.alias("f1"), F.sum("support").alias("support"))
-    out = per.drop("tp").unionByName(accuracy).unionByName(macro).unionByName(weighted)
-    return out.select("class", *[pround(c, digits).alias(c) for c in ("precision", "recall", "f1")],
-                      F.col("support").cast("long").alias("support"))
+    means = [F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [F.try_divide(F.sum(F.col(c) * w), F.sum(w)).alias(f"w_{c}") for c in ("precision", "recall", "f1")]
+    sums = per.rollup("class").agg(
+        F.grouping("class").alias("g"), F.sum("support").alias("s"),
+        F.try_divide(F.sum("tp").cast("double"), F.sum("support").cast("double")).alias("acc"), *means, *weighted)
+
+    def line(name: Column, p: str, r: str, f: str) -> Column:
+        return F.struct(name.alias("class"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                        F.col(f).alias("f1"), F.col("s").cast("long").alias("support"))
+
+    total = F.array(line(F.lit("accuracy"), "acc", "acc", "acc"),
+                    line(F.lit("macro avg"), "m_precision", "m_recall", "m_f1"),
+                    line(F.lit("weighted avg"), "w_precision", "w_recall", "w_f1"))
+    own = F.array(line(F.col("class"), "m_precision", "m_recall", "m_f1"))
+    out = sums.select(F.inline(F.when(F.col("g") == 1, total).otherwise(own)))
+    return out.select("class", *[pround(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def accuracy_macro_f1(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -96,13 +123,7 @@ def cv_classification_metrics(pred: DataFrame, fold: str = "fold", label: str =
     """Accuracy and macro F1 per fold, then mean ± population std over folds (M21),
     all in one lazy plan: per ``(fold, class)`` counts → per-fold metrics → one row.
     Classes are those seen as label or prediction within the fold (zero division → 0)."""
-    a = F.col(label).cast("string")
-    p = F.col(prediction).cast("string")
-    as_label = pred.select(fold, a.alias("c"), F.lit(1).alias("sup"), F.when(a == p, 1).otherwise(0).alias("tp"),
-                           F.lit(0).alias("np"))
-    as_pred = pred.select(fold, p.alias("c"), F.lit(0).alias("sup"), F.lit(0).alias("tp"), F.lit(1).alias("np"))
-    per = as_label.unionByName(as_pred).where(F.col("c").isNotNull()).groupBy(fold, "c").agg(
-        F.sum("sup").alias("support"), F.sum("tp").alias("tp"), F.sum("np").alias("npred"))
+    per = class_counts(pred, label, prediction, [fold])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("npred").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))

@@ -3,9 +3,8 @@
 Everything is a standard ``pyspark.ml`` stage except :class:`LevelGrouper`, a
 small Estimator/Model pair that groups infrequent categorical levels and fills
 missing ones with the most frequent level (Spark's ``Imputer`` only handles
-numbers). Its fitted state – the kept levels and the mode per column – is
-bounded by the columns' cardinality, like ``StringIndexer``'s label list, and is
-persisted as plain params so ``PipelineModel.save/load`` works.
+numbers). Its fitted state – the grouped levels and the mode per column – is
+bounded (``MAX_LEVELS``) and is persisted as plain params so ``PipelineModel.save/load`` works.
 """
 
 from __future__ import annotations
@@ -80,11 +79,20 @@ class _LevelParams(HasInputCols, HasOutputCols):
         self._setDefault(minFrequency=0.0, minCount=0, imputeMode=False)
 
 
+MAX_LEVELS = 100_000
+
+
 class LevelGrouper(Estimator, _LevelParams, DefaultParamsReadable, DefaultParamsWritable):
     """Group infrequent levels into ``__infrequent__`` (M5) and optionally impute the
-    mode for NULLs (M6 for strings); a NULL that is not imputed becomes the level
-    ``__missing__``. Levels are counted in one aggregate over all input columns
-    (stacked as ``(column, level)``)."""
+    mode for NULLs (M6 for strings); a NULL that is not imputed is the level
+    ``__missing__`` and counts like any other. A level that training never saw
+    stays itself, so the encoder gives it the zero vector.
+
+    Levels are counted in one aggregate over all input columns (stacked as
+    ``(column, level)``); only the grouped levels and one mode per column come to
+    the driver, and nothing is counted when neither is asked for. A column with
+    more than ``MAX_LEVELS`` levels to group is no categorical column: fitting
+    fails instead of collecting them."""
 
     @keyword_only
     def __init__(self, inputCols=None, outputCols=None, minFrequency=0.0, minCount=0, imputeMode=False):
@@ -92,58 +100,62 @@ class LevelGrouper(Estimator, _LevelParams, DefaultParamsReadable, DefaultParams
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> LevelGrouperModel:
-        cols = self.getInputCols()
+        cols, impute = self.getInputCols(), self.getOrDefault(self.imputeMode)
+        min_f, min_c = self.getOrDefault(self.minFrequency), self.getOrDefault(self.minCount)
+        grouped, mode = {c: [] for c in cols}, {}
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("level")) for c in cols
         ])))
         counts = long.groupBy("col", "level").agg(F.count(F.lit(1)).alias("n"))
-        rows = counts.collect()  # one row per (column, level): bounded by cardinality
-        total = df.count()
-        min_f = self.getOrDefault(self.minFrequency)
-        min_c = self.getOrDefault(self.minCount)
-        kept, mode = {c: [] for c in cols}, {}
-        # most frequent first, smallest level on ties
-        for r in sorted((r for r in rows if r["level"] is not None), key=lambda r: (-r["n"], r["level"])):
-            mode.setdefault(r["col"], r["level"])
-            small = (min_f > 0 and r["n"] < min_f * total) or (min_c > 0 and r["n"] < min_c)
-            if not small:
-                kept[r["col"]].append(r["level"])
+        if impute:
+            # most frequent first, smallest level on ties
+            best = F.min_by("level", F.struct((-F.col("n")).alias("n"), "level"))
+            for r in counts.where("level IS NOT NULL").groupBy("col").agg(best.alias("m")).collect():
+                mode[r["col"]] = r["m"]
+        if min_f > 0 or min_c > 0:
+            total = df.count()
+            filled = F.coalesce("level", *[F.when(F.col("col") == c, F.lit(m)) for c, m in mode.items()], F.lit(MISSING))
+            whole = counts.groupBy("col", filled.alias("level")).agg(F.sum("n").alias("n"))
+            small = whole.where((F.col("n") < F.lit(min_f * total)) | (F.col("n") < F.lit(min_c)))
+            crowded = small.groupBy("col").count().where(F.col("count") > MAX_LEVELS).first()
+            if crowded:
+                raise ValueError(f"{crowded['col']}: {crowded['count']} infrequent levels, not a categorical column")
+            for r in small.select("col", "level").collect():
+                grouped[r["col"]].append(r["level"])
         m = LevelGrouperModel(inputCols=cols, outputCols=self.getOutputCols(),
-                              kept=json.dumps({c: sorted(v) for c, v in kept.items()}),
-                              modes=json.dumps(mode), imputeMode=self.getOrDefault(self.imputeMode))
+                              grouped=json.dumps({c: sorted(v) for c, v in grouped.items()}),
+                              modes=json.dumps(mode), imputeMode=impute)
         return self._copyValues(m)
 
 
 class LevelGrouperModel(Model, _LevelParams, DefaultParamsReadable, DefaultParamsWritable):
-    kept = Param(Params._dummy(), "kept", "JSON: column → kept levels", typeConverter=TypeConverters.toString)
+    grouped = Param(Params._dummy(), "grouped", "JSON: column → infrequent levels",
+                    typeConverter=TypeConverters.toString)
     modes = Param(Params._dummy(), "modes", "JSON: column → most frequent level",
                   typeConverter=TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCols=None, kept="{}", modes="{}", minFrequency=0.0,
+    def __init__(self, inputCols=None, outputCols=None, grouped="{}", modes="{}", minFrequency=0.0,
                  minCount=0, imputeMode=False):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        kept = json.loads(self.getOrDefault(self.kept))
+        grouped = json.loads(self.getOrDefault(self.grouped))
         modes = json.loads(self.getOrDefault(self.modes))
-        impute = self.getOrDefault(self.imputeMode)
         out = {}
         for c, o in zip(self.getInputCols(), self.getOutputCols()):
-            x = F.col(c).cast("string")
-            if impute and c in modes:
-                x = F.coalesce(x, F.lit(modes[c]))
-            levels = kept.get(c, [])
             # a missing value is its own level (as in the reference's encoder)
-            known = x.isin(*levels) if levels else F.lit(False)
-            out[o] = F.when(x.isNull(), F.lit(MISSING)).when(known, x).otherwise(F.lit(INFREQUENT))
+            x = F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, MISSING)))
+            rare = grouped.get(c, [])
+            out[o] = F.when(x.isin(*rare), F.lit(INFREQUENT)).otherwise(x) if rare else x
         return df.withColumns(out)
 
 
-def scaled_block(cols: list[str], kind: str, prefix: str) -> tuple[list, str | None]:
+def scaled_block(cols: list[str], kind: str, prefix: str, relative_error: float = 0.0001) -> tuple[list, str | None]:
     """Assemble ``cols`` and scale them: ``standard`` (mean 0, std 1), ``robust``
-    (median / IQR, approximate quantiles) or ``minmax`` (M1–M3)."""
+    (median / IQR; quantiles within ``relative_error`` of the rank, 0 is exact and
+    keeps every distinct value of a column in one task) or ``minmax`` (M1–M3)."""
     if not cols:
         return [], None
     raw, out = f"{prefix}_raw", f"{prefix}_vec"
@@ -151,7 +163,8 @@ def scaled_block(cols: list[str], kind: str, prefix: str) -> tuple[list, str | N
     if kind == "standard":
         sc = StandardScaler(inputCol=raw, outputCol=out, withMean=True, withStd=True)
     elif kind == "robust":
-        sc = RobustScaler(inputCol=raw, outputCol=out, withCentering=True, withScaling=True)
+        sc = RobustScaler(inputCol=raw, outputCol=out, withCentering=True, withScaling=True,
+                          relativeError=relative_error)
     elif kind == "minmax":
         sc = MinMaxScaler(inputCol=raw, outputCol=out)
     elif kind == "none":
@@ -181,7 +194,8 @@ def onehot_block(cols: list[str], prefix: str, unseen: str = "keep") -> tuple[li
 
 def preprocessor(standard=(), robust=(), minmax=(), onehot=(), min_frequency: float = 0.0,
                  min_count: int = 0, impute_numeric=(), impute_categorical: bool = False,
-                 passthrough=(), output: str = "features") -> list:
+                 passthrough=(), output: str = "features", unseen: str = "keep",
+                 relative_error: float = 0.0001) -> list:
     """Stages equivalent to the reference's column transformer (M1–M8).
 
     Numeric columns listed in ``impute_numeric`` get a median ``Imputer`` first;
@@ -192,11 +206,12 @@ def preprocessor(standard=(), robust=(), minmax=(), onehot=(), min_frequency: fl
     stages, parts = [], []
     imp = list(impute_numeric)
     if imp:
-        stages.append(Imputer(inputCols=imp, outputCols=imp, strategy="median"))
+        stages.append(Imputer(inputCols=imp, outputCols=imp, strategy="median",
+                              relativeError=relative_error))
     blocks = ((standard, "standard", "std"), (robust, "robust", "rob"), (minmax, "minmax", "mm"),
               (passthrough, "none", "num"))
     for cols, kind, pfx in blocks:
-        st, out = scaled_block(list(cols), kind, pfx)
+        st, out = scaled_block(list(cols), kind, pfx, relative_error)
         stages += st
         if out:
             parts.append(out)
@@ -205,7 +220,7 @@ def preprocessor(standard=(), robust=(), minmax=(), onehot=(), min_frequency: fl
         grouped = [f"{c}__lvl" for c in cat]
         stages.append(LevelGrouper(inputCols=cat, outputCols=grouped, minFrequency=min_frequency,
                                    minCount=min_count, imputeMode=impute_categorical))
-        st, vecs = onehot_block(grouped, "cat")
+        st, vecs = onehot_block(grouped, "cat", unseen)
         stages += st
         parts += vecs
     stages.append(VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ridelens.functions import min_sec, month_to_num, parse_weekday, to_number
 from ridelens.ml.features import NUMERIC_TYPES
 from ridelens.operators.common import modes
-from ridelens.operators.geo import geocode, location_lookup
+from ridelens.operators.geo import file_order, geocode, location_lookup
 
 # Defaults when the history has no usable value (reference scorer).
 MODE_DEFAULTS = {"month": "January", "day": 1, "booking_status": "Completed", "payment_method": "UPI"}
@@ -31,7 +31,7 @@ def build_inputs(requests: DataFrame, history: DataFrame, locations: DataFrame)
     History modes come from one stacked aggregate read as one scalar subquery; the
     geocoding joins use the reduced location lookup with default 0.0 (D15).
     """
-    lk = location_lookup(locations)
+    lk = location_lookup(locations, order_col=file_order(locations))
     df = geocode(geocode(requests, lk, "pickup_location", "pickup", 0.0), lk, "drop_location", "drop", 0.0)
     present = {c: d for c, d in MODE_DEFAULTS.items() if c in history.columns}
     cols = {c: F.lit(str(d)) for c, d in MODE_DEFAULTS.items() if c not in present}

@@ -35,6 +35,8 @@ STATUS_ONEHOT = ["hour", "weekday", "day", "month", "vehicle_type", "payment_met
 WAIT_DROP = ["booking_status", "reason_for_cancelling_by_customer", "driver_cancellation_reason",
              "incomplete_rides_reason", "booking_value", "ride_distance", "booking_id", "customer_id",
              "driver_rating", "customer_rating"]
+STATUS_LEAKY = ["driver_cancellation_reason", "reason_for_cancelling_by_customer", "incomplete_rides_reason",
+                "ride_distance", "avg_vtat", "booking_value", "driver_rating", "customer_rating"]
 
 
 def _present(df: DataFrame, cols) -> list[str]:
@@ -42,13 +44,15 @@ def _present(df: DataFrame, cols) -> list[str]:
 
 
 def regressors(label: str = "label", n: int | None = None, label_std: float | None = None,
-               rf_depth: int = 16) -> dict:
+               rf_depth: int = 30) -> dict:
     """The five booking-value regressors.
 
     Ridge's ``alpha = 1`` becomes ``regParam = alpha * label_std / n`` so that
     Spark's objective (L2 penalty scaled by the label std, loss averaged over n)
-    matches the closed form; Lasso's ``alpha`` carries over unchanged. Spark caps
-    tree depth at 30, so "unlimited" depth is the ``rf_depth`` parameter.
+    matches the closed form; Lasso's ``alpha`` carries over unchanged. The
+    reference's forest grows without a depth limit: ``rf_depth`` is Spark's own
+    limit of 30. Its boosted trees are limited to 31 leaves, not in depth; Spark
+    has no leaf limit, so depth 5 (at most 32 leaves) stands in.
     """
     ridge_reg = 1.0 * (label_std or 1.0) / float(n or 1)
     return {
@@ -71,20 +75,25 @@ def value_frame(df: DataFrame, feature_set: str = "reference") -> DataFrame:
     return d.withColumn("label", F.col("booking_value").cast("double"))
 
 
-def value_stages(df: DataFrame, feature_set: str = "reference", min_frequency: float = 0.01) -> list:
+def value_stages(df: DataFrame, feature_set: str = "reference", min_frequency: float = 0.01,
+                 unseen: str = "keep") -> list:
+    """Preprocessing of the booking-value models; ``min_frequency=0, unseen="error"`` is the plain
+    OLS pipeline (one-hot without grouping, an unseen level is an error)."""
     onehot = VALUE_ONEHOT if feature_set == "reference" else VALUE_BOOKING_TIME_ONEHOT
     return preprocessor(standard=_present(df, VALUE_STANDARD), robust=_present(df, VALUE_ROBUST),
                         minmax=_present(df, VALUE_MINMAX), onehot=_present(df, onehot),
-                        min_frequency=min_frequency)
+                        min_frequency=min_frequency, unseen=unseen)
 
 
-def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int = 3,
+def cross_validate_regression(df: DataFrame, models, stages: list, k: int = 3,
                               id_col: str = "booking_id", seed: int = 42,
                               metrics=("rmse", "r2"), persist: bool = True,
                               parallelism: int = 4) -> DataFrame:
     """k-fold CV of several regressors sharing one preprocessing.
 
-    Returns a leaderboard ``(model, <metric>_mean, <metric>_std)`` sorted by the
+    ``models`` is a dictionary of estimators, or a function of (row count, label
+    std) giving one: penalties that depend on the sample size then follow each
+    fold's training rows. Returns a leaderboard ``(model, <metric>_mean, <metric>_std)`` sorted by the
     first metric (M18). Per fold, the preprocessing is fitted once on the
     training split only, the transformed training/test features are written to
     the shared checkpoint folder (``persist``: lineage cut, re-read by every
@@ -95,14 +104,14 @@ def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int
     import uuid
     from concurrent.futures import ThreadPoolExecutor
 
-    from ridelens.sources.files import persist_table
+    from ridelens.sources.files import drop_tables, persist_table
 
     spark = df.sparkSession
     folded = kfold(df, id_col, k, seed)
     tag = uuid.uuid4().hex[:12]
     if persist:
         folded = persist_table(folded, f"cv_input_{tag}")
-    vals = {name: {m: [] for m in metrics} for name in models}
+    vals: dict = {}
     for f in range(k):
         train, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
         prep = Pipeline(stages=list(stages)).fit(train)
@@ -112,17 +121,22 @@ def cross_validate_regression(df: DataFrame, models: dict, stages: list, k: int
             tr = persist_table(tr, f"cv_{tag}_train{f}")
             te = persist_table(te, f"cv_{tag}_test{f}")
 
+        fold_models = models(*_size_and_std(tr)) if callable(models) else models
+
         def fit_eval(item, tr=tr, te=te):
             name, est = item
             rep = regression_report(est.fit(tr).transform(te), "label", "prediction", digits=None).first()
             return name, rep
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            for name, rep in pool.map(fit_eval, models.items()):
+            for name, rep in pool.map(fit_eval, fold_models.items()):
                 for m in metrics:
-                    vals[name][m].append(float(rep[m]) if rep[m] is not None else float("nan"))
+                    vals.setdefault(name, {}).setdefault(m, []).append(
+                        float(rep[m]) if rep[m] is not None else float("nan"))
+    if persist:
+        drop_tables(spark, [f"cv_input_{tag}", *(f"cv_{tag}_{s}{f}" for f in range(k) for s in ("train", "test"))])
     rows = []
-    for name in models:
+    for name in vals:
         row = {"model": name}
         for m in metrics:
             v = vals[name][m]
@@ -145,6 +159,17 @@ def _save(model, train_df: DataFrame, features: list[str], save_path: str | None
         save_scoring_model(model, model_spec(train_df, features), save_path)
 
 
+def _size_and_std(df: DataFrame, label: str = "label") -> tuple[int, float]:
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
+    return r["n"], r["s"]
+
+
+def value_leaderboard(df: DataFrame, feature_set: str = "reference", k: int = 3) -> DataFrame:
+    """CV leaderboard of the five booking-value regressors (M17, M18), penalties per fold."""
+    d = value_frame(df, feature_set)
+    return cross_validate_regression(d, lambda n, s: regressors("label", n, s), value_stages(d, feature_set), k)
+
+
 def train_booking_value(df: DataFrame, feature_set: str = "reference", k: int = 3,
                         models: dict | None = None, save_path: str | None = None):
     """Booking-value job (M26): CV leaderboard, best model refitted on all rows,
@@ -153,17 +178,27 @@ def train_booking_value(df: DataFrame, feature_set: str = "reference", k: int =
     Returns ``(leaderboard, best_pipeline_model)``.
     """
     d = value_frame(df, feature_set)
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    ms = models or regressors("label", stats["n"], stats["s"])
     stages = value_stages(d, feature_set)
-    lb = cross_validate_regression(d, ms, stages, k)
-    best = lb.first()["model"]
-    model = Pipeline(stages=list(stages) + [ms[best]]).fit(d)
+    per_fold = models or (lambda n, s: regressors("label", n, s))
+    lb = cross_validate_regression(d, per_fold, stages, k)
+    best = (models or regressors("label", *_size_and_std(d)))[lb.first()["model"]]
+    model = Pipeline(stages=list(stages) + [best]).fit(d)
     onehot = VALUE_ONEHOT if feature_set == "reference" else VALUE_BOOKING_TIME_ONEHOT
     _save(model, d, VALUE_STANDARD + VALUE_ROBUST + VALUE_MINMAX + onehot, save_path)
     return lb, model
 
 
+def value_holdout_ols(df: DataFrame, id_col: str = "booking_id", test_fraction: float = 0.2,
+                      seed: int = 42) -> DataFrame:
+    """Plain OLS pipeline on a hold-out split (M9, M10, M25): test-side MSE, RMSE, R², MAE."""
+    from ridelens.ml.folds import train_test_split
+
+    train, test = train_test_split(value_frame(df), id_col, test_fraction, seed)
+    stages = value_stages(train, min_frequency=0.0, unseen="error")
+    m = Pipeline(stages=[*stages, LinearRegression(labelCol="label", regParam=0.0)]).fit(train)
+    return regression_report(m.transform(test), "label", "prediction", digits=6)
+
+
 def status_stages(df: DataFrame) -> list:
     return preprocessor(standard=_present(df, STATUS_NUMERIC), onehot=_present(df, STATUS_ONEHOT))
 
@@ -175,9 +210,7 @@ def status_estimator(label: str = "label_idx", weight: str = "weight", n_weight:
 
 
 def status_frame(df: DataFrame) -> DataFrame:
-    leaky = ["driver_cancellation_reason", "reason_for_cancelling_by_customer", "incomplete_rides_reason",
-             "ride_distance", "avg_vtat", "booking_value", "driver_rating", "customer_rating"]
-    return df.drop(*[c for c in leaky if c in df.columns])
+    return df.drop(*[c for c in STATUS_LEAKY if c in df.columns])
 
 
 def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "booking_id",
@@ -194,16 +227,16 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
 
     d = status_frame(df)
     d = stratified_folds(d, label, id_col, k)
-    d = with_class_weights(d, label)
-    # folds and weights computed once, written to the shared folder, read by every fit
+    # folds computed once, written to the shared folder, read by every fit
     d = persist_table(d, f"oof_input_{uuid.uuid4().hex[:12]}")
-    n_weight = d.agg(F.sum("weight")).first()[0]
     k_used = d.agg(F.max("fold")).first()[0] + 1
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
     to_text = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     parts = []
     for f in range(k_used):
-        train, test = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+        # weights and penalty from the fold's training rows only
+        train, test = with_class_weights(d.where(F.col("fold") != f), label), d.where(F.col("fold") == f)
+        n_weight = train.agg(F.sum("weight")).first()[0]
         pipe = Pipeline(stages=[indexer] + status_stages(train) + [status_estimator(n_weight=n_weight)])
         m = pipe.fit(train)
         parts.append(to_text.transform(m.transform(test)).select(
@@ -211,7 +244,8 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # every row is scored once, whatever reads the predictions
+    return persist_table(out, f"oof_scored_{uuid.uuid4().hex[:12]}")
 
 
 def status_cv_metrics(oof: DataFrame) -> DataFrame:
@@ -254,13 +288,32 @@ def wait_estimator(label: str = "label"):
                                  cacheNodeIds=True, checkpointInterval=10)
 
 
+def _wait_rows(df: DataFrame, id_col: str) -> tuple[DataFrame, list]:
+    d = wait_frame(df.withColumn("_rid", F.col(id_col))).withColumnRenamed("_rid", id_col)
+    return d, wait_stages(d.drop(id_col))
+
+
+def wait_cv(df: DataFrame, k: int = 3, id_col: str = "booking_id") -> DataFrame:
+    """3-fold MAE / RMSE / R² mean ± std of the wait model."""
+    d, stages = _wait_rows(df, id_col)
+    return cross_validate_regression(d, {"RF": wait_estimator()}, stages, k, id_col, metrics=("mae", "rmse", "r2"))
+
+
+def wait_holdout(df: DataFrame, id_col: str = "booking_id", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """MAE, RMSE, R² of the wait model on a hold-out split."""
+    from ridelens.ml.folds import train_test_split
+
+    d, stages = _wait_rows(df, id_col)
+    train, test = train_test_split(d, id_col, test_fraction, seed)
+    m = Pipeline(stages=[*stages, wait_estimator()]).fit(train.drop(id_col))
+    return regression_report(m.transform(test), "label", "prediction", digits=6)
+
+
 def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id", save_path: str | None = None):
     """Wait-time job (M28): 3-fold MAE mean ± std, then refit on all rows,
     optionally saved with its feature spec (S7)."""
-    keep_id = df.withColumn("_rid", F.col(id_col))
-    d = wait_frame(keep_id).withColumnRenamed("_rid", id_col)
-    stages = wait_stages(d.drop(id_col))
-    cv = cross_validate_regression(d, {"RF": wait_estimator()}, stages, k, id_col, metrics=("mae", "rmse", "r2"))
+    d, stages = _wait_rows(df, id_col)
+    cv = wait_cv(df, k, id_col)
     model = Pipeline(stages=stages + [wait_estimator()]).fit(d)
     _save(model, d, [c for c in d.columns if c not in ("label", id_col)], save_path)
     return cv, model

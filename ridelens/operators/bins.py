@@ -143,7 +143,7 @@ def equi_width_histogram(df: DataFrame, col: str, bins: int, n: str = "n") -> Da
     projection, the counts a partial aggregate keyed by the bin (≤ ``bins`` rows).
     """
     spark = df.sparkSession
-    v = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    v = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     st = scalars(v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")), "lo", "hi")
     lo, hi = st["lo"], st["hi"]
     width = hi - lo
@@ -172,7 +172,7 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     iqr = q3 - q1
     lo_f = q1 - F.lit(whisker) * iqr
     hi_f = q3 + F.lit(whisker) * iqr
-    x = F.col(col)
+    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
     inside = (x >= lo_f) & (x <= hi_f)
     agg = df.where(x.isNotNull()).agg(
         F.min(F.when(inside, x)).alias("whisker_low"),

@@ -418,17 +418,24 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 def modes(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Most frequent non-null value (as text) of several columns in one pass,
-    smallest on ties, ``defaults[col]`` when a column has none (A34).
+    smallest value on ties, ``defaults[col]`` when a column has none (A34).
 
     The columns are stacked into ``(column, value)`` so one partial aggregate
     counts all of them; the per-column pick is a ``min_by`` (partial, bounded).
+    Ties go to the smallest value of the column's own type: a numeric column
+    carries its number as the sort key (2 before 10), text sorts as text.
     """
     cols = list(defaults)
+
+    def key(c: str) -> Column:
+        numeric_type = isinstance(df.schema[c].dataType, T.NumericType)
+        return F.col(c).cast("double") if numeric_type else F.lit(None).cast("double")
+
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols
+        F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"), key(c).alias("_k")) for c in cols
     ]))).where(F.col("_v").isNotNull())
-    freq = long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_f"))
-    best = F.min_by(F.col("_v"), F.struct((-F.col("_f")).alias("nf"), F.col("_v").alias("v")))
+    freq = long.groupBy("_c", "_v", "_k").agg(F.count(F.lit(1)).alias("_f"))
+    best = F.min_by(F.col("_v"), F.struct((-F.col("_f")).alias("nf"), F.col("_k").alias("k"), F.col("_v").alias("v")))
     per = freq.groupBy("_c").agg(best.alias("_m"))
     row = per.agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(c) for c in cols])
     return row.select(*[F.coalesce(F.col(c), F.lit(str(d))).alias(c) for c, d in defaults.items()])

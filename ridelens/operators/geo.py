@@ -37,6 +37,11 @@ def location_lookup(locations: DataFrame, name: str = "location", lat: str = "la
     )
 
 
+def file_order(locations: DataFrame) -> str | None:
+    """The file-order column that :func:`ridelens.sources.files.read_locations` adds, if it is there."""
+    return "_line" if "_line" in locations.columns else None
+
+
 def geocode(df: DataFrame, lookup: DataFrame, name_col: str, prefix: str,
             default: float | None = None) -> DataFrame:
     """Attach ``{prefix}_latitude`` / ``{prefix}_longitude`` by case-insensitive name.
@@ -58,7 +63,7 @@ def geocode(df: DataFrame, lookup: DataFrame, name_col: str, prefix: str,
 def enrich_pickup_drop(df: DataFrame, locations: DataFrame, default: float | None = None,
                        pickup: str = "pickup_location", drop: str = "drop_location") -> DataFrame:
     """Pickup and drop coordinates (J2) from one reduced lookup."""
-    lk = location_lookup(locations)
+    lk = location_lookup(locations, order_col=file_order(locations))
     return geocode(geocode(df, lk, pickup, "pickup", default), lk, drop, "drop", default)
 
 

@@ -54,9 +54,9 @@ B_ts AS (
          END AS payment_method,
          ev.ts AS ts
   FROM ev
-  JOIN customer c ON ev.user_id = c.c_custkey
-  JOIN nation p ON c.c_nationkey = p.n_nationkey
-  JOIN nation d ON ev.k % 25 = d.n_nationkey
+  LEFT JOIN customer c ON ev.user_id = c.c_custkey
+  LEFT JOIN nation p ON c.c_nationkey = p.n_nationkey
+  LEFT JOIN nation d ON ev.k % 25 = d.n_nationkey
 ),
 B AS (SELECT * EXCLUDE (ts) FROM B_ts),
 B_clean AS (

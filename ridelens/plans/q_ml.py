@@ -26,10 +26,14 @@ from ridelens.sources.driver_views import bookings_clean, locations
 # ---------------------------------------------------------------------------
 # folds and weights
 # ---------------------------------------------------------------------------
+# the seeded id hash of the folds, written out for DuckDB
+_HASH = "CAST('0x' || substr(md5('42:' || CAST(booking_id AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
 @register("stratified_folds", with_views(
     """SELECT booking_id, booking_status, CAST(rk % (SELECT k FROM kk) AS INTEGER) AS fold FROM r""",
-    """r AS (SELECT booking_id, booking_status,
-                    row_number() OVER (PARTITION BY booking_status ORDER BY booking_id % 512, booking_id) - 1 AS rk
+    f"""r AS (SELECT booking_id, booking_status,
+                    row_number() OVER (PARTITION BY booking_status ORDER BY {_HASH}, CAST(booking_id AS VARCHAR)) - 1 AS rk
              FROM B_clean),
     kk AS (SELECT greatest(2, least(5, min(c))) AS k FROM (SELECT count(*) AS c FROM B_clean GROUP BY booking_status))"""))
 def stratified_folds(spark, sf):
@@ -37,6 +41,26 @@ def stratified_folds(spark, sf):
     return FD.stratified_folds(b, "booking_status", "booking_id")
 
 
+@register("stratified_folds_text_id", with_views(
+    """SELECT booking_id, booking_status, CAST(rk % 4 AS INTEGER) AS fold FROM r""",
+    """t AS (SELECT 'CNR' || lpad(CAST(booking_id AS VARCHAR), 7, '0') AS booking_id, booking_status FROM B_clean),
+    r AS (SELECT booking_id, booking_status, row_number() OVER (PARTITION BY booking_status
+            ORDER BY CAST('0x' || substr(md5('7:' || booking_id), 1, 8) AS BIGINT), booking_id) - 1 AS rk FROM t)"""))
+def stratified_folds_text_id(spark, sf):
+    """Folds on text ids, with a seed and many hash ranges per class."""
+    b = bookings_clean(spark, sf).select(
+        F.concat(F.lit("CNR"), F.lpad(F.col("booking_id").cast("string"), 7, "0")).alias("booking_id"), "booking_status")
+    return FD.stratified_folds(b, "booking_status", "booking_id", k=4, seed=7, rows_per_range=500)
+
+
+@register("kfold_sizes", with_views(
+    f"SELECT CAST({_HASH} % 3 AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS n FROM B_clean GROUP BY 1"))
+def kfold_sizes(spark, sf):
+    """Shuffled 3-fold assignment by id hash: rows per fold."""
+    b = FD.kfold(bookings_clean(spark, sf).select("booking_id"), "booking_id", 3)
+    return b.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("class_weights", with_views(
     f"""SELECT booking_status, CAST(n AS BIGINT) AS n,
                {pr("CAST((SELECT sum(n) FROM c) AS DOUBLE) / (CAST((SELECT count(*) FROM c) AS DOUBLE) * CAST(n AS DOUBLE))", 6)} AS weight
@@ -138,8 +162,7 @@ def regression_report(spark, sf):
 @register("cv_leaderboard")
 def cv_leaderboard(spark, sf):
     """Booking-value leaderboard: 5 regressors, 3-fold CV on the region table."""
-    lb, _ = TR.train_booking_value(region(spark, sf))
-    return lb
+    return TR.value_leaderboard(region(spark, sf))
 
 
 @register("oof_status_matrix")
@@ -152,8 +175,13 @@ def oof_status_matrix(spark, sf):
 @register("wait_time_cv")
 def wait_time_cv(spark, sf):
     """Wait-time RF: 3-fold MAE / RMSE / R²."""
-    cv, _ = TR.train_wait_time(bookings_clean(spark, sf))
-    return cv
+    return TR.wait_cv(bookings_clean(spark, sf))
+
+
+@register("wait_holdout")
+def wait_holdout(spark, sf):
+    """Wait-time RF on an 80/20 hash split: MAE, RMSE, R² of the test side."""
+    return TR.wait_holdout(bookings_clean(spark, sf))
 
 
 @register("score_requests")
@@ -182,18 +210,16 @@ def status_cv_metrics(spark, sf):
     return TR.status_cv_metrics(TR.oof_status(region(spark, sf)))
 
 
-@register("train_test_split_sizes")
+@register("train_test_split_sizes", with_views(
+    f"""SELECT CASE WHEN {_HASH} % 10000 < 2000 THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n
+        FROM B_region GROUP BY 1"""))
 def train_test_split_sizes(spark, sf):
-    """80/20 hash split of the region table on the booking id: rows per side (M9)."""
-    train, test = FD.train_test_split(region(spark, sf), "booking_id", 0.2, seed=42)
-    return train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split"))) \
-        .groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    """80/20 hash split of the region table on the booking id: rows per side (M9), one pass."""
+    side = F.when(FD.in_test("booking_id", 0.2, seed=42), "test").otherwise("train")
+    return region(spark, sf).groupBy(side.alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("value_holdout_ols")
 def value_holdout_ols(spark, sf):
     """Booking-value OLS on an 80/20 hash split: MSE, RMSE, R², MAE on the test side."""
-    d = TR.value_frame(region(spark, sf))
-    train, test = FD.train_test_split(d, "booking_id", 0.2, seed=42)
-    m = Pipeline(stages=TR.value_stages(train) + [LinearRegression(labelCol="label", regParam=0.0)]).fit(train)
-    return EV.regression_report(m.transform(test), "label", "prediction", digits=6)
+    return TR.value_holdout_ols(region(spark, sf))

@@ -3,7 +3,10 @@ entry (R1, R15, X1–X11, P17, F9, S3)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelens.functions import (
     MONTH_NAMES,
@@ -21,8 +24,10 @@ from ridelens.operators import time as TM
 from ridelens.plans.oracle_views import with_views
 from ridelens.plans.registry import register
 from ridelens.plans.sqltext import pr, share, values_table
+from ridelens.schemas import CLEAN_SCHEMA
+from ridelens.session import scratch_path
 from ridelens.sources.driver_views import bookings, bookings_raw, table
-from ridelens.sources.files import sql_report
+from ridelens.sources.files import csv_rejects, export_csv, read_bookings, sql_report, write_clean
 
 # Spark types of view B, in column order (what the profile reports).
 B_TYPES = [
@@ -334,6 +339,54 @@ def feedback_rejected(spark, sf):
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------------------
+# S1, S4, S5 files: CSV by header names, rejects, the cleaned table
+# ---------------------------------------------------------------------------
+_CLEAN_TEXT_IDS = "SELECT * REPLACE (CAST(booking_id AS VARCHAR) AS booking_id, CAST(customer_id AS VARCHAR) AS customer_id) FROM B_clean"
+
+
+def _shared(spark, name):
+    """A fresh folder for an exported file in the shared checkpoint folder."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("csv_round_trip", with_views(_CLEAN_TEXT_IDS))
+def csv_round_trip(spark, sf):
+    """The cleaned table exported as CSV (S5) with a leaked index column in front and its columns in another
+    order, read back by header names (S1)."""
+    path, clean = _shared(spark, "clean-csv"), C.clean_bookings(bookings_raw(spark, sf))
+    export_csv(clean.select(F.col("booking_id").alias("Unnamed: 0"), *reversed(clean.columns)), path)
+    return read_bookings(spark, path, CLEAN_SCHEMA)
+
+
+@register("csv_rejects", with_views(
+    """SELECT 'month' AS column_name, CAST(0 AS BIGINT) AS n_rejected
+       UNION ALL SELECT 'booking_value', CAST(count(*) FILTER (booking_id % 10 = 3) AS BIGINT) FROM B
+       UNION ALL SELECT 'avg_vtat', CAST(count(*) FILTER (booking_id % 7 = 2) AS BIGINT) FROM B"""))
+def csv_reject_counts(spark, sf):
+    """Values of a CSV file that do not convert to the schema's type; missing values are no rejects."""
+    b, path = bookings(spark, sf), _shared(spark, "dirty-csv")
+    k = F.col("booking_id")
+    text = {c: F.col(c).cast("string") for c in ("month", "booking_value", "avg_vtat")}
+    value = F.when(k % 10 == 3, "12,5").when(k % 10 == 4, "NaN").otherwise(text["booking_value"])
+    wait = F.when(k % 7 == 2, "soon").when(k % 7 == 3, "").otherwise(text["avg_vtat"])
+    export_csv(b.select(F.concat(text["month"], F.lit(".0")).alias("month"), value.alias("booking_value"),
+                        wait.alias("avg_vtat")), path)
+    fields = [f for f in CLEAN_SCHEMA.fields if f.name in text]
+    return csv_rejects(spark, path, StructType(fields))
+
+
+@register("clean_table_by_month", with_views(
+    "SELECT month, CAST(count(*) AS BIGINT) AS n, round(sum(booking_value), 4) AS total FROM B_clean GROUP BY month"))
+def clean_table_by_month(spark, sf):
+    """The cleaned table persisted by month (S4) and read back."""
+    path = _shared(spark, "clean-table")
+    write_clean(C.clean_bookings(bookings_raw(spark, sf)), path)
+    t = read_bookings(spark, path, fmt="parquet")
+    return t.groupBy(F.col("month").cast("int").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("booking_value"), 4).alias("total"))
+
+
 # ---------------------------------------------------------------------------
 # S3 SQL entry with a bound table parameter
 # ---------------------------------------------------------------------------

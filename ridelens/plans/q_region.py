@@ -283,7 +283,7 @@ def route_points(spark, sf):
 
 def _mode_sql(col: str, default: str) -> str:
     return (f"COALESCE((SELECT CAST({col} AS VARCHAR) FROM B_region WHERE {col} IS NOT NULL GROUP BY {col} "
-            f"ORDER BY count(*) DESC, CAST({col} AS VARCHAR) ASC LIMIT 1), '{default}')")
+            f"ORDER BY count(*) DESC, {col} ASC LIMIT 1), '{default}')")
 
 
 @register("history_modes", with_views(

@@ -70,6 +70,7 @@ CLEAN_NAMES = {
     "Payment Method": "payment_method",
 }
 
+# Columns of the cleaned table, in order, and their types.
 CLEAN_COLUMNS = [
     "month", "day", "weekday", "hour",
     "booking_id", "booking_status", "customer_id", "vehicle_type",

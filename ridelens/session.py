@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,8 +46,9 @@ def get_session(master: str | None = None, app: str = "ridelens", conf: dict | N
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` from the session.
 
-    Only when the session names none (local tests) is a fresh scratch folder
-    created and set – never on a cluster that configures its own. Works without
+    Only when the session names none and runs in one local process (tests) is a
+    fresh scratch folder created and set; on a cluster that is an error, as
+    executors cannot see each other's temporary folders. Works without
     a ``SparkContext`` handle (e.g. a remote session) as long as the folder is
     configured.
     """
@@ -59,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not fallback and not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = fallback or tempfile.mkdtemp(prefix="ridelens-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(path)

@@ -73,12 +73,12 @@ def bookings(spark: SparkSession, sf_dir: str, keep_ts: bool = False) -> DataFra
         k.alias("k"),
     ).withColumn("booking_status", _status(eid * F.lit(7919) % F.lit(100)))
 
-    with_cust = base.join(cust, base.user_id == cust.c_custkey, "inner")
+    with_cust = base.join(cust, base.user_id == cust.c_custkey, "left")
     p = nation.alias("p")
     d = nation.alias("d")
     joined = (
-        with_cust.join(p, F.col("c_nationkey") == F.col("p.n_nationkey"), "inner")
-        .join(d, F.col("k") % F.lit(25) == F.col("d.n_nationkey"), "inner")
+        with_cust.join(p, F.col("c_nationkey") == F.col("p.n_nationkey"), "left")
+        .join(d, F.col("k") % F.lit(25) == F.col("d.n_nationkey"), "left")
         .select(*with_cust.columns, F.col("p.n_name").alias("pickup_location"),
                 F.col("d.n_name").alias("drop_location"))
     )

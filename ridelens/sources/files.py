@@ -10,22 +10,57 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ridelens.operators.clean import drop_index_columns, validate_feedback, with_ingest_time
+from ridelens.schemas import LOCATION_SCHEMA, RAW_SCHEMA
+
+
+NULL_TEXT = ("", "nan", "null", "none")  # how a table writer spells a missing value
 
 
 def read_bookings(spark: SparkSession, path: str, schema: T.StructType | None = None,
                   fmt: str = "csv") -> DataFrame:
     """Read a bookings table.
 
-    CSV is read with a header, an explicit schema when given (no inference pass
-    over the data), ``NaN``/empty as NULL, and any leaked row-index column
-    dropped. Parquet keeps its own schema and gets predicate/column pushdown.
+    CSV columns are taken by their header names: the file is read as text, the
+    ``schema``'s columns (default: the raw bookings layout) are selected by name
+    and converted leniently, so a leaked row-index column, another column order
+    or extra columns do no harm. A column the file lacks is NULL; a value that
+    does not convert is NULL and counted by :func:`csv_rejects`. No inference
+    pass over the data. Parquet keeps its own schema and gets predicate/column
+    pushdown; its leaked index columns are dropped.
     """
     if fmt == "parquet":
         return nan_to_null(drop_index_columns(spark.read.parquet(path)))
-    r = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", "")
-    r = r.option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return nan_to_null(drop_index_columns(r.csv(path)))
+    text, schema = _csv_text(spark, path), schema or RAW_SCHEMA
+    return nan_to_null(text.select(*[_converted(text, f).alias(f.name) for f in schema.fields]))
+
+
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def _present(text: DataFrame, f: T.StructField):
+    """The field's text, with the spellings of a missing value as NULL."""
+    if f.name not in text.columns:
+        return F.lit(None).cast("string")
+    c = F.col(f"`{f.name}`")
+    return F.when(~F.lower(F.trim(c)).isin(*NULL_TEXT), c)
+
+
+def _converted(text: DataFrame, f: T.StructField):
+    c = _present(text, f)
+    if isinstance(f.dataType, T.IntegralType):  # "3.0" is a whole number, too
+        return F.coalesce(F.trim(c).try_cast(f.dataType), F.trim(c).try_cast("double").try_cast(f.dataType))
+    return c if isinstance(f.dataType, T.StringType) else F.trim(c).try_cast(f.dataType)
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """(column_name, n_rejected): values of a CSV file that are there but do not convert to the schema's type."""
+    text, schema = _csv_text(spark, path), schema or RAW_SCHEMA
+    bad = [F.count_if(_present(text, f).isNotNull() & _converted(text, f).isNull()) for f in schema.fields]
+    row = text.agg(F.array(*bad).alias("n"))
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    return row.select(F.posexplode("n").alias("i", "n_rejected")).select(
+        F.get(names, F.col("i")).alias("column_name"), "n_rejected")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -44,8 +79,6 @@ def read_locations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     ``monotonically_increasing_id`` grows with the split order and, inside a
     split, with the row order – file order for a file read split by split.
     """
-    from ridelens.schemas import LOCATION_SCHEMA
-
     df = read_bookings(spark, path, LOCATION_SCHEMA if fmt == "csv" else None, fmt)
     return df.withColumn("_line", F.monotonically_increasing_id())
 
@@ -101,6 +134,15 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.parquet(path)
 
 
+def drop_tables(spark: SparkSession, names: list[str]) -> None:
+    """Remove intermediate tables written by :func:`persist_table` in the shared folder."""
+    from ridelens.session import scratch_path
+
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str | list[str], buckets: int,
                    path: str | None = None, sort: bool = True) -> DataFrame:
     """Save ``df`` as a catalog table bucketed (and sorted) by ``key`` and return it.

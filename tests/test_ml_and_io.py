@@ -14,7 +14,7 @@ from ridelens.ml.features import INFREQUENT, LevelGrouper, level_counts, onehot_
 def test_stratified_folds_balanced_and_complete(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(1, 301)]
     df = spark.createDataFrame(rows, "id long, y string")
-    f = FD.stratified_folds(df, "y", "id", k=4, buckets=7)
+    f = FD.stratified_folds(df, "y", "id", k=4, rows_per_range=30)
     assert f.count() == 300 and f.select("id").distinct().count() == 300
     per = {(r.y, r.fold): r.n for r in f.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
     for y in ("a", "b"):
@@ -70,9 +70,13 @@ def test_level_grouper_infrequent_unseen_and_nulls(spark, tmp_dir):
     loaded = PipelineModel.load(path)
     test = spark.createDataFrame([("a",), ("rare",), ("unseen",), (None,)], "c string")
     out = loaded.transform(test).collect()
-    assert out[0].c_g == "a" and out[1].c_g == INFREQUENT and out[2].c_g == INFREQUENT
+    assert out[0].c_g == "a" and out[1].c_g == INFREQUENT
     assert out[3].c_g == "a"  # mode imputation
-    assert out[0][vecs[0]].numNonzeros() == 1
+    assert out[0][vecs[0]].numNonzeros() == 1 and out[1][vecs[0]].numNonzeros() == 1
+    assert out[2][vecs[0]].numNonzeros() == 0  # a level training never saw is no rare level
+    # a missing value that is not imputed counts as a level, here a rare one
+    alone = LevelGrouper(inputCols=["c"], outputCols=["c_g"], minCount=3).fit(train)
+    assert [r.c_g for r in alone.transform(test).collect()] == ["a", INFREQUENT, "unseen", INFREQUENT]
 
 
 def test_onehot_unseen_is_zero_vector(spark):
@@ -179,7 +183,7 @@ def test_level_grouper_all_null_column(spark):
     st, vecs = onehot_block(["c_g"], "cat")
     m = Pipeline(stages=[LevelGrouper(inputCols=["c"], outputCols=["c_g"], imputeMode=True)] + st).fit(train)
     out = m.transform(spark.createDataFrame([(None, "x"), ("new", "y")], "c string, d string")).collect()
-    assert out[0].c_g == "__missing__" and out[1].c_g == INFREQUENT
+    assert out[0].c_g == "__missing__"
     assert out[0][vecs[0]].numNonzeros() == 1 and out[1][vecs[0]].numNonzeros() == 0
 
 
