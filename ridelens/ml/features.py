@@ -50,19 +50,22 @@ def level_counts(df: DataFrame, cols: list[str], min_frequency: float = 0.0, min
     infrequent (share < ``min_frequency`` or count < ``min_count``) (M5).
 
     The columns are stacked into ``(column_name, level)`` so one partial
-    aggregate covers all of them; the total is a scalar subquery.
+    aggregate covers all of them. Each column's counts add up to the row count,
+    so the total comes from that same table, not from a second pass.
     """
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in cols
-    ]))).where(F.col("level").isNotNull())
+    ])))
     g = long.groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = g.groupBy("column_name").agg(F.sum("n").alias("t")).agg(F.max("t")).scalar()
     small = F.lit(False)
     if min_frequency > 0:
         small = small | (F.col("n") < F.lit(min_frequency) * total)
     if min_count > 0:
         small = small | (F.col("n") < F.lit(min_count))
-    return g.withColumn("is_infrequent", small)
+    # tied to the count, so that the filter stays above the aggregate both readers share
+    there = F.when(F.col("level").isNotNull(), F.col("n")).otherwise(F.lit(0)) > 0
+    return g.where(there).withColumn("is_infrequent", small)
 
 
 class _LevelParams(HasInputCols, HasOutputCols):

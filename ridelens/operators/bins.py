@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.functions import bin_index, pround
+from ridelens.functions import bin_label, bin_index, pround
 from ridelens.operators.common import axis_counts, axis_frame, densify, exact_percentiles, scalars, with_share
 
 INF = float("inf")
@@ -91,25 +91,22 @@ def joint_histogram(df: DataFrame, x: str, x_edges, x_labels, y: str, y_edges, y
                     n: str = "n") -> DataFrame:
     """Counts over all pairs of *used* x-bins × used y-bins, zero cells kept.
 
-    One aggregate keyed by ``(x_idx, y_idx)`` (bounded by the bin grid) feeds
-    everything; the grid of used pairs is generated by exploding the fixed y-axis
-    for each used x-bin and a semi-join on the used y-bins – no cross join.
+    One pass: an aggregate keyed by ``(x_idx, y_idx)``, gathered into one row (at
+    most one entry per cell of the fixed bin grid). The used bins, the grid and
+    the labels are made from that row – no join.
     """
-    spark = df.sparkSession
-    b = df.select(bin_index(x, x_edges).alias("x_idx"), bin_index(y, y_edges).alias("y_idx"))
-    cells_all = b.groupBy("x_idx", "y_idx").agg(F.count(F.lit(1)).alias(n))
-    used_x = cells_all.where(F.col("x_idx").isNotNull()).select("x_idx").distinct()
-    used_y = cells_all.where(F.col("y_idx").isNotNull()).select("y_idx").distinct()
-    grid = used_x.select(
-        "x_idx", F.explode(F.array(*[F.lit(i) for i in range(len(y_labels))])).alias("y_idx")
-    ).join(F.broadcast(used_y), "y_idx", "left_semi")
-    cells = cells_all.where(F.col("x_idx").isNotNull() & F.col("y_idx").isNotNull())
-    out = grid.join(F.broadcast(cells), ["x_idx", "y_idx"], "left").fillna({n: 0})
-    xl = bin_spine(spark, x_labels, "x_idx", "x_label")
-    yl = bin_spine(spark, y_labels, "y_idx", "y_label")
-    return out.join(F.broadcast(xl), "x_idx").join(F.broadcast(yl), "y_idx").select(
-        "x_idx", "x_label", "y_idx", "y_label", n
-    )
+    b = df.select(bin_index(x, x_edges).alias("x"), bin_index(y, y_edges).alias("y"))
+    cells = b.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    row = cells.agg(F.collect_list(F.struct("x", "y", "c")).alias("cells"))
+    whole = F.filter("cells", lambda e: e["x"].isNotNull() & e["y"].isNotNull())
+    counted = F.map_from_entries(F.transform(whole, lambda e: F.struct(F.struct(e["x"], e["y"]), e["c"])))
+    row = row.select(F.array_distinct(F.array_compact("cells.x")).alias("xs"),
+                     F.array_distinct(F.array_compact("cells.y")).alias("ys"), counted.alias("m"))
+    grid = row.select("ys", "m", F.explode("xs").alias("x_idx")).select(
+        "m", "x_idx", F.explode("ys").alias("y_idx"))
+    return grid.select(
+        "x_idx", bin_label("x_idx", x_labels).alias("x_label"), "y_idx", bin_label("y_idx", y_labels).alias("y_label"),
+        F.coalesce(F.try_element_at("m", F.struct(F.col("x_idx").alias("x"), F.col("y_idx").alias("y"))), F.lit(0).cast("long")).alias(n))
 
 
 def binned_median(df: DataFrame, col: str, edges, labels, value: str, out: str = "median",

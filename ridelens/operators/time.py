@@ -138,18 +138,22 @@ def heatmap_time_frame(df: DataFrame, weekday: str = "weekday", hour: str = "hou
     (``no_valid`` rules), keep 0..6 × 0..23. Returns rides per (weekday, hour).
 
     One pass over the rows: they are counted per parsed (weekday, hour) first;
-    both global rules are read from that small table (one aggregate, one
-    subquery that reuses its shuffle) and applied to it.
+    both global rules are read from that small table (a window over its rows)
+    and applied to it.
     """
+    from pyspark.sql import Window
+
     t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"))
     g = t.groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("_n"))
     w, h = F.col("weekday"), F.col("hour")
-    fl = scalars(g.agg(
-        F.max(F.when(w.between(1, 7), 1).otherwise(0)).alias("w17"),
-        F.max(F.when(w.between(0, 6), 1).otherwise(0)).alias("w06"),
-        F.max(F.when(h.between(1, 24), 1).otherwise(0)).alias("h124"),
-        F.max(F.when(h.between(0, 23), 1).otherwise(0)).alias("h023"),
-    ), "w17", "w06", "h124", "h023")
+    whole = Window.partitionBy()  # one row per (weekday, hour) value
+
+    def any_in(c, lo, hi):
+        return F.max(F.when(c.between(lo, hi), 1).otherwise(0)).over(whole)
+
+    g = g.select("*", any_in(w, 1, 7).alias("w17"), any_in(w, 0, 6).alias("w06"), any_in(h, 1, 24).alias("h124"),
+                 any_in(h, 0, 23).alias("h023"))
+    fl = {c: F.col(c) for c in ("w17", "w06", "h124", "h023")}
     g = g.select(
         F.when((fl["w17"] == 1) & (fl["w06"] == 0) & w.between(1, 7), w - 1).otherwise(w).alias("weekday"),
         F.when((fl["h124"] == 1) & (fl["h023"] == 0) & h.between(1, 24), F.pmod(h, F.lit(24))).otherwise(h)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # Each module registers its queries on import.
-from ridelens.plans import q_ml, q_profile, q_region, q_trip, q_value  # noqa: F401
+from ridelens.plans import q_ml, q_ml_exact, q_profile, q_region, q_trip, q_value  # noqa: F401
 from ridelens.plans.registry import REGISTRY
 
 

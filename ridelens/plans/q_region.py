@@ -177,7 +177,8 @@ def revenue_kpis(spark, sf):
 
 @register("zone_kpis", with_views(f"SELECT pickup_location, {_ZK} FROM d0 GROUP BY pickup_location", _REV))
 def zone_kpis(spark, sf):
-    return R.zone_kpis(region(spark, sf))
+    few = locations(spark, sf).count() <= 100_000
+    return R.zone_kpis(region(spark, sf), few_zones=few)
 
 
 @register("revenue_by_zone", with_views(

@@ -177,13 +177,15 @@ def vehicle_kpis(df: DataFrame) -> DataFrame:
     """Vehicle KPIs (A16, A17, A49): types, top-3 share, success range, distance range,
     top product and its +1 pp lever, best success rate, XL share."""
     g = vehicle_groups(df)
-    top3 = top_k(g, "total_bookings", 3, "vehicle_type").agg(F.sum("total_bookings")).scalar()
+    # one row per vehicle type: the largest three are taken from the gathered counts
+    sizes = F.slice(F.reverse(F.array_sort(F.collect_list("total_bookings"))), 1, 3)
     best = F.min_by("vehicle_type", F.struct((-F.col("success_rate")).alias("a"), F.col("vehicle_type").alias("b")))
     top = F.min_by(F.struct("vehicle_type", "total_bookings"),
                    F.struct((-F.col("total_bookings")).alias("a"), F.col("vehicle_type").alias("b")))
     k = g.agg(
         F.count_distinct("vehicle_type").alias("n_types"),
         F.sum("total_bookings").alias("total"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("_top3"),
         F.min("success_rate").alias("success_min"),
         F.max("success_rate").alias("success_max"),
         pround(F.avg("avg_distance"), P).alias("distance_mean"),
@@ -196,7 +198,7 @@ def vehicle_kpis(df: DataFrame) -> DataFrame:
     )
     return k.select(
         "n_types",
-        pround(F.try_divide(top3.cast("double") * F.lit(100.0), F.col("total").cast("double")), P).alias("top3_pct"),
+        pround(F.try_divide(F.col("_top3").cast("double") * F.lit(100.0), F.col("total").cast("double")), P).alias("top3_pct"),
         "success_min", "success_max", "distance_mean", "distance_min", "distance_max",
         F.col("_top.vehicle_type").alias("top_type"),
         F.col("_top.total_bookings").alias("top_bookings"),
@@ -362,27 +364,21 @@ def top_locations(df: DataFrame, col: str, k: int = 10) -> DataFrame:
 def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_location") -> DataFrame:
     """Top-k pickup zones × 24 hours, zero-filled, with ``zone_rank``.
 
-    One pass over the rows: they are counted per (zone, hour) first; the zone
-    totals (all rows, any hour), the top-k and the pivot all come from that
-    table (at most zones × distinct hours rows).
+    One pass over the rows: a single aggregate per zone holds its total (all
+    rows, any hour) and a counter per hour; top-k and ranks are taken from that
+    table (one row per zone).
     """
     from pyspark.sql import Window
 
     z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour")) \
         .where(F.col("location").isNotNull())
-    zh = z.groupBy("location", "hour").agg(F.count(F.lit(1)).alias("_n"))
-    totals = zh.groupBy("location").agg(F.sum("_n").alias("n"))
-    top = top_k(totals, "n", k, "location")
+    hours = [F.count_if(F.floor("hour") == h).alias(c) for h, c in enumerate(hour_columns())]
+    # rows with an hour outside 0..23 count for the total only
+    z = z.withColumn("hour", F.when(F.col("hour").between(0, 23), F.col("hour")))
+    per = z.groupBy("location").agg(F.count(F.lit(1)).alias("n"), *hours)
     # k rows: rank them in one small window
-    ranked = top.withColumn("zone_rank", F.row_number().over(
-        Window.orderBy(F.col("n").desc(), F.col("location").asc())))
-    cells = semi_top_k(zh.where(F.col("hour").between(0, 23)).withColumn("hour", F.col("hour").cast("int")),
-                       ranked, "location")
-    p = pivot_hours(cells, "location", F.sum("_n"))
-    spine = ranked.select("location", "zone_rank")
-    return densify(p, spine, "location", {h: 0 for h in hour_columns()}).select(
-        "zone_rank", "location", *hour_columns()
-    )
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("location").asc()))
+    return top_k(per, "n", k, "location").select(rank.alias("zone_rank"), "location", *hour_columns())
 
 
 # ---------------------------------------------------------------------------
@@ -445,12 +441,15 @@ def revenue_frame(df: DataFrame, zone: str | None = None) -> DataFrame:
     return d
 
 
-def zone_kpis(df: DataFrame, zone: str | None = None, by_zone: bool = True, approx: bool = False) -> DataFrame:
+def zone_kpis(df: DataFrame, zone: str | None = None, by_zone: bool = True, approx: bool = False,
+              few_zones: bool = False) -> DataFrame:
     """Mean, median, % in $0–5 (closed) per zone, or overall (A41) – one pass for
-    the aggregates and the median's sketch."""
+    the aggregates and the median's sketch. ``few_zones``: the caller has counted
+    the zone dimension, so a row per zone may be broadcast and the fact rows are
+    not shuffled by zone."""
     d = revenue_frame(df, zone)
     keys = ["pickup_location"] if by_zone else None
-    k = exact_percentiles(d, "booking_value", {"median_usd": 0.5}, by=keys, approx=approx, extra={
+    k = exact_percentiles(d, "booking_value", {"median_usd": 0.5}, by=keys, approx=approx, bounded_groups=few_zones, extra={
         "rides": F.count, "avg_usd": F.avg,
         "pct_0_5": lambda v: F.avg(as_flag(between(v, 0, 5))) * F.lit(100.0)})
     return k.select(*(keys or []), "rides", pround("avg_usd", P).alias("avg_usd"),
@@ -525,15 +524,16 @@ def mix_kpis(df: DataFrame) -> DataFrame:
     g = df.groupBy("vehicle_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(numeric(df, "ride_distance") < 5, F.lit(1))).alias("short"))
-    typed = g.where(F.col("vehicle_type").isNotNull())
-    top3 = top_k(typed, "n", 3, "vehicle_type").agg(F.sum("n")).scalar()
-    st = scalars(g.agg(F.sum(F.when(F.col("vehicle_type").isNotNull(), F.col("n"))).alias("typed"),
-                       F.sum("n").alias("rows"), F.sum("short").alias("short")), "typed", "rows", "short")
-    spark = df.sparkSession
-    return spark.range(1).select(
-        pround(F.coalesce(F.try_divide(top3.cast("double") * F.lit(100.0), st["typed"].cast("double")),
+    # one row per vehicle type: the largest three are taken from the gathered counts
+    sizes = F.reverse(F.array_sort(F.collect_list(F.when(F.col("vehicle_type").isNotNull(), F.col("n")))))
+    k = g.agg(sizes.alias("_sizes"), F.sum("n").alias("rows"), F.sum("short").alias("short"))
+    add = lambda a, x: a + x
+    zero = F.lit(0).cast("long")
+    top3, typed = F.aggregate(F.slice("_sizes", 1, 3), zero, add), F.aggregate("_sizes", zero, add)
+    return k.select(
+        pround(F.coalesce(F.try_divide(top3.cast("double") * F.lit(100.0), typed.cast("double")),
                           F.lit(0.0)), P).alias("top3_pct"),
-        pround(F.try_divide(st["short"].cast("double"), st["rows"].cast("double")) * F.lit(100.0), P)
+        pround(F.try_divide(F.col("short").cast("double"), F.col("rows").cast("double")) * F.lit(100.0), P)
         .alias("pct_lt_5km"),
     )
 
