@@ -191,7 +191,7 @@ def onehot_block(cols: list[str], prefix: str, unseen: str = "keep") -> tuple[li
     si = StringIndexer(inputCols=cols, outputCols=idx, handleInvalid=unseen, stringOrderType="alphabetAsc")
     # the encoder itself must keep its default "error": the indexer's extra slot
     # is then a regular last category, the one dropLast removes
-    ohe = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True)
+    ohe = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=unseen == "keep")
     return [si, ohe], vec
 
 
