@@ -22,7 +22,6 @@ from ridelens.functions.numeric import (  # noqa: F401
     clip,
     numeric,
     pround,
-    safe_ratio,
     to_int,
     to_long,
     to_number,

@@ -64,11 +64,6 @@ def clip(c, lo=None, hi=None) -> Column:
     return F.when(x.isNotNull(), out)
 
 
-def safe_ratio(num, den, scale: float = 1.0) -> Column:
-    """``scale * num / max(den, 1)`` – the reference's guarded share denominator."""
-    return F.lit(float(scale)) * col_of(num) / F.greatest(col_of(den).cast("double"), F.lit(1.0))
-
-
 def bin_index(c, edges: Sequence[float]) -> Column:
     """Right-closed bin index on ``edges`` (``pd.cut(right=True, include_lowest=True)``).
 

@@ -198,7 +198,3 @@ def validate_feedback(df: DataFrame, message: str = "message", email: str = "ema
 def with_ingest_time(df: DataFrame, col: str = "timestamp") -> DataFrame:
     """Stamp rows with the current UTC time."""
     return df.withColumn(col, F.current_timestamp())
-
-
-def column_or_null(df: DataFrame, name: str, dtype: str) -> Column:
-    return F.col(name).cast(dtype) if name in df.columns else F.lit(None).cast(dtype)

@@ -439,17 +439,3 @@ def modes(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     per = freq.groupBy("_c").agg(best.alias("_m"))
     row = per.agg(*[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(c) for c in cols])
     return row.select(*[F.coalesce(F.col(c), F.lit(str(d))).alias(c) for c, d in defaults.items()])
-
-
-def mode_or(df: DataFrame, col: str, default, out: str = "mode") -> DataFrame:
-    """Most frequent non-null value, or ``default`` when there is none."""
-    m = mode_of(df, col).select(F.col("mode").cast("string")).scalar()
-    return df.sparkSession.range(1).select(F.coalesce(m, F.lit(str(default))).alias(out))
-
-
-def distinct_count(df: DataFrame, col: str) -> Column:
-    """Exact distinct non-null count as an aggregate expression (A10)."""
-    return F.count_distinct(F.col(col))
-
-
-EMPTY = T.StructType([])

@@ -93,13 +93,15 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 4, approx: bool =
 
 
 def correlation(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation for every pair, pairwise-complete rows.
+    """Pearson correlation matrix, every ordered pair and the diagonal, pairwise-complete rows.
 
     ``F.corr`` skips a row only for the pair where one side is NULL, which is the
-    pandas behaviour (``ml.stat.Correlation`` would reject NULLs).
+    pandas behaviour (``ml.stat.Correlation`` would reject NULLs). Each unordered
+    pair is computed once; a constant column has no correlation (NULL).
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    wide = df.agg(*[F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None)).alias(f"_c{i}")
                     for i, (a, b) in enumerate(pairs)])
-    items = [(F.lit(a), F.lit(b), pround(F.col(f"_c{i}"), digits)) for i, (a, b) in enumerate(pairs)]
+    items = [(F.lit(x), F.lit(y), pround(F.col(f"_c{i}"), digits))
+             for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
     return _long(wide, items, ["col_a", "col_b", "corr"])

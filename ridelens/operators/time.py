@@ -57,22 +57,6 @@ def normalize_hour(df: DataFrame, col: str = "hour") -> DataFrame:
     return df.withColumn(col, F.when(shift & c.between(1, 24), F.pmod(c, F.lit(24))).otherwise(c))
 
 
-def time_frame(df: DataFrame) -> DataFrame:
-    """The demand tab's ``df_time``: numeric hour/weekday/month, rows with all three,
-    hour clipped 0–23, month 1–12, weekday rebased (minmax rule)."""
-    t = df.select(
-        numeric(df, "hour").alias("hour"),
-        numeric(df, "weekday").alias("weekday"),
-        numeric(df, "month").alias("month"),
-    ).dropna()
-    t = t.select(
-        clip(to_int("hour"), 0, 23).alias("hour"),
-        to_int("weekday").alias("weekday"),
-        clip(to_int("month"), 1, 12).alias("month"),
-    )
-    return normalize_weekday(t, "weekday", "minmax")
-
-
 def time_counts(df: DataFrame) -> DataFrame:
     """Rows per (hour, weekday, month) after the demand tab's normalisation, in ONE
     pass over the rows: the rows are counted per raw key first (a small table,

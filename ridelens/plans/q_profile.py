@@ -12,10 +12,15 @@ from ridelens.functions import (
     MONTH_NAMES,
     WEEKDAY_ABBR,
     WEEKDAY_NAMES,
+    fmt_currency,
+    fmt_pct,
+    fmt_thousands,
     min_sec,
     month_to_num,
     parse_hour,
     parse_weekday,
+    stars,
+    to_number,
 )
 from ridelens.operators import bins as BN
 from ridelens.operators import clean as C
@@ -100,7 +105,7 @@ def describe(spark, sf):
 _CORR_COLS = ["avg_vtat", "booking_value", "ride_distance", "driver_rating", "customer_rating"]
 _CORR_SQL = with_views(" UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, {pr(f'corr({a}, {b})', 6)} AS corr FROM B"
-    for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]))
+    for a in _CORR_COLS for b in _CORR_COLS))
 
 
 @register("correlation", _CORR_SQL)
@@ -113,7 +118,7 @@ _LI_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @register("correlation_lineitem", with_views(" UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, {pr(f'corr({a}, {b})', 6)} AS corr FROM lineitem"
-    for i, a in enumerate(_LI_CORR) for b in _LI_CORR[i + 1:])))
+    for a in _LI_CORR for b in _LI_CORR)))
 def correlation_lineitem(spark, sf):
     return PF.correlation(table(spark, sf, "lineitem"), _LI_CORR)
 
@@ -400,19 +405,29 @@ def sql_count(spark, sf):
     )
 
 
-_B_NUMERIC = ["avg_vtat", "booking_value", "ride_distance", "driver_rating", "customer_rating"]
+# raw column → its SQL over the fixture view (CTAT and the three flags exist in the raw layout only)
+_RAW_NUMERIC = {
+    "Avg VTAT": "avg_vtat", "Booking Value": "booking_value", "Ride Distance": "ride_distance",
+    "Driver Ratings": "driver_rating", "Customer Rating": "customer_rating",
+    "Avg CTAT": "CASE WHEN booking_status = 'Completed' THEN 10 + ((booking_id * 43) % 400) / CAST(10 AS DOUBLE) END",
+    "Cancelled Rides by Customer": "CASE WHEN booking_status = 'Cancelled by Customer' THEN CAST(1 AS DOUBLE) END",
+    "Cancelled Rides by Driver": "CASE WHEN booking_status = 'Cancelled by Driver' THEN CAST(1 AS DOUBLE) END",
+    "Incomplete Rides": "CASE WHEN booking_status = 'Incomplete' THEN CAST(1 AS DOUBLE) END",
+    "Nothing": "CAST(NULL AS DOUBLE)",
+}
 _DESCRIBE_B_SQL = with_views(" UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS count, {pr(f'avg({c})', 4)} AS mean,
-               {pr(f'stddev_samp({c})', 4)} AS std, CAST(min({c}) AS DOUBLE) AS min,
-               {pr(f'quantile_cont({c}, 0.25)', 4)} AS q25, {pr(f'quantile_cont({c}, 0.5)', 4)} AS q50,
-               {pr(f'quantile_cont({c}, 0.75)', 4)} AS q75, CAST(max({c}) AS DOUBLE) AS max FROM B"""
-    for c in _B_NUMERIC))
+    f"""SELECT '{c}' AS column_name, CAST(count(v) AS BIGINT) AS count, {pr('avg(v)', 4)} AS mean,
+               {pr('stddev_samp(v)', 4)} AS std, CAST(min(v) AS DOUBLE) AS min, {pr('quantile_cont(v, 0.25)', 4)} AS q25,
+               {pr('quantile_cont(v, 0.5)', 4)} AS q50, {pr('quantile_cont(v, 0.75)', 4)} AS q75,
+               CAST(max(v) AS DOUBLE) AS max FROM (SELECT {e} AS v FROM B)"""
+    for c, e in _RAW_NUMERIC.items()))
 
 
 @register("describe_bookings", _DESCRIBE_B_SQL)
 def describe_bookings(spark, sf):
-    """Numeric summary of the raw bookings (NULLs skipped per column)."""
-    return PF.describe(bookings(spark, sf), _B_NUMERIC)
+    """Numeric summary of the nine numeric raw columns and of one without any value (NULLs skipped per column)."""
+    raw = bookings_raw(spark, sf).withColumn("Nothing", F.lit(None).cast("double"))
+    return PF.describe(raw, list(_RAW_NUMERIC))
 
 
 _RAW_FLAGS = ["Cancelled Rides by Customer", "Cancelled Rides by Driver", "Incomplete Rides"]
@@ -433,3 +448,62 @@ def raw_flag_counts(spark, sf):
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("value")) for c in _RAW_FLAGS
     ])))
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# helpers on the given tables (P7, P8, P13, P19, X6, X13, the no_valid rule)
+# ---------------------------------------------------------------------------
+@register("lenient_numbers", with_views(
+    """SELECT booking_id, CASE booking_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN ride_distance
+                               WHEN 3 THEN NULL ELSE avg_vtat END AS number FROM B"""))
+def lenient_numbers(spark, sf):
+    """Text coerced to numbers: what is no number is NULL."""
+    k, text = F.col("booking_id") % 5, {c: F.col(c).cast("string") for c in ("ride_distance", "avg_vtat")}
+    v = (F.when(k == 0, "n/a").when(k == 1, "nan").when(k == 2, text["ride_distance"]).when(k == 3, "1,234")
+         .otherwise(F.concat(F.lit(" "), text["avg_vtat"])))
+    return bookings(spark, sf).select("booking_id", to_number(v).alias("number"))
+
+
+@register("reason_categories", with_views(
+    """SELECT COALESCE(reason_for_cancelling_by_customer, 'nan') AS customer, COALESCE(driver_cancellation_reason, 'nan')
+              AS driver, CAST(count(*) AS BIGINT) AS n FROM B_clean GROUP BY 1, 2"""))
+def reason_categories(spark, sf):
+    """Missing reasons as a category of their own."""
+    cols = {"reason_for_cancelling_by_customer": "customer", "driver_cancellation_reason": "driver"}
+    b = C.null_as_category(C.clean_bookings(bookings_raw(spark, sf)).select(*cols), cols)
+    return C.display_names(b, cols).groupBy("customer", "driver").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("unrated_counts", with_views(
+    """SELECT driver_rating = -1 AS "Driver unrated", customer_rating = -1 AS "Customer unrated",
+              CAST(count(*) AS BIGINT) AS "Rides" FROM B_clean GROUP BY 1, 2"""))
+def unrated_counts(spark, sf):
+    """Unrated flags (P13) under presentation names."""
+    b = C.with_unrated_flags(C.clean_bookings(bookings_raw(spark, sf)))
+    g = b.groupBy("driver_unrated", "customer_unrated").agg(F.count(F.lit(1)).alias("rides"))
+    return C.display_names(g, {"driver_unrated": "Driver unrated", "customer_unrated": "Customer unrated",
+                               "rides": "Rides"})
+
+
+@register("rebased_heatmap", with_views(
+    """SELECT CAST(6 AS INTEGER) AS weekday, CAST(0 AS INTEGER) AS hour, CAST(count(*) AS BIGINT) AS n
+       FROM B WHERE weekday = 6 AND hour = 0"""))
+def rebased_heatmap(spark, sf):
+    """Sunday midnight coded as weekday 7, hour 24: no value is valid as it stands, so both are rebased."""
+    b = bookings(spark, sf).where("weekday = 6 AND hour = 0").select(F.lit(7).alias("weekday"), F.lit(24).alias("hour"))
+    w = TM.normalize_weekday(b, "weekday", rule="no_valid")
+    t = TM.heatmap_time_frame(TM.normalize_hour(w)).select("weekday", "hour", F.col("_n").alias("n"))
+    return t.select(F.col("weekday").cast("int").alias("weekday"), F.col("hour").cast("int").alias("hour"), "n")
+
+
+@register("formatted_zones", with_views(
+    """SELECT pickup_location, format('{:,}', CAST(count(*) * 1000 AS BIGINT)) AS rides_text,
+              '$' || format('{:,.2f}', CAST(count(*) AS DOUBLE) * 12.5) AS money_text,
+              format('{:.1f}', CAST(count(*) % 97 AS DOUBLE) + 0.2) || '%' AS pct_text,
+              repeat('★', CAST(count(*) % 6 AS INTEGER)) AS stars FROM B GROUP BY pickup_location"""))
+def formatted_zones(spark, sf):
+    """Thousands, currency, per cent and star texts."""
+    g = bookings(spark, sf).groupBy("pickup_location").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("pickup_location", fmt_thousands(F.col("n") * 1000).alias("rides_text"),
+                    fmt_currency(F.col("n") * 12.5).alias("money_text"),
+                    fmt_pct(F.col("n") % 97 + 0.2).alias("pct_text"), stars(F.col("n") % 6).alias("stars"))

@@ -181,6 +181,12 @@ def zone_kpis(spark, sf):
     return R.zone_kpis(region(spark, sf), few_zones=few)
 
 
+@register("zone_kpis_one", with_views(f"SELECT {_ZK} FROM d0 WHERE pickup_location = 'NATION_5'", _REV))
+def zone_kpis_one(spark, sf):
+    """Revenue KPIs of one zone."""
+    return R.zone_kpis(region(spark, sf), zone="NATION_5", by_zone=False)
+
+
 @register("revenue_by_zone", with_views(
     f"""SELECT CAST(row_number() OVER (ORDER BY revenue DESC, pickup_location ASC) AS INTEGER) AS rank,
                pickup_location, {pr("revenue", 4)} AS revenue
