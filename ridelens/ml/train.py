@@ -51,8 +51,9 @@ def regressors(label: str = "label", n: int | None = None, label_std: float | No
     Spark's objective (L2 penalty scaled by the label std, loss averaged over n)
     matches the closed form; Lasso's ``alpha`` carries over unchanged. The
     reference's forest grows without a depth limit: ``rf_depth`` is Spark's own
-    limit of 30. Its boosted trees are limited to 31 leaves, not in depth; Spark
-    has no leaf limit, so depth 5 (at most 32 leaves) stands in.
+    limit of 30, and a forest fitted with less says so in its name. Its boosted
+    trees are limited to 31 leaves, not in depth; Spark has no leaf limit, so
+    depth 5 (at most 32 leaves) stands in.
     """
     ridge_reg = 1.0 * (label_std or 1.0) / float(n or 1)
     return {
@@ -60,8 +61,9 @@ def regressors(label: str = "label", n: int | None = None, label_std: float | No
         "Ridge": LinearRegression(labelCol=label, regParam=ridge_reg, elasticNetParam=0.0, standardization=False),
         "Lasso": LinearRegression(labelCol=label, regParam=0.001, elasticNetParam=1.0, maxIter=5000,
                                   standardization=False),
-        "RF": RandomForestRegressor(labelCol=label, numTrees=200, maxDepth=rf_depth, seed=20,
-                                    cacheNodeIds=True, checkpointInterval=10),
+        "RF" if rf_depth >= 30 else f"RF (depth {rf_depth})": RandomForestRegressor(
+            labelCol=label, numTrees=200, maxDepth=rf_depth, seed=20,
+            cacheNodeIds=True, checkpointInterval=10),
         "HGB": GBTRegressor(labelCol=label, stepSize=0.05, maxBins=255, maxIter=100, maxDepth=5, seed=20,
                             checkpointInterval=10),
     }
@@ -164,10 +166,11 @@ def _size_and_std(df: DataFrame, label: str = "label") -> tuple[int, float]:
     return r["n"], r["s"]
 
 
-def value_leaderboard(df: DataFrame, feature_set: str = "reference", k: int = 3) -> DataFrame:
+def value_leaderboard(df: DataFrame, feature_set: str = "reference", k: int = 3, rf_depth: int = 30) -> DataFrame:
     """CV leaderboard of the five booking-value regressors (M17, M18), penalties per fold."""
     d = value_frame(df, feature_set)
-    return cross_validate_regression(d, lambda n, s: regressors("label", n, s), value_stages(d, feature_set), k)
+    return cross_validate_regression(d, lambda n, s: regressors("label", n, s, rf_depth),
+                                     value_stages(d, feature_set), k)
 
 
 def train_booking_value(df: DataFrame, feature_set: str = "reference", k: int = 3,
