@@ -30,6 +30,9 @@ import json
 import os
 import re
 import struct
+import sys
+import types
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +47,10 @@ TRAILER = "<8sHHQQQ"
 SAMPLE = 256
 FILE_IDS = 8_000_000
 FILE_DOCS = 500_000
-BATCH_CHARS = 8_000_000
+BATCH_BYTES = 5_000_000
 READ_IDS = 1_000_000
-CACHED_PIECES = 400_000
+WORDS_AT_ONCE = 5_000  # the library's results take far more memory than the ids
+CACHED_PIECES = 200_000
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
@@ -168,7 +172,7 @@ class TokenFile:
 PROBE = ["abc", "naïve", "ÀÉÎÕÜÿ", "ßø", "Quick", "tokenizers"]
 
 
-def plain_tokenizer(tokenizer_json: str):
+def plain_tokenizer(full, tokenizer_json: str):
     """The tokenizer for single lower-cased words of Latin letters, which need no normalising and no cutting.
 
     None if it would not give the same ids.
@@ -179,50 +183,70 @@ def plain_tokenizer(tokenizer_json: str):
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
         {"type": "WhitespaceSplit"}, *(s for s in steps if s["type"] == "ByteLevel")]}}
-    plain, full = Tokenizer.from_str(json.dumps(spec)), Tokenizer.from_str(tokenizer_json)
+    plain = Tokenizer.from_str(json.dumps(spec))
     same = all(plain.encode(w.lower(), add_special_tokens=False).ids == full.encode(w, add_special_tokens=False).ids
                for w in PROBE)
     return plain if same else None
 
 
+def worker_encoder(tokenizer_json: str, dtype: np.dtype) -> PieceEncoder:
+    """One encoder per Python worker: Spark reuses workers, so its tasks share the parsed vocabulary and memory."""
+    store = sys.modules.setdefault("_ridelens_worker", types.ModuleType("_ridelens_worker")).__dict__
+    key = f"{zlib.crc32(tokenizer_json.encode())}:{dtype.str}"
+    if key not in store:
+        store[key] = PieceEncoder(tokenizer_json, dtype)
+    return store[key]
+
+
 class PieceEncoder:
-    """Ids of texts as bytes, through a bounded memory of encoded pieces."""
+    """Ids of texts as bytes, through a bounded memory of encoded pieces.
+
+    The memory has two generations: a full one becomes the old one, and pieces that are met again move on, so the
+    common vocabulary stays.
+    """
 
     def __init__(self, tokenizer_json: str, dtype: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_str(tokenizer_json), plain_tokenizer(tokenizer_json)
-        self.dtype, self.known = dtype, {"": b""}
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.plain = plain_tokenizer(self.tokenizer, tokenizer_json)
+        self.dtype, self.known, self.old = dtype, {}, {}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _encode(self, words: list[str], others: list[str]) -> None:
         """Put pieces into the memory. Each of ``words`` is one pre-token, with one word-end id."""
-        if words:
-            line = " ".join(words)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at:at + WORDS_AT_ONCE]
+            line = " ".join(some)
             line = (self.plain or self.tokenizer).encode_batch_fast([line.lower() if self.plain else line],
                                                                     add_special_tokens=False)[0]
             ids = np.array(line.ids, np.int64)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(words):
+            if len(ends) == len(some):
                 w, raw = self.dtype.itemsize, ids.astype(self.dtype).tobytes()
                 ends = (ends * w).tolist()
-                self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:  # a vocabulary without word ends: piece by piece
-                others = others + words
+                others = others + some
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode the pieces that are not in the memory yet."""
-        known = self.known
+        if len(self.known) > CACHED_PIECES:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        known[""] = b""
         words, others, parts = [], [], {}
         for p in pieces:
             if p in known:
                 continue
-            if (p.isascii() and p.isalpha()) or LETTERS.fullmatch(p):
+            if p in old:
+                known[p] = old[p]
+            elif p.isalpha() and (p.isascii() or LETTERS.fullmatch(p)):
                 words.append(p)
             elif m := WORD_AND_STOP.fullmatch(p):  # always two pre-tokens
                 parts[p] = m.groups()
@@ -233,14 +257,13 @@ class PieceEncoder:
         self._encode([*words, *more], [*others, *stops])
         known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as bytes. Words are numbered by Arrow, so Python sees each distinct piece once."""
+    def __call__(self, texts) -> list[bytes]:
+        """Per text of an Arrow array (or a list) its ids as bytes. Words are split and numbered by Arrow, so Python
+        sees each distinct piece once."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.known) > CACHED_PIECES:
-            self.known = {"": b""}
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         numbered = split.flatten().dictionary_encode()
         pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = numbered.indices.to_numpy()
@@ -251,36 +274,42 @@ class PieceEncoder:
         n = sizes[at]
         ends = np.append(0, np.cumsum(n))
         out = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        cut = (ends[split.offsets.to_numpy()] * width).tolist()
+        first = split.offsets.to_numpy()
+        cut = (ends[first - first[0]] * width).tolist()
         return [out[a:z] for a, z in zip(cut, cut[1:], strict=False)]
 
 
 def _write(folder: str, tokenizer, end_id: int, dtype: np.dtype):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInArrow function: (id as text, text) -> manifest rows; texts stay in Arrow, in parts of BATCH_BYTES."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part, done, out, encode = TaskContext.get().partitionId(), [], None, None
         end = np.array([end_id], dtype).tobytes()
-        for pdf in batches:
-            encode = encode or PieceEncoder(tokenizer.value, dtype)
-            ids = [None if i is None else int(i) for i in pdf["id"].array]
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"].array]
+        for batch in batches:
+            encode = encode or worker_encoder(tokenizer.value, dtype)
+            ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(texts):
-                z, chars = at, 0
-                while z < len(texts) and (z == at or chars + len(texts[z]) <= BATCH_CHARS):
-                    chars += len(texts[z])
-                    z += 1
-                for i, raw in zip(ids[at:z], encode(texts[at:z]), strict=True):
+                before = ends[at - 1] if at else 0
+                z = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+                for i, raw in zip(ids.slice(at, z - at).to_pylist(), encode(texts.slice(at, z - at)), strict=True):
                     out = out or TokenFileWriter(folder, dtype)
-                    out.add(i, raw + end)
+                    out.add(None if i is None else int(i), raw + end)
                     if out.n_ids >= FILE_IDS or len(out.ends) >= FILE_DOCS:
                         done.append((part, len(done), *out.close()))
                         out = None
                 at = z
         if out:
             done.append((part, len(done), *out.close()))
-        yield pd.DataFrame(done, columns=["part", "seq", "path", "n_docs", "n_ids"])
+        columns = list(zip(*done, strict=True)) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                         names=["part", "seq", "path", "n_docs", "n_ids"])
 
     return run
 
@@ -316,9 +345,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = base.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first(), "text")
-    # ids go as text: pandas would turn a column of integers and nulls into floats
     ordered = ordered.withColumn("id", F.col("id").cast("string"))
-    files = materialize(ordered.mapInPandas(_write(folder, tokenizer, end_id, dtype),
+    files = materialize(ordered.mapInArrow(_write(folder, tokenizer, end_id, dtype),
                                             "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
     # one row per file: small, so one ordered window is fine
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
