@@ -10,6 +10,7 @@ and push filters into the scan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
 
 
 def build_tables(spark: SparkSession, sf_dir: str, base: str | None = None) -> dict[str, DataFrame]:
-    """Raw view, cleaned table (partitioned by month) and region table, persisted."""
-    raw = materialize(bookings(spark, sf_dir), "bookings_raw", base=base)
-    clean = materialize(bookings_clean(spark, sf_dir), "bookings_clean", ["month"], base=base)
-    region = materialize(G.region_bookings(clean, locations(spark, sf_dir)), "bookings_region", base=base)
+    """Raw view, cleaned table (partitioned by month) and region table, persisted.
+
+    In the shared checkpoint folder each run has names of its own, so two runs never
+    overwrite each other; in a folder given as ``base`` the names are fixed.
+    """
+    tag = "" if base else f"_{uuid.uuid4().hex[:12]}"
+    raw = materialize(bookings(spark, sf_dir), f"bookings_raw{tag}", base=base)
+    clean = materialize(bookings_clean(spark, sf_dir), f"bookings_clean{tag}", ["month"], base=base)
+    region = materialize(G.region_bookings(clean, locations(spark, sf_dir)), f"bookings_region{tag}", base=base)
     return {"raw": raw, "clean": clean, "region": region}
 
 
