@@ -44,6 +44,16 @@ def audit(plan: str) -> dict:
     }
 
 
+def final_only(text: str) -> str:
+    """The details of the operators in the final plan's tree (the initial plan's are listed, too)."""
+    tree, _, rest = text.partition("== Initial Plan ==")
+    if not rest:
+        return text
+    used = set(re.findall(r"\((\d+)\)\s*$", tree, flags=re.M))
+    details = re.split(r"\n(?=\(\d+\) \w)", rest)
+    return "\n".join(d for d in details if (m := re.match(r"\((\d+)\)", d)) and m[1] in used)
+
+
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
@@ -63,7 +73,7 @@ def main():
         df = qs[n](spark, a.sf)
         df.collect()  # results are reports; only after a run is the adaptive plan final
         mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        plan = df._jdf.queryExecution().explainString(mode).split("== Initial Plan ==")[0]
+        plan = final_only(df._jdf.queryExecution().explainString(mode))
         r = audit(plan)
         lines.append(f"| {n} | {r['shuffles']} | {r['single_partition']} | {r['broadcasts']} | {r['reused']} | "
                      f"{r['bhj']} | {r['smj']} | {r['cross_join']} | {r['python']} |")
