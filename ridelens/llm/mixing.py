@@ -43,15 +43,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     cycle = F.array(*[F.lit(w) for w in weights])
     per = per.withColumn("w", F.element_at(cycle, F.pmod(F.row_number().over(rank) - 1, F.lit(len(weights))) + 1))
     per = per.withColumn("cap", F.col("source_size") * max_repeats)
-    # sources reach their caps in the order of cap / weight; the level is set by the first that does not
+    # sources reach their caps in the order of cap / weight; the level is set by the first that does not (of tied ones
+    # the first in this order: what is left for a later one lacks caps that are not reached)
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
     left = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double")
-    per = per.select("*", left.alias("left"), F.sum("w").over(rest).alias("w_left"))
+    per = per.select("*", left.alias("left"), F.sum("w").over(rest).alias("w_left"),
+                     F.row_number().over(order).alias("place"))
     open_ = F.col("cap") * F.col("w_left") >= F.col("left") * F.col("w")
-    per = per.withColumn("level", F.min(F.when(open_, F.struct(
-        (F.col("cap") / F.col("w")).alias("at"), "left", "w_left"))).over(Window.partitionBy()))
+    per = per.withColumn("level", F.min(F.when(open_, F.struct("place", "left", "w_left"))).over(Window.partitionBy()))
     share = F.col("level.left") * F.col("w") / F.col("level.w_left")
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), share).alias("target"), "n")
 

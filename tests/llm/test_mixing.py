@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from ridelens.llm import mixing as M
 from ridelens.llm.mixing import op5_mix_sources
 from tests.llm.conftest import SF
@@ -66,6 +68,18 @@ def test_skewed_sources(spark):
     check(M.mix_sources(df).collect(), triples)
 
 
+@pytest.mark.parametrize("words", [(5, 10), (100, 200, 1000), (10,) * 6, (10, 20, 30), (4, 8, 0, 4)])
+def test_sources_that_tie_at_the_level(spark, words):
+    triples = [(10 * k, "w " * n, f"s{k}") for k, n in enumerate(words)]
+    df = spark.createDataFrame(triples, "doc_id long, text string, source string")
+    rows = M.mix_sources(df).collect()
+    check(rows, triples)
+    assert abs(sum(r["target"] for r in rows) - sum(words)) < 1e-6
+    assert sum(words) - sum(r["taken"] for r in rows) <= len(words) / 2  # rounding only
+    mixed = M.mix_documents(df).collect()
+    assert sum(size(r["text"]) for r in mixed) == sum(r["taken"] for r in rows)
+
+
 def test_edges(edge_docs, edge_rows, no_docs):
     check(M.mix_sources(edge_docs).collect(), [(r[0], r[1], r[3]) for r in edge_rows])
     assert M.mix_sources(no_docs).count() == 0 and M.mix_documents(no_docs).count() == 0
