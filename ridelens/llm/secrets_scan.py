@@ -8,12 +8,19 @@ endpoint only if it shares a scope with a secret. Scopes never leave a document,
 parts are sorted by start and each scope finds its parts by bisection; links name the nearest parts, never all pairs.
 Assignments, access identifiers and long hexadecimal words are strong and always reported.
 
+Lower bounds: a weak secret is a run of at least 32 base64 characters (no upper length; at most two ``=`` after it) with
+lower case, upper case and digits and an entropy of 4 bits, so shorter ones and runs of URL-safe or other characters are
+found only as assigned values or hexadecimal words. An endpoint is anything after a scheme (of 2 to 32 characters), an IP
+address, ``localhost`` or a dotted ASCII name under any top-level domain of letters or in punycode; a single word or a
+name in other letters is an endpoint only after a scheme.
+
 Defined results: a null text is empty; positions are code points, end exclusive; repeated rows each get a row; a null
 id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 from bisect import bisect_left
@@ -30,9 +37,21 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter run has no longer one inside, so the length can be in the pattern
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"(?:https?://)?(?<![A-Za-z0-9.-])(?:[a-z0-9][a-z0-9-]*\.)+(?:com|net|org|io|cloud|dev)\b[^\s\"'<>]*",
-                      re.ASCII)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+# a host: whatever follows a scheme, an IP address, localhost, a dotted name; then port and path. Dotted names outside
+# the common domains are loose: many are file names or words about a full stop
+LABELS = r"(?:[A-Z0-9][A-Z0-9-]*\.)+"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+V6 = rf"(?:[0-9A-F]{{0,4}}:){{2,7}}(?:(?:{OCTET}\.){{3}}{OCTET}|[0-9A-F]{{1,4}})?"
+AFTER_SCHEME, TAIL = r"(?=[^\x00-\x2F\x3A-\x40\x5C-\x60\x7B-\x7F])", r"""[^\s"'<>]*"""
+ENDPOINT = re.compile(rf"""https?://{AFTER_SCHEME}{TAIL} | (?<![A-Z0-9.-])(?:
+    [A-Z][A-Z0-9+-]{{1,31}}://{AFTER_SCHEME}{TAIL}
+    | {LABELS}(?:com|net|org|io|cloud|dev)(?![A-Z0-9_]){TAIL}
+    | (?: (?:{OCTET}\.){{3}}{OCTET}(?![A-Z0-9_-]|\.[0-9])
+        | \[(?P<v6>{V6})\] | (?P<bare>(?<!:){V6})(?![A-Z0-9_:-]|\.[A-Z0-9])
+        | localhost(?![A-Z0-9_-]|\.[A-Z0-9])
+        | (?P<loose>{LABELS}(?:xn--[A-Z0-9-]+|[A-Z]{{2,63}})(?![A-Z0-9_]|://))
+      )(?::[0-9]+(?!\.?[A-Z0-9-]))?(?:[/?\#]{TAIL})? )""", re.IGNORECASE | re.ASCII | re.VERBOSE)
 MIN_ASSIGN, MIN_ACCESS, MIN_ENTROPY = 6, 20, 4.0
 
 Span = tuple[int, int]
@@ -61,6 +80,33 @@ def in_scope(parts: list[Span], a: int, z: int, longest: int) -> list[Span]:
     return [p for p in parts[lo:hi] if p[1] > a]
 
 
+def in_scope_disjoint(parts: list[Span], a: int, z: int) -> list[Span]:
+    """The same of sorted parts that do not overlap each other, however long one is."""
+    lo, hi = bisect_left(parts, (a, 0)), bisect_left(parts, (z, 0))
+    return parts[lo - (lo > 0 and parts[lo - 1][1] > a):hi]
+
+
+def find_hosts(text: str) -> tuple[list[Span], set[Span]]:
+    """The hosts in order, and which of them are loose."""
+    hosts, loose, at = [], set(), 0
+    while m := ENDPOINT.search(text, at):
+        at = m.end()
+        if (word := m["v6"] or m["bare"]) and not _is_ipv6(word):
+            at = m.start() + 1
+            continue
+        hosts.append(m.span())
+        if m["loose"]:
+            loose.add(m.span())
+    return hosts, loose
+
+
+def _is_ipv6(word: str) -> bool:
+    try:
+        return word.strip(":") != "" and bool(ipaddress.IPv6Address(word))
+    except ValueError:
+        return False
+
+
 def _nearest(parts: list[Span], at: Span) -> Span | None:
     return min(parts, key=lambda p: (max(p[0] - at[1], at[0] - p[1]), p), default=None)
 
@@ -71,19 +117,20 @@ def link_parts(text: str, strong: dict[str, list[Span]], scope: int) -> tuple[di
     longest = max((z - a for a, z in taken), default=0)
     free = [m.span() for m in WEAK_SECRET.finditer(text) if looks_random(m.group())]
     free = [s for s in free if not in_scope(taken, *s, longest)]
-    hosts = [m.span() for m in ENDPOINT.finditer(text)]
+    hosts, loose = find_hosts(text)
     # what can be a secret of an access identifier: weak ones and values that are assigned or hexadecimal
     known = sorted([*strong["assign"], *strong["hex"]])
-    size = {k: max((z - a for a, z in v), default=0) for k, v in (("free", free), ("known", known), ("hosts", hosts))}
+    longest_known = max((z - a for a, z in known), default=0)
     secrets, endpoints, links = set(), set(), []
     for access in strong["access"]:
         a, z = access[0] - scope, access[1] + scope
-        weak = in_scope(free, a, z, size["free"])
-        any_secret = [*weak, *in_scope(known, a, z, size["known"])]
-        near = in_scope(hosts, a, z, size["hosts"]) if any_secret else []
+        weak = in_scope_disjoint(free, a, z)
+        any_secret = [*weak, *in_scope(known, a, z, longest_known)]
+        near = in_scope_disjoint(hosts, a, z) if any_secret else []
         secrets.update(weak)
         endpoints.update(near)
-        secret, endpoint = _nearest(any_secret, access), _nearest(near, access)
+        # a loose host, which may be no host, is linked only if there is no other
+        secret, endpoint = _nearest(any_secret, access), _nearest([h for h in near if h not in loose] or near, access)
         if secret:
             links.append({"access_start": access[0], "secret_start": secret[0],
                           "endpoint_start": endpoint[0] if endpoint else None})

@@ -67,6 +67,48 @@ def test_linking(text, want, n_links):
     assert got == want and len(links) == n_links
 
 
+LONG = "".join(f"{SECRET[k:]}x{k}Q/" for k in range(0, 20, 4))[:86] + "=="
+
+
+@pytest.mark.parametrize("secret", [LONG, LONG[:86] * 5])
+def test_long_secrets_are_found_whole(secret):
+    text = f"{ACCESS} {secret} https://s3.example.com/b"
+    strong = S.strong_spans(text)
+    weak, links = S.link_parts(text, strong, 200)
+    at = len(ACCESS) + 1
+    assert weak["secret"] == [(at, at + len(secret))] and [li["secret_start"] for li in links] == [at]
+
+
+@pytest.mark.parametrize("host", [
+    "s3.example.de", "https://minio.example.co.uk/b", "S3.EXAMPLE.COM", "HTTPS://Store.Example.Com/b", "10.0.0.5:9000",
+    "http://192.168.1.7/b", "localhost:9000", "http://minio:9000/b", "s3://bucket/key", "[2001:db8::5]:443", "fe80::1",
+    "https://user@store.example.fr/b", "xn--bcher-kva.xn--p1ai", "https://münchen.de/x", "s3.example.com"])
+def test_any_host_form_is_an_endpoint(host):
+    text = f"{ACCESS} {SECRET} {host} end"
+    weak, links = S.link_parts(text, S.strong_spans(text), 200)
+    at = text.index(host)
+    found = [(a, z) for a, z in weak["endpoint"] if z == at + len(host)]
+    assert found and text[found[0][0]:at] == "" and links[0]["endpoint_start"] == found[0][0], (host, weak)
+    assert kinds(f"{SECRET} {host}") == ([], [])  # without an access identifier it stays silent
+
+
+def test_no_host_in_times_and_numbers():
+    assert kinds(f"{ACCESS} {SECRET} at 12:30:45 v1.2.3 300.1.1.1 e.g. a:b :: x")[0] == ["access", "secret"]
+
+
+@pytest.mark.parametrize("before", ["12:30:45,", "file.txt,", "a.", "end.Start(", "10.0.0.1;", "url:"])
+def test_other_forms_do_not_swallow_a_host(before):
+    text = f"{ACCESS} {SECRET} {before}https://s3.example.com/b"
+    weak, links = S.link_parts(text, S.strong_spans(text), 200)
+    assert (text.index("https"), len(text)) in weak["endpoint"], weak
+
+
+def test_links_prefer_hosts_that_are_sure():
+    text = f"{ACCESS} config.yaml password=abc.defgh {SECRET} https://s3.example.com/b"
+    weak, links = S.link_parts(text, S.strong_spans(text), 200)
+    assert text[links[0]["endpoint_start"]:].startswith("https://") and len(weak["endpoint"]) == 3
+
+
 def test_interval_join_is_exact():
     import random
     rng = random.Random(3)
@@ -78,6 +120,17 @@ def test_interval_join_is_exact():
         assert S.in_scope(parts, a, z, longest) == [p for p in parts if p[0] < z and p[1] > a]
 
 
+def test_interval_join_of_disjoint_parts_is_exact():
+    import random
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(500), 80))
+    parts = list(zip(at[::2], at[1::2], strict=True))
+    for _ in range(300):
+        a = rng.randint(-20, 520)
+        z = a + rng.randint(1, 60)
+        assert S.in_scope_disjoint(parts, a, z) == [p for p in parts if p[0] < z and p[1] > a]
+
+
 def test_edges(edge_docs, edge_rows, no_docs):
     got = S.scan_secrets(edge_docs).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(
