@@ -11,7 +11,8 @@ Method
 3. The entries of a bucket (about ``BUCKET_WINDOWS`` of the corpus' windows) meet in one group; a window that
    starts in a document with a smaller id is a repeat there.
 4. The repeats return to their documents, packed by groups of documents of about ``GROUP_CHARS`` characters
-   (cogroup); overlapping repeats merge into maximal removal intervals and the words outside them are kept.
+   (cogroup). A document's group comes from its id and text, of a null id from its text, and copies of a row are
+   one row with a count there, so that neither makes a group grow; overlapping repeats merge into maximal removal intervals and the words outside them are kept.
 
 Two windows are equal when both hashes agree: 64 bits and the bucket number, which is taken from the other
 hash. The expected number of false matches is about 10**-13 per window of the corpus, at every corpus size,
@@ -39,6 +40,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2*
 CHUNK_WORDS = 1_000_000
 BUCKET_WINDOWS = 2_500_000
 GROUP_CHARS = 4_000_000
+COPIES_AT_ONCE = 10_000
 CACHED_WORDS = 300_000
 # The primes of XXH64
 XXH64_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
@@ -114,6 +116,9 @@ def window_entries(buckets: int, window: int):
 
     def flush(docs: list, roll: list[Rolling]) -> Iterator[dict]:
         docs.sort(key=lambda d: (d[0], d[1]))
+        # copies of one text under one id share their repeats
+        docs = [d for k, d in enumerate(docs) if not k or d[:2] != docs[k - 1][:2]
+                or not np.array_equal(d[2], docs[k - 1][2])]
         ids = np.array([d[0] for d in docs], np.int64)
         keys = np.array([d[1] for d in docs], np.uint32)
         sizes = np.array([len(d[2]) for d in docs], np.int64)
@@ -156,18 +161,26 @@ def window_entries(buckets: int, window: int):
     return run
 
 
-def homes(ids: np.ndarray, count: int) -> np.ndarray:
-    """pmod(xxhash64(id), count) of 64-bit ids, as Spark computes it (XXH64 of one long, seed 42)."""
+def homes(ids: np.ndarray, count: int, keys: np.ndarray | None = None) -> np.ndarray:
+    """pmod(xxhash64(id), count) of 64-bit ids, or pmod(xxhash64(id, key), count), as Spark computes them."""
+    h = _xxh64(ids, np.uint64(42))
+    if keys is not None:
+        h = _xxh64(keys.astype(np.int64), h)
+    return h.view(np.int64) % count
+
+
+def _xxh64(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of one long each."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in XXH64_PRIMES)
 
     def rotated(x: np.ndarray, k: int) -> np.ndarray:
         return x << np.uint64(k) | x >> np.uint64(64 - k)
 
-    h = rotated(ids.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42) + p5 + np.uint64(8))
+    h = rotated(values.view(np.uint64) * p2, 31) * p1 ^ (seed + (p5 + np.uint64(8)))
     h = rotated(h, 27) * p1 + p4
     h = (h ^ h >> np.uint64(33)) * p2
     h = (h ^ h >> np.uint64(29)) * p3
-    return (h ^ h >> np.uint64(32)).view(np.int64) % count
+    return h ^ h >> np.uint64(32)
 
 
 def _by_home(blobs: list[tuple[np.ndarray, ...]], hit: np.ndarray | None, count: int) -> pd.DataFrame:
@@ -176,7 +189,7 @@ def _by_home(blobs: list[tuple[np.ndarray, ...]], hit: np.ndarray | None, count:
     run = np.repeat(np.arange(len(ids)), counts)
     if hit is not None:
         run, hashes = run[hit], hashes[hit]
-    home = homes(ids, count)
+    home = homes(ids, count, keys)
     order = np.argsort(home[run], kind="stable")
     run, hashes = run[order], hashes[order]
     starts, rows = _runs(home[run]), []
@@ -213,7 +226,8 @@ def removal_intervals(hit: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def kept_rows(window: int):
-    """cogroup function: a group's documents (id, text) and its repeats -> id, n_words, n_removed, removed, kept_text."""
+    """cogroup function: a group's documents (id, text, copies) and its repeats -> id, n_words, n_removed, removed,
+    kept_text, copies."""
 
     def run(docs: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
         word_hashes, roll, found = WordHashes(), Rolling(BASES[0], window), defaultdict(list)
@@ -223,7 +237,7 @@ def kept_rows(window: int):
             for i, k, h in zip(ids.tolist(), keys.tolist(), parts, strict=True):
                 found[i, k].append(h)
         out = []
-        for i, text in zip(docs["id"].array, docs["text"].array, strict=True):
+        for i, text, copies in zip(docs["id"].array, docs["text"].array, docs["copies"].array, strict=True):
             raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
             words, doc_id = raw.split(), None if i is None else int(i)
             n, spans = len(words), []
@@ -233,8 +247,8 @@ def kept_rows(window: int):
                 ends = [0, *(x for s in spans for x in s), n]
                 words = [w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in words[a:b]]
             out.append((doc_id, n, n - len(words), [{"start": a, "end": b} for a, b in spans],
-                        b" ".join(words).decode("utf-8", "surrogatepass")))
-        res = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "removed", "kept_text"])
+                        b" ".join(words).decode("utf-8", "surrogatepass"), copies))
+        res = pd.DataFrame(out, columns=["id", "n_words", "n_removed", "removed", "kept_text", "copies"])
         return res.assign(id=pd.array([r[0] for r in out], "Int64"))
 
     return run
@@ -258,12 +272,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     repeats = spread.select("part", "blob").groupBy("part").applyInPandas(group, "home int, blob binary")
     # ids go as text: pandas would turn a column of integers and nulls into floats
+    # (null ids are skipped by the hash: their texts spread them)
     homed = base.select(F.col("id").cast("string").alias("id"), "text",
-                        F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("home"))
-    return homed.groupBy("home").cogroup(repeats.groupBy("home")).applyInPandas(
-        kept_rows(window),
-        "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string",
-    ).withColumnRenamed("id", id_col)
+                        F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(groups)).cast("int").alias("home"))
+    # copies of a row are one row with a count; the shuffle by home serves this and the cogroup
+    homed = homed.repartition("home").groupBy("home", "id", "text").agg(F.count("*").alias("copies"))
+    kept = homed.groupBy("home").cogroup(repeats.groupBy("home")).applyInPandas(
+        kept_rows(window), "id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, "
+        "kept_text string, copies long")
+    # each copy gets its row again, by two sequences of bounded size
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE)))
+    some = F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("copies") - F.col("_part") * COPIES_AT_ONCE)
+    kept = kept.select("*", parts.alias("_part")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), some)))
+    return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", "removed", "kept_text")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -70,3 +72,42 @@ def test_homes_match_spark(spark):
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr(
         "pmod(xxhash64(i), 97)").collect()]
     assert S.homes(np.array(ids, np.int64), 97).tolist() == want
+
+
+def test_homes_are_bounded_for_null_and_repeated_ids(spark, monkeypatch, tmp_dir):
+    monkeypatch.setattr(S, "GROUP_CHARS", 2_000)
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = [(1, f"first {passage}")]
+    docs += [(None, f"null {k} {passage}") for k in range(150)]
+    docs += [(7, f"seven {k} {passage} {k}") for k in range(150)]
+    docs += [(9, f"nine {passage} tail")] * 150 + [(None, None)] * 150 + [(None, f"n {passage}")] * 30
+    run = S.kept_rows
+
+    def counted(window):
+        def group(rows, repeats):
+            open(f"{tmp_dir}/{len(rows)}-{uuid.uuid4().hex}", "w").close()
+            return run(window)(rows, repeats)
+        return group
+
+    counted.__module__ = "__main__"
+    monkeypatch.setattr(S, "kept_rows", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(S.substring_dedup(df)) == brute(docs, 13)
+    sizes = [int(name.split("-")[0]) for name in os.listdir(tmp_dir)]
+    assert max(sizes) <= 60, sorted(sizes)  # in all 631 rows of four keys, 303 different ones
+
+
+def test_homes_of_id_and_text_match_spark(spark):
+    pairs = [(i, k) for i in (0, 1, -1, 2**62, -(2**63), 2**63 - 1) for k in (0, 1, 2**31, 2**32 - 1)]
+    df = spark.createDataFrame(pairs, "i long, k long").selectExpr("i", "k", "pmod(xxhash64(i, k), 97) AS h")
+    got = df.collect()
+    ids, keys = np.array([r["i"] for r in got], np.int64), np.array([r["k"] for r in got], np.uint32)
+    assert S.homes(ids, 97, keys).tolist() == [r["h"] for r in got]
+
+
+def test_copies_in_a_chunk_give_one_entry():
+    import pandas as pd
+    text = " ".join(f"w{k}" for k in range(40))
+    pdf = pd.DataFrame({"id": ["4"] * 50 + ["5"], "text": [text] * 50 + ["x " + text]})
+    out = pd.concat(S.window_entries(1, 13)(iter([pdf])))
+    assert sorted(len(S._unpack(b)[3]) for b in out["blob"]) == [28, 29]
