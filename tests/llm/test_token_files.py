@@ -61,6 +61,16 @@ test_encoder_on_any_text.tokenizer = Tokenizer.from_file(PATH)
 test_encoder_on_any_text.encode = T.PieceEncoder(JSON, np.dtype("<u2"))
 
 
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    encode = T.PieceEncoder(open(path, encoding="utf-8").read(), np.dtype("<u4"))
+    texts = [*TRICKY, "one two", "one  two", " led", "a\n\n b "]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(r, "<u4").tolist() for r in encode(texts)] == want
+    assert not encode.drops_space and test_encoder_on_any_text.encode.drops_space
+
+
 def brute(pairs):
     """(id, start, n_tokens, crc) in order, nulls first."""
     tokenizer, out, at = Tokenizer.from_file(PATH), [], 0
