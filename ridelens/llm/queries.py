@@ -6,12 +6,15 @@ from ridelens.llm import (
     decontaminate,
     minhash,
     mixing,
+    prefix_trie,
     secrets_scan,
+    sentencepiece_bpe,
     sharding,
     simhash,
     substring_dedup,
     token_files,
     toxicity,
+    turn_repair,
     warc,
 )
 
@@ -26,6 +29,9 @@ QUERIES = {f.__name__: f for f in (
     token_files.op8_token_output,
     minhash.op9_minhash_fingerprints,
     substring_dedup.op10_substring_dedup,
+    turn_repair.op11_turn_repair,
+    sentencepiece_bpe.op12_sentencepiece,
+    prefix_trie.op13_prefix_trie,
 )}
 
 # The others need functions that SQL lacks (XXH64, CRC-32, a tokenizer, model fitting); tests hold those
