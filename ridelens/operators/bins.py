@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelens.functions import bin_label, bin_index, pround
-from ridelens.operators.common import axis_counts, axis_frame, densify, exact_percentiles, scalars, with_share
+from ridelens.operators.common import axis_counts, axis_frame, box_row, densify, exact_percentiles, scalars, with_share
 
 INF = float("inf")
 
@@ -159,26 +159,12 @@ def equi_width_histogram(df: DataFrame, col: str, bins: int, n: str = "n") -> Da
 
 
 def box_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
-    """Quartiles (linear), IQR fences, whiskers and outlier count.
-
-    Quartiles use :func:`exact_percentiles`; the whiskers / outlier count are a
-    second partial aggregate with the fences passed as scalar subqueries.
-    """
-    q = scalars(exact_percentiles(df, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "q1", "median", "q3")
-    q1, q3 = q["q1"], q["q3"]
+    """Quartiles (linear), IQR fences, whiskers and outlier count (A33), in two passes over the rows
+    (:func:`ridelens.operators.common.box_row`)."""
+    row = box_row(df, col, whisker)
+    q1, q3 = F.col("q1"), F.col("q3")
     iqr = q3 - q1
-    lo_f = q1 - F.lit(whisker) * iqr
-    hi_f = q3 + F.lit(whisker) * iqr
-    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    inside = (x >= lo_f) & (x <= hi_f)
-    agg = df.where(x.isNotNull()).agg(
-        F.min(F.when(inside, x)).alias("whisker_low"),
-        F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return agg.select(
-        q1.alias("q1"), q["median"].alias("median"), q3.alias("q3"),
-        iqr.alias("iqr"), lo_f.alias("lower_fence"), hi_f.alias("upper_fence"),
-        "whisker_low", "whisker_high", "n_outliers", "n",
+    return row.select(
+        "q1", "median", "q3", iqr.alias("iqr"), (q1 - F.lit(whisker) * iqr).alias("lower_fence"),
+        (q3 + F.lit(whisker) * iqr).alias("upper_fence"), "whisker_low", "whisker_high", "n_outliers", "n",
     )

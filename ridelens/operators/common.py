@@ -254,42 +254,70 @@ def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float],
         return freq.groupBy(*keys).agg(
             *[F.percentile(F.col("_v"), F.lit(float(p)), F.col("_f")).alias(n) for n, p in probs.items()])
 
-    bracket = _brackets(src, keys, ps, accuracy, ex)
+    stats = _brackets(src, keys, ps, accuracy, ex)
+    side = F.broadcast(stats) if bounded_groups else stats
     if keys:
-        rows = src.select(*keys, "_v").join(F.broadcast(bracket) if bounded_groups else bracket, keys, "inner")
+        rows = src.select(*keys, "_v").join(side, keys, "inner")
     else:  # one group: its bracket is a one-row scalar subquery, no join
-        rows = src.select("_v", bracket.select("_s").scalar().alias("_s"))
+        rows = src.select("_v", stats.select("_s").scalar().alias("_s"))
     win = _bracketed(rows, keys, len(ps))
-    per = _ranked_values(win, keys, ps)
-    # without keys this is a global aggregate: exactly one row, NULLs when empty
-    picked = [F.max(F.when(F.col("_i") == names.index(n), F.col("_val"))).alias(n) for n in probs]
+    picks = _ranked_values(win, stats, keys, ps, bounded_groups or not keys)
+    s = F.col("_s")
     if keys:
-        return per.groupBy(*keys, "_s").agg(*picked).select(*keys, *probs, *[F.col(f"_s.{n}").alias(n) for n in ex_names])
-    s = bracket.select("_s").scalar()
-    return per.agg(*picked).select(*probs, *[s[n].alias(n) for n in ex_names])
+        per = _on(stats.dropna(subset=keys), F.broadcast(picks) if bounded_groups else picks, keys, "left")
+    else:
+        s = stats.select("_s").scalar()
+        per = picks
+    outside = F.raise_error(F.lit("a percentile's rank lies outside its bracket: raise accuracy")).cast("double")
+    value = {n: F.when((s["_n"] > 0) & F.col(f"_p{names.index(n)}").isNull(), outside).otherwise(
+        F.col(f"_p{names.index(n)}")).alias(n) for n in probs}
+    return per.select(*keys, *value.values(), *[s[n].alias(n) for n in ex_names])
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both NULL ``keys``; null-safe equality adds no filters, so that readers share exchanges."""
+    right = right.withColumnsRenamed({k: f"_h{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_h{k}"))
+    return left.join(right, cond, how).drop(*[f"_h{k}" for k in keys])
+
+
+# from this many ranks on, a bracket of 0.5 % on either side covers the sketch's error
+MID_MARGIN = 0.005
 
 
 def _brackets(src: DataFrame, keys: list[str], ps: list[float], accuracy: int, ex: list[Column]) -> DataFrame:
-    """(keys, _s): per group the count, the extra aggregates and a value bracket per probability."""
-    eps, m = 2.0 / accuracy, len(ps)
-    lo_p, hi_p = [max(0.0, p - eps) for p in ps], [min(1.0, p + eps) for p in ps]
+    """(keys, _s): per group the count, the extra aggregates and a value bracket per probability.
+
+    The margin around a probability must cover the sketch's rank error (n / accuracy) and two ranks more: 2 / accuracy
+    does for groups of 4·accuracy rows, ``MID_MARGIN`` for most smaller ones; the smallest take their min and max.
+    """
+    m = len(ps)
+    margins = (2.0 / accuracy, MID_MARGIN)
+    ends = [[f(p, e) for p in ps] for e in margins for f in (lambda p, e: max(0.0, p - e), lambda p, e: min(1.0, p + e))]
     stats = src.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        # one sketch answers both ends of every bracket
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p + hi_p]), accuracy).alias("_aq"), *ex)
-    # Above 4·accuracy rows the 2/accuracy margin is ≥ 8 ranks, which covers both the
-    # sketch's rank error and the gap between its rank ⌈p·n⌉ and ⌊p·(n−1)⌋.
-    small = F.col("_n") < F.lit(4 * accuracy)
-    lo = [F.when(small | F.lit(lo_p[i] == 0.0), F.col("_min")).otherwise(F.col("_aq")[i]) for i in range(m)]
-    hi = [F.when(small | F.lit(hi_p[i] == 1.0), F.col("_max")).otherwise(F.col("_aq")[m + i]) for i in range(m)]
+        # one sketch answers all ends of every bracket
+        F.percentile_approx("_v", F.array(*[F.lit(x) for x in sum(ends, [])]), accuracy).alias("_aq"), *ex)
+    large = F.col("_n") >= F.lit(4 * accuracy)
+    mid = F.lit(1.0 / accuracy) + F.lit(2.0) / F.greatest(F.col("_n"), F.lit(1)) <= F.lit(MID_MARGIN)
+
+    def end(i: int, side: int, extreme: str) -> Column:
+        limit = float(side)
+        pick = [F.col(extreme) if ends[2 * k + side][i] == limit else F.col("_aq")[(2 * k + side) * m + i] for k in (0, 1)]
+        return F.when(large, pick[0]).when(mid, pick[1]).otherwise(F.col(extreme))
+
+    lo, hi = [end(i, 0, "_min") for i in range(m)], [end(i, 1, "_max") for i in range(m)]
     rest = [c for c in stats.columns if c not in (*keys, "_min", "_max", "_aq")]
     return stats.select(*keys, F.struct(*rest, F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi")).alias("_s"))
 
 
-def _bracketed(rows: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """(keys, _s, _i, _r, _v, _f): frequency of every value inside the bracket of probability ``_i``, with its
-    sub-range. Rows below brackets collapse into counters with ``_i = -1``: as brackets rise with the probability,
-    ``_r`` names the first one a row is below of (``m``: rows without a value)."""
+def _bracketed(rows: DataFrame, keys: list[str], m: int, more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, _i, _r, _v, _f): frequency of every value inside the bracket of probability ``_i``, with its sub-range.
+    Rows below brackets collapse into counters with ``_i = -1``: as brackets rise with the probability, ``_r`` names
+    the first one a row is below of. ``more``: further (i, r, v) tags, NULL for rows without; ``_low`` and ``_high``
+    are then the extremes of the rows behind a tag."""
     lo, hi, v = F.col("_s._lo"), F.col("_s._hi"), F.col("_v")
 
     def spot(i: int) -> Column:
@@ -297,56 +325,83 @@ def _bracketed(rows: DataFrame, keys: list[str], m: int) -> DataFrame:
         at = F.when(hi[i] > lo[i], F.least(at, F.lit(RANK_RANGES - 1))).otherwise(F.lit(0))
         return F.struct(F.lit(i).alias("i"), at.alias("r"), v.alias("v"))
 
-    below = F.lit(m)
-    for i in reversed(range(m)):
+    below = F.lit(m - 1)
+    for i in reversed(range(m - 1)):
         below = F.when(v < lo[i], F.lit(i)).otherwise(below)
     counter = F.struct(F.lit(-1).alias("i"), below.alias("r"), F.lit(None).cast("double").alias("v"))
-    parts = [F.when(v.isNull() | (v < lo[m - 1]), counter),
-             *[F.when((v >= lo[i]) & (v <= hi[i]), spot(i)) for i in range(m)]]
-    tagged = rows.select(*keys, "_s", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_t"))
-    return tagged.groupBy(*keys, "_s", F.col("_t.i").alias("_i"), F.col("_t.r").alias("_r"),
-                          F.col("_t.v").alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+    parts = [F.when(v < lo[m - 1], counter), *[F.when((v >= lo[i]) & (v <= hi[i]), spot(i)) for i in range(m)], *more]
+    tagged = rows.select(*keys, v.alias("_x"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_t"))
+    extremes = [F.min("_x").alias("_low"), F.max("_x").alias("_high")] if more else []
+    return tagged.groupBy(*keys, F.col("_t.i").alias("_i"), F.col("_t.r").alias("_r"),
+                          F.col("_t.v").alias("_v")).agg(F.count(F.lit(1)).alias("_f"), *extremes)
 
 
-def _ranked_values(win: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
-    """(keys, _s, _i, _val): the interpolated value of every probability, NULL rows for groups without values."""
-    m, group = len(ps), [*keys, "_s"]
-    counts = win.groupBy(*group, "_i", "_r").agg(F.sum("_f").alias("_f"))
+def _ranked_values(win: DataFrame, stats: DataFrame, keys: list[str], ps: list[float], bounded: bool) -> DataFrame:
+    """(keys, _p0, _p1, ...): the interpolated value of every probability; without keys always one row."""
+    m = len(ps)
     # a counter counts for its own and for all higher brackets, as a sub-range before the first
-    cell = "array<struct<i:int,r:int,f:bigint>>"
-    later = F.transform(F.sequence(F.least("_r", F.lit(m - 1)), F.lit(m - 1)),
-                        lambda i: F.struct(i.alias("i"), F.lit(-1).alias("r"), F.col("_f").alias("f")))
-    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("r"), F.lit(0).cast("long").alias("f")))
-    one = F.array(F.struct(F.col("_i").alias("i"), F.col("_r").alias("r"), F.col("_f").alias("f")))
-    cells = F.when(F.col("_i") >= 0, one.cast(cell)).when(F.col("_r") < m, later.cast(cell)).otherwise(none.cast(cell))
-    flat = counts.select(*group, F.explode(cells).alias("_c")).groupBy(
-        *group, F.col("_c.i").alias("_i"), F.col("_c.r").alias("_r")).agg(F.sum("_c.f").alias("_f"))
+    later = F.transform(F.sequence("_r", F.lit(m - 1)), lambda i: F.struct(i.alias("i"), F.lit(-1).alias("r")))
+    cells = F.when(F.col("_i") >= 0, F.array(F.struct(F.col("_i").alias("i"), F.col("_r").alias("r")))).otherwise(later)
+    flat = win.select(*keys, "_f", F.explode(cells).alias("_c")).groupBy(
+        *keys, F.col("_c.i").alias("_i"), F.col("_c.r").alias("_r")).agg(F.sum("_f").alias("_f"))
     # at most RANK_RANGES + 1 rows per group and probability
-    before = Window.partitionBy(*group, "_i").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    pos = F.array(*[F.lit(p) for p in ps])[F.greatest("_i", F.lit(0))] * (F.col("_s._n") - 1).cast("double")
-    flat = flat.select(*group, "_i", "_r", "_f", F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_before"),
-                       pos.alias("_pos"))
-    k0 = F.floor("_pos")
-    k1 = F.least(k0 + 1, F.col("_s._n") - 1)
+    before = Window.partitionBy(*keys, "_i").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    flat = flat.withColumn("_before", F.coalesce(F.sum("_f").over(before), F.lit(0)))
+    if keys:
+        n = stats.select(*keys, F.col("_s._n").alias("_n"))
+        flat = _on(flat, F.broadcast(n) if bounded else n, keys)
+    else:
+        flat = flat.withColumn("_n", stats.select("_s").scalar()["_n"])
+    pos = F.array(*[F.lit(p) for p in ps])[F.col("_i")] * (F.col("_n") - 1).cast("double")
+    k0 = F.floor(pos)
+    k1 = F.least(k0 + 1, F.col("_n") - 1)
     holds = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_f")) for k in (k0, k1)]
-    outside = F.raise_error(F.lit("a percentile's rank lies outside its bracket: raise accuracy")).cast("long")
-    hit = flat.where((F.col("_i") >= 0) & (holds[0] | holds[1])).select(
-        *[F.col(c).alias(f"_h{c}") for c in (*group, "_i", "_r")], "_pos",
-        F.when(F.col("_r") < 0, outside).otherwise(F.col("_before")).alias("_before"))
-    # null-safe equality adds no filters, so both readers of ``win`` share its exchange
-    same = [F.col(c).eqNullSafe(F.col(f"_h{c}")) for c in (*group, "_i", "_r")]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    order = Window.partitionBy(*group, "_i", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = win.join(hit, cond).select(*group, "_i", "_v", "_pos",
-                                        (F.sum("_f").over(order) + F.col("_before")).alias("_cum"))
-    per = ranked.groupBy(*group, "_i").agg(
-        F.min(F.when(F.col("_cum") > k0, F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > k1, F.col("_v"))).alias("_v1"), F.first("_pos").alias("_pos"))
-    val = F.col("_v0") + (F.col("_pos") - F.floor("_pos")) * (F.col("_v1") - F.col("_v0"))
-    empty = flat.where("_i < 0").select(*group, "_i", F.lit(None).cast("double").alias("_val"))
-    return per.select(*group, "_i", val.alias("_val")).unionByName(empty)
+    # at most two sub-ranges per group and probability; _r < 0 holds no value, so the rank stays without one
+    hit = flat.where(holds[0] | holds[1]).select(*keys, "_i", "_r", "_before", pos.alias("_pos"), k0.alias("_k0"),
+                                                 k1.alias("_k1"))
+    ranked = _on(win.where("_i >= 0"), F.broadcast(hit) if bounded else hit, [*keys, "_i", "_r"])
+    order = Window.partitionBy(*keys, "_i", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_cum", F.sum("_f").over(order) + F.col("_before"))
+    picks = []
+    for i in range(m):
+        at, own = F.col("_i") == i, []
+        for k in ("_k0", "_k1"):
+            # of the sub-range that holds the rank: values before it have too small a running count
+            here = at & (F.col("_cum") > F.col(k)) & (F.col("_before") <= F.col(k))
+            own.append(F.min(F.when(here, F.col("_v"))))
+        share = F.max(F.when(at, F.col("_pos") - F.floor("_pos")))
+        picks.append((own[0] + share * (own[1] - own[0])).alias(f"_p{i}"))
+    return ranked.groupBy(*keys).agg(*picks)
+
+
+def box_row(df: DataFrame, value: str, whisker: float, accuracy: int = 10000) -> DataFrame:
+    """One row: q1, median, q3, whisker_low, whisker_high, n_outliers, n – exact, in two passes over the rows.
+
+    The brackets of the quartiles bound each fence, too. The second pass keeps the frequencies of the values between a
+    fence's bounds; the rows that are surely within both fences, or surely outside, are a counter with their extremes.
+    """
+    v = F.col(value).cast("double")
+    src = df.select(F.when(~F.isnan(v), v).alias("_v")).where(F.col("_v").isNotNull())
+    ps = [0.25, 0.5, 0.75]
+    stats = _brackets(src, [], ps, accuracy, [])
+    s = stats.select("_s").scalar()
+    rows = src.select("_v", s.alias("_s"))
+    lo, hi, x = F.col("_s._lo"), F.col("_s._hi"), F.col("_v")
+    wide, narrow = (hi[2] - lo[0]) * F.lit(whisker), (lo[2] - hi[0]) * F.lit(whisker)
+    unsure = x.between(lo[0] - wide, hi[0] - narrow) | x.between(lo[2] + narrow, hi[2] + wide)
+    out = (x < lo[0] - wide) | (x > hi[2] + wide)
+    tag = F.when(unsure, -2).when(out, -4).otherwise(-3)
+    more = F.struct(tag.alias("i"), F.lit(0).alias("r"), F.when(unsure, x).alias("v"))
+    win = _bracketed(rows, [], len(ps), [more])
+    q = _ranked_values(win.where("_i >= -1"), stats, [], ps, True)
+    q = q.select(F.struct(*[F.col(f"_p{i}") for i in range(3)]).alias("q")).scalar()
+    fences = [q["_p0"] - F.lit(whisker) * (q["_p2"] - q["_p0"]), q["_p2"] + F.lit(whisker) * (q["_p2"] - q["_p0"])]
+    inside = (F.col("_i") == -3) | ((F.col("_i") == -2) & (F.col("_v") >= fences[0]) & (F.col("_v") <= fences[1]))
+    rest = win.where("_i <= -2").agg(
+        F.min(F.when(inside, F.col("_low"))).alias("whisker_low"), F.max(F.when(inside, F.col("_high"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_f"))), F.lit(0)).cast("long").alias("n_outliers"),
+        F.coalesce(F.sum("_f"), F.lit(0)).cast("long").alias("n"))
+    return rest.select(q["_p0"].alias("q1"), q["_p1"].alias("median"), q["_p2"].alias("q3"), "*")
 
 
 def auto_accuracy(df: DataFrame, by=None, window_rows: int = 1_000_000) -> int:
