@@ -1,10 +1,10 @@
 """Feature stages for Spark ML pipelines (M1–M8).
 
-Everything is a standard ``pyspark.ml`` stage except :class:`LevelGrouper`, a
-small Estimator/Model pair that groups infrequent categorical levels and fills
-missing ones with the most frequent level (Spark's ``Imputer`` only handles
-numbers). Its fitted state – the grouped levels and the mode per column – is
-bounded (``MAX_LEVELS``) and is persisted as plain params so ``PipelineModel.save/load`` works.
+Everything is a standard ``pyspark.ml`` stage except three small Estimator/Model pairs, whose fitted state is
+persisted as plain params so that ``PipelineModel.save/load`` works: :class:`LevelGrouper` groups infrequent categorical
+levels and fills missing ones with the most frequent level (Spark's ``Imputer`` only handles numbers; the grouped levels
+are bounded by ``MAX_LEVELS``); :class:`ExactRobustScaler` and :class:`ExactMedianImputer` use exact percentiles without
+a task that holds a whole column.
 """
 
 from __future__ import annotations
@@ -155,13 +155,102 @@ class LevelGrouperModel(Model, _LevelParams, DefaultParamsReadable, DefaultParam
         return df.withColumns(out)
 
 
-def scaled_block(cols: list[str], kind: str, prefix: str, relative_error: float = 0.0001) -> tuple[list, str | None]:
-    """Assemble ``cols`` and scale them: ``standard`` (mean 0, std 1), ``robust``
-    (median / IQR; quantiles within ``relative_error`` of the rank, 0 is exact and
-    keeps every distinct value of a column in one task) or ``minmax`` (M1–M3)."""
+class _ExactParams(HasInputCols, HasOutputCols):
+    """Input and output columns, and the fitted numbers as JSON."""
+
+    fitted = Param(Params._dummy(), "fitted", "JSON: column → fitted numbers", typeConverter=TypeConverters.toString)
+
+    def numbers(self) -> dict:
+        return json.loads(self.getOrDefault(self.fitted))
+
+
+def column_percentiles(df: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict]:
+    """Exact, linearly interpolated percentiles of several numeric columns in two passes over the rows; NULL and NaN
+    are ignored. The columns are stacked as (column, value) and go through one bracket per column, so no task holds a
+    whole column; only ``probs`` numbers per column come to the driver."""
+    from ridelens.operators.common import exact_percentiles
+
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols])))
+    rows = exact_percentiles(long, "value", probs, by="col", bounded_groups=True, accuracy="auto").collect()
+    got = {r["col"]: {n: r[n] for n in probs} for r in rows}
+    return {c: got.get(c, dict.fromkeys(probs)) for c in cols}
+
+
+class ExactRobustScaler(Estimator, _ExactParams, DefaultParamsReadable, DefaultParamsWritable):
+    """(x − median) / IQR with exact interpolated quartiles (M2).
+
+    A column without spread is centred only; a column without any value stays as it is. NULL stays NULL.
+    """
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> ExactRobustScalerModel:
+        q = column_percentiles(df, self.getInputCols(), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+        fitted = {c: (v["q2"], (v["q3"] - v["q1"]) or 1.0) if v["q2"] is not None else (0.0, 1.0) for c, v in q.items()}
+        return self._copyValues(ExactRobustScalerModel(
+            inputCols=self.getInputCols(), outputCols=self.getOutputCols(), fitted=json.dumps(fitted)))
+
+
+class ExactRobustScalerModel(Model, _ExactParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, fitted="{}"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted = self.numbers()
+        return df.withColumns({o: (F.col(f"`{c}`").cast("double") - F.lit(fitted[c][0])) / F.lit(fitted[c][1])
+                               for c, o in zip(self.getInputCols(), self.getOutputCols())})
+
+
+class ExactMedianImputer(Estimator, _ExactParams, DefaultParamsReadable, DefaultParamsWritable):
+    """NULL and NaN → the column's exact interpolated median (M6). A column without any value cannot be imputed: fitting fails."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> ExactMedianImputerModel:
+        fitted = {c: v["q2"] for c, v in column_percentiles(df, self.getInputCols(), {"q2": 0.5}).items()}
+        empty = [c for c, m in fitted.items() if m is None]
+        if empty:
+            raise ValueError(f"no value to take a median of: {', '.join(empty)}")
+        return self._copyValues(ExactMedianImputerModel(
+            inputCols=self.getInputCols(), outputCols=self.getOutputCols(), fitted=json.dumps(fitted)))
+
+
+class ExactMedianImputerModel(Model, _ExactParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, fitted="{}"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted, out = self.numbers(), {}
+        for c, o in zip(self.getInputCols(), self.getOutputCols()):
+            x = F.col(f"`{c}`").cast("double")
+            out[o] = F.when(x.isNull() | F.isnan(x), F.lit(fitted[c])).otherwise(x)
+        return df.withColumns(out)
+
+
+def scaled_block(cols: list[str], kind: str, prefix: str, relative_error: float | None = None) -> tuple[list, str | None]:
+    """Assemble ``cols`` and scale them: ``standard`` (mean 0, std 1), ``robust`` (median / IQR) or ``minmax`` (M1–M3).
+
+    Quartiles are exact and interpolated (:class:`ExactRobustScaler`); with a ``relative_error`` they are values within
+    that error of the rank (0: the value at the rank, for which Spark keeps every distinct value of a column in one task).
+    """
     if not cols:
         return [], None
     raw, out = f"{prefix}_raw", f"{prefix}_vec"
+    if kind == "robust" and relative_error is None:
+        scaled = [f"{prefix}_{c}" for c in cols]
+        return [ExactRobustScaler(inputCols=cols, outputCols=scaled),
+                VectorAssembler(inputCols=scaled, outputCol=out, handleInvalid="keep")], out
     asm = VectorAssembler(inputCols=cols, outputCol=raw, handleInvalid="keep")
     if kind == "standard":
         sc = StandardScaler(inputCol=raw, outputCol=out, withMean=True, withStd=True)
@@ -198,17 +287,20 @@ def onehot_block(cols: list[str], prefix: str, unseen: str = "keep") -> tuple[li
 def preprocessor(standard=(), robust=(), minmax=(), onehot=(), min_frequency: float = 0.0,
                  min_count: int = 0, impute_numeric=(), impute_categorical: bool = False,
                  passthrough=(), output: str = "features", unseen: str = "keep",
-                 relative_error: float = 0.0001) -> list:
+                 relative_error: float | None = None) -> list:
     """Stages equivalent to the reference's column transformer (M1–M8).
 
-    Numeric columns listed in ``impute_numeric`` get a median ``Imputer`` first;
+    Numeric columns listed in ``impute_numeric`` get their median first (exact and interpolated, or within
+    ``relative_error`` of the rank, see :func:`scaled_block`);
     categorical columns are cast to string, optionally mode-imputed and
     infrequent-grouped, then one-hot encoded; everything is assembled into
     ``output`` (other columns are ignored, i.e. ``remainder="drop"``).
     """
     stages, parts = [], []
     imp = list(impute_numeric)
-    if imp:
+    if imp and relative_error is None:
+        stages.append(ExactMedianImputer(inputCols=imp, outputCols=imp))
+    elif imp:
         stages.append(Imputer(inputCols=imp, outputCols=imp, strategy="median",
                               relativeError=relative_error))
     blocks = ((standard, "standard", "std"), (robust, "robust", "rob"), (minmax, "minmax", "mm"),

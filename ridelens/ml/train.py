@@ -206,49 +206,88 @@ def status_stages(df: DataFrame) -> list:
     return preprocessor(standard=_present(df, STATUS_NUMERIC), onehot=_present(df, STATUS_ONEHOT))
 
 
-def status_estimator(label: str = "label_idx", weight: str = "weight", n_weight: float | None = None):
-    """Balanced multinomial logistic regression (M16): C = 1 ⇒ ``regParam = 1 / Σw``."""
+def status_estimator(label: str = "label_idx", weight: str = "weight", n_weight: float | None = None,
+                     penalty: float = 1.0, tol: float = 1e-6):
+    """Balanced multinomial logistic regression (M16): C = 1 / penalty ⇒ ``regParam = penalty / Σw``."""
     return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, family="multinomial",
-                              maxIter=1000, regParam=1.0 / float(n_weight or 1.0), standardization=False)
+                              maxIter=1000, regParam=penalty / float(n_weight or 1.0), standardization=False, tol=tol)
 
 
 def status_frame(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in STATUS_LEAKY if c in df.columns])
 
 
+# (application, input and settings) -> folder name of the scored rows; a name per training run
+_OOF_RUNS: dict[tuple, str] = {}
+
+
+def _content(df: DataFrame) -> tuple:
+    """Row count and the sum of row hashes: equal for equal rows in any order."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return (df.schema.simpleString(), row["n"], str(row["h"]))
+
+
 def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "booking_id",
-               k: int | None = None) -> DataFrame:
+               k: int | None = None, stages=status_stages, penalty: float = 1.0, tol: float = 1e-6,
+               parallelism: int = 4) -> DataFrame:
     """Out-of-fold status predictions over stratified folds.
 
-    Returns ``(id, label, prediction, fold)`` for every row exactly once.
+    Returns ``(id, label, prediction, probability, classes, fold)`` for every row exactly once; ``probability`` is an
+    array in the order of ``classes``. ``stages(train)`` gives the preprocessing. Folds, and per fold the assembled features with
+    their weights, are written once to the shared folder and read by everything after; the folds are fitted
+    concurrently. A run is known by its settings and its input rows, so reports on the same rows share one
+    training run of the session.
     """
-    from pyspark.ml.feature import IndexToString, StringIndexer
-
     import uuid
+    from concurrent.futures import ThreadPoolExecutor
 
-    from ridelens.sources.files import persist_table
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import vector_to_array
 
-    d = status_frame(df)
-    d = stratified_folds(d, label, id_col, k)
-    # folds computed once, written to the shared folder, read by every fit
-    d = persist_table(d, f"oof_input_{uuid.uuid4().hex[:12]}")
+    from ridelens.sources.files import drop_tables, persist_table, read_persisted
+
+    spark, d = df.sparkSession, status_frame(df)
+    run = (spark.sparkContext.applicationId, _content(d), label, id_col, k, f"{stages.__module__}.{stages.__qualname__}",
+           penalty, tol)
+    if run in _OOF_RUNS:
+        return read_persisted(spark, _OOF_RUNS[run])
+    tag = uuid.uuid4().hex[:12]
+    d = persist_table(stratified_folds(d, label, id_col, k), f"oof_input_{tag}")
     k_used = d.agg(F.max("fold")).first()[0] + 1
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
-    to_text = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
-    parts = []
-    for f in range(k_used):
+    classes = F.array(*[F.lit(c) for c in indexer.labels])
+
+    def scored(f: int) -> DataFrame:
         # weights and penalty from the fold's training rows only
-        train, test = with_class_weights(d.where(F.col("fold") != f), label), d.where(F.col("fold") == f)
-        n_weight = train.agg(F.sum("weight")).first()[0]
-        pipe = Pipeline(stages=[indexer] + status_stages(train) + [status_estimator(n_weight=n_weight)])
-        m = pipe.fit(train)
-        parts.append(to_text.transform(m.transform(test)).select(
-            id_col, F.col(label).alias("label"), F.col("predicted").alias("prediction"), "fold"))
+        train = with_class_weights(d.where(F.col("fold") != f), label)
+        prep = Pipeline(stages=[indexer, *stages(train)]).fit(train)
+        tr = persist_table(prep.transform(train).select("features", "label_idx", "weight"), f"oof_{tag}_train{f}")
+        n_weight = tr.agg(F.sum("weight")).first()[0]
+        m = status_estimator(n_weight=n_weight, penalty=penalty, tol=tol).fit(tr)
+        out = m.transform(prep.transform(d.where(F.col("fold") == f)))
+        return persist_table(out.select(
+            id_col, F.col(label).alias("label"), F.get(classes, F.col("prediction").cast("int")).alias("prediction"),
+            vector_to_array("probability").alias("probability"), classes.alias("classes"), "fold"), f"oof_{tag}_scored{f}")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(scored, range(k_used)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # every row is scored once, whatever reads the predictions
-    return persist_table(out, f"oof_scored_{uuid.uuid4().hex[:12]}")
+    out = persist_table(out, f"oof_scored_{tag}")
+    drop_tables(spark, [f"oof_input_{tag}", *(f"oof_{tag}_{s}{f}" for f in range(k_used) for s in ("train", "scored"))])
+    _OOF_RUNS[run] = f"oof_scored_{tag}"
+    return out
+
+
+def level_probabilities(model, levels: DataFrame, classes: list[str]) -> DataFrame:
+    """Probability of every class for each row of ``levels``: (its columns, class, probability)."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(levels).select(*levels.columns, vector_to_array("probability").alias("p"))
+    names = F.array(*[F.lit(c) for c in classes])
+    return scored.select(*levels.columns, F.posexplode("p").alias("i", "probability")).select(
+        *levels.columns, F.get(names, F.col("i")).alias("class"), "probability")
 
 
 def status_cv_metrics(oof: DataFrame) -> DataFrame:
@@ -258,15 +297,16 @@ def status_cv_metrics(oof: DataFrame) -> DataFrame:
     return cv_classification_metrics(oof, "fold", "label", "prediction")
 
 
-def train_booking_status(df: DataFrame, label: str = "booking_status", save_path: str | None = None):
+def train_booking_status(df: DataFrame, label: str = "booking_status", save_path: str | None = None,
+                         stages=status_stages, penalty: float = 1.0, tol: float = 1e-6):
     """Fit the balanced status model on all rows (M27 refit), optionally saved."""
     from pyspark.ml.feature import StringIndexer
 
     d = with_class_weights(status_frame(df), label)
     n_weight = d.agg(F.sum("weight")).first()[0]
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
-    model = Pipeline(stages=[idx] + status_stages(d) + [status_estimator(n_weight=n_weight)]).fit(d)
-    _save(model, d, STATUS_NUMERIC + STATUS_ONEHOT, save_path)
+    model = Pipeline(stages=[idx, *stages(d), status_estimator(n_weight=n_weight, penalty=penalty, tol=tol)]).fit(d)
+    _save(model, d, _present(d, STATUS_NUMERIC + STATUS_ONEHOT), save_path)
     return model
 
 

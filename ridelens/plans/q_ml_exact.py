@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ridelens.functions import pround, weekday_name
+from ridelens.ml import evaluate as EV
 from ridelens.ml import folds as FD
 from ridelens.ml import score as SC
 from ridelens.ml import train as TR
@@ -82,6 +83,28 @@ def imputed_features(spark, sf):
                       (F.array_position(F.slice(v, 2, 100), F.lit(1.0)) - 1).cast("int").alias("payment_slot"))
 
 
+@register("exact_scaled_imputed", with_views(
+    f"""SELECT booking_id, {pr('(COALESCE(avg_vtat, m1) - m1) / (w3 - w1)', 6)} AS wait_robust,
+               {pr('(COALESCE(booking_value, m2) - m2) / (v3 - v1)', 6)} AS value_robust,
+               {pr('(COALESCE(ride_distance, m3) - m3) / CASE WHEN d3 = d1 THEN 1 ELSE d3 - d1 END', 6)} AS distance_robust
+        FROM B, imp, st""",
+    """imp AS (SELECT quantile_cont(avg_vtat, 0.5) AS m1, quantile_cont(booking_value, 0.5) AS m2,
+                      quantile_cont(ride_distance, 0.5) AS m3 FROM B),
+    st AS (SELECT quantile_cont(a, 0.25) AS w1, quantile_cont(a, 0.75) AS w3, quantile_cont(v, 0.25) AS v1,
+                  quantile_cont(v, 0.75) AS v3, quantile_cont(d, 0.25) AS d1, quantile_cont(d, 0.75) AS d3
+           FROM (SELECT COALESCE(avg_vtat, m1) AS a, COALESCE(booking_value, m2) AS v, COALESCE(ride_distance, m3) AS d
+                 FROM B, imp))"""))
+def exact_scaled_imputed(spark, sf):
+    """Exact interpolated medians fill the gaps, exact quartiles scale the filled columns (M2, M6); the median of a
+    filled column is the one it was filled with."""
+    cols = ["avg_vtat", "booking_value", "ride_distance"]
+    b = bookings(spark, sf).select("booking_id", *cols)
+    out = Pipeline(stages=preprocessor(robust=cols, impute_numeric=cols)).fit(b).transform(b)
+    v = vector_to_array("features")
+    return out.select("booking_id", *[pround(v[i], 6).alias(n) for i, n in enumerate(
+        ("wait_robust", "value_robust", "distance_robust"))])
+
+
 # ---------------------------------------------------------------------------
 # linear models in closed form
 # ---------------------------------------------------------------------------
@@ -190,6 +213,93 @@ def oof_rows(spark, sf):
     return oof.select("booking_id", "label", "fold", F.col("prediction").isin(*classes).alias("known_class"))
 
 
+# ---------------------------------------------------------------------------
+# the status model on a saturated design (M16, M20–M24, M27): one categorical feature and no penalty, so the weighted
+# maximum-likelihood probabilities are the weighted class shares of each level
+# ---------------------------------------------------------------------------
+# a level that tells much, but not all, of the status
+_SIGNAL = "CAST(CAST(floor(((booking_id * 7919) % 100 + hour) / 10.0) AS INTEGER) AS VARCHAR(9))"
+
+
+def _signal_stages(df):
+    return preprocessor(onehot=["signal"])
+
+
+def _vehicle_stages(df):
+    return preprocessor(onehot=["vehicle_type"])
+
+
+def _signal_oof(spark, sf):
+    d = region(spark, sf).select("booking_id", "booking_status", F.expr(_SIGNAL).alias("signal"))
+    return TR.oof_status(d, stages=_signal_stages, penalty=0.0, tol=1e-9)
+
+
+@register("status_saturated", with_views(
+    f"""SELECT g.vehicle_type, c.booking_status AS class,
+               {pr('(COALESCE(x.n, 0) / CAST(c.n AS DOUBLE)) / t.s', 4)} AS probability
+        FROM (SELECT DISTINCT vehicle_type FROM B_region) g CROSS JOIN c
+             LEFT JOIN x ON x.vehicle_type = g.vehicle_type AND x.booking_status = c.booking_status
+             JOIN t ON t.vehicle_type = g.vehicle_type""",
+    """c AS (SELECT booking_status, count(*) AS n FROM B_region GROUP BY 1),
+    x AS (SELECT vehicle_type, booking_status, count(*) AS n FROM B_region GROUP BY 1, 2),
+    t AS (SELECT x.vehicle_type, sum(x.n / CAST(c.n AS DOUBLE)) AS s FROM x JOIN c USING (booking_status) GROUP BY 1)"""))
+def status_saturated(spark, sf):
+    """Probability of every class per vehicle type of the balanced model without a penalty."""
+    d = region(spark, sf).select("vehicle_type", "booking_status")
+    model = TR.train_booking_status(d, stages=_vehicle_stages, penalty=0.0, tol=1e-9)
+    levels = d.select("vehicle_type").distinct().withColumn("booking_status", F.lit(model.stages[0].labels[0]))
+    out = TR.level_probabilities(model, levels, model.stages[0].labels)
+    return out.select("vehicle_type", "class", pround("probability", 4).alias("probability"))
+
+
+_OOF_CTES = f"""t AS (SELECT booking_id, booking_status AS label, {_SIGNAL} AS signal FROM B_region),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('42:' || CAST(booking_id AS VARCHAR)),
+            1, 8) AS BIGINT), CAST(booking_id AS VARCHAR)) - 1 AS rk FROM t),
+    kk AS (SELECT greatest(2, least(5, min(c))) AS k FROM (SELECT count(*) AS c FROM t GROUP BY label)),
+    f AS (SELECT booking_id, label, signal, CAST(rk % (SELECT k FROM kk) AS INTEGER) AS fold FROM r),
+    folds AS (SELECT DISTINCT fold AS k FROM f),
+    c AS (SELECT k, label, count(*) AS n FROM f, folds WHERE fold <> k GROUP BY 1, 2),
+    x AS (SELECT k, signal, label, count(*) AS n FROM f, folds WHERE fold <> k GROUP BY 1, 2, 3),
+    best AS (SELECT x.k, x.signal, arg_max(x.label, x.n / CAST(c.n AS DOUBLE)) AS prediction,
+                    max(x.n / CAST(c.n AS DOUBLE)) / sum(x.n / CAST(c.n AS DOUBLE)) AS top
+             FROM x JOIN c ON c.k = x.k AND c.label = x.label GROUP BY 1, 2),
+    p AS (SELECT f.booking_id, f.label, f.fold, best.prediction, best.top
+          FROM f JOIN best ON best.k = f.fold AND best.signal = f.signal)"""
+
+
+@register("oof_saturated", with_views(
+    f"SELECT booking_id, label, fold, prediction, {pr('top', 3)} AS probability FROM p", _OOF_CTES))
+def oof_saturated(spark, sf):
+    """Out-of-fold class and its probability of every row, balanced per fold's training rows."""
+    return _signal_oof(spark, sf).select("booking_id", "label", "fold", "prediction",
+                                         pround(F.array_max("probability"), 3).alias("probability"))
+
+
+@register("oof_saturated_metrics", with_views(
+    f"""SELECT {pr('avg(acc)', 6)} AS accuracy_mean, {pr('stddev_pop(acc)', 6)} AS accuracy_std, {pr('avg(f1)', 6)} AS f1_macro_mean,
+               {pr('stddev_pop(f1)', 6)} AS f1_macro_std, CAST(count(*) AS BIGINT) AS n_folds
+        FROM (SELECT per.fold, sum(tp) / CAST(sum(support) AS DOUBLE) AS acc, avg(2.0 * tp / (support + npred)) AS f1
+              FROM per GROUP BY 1)""",
+    _OOF_CTES + """, lab AS (SELECT fold, label AS c FROM p UNION SELECT fold, prediction FROM p),
+    per AS (SELECT lab.fold, lab.c, count(*) FILTER (WHERE p.label = lab.c AND p.prediction = lab.c) AS tp,
+                   count(*) FILTER (WHERE p.label = lab.c) AS support, count(*) FILTER (WHERE p.prediction = lab.c) AS npred
+            FROM lab JOIN p ON p.fold = lab.fold GROUP BY 1, 2)"""))
+def oof_saturated_metrics(spark, sf):
+    """Accuracy and macro F1, mean and std over the folds, of the same training run."""
+    m = TR.status_cv_metrics(_signal_oof(spark, sf))
+    return m.select(*[pround(c, 6).alias(c) for c in m.columns if c != "n_folds"], "n_folds")
+
+
+@register("oof_saturated_matrix", with_views(
+    """SELECT a.c AS actual, b2.c AS predicted, CAST(COALESCE(x2.n, 0) AS BIGINT) AS n
+       FROM lab a CROSS JOIN lab b2 LEFT JOIN x2 ON x2.label = a.c AND x2.prediction = b2.c""",
+    _OOF_CTES + """, lab AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
+    x2 AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY 1, 2)"""))
+def oof_saturated_matrix(spark, sf):
+    """Out-of-fold confusion matrix of the same training run."""
+    return EV.confusion_matrix(_signal_oof(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # scoring (M29–M31)
 # ---------------------------------------------------------------------------

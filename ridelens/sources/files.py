@@ -134,6 +134,13 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.parquet(path)
 
 
+def read_persisted(spark: SparkSession, name: str) -> DataFrame:
+    """A table that :func:`persist_table` wrote in the shared folder."""
+    from ridelens.session import scratch_path
+
+    return spark.read.parquet(scratch_path(spark, name))
+
+
 def drop_tables(spark: SparkSession, names: list[str]) -> None:
     """Remove intermediate tables written by :func:`persist_table` in the shared folder."""
     from ridelens.session import scratch_path
