@@ -6,9 +6,11 @@ prefix is one token: the rarest. Words of the benchmark are counted over all doc
 its rarest word, and documents meet windows only on those words. A meeting fixes where the window would start
 (positional bound) and end (length bound); then its words are compared exactly with the document's at that place.
 
-The windows of the benchmark are broadcast while the table stays under ``BROADCAST_ROWS`` rows (checked by a count);
-beyond that they are joined by shuffle, where a word that very many documents use is split by AQE. Documents are cut
-into words twice (count, match); the words themselves are never shuffled, only counts and matches are.
+The windows of the benchmark are broadcast while their table stays under ``BROADCAST_ROWS`` rows and
+``BROADCAST_BYTES`` bytes (both counted). Beyond that they are joined by shuffle: only words that are some window's
+rarest go there, each with the at most ``2 * window - 1`` words around it, so the shuffle grows with the text and not
+with the length of a document; a word that very many documents use is split by AQE. Items are joined to the hits by window, a
+row per window and item. Documents are cut into words twice (count, match).
 
 Defined results: null texts and texts without words have no words, no windows and are clean; repeated items count by
 their ids (a null item id counts as no item but its windows still hit); repeated documents each get a row; a null
@@ -20,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import documents, lower_ascii, materialize, table
+from ridelens.llm.common import ID, documents, id_keys, lower_ascii, materialize, own_row, table, text_key, unpacked
 
 # What stands between words after lower-casing A-Z, and before
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -50,45 +53,63 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return base.select("item_id", F.slice("w", F.col("at") + 1, window).alias("words"))
 
 
-def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_enough(df: DataFrame, size: Column) -> bool:
+    """Whether ``df``, whose rows take about ``size`` bytes, may be broadcast."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size + 32), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
+def word_bytes(words: str) -> Column:
+    return F.octet_length(F.array_join(words, " ")) + 16 * F.size(words)
+
+
+def distinct_windows(items: DataFrame, window: int) -> DataFrame:
+    """(win, words, item_id): a row per window and item; ``win`` names a window."""
+    windows = item_windows(items, window).distinct()
+    return materialize(windows.select(F.xxhash64("words").alias("win"), "words", "item_id"), "decon-windows")
 
 
 def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(word, offset, words, items): the distinct windows under their word that is rarest in all documents."""
-    grouped = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    grouped = materialize(grouped.withColumn("win", F.xxhash64("words")), "decon-windows")
-    spots = grouped.select("win", "words", "items", F.posexplode("words").alias("offset", "word"))
+    """(word, offset, words, win): the distinct windows under their word that is rarest in all documents."""
+    spots = windows.select("win", "words").distinct().select("win", "words", F.posexplode("words").alias("offset", "word"))
     vocabulary = materialize(spots.select("word").distinct(), "decon-vocabulary")
-    known = checked_broadcast(vocabulary, vocabulary.count())
+    known = F.broadcast(vocabulary) if small_enough(vocabulary, F.octet_length("word")) else vocabulary
     counts = docs.select(F.explode("w").alias("word")).join(known, "word").groupBy("word").count()
-    order = Window.partitionBy("words").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
+    order = Window.partitionBy("win").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
     ranked = spots.join(counts, "word", "left").withColumn("rarity", F.row_number().over(order))
     # windows with a word that no document has cannot occur
-    index = ranked.where("rarity = 1 AND count > 0").select("word", "offset", "words", "items")
-    return materialize(index, "decon-index")
+    return materialize(ranked.where("rarity = 1 AND count > 0").select("word", "offset", "words", "win"), "decon-index")
 
 
-def find_hits(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, len, items): every occurrence of a window; ``docs``: doc_id, text_key, w."""
+def find_hits(docs: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """(doc_id, text_key, start, len, win): every occurrence of a window; ``docs``: doc_id, text_key, w."""
+    start, size = F.col("pos") - F.col("offset"), F.size("words")
+    out = ["doc_id", "text_key", start.alias("start"), size.alias("len"), "win"]
     words = docs.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
-    met = words.join(checked_broadcast(index, index.count()), "word")
-    start = F.col("pos") - F.col("offset")
-    size = F.size("words")
-    met = met.where((start >= 0) & (start + size <= F.size("w")))
-    met = met.where(F.slice("w", start + 1, size) == F.col("words"))
-    return met.select("doc_id", "text_key", start.alias("start"), size.alias("len"), "items")
+    if small_enough(index, word_bytes("words")):
+        met = words.join(F.broadcast(index), "word").where((start >= 0) & (start + size <= F.size("w")))
+        return met.where(F.slice("w", start + 1, size) == F.col("words")).select(*out)
+    rare = index.select("word").distinct()
+    if small_enough(rare, F.octet_length("word")):
+        words = words.join(F.broadcast(rare), "word", "left_semi")
+    low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    around = words.select("doc_id", "text_key", "pos", "word", low.alias("low"), F.size("w").alias("n"),
+                          F.slice("w", low + 1, F.lit(2 * window - 1)).alias("around"))
+    met = around.join(index, "word").where((start >= 0) & (start + size <= F.col("n")))
+    return met.where(F.slice("around", start - F.col("low") + 1, size) == F.col("words")).select(*out)
+
+
+def base_words(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")),
+                       tokens(F.col("text").cast("string")).alias("w"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, n_words, n_hit, n_items, item_ids (sorted), contaminated."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-                       tokens(F.col("text")).alias("w"))
-    index = rarest_words(base, item_windows(items, window))
-    hits = find_hits(base, index)
-    per = hits.groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    base, windows = base_words(docs), distinct_windows(items, window)
+    hits = materialize(find_hits(base, rarest_words(base, windows), window).distinct(), "decon-spots")
+    key = [*id_keys(F.col("doc_id")), "text_key"]
+    spans = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"))
     # covered words: each span counts from where the spans before it end
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
@@ -97,12 +118,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         return F.struct(F.greatest(acc["end"], end).alias("end"),
                         (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], s["start"]))).alias("n"))
 
-    per = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item_ids",
-                     F.aggregate("spans", zero, add)["n"].cast("long").alias("n_hit"))
-    found = materialize(per, "decon-hits")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-                        n_tokens(F.col("text")).alias("n_words"))
-    out = every.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    spans = spans.select(*ID, "text_key", F.aggregate("spans", zero, add)["n"].cast("long").alias("n_hit"))
+    named = hits.select(*key, "win").distinct().join(windows.where("item_id IS NOT NULL").select("win", "item_id"), "win")
+    named = named.groupBy(*ID, "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    found = materialize(spans.join(named, [*ID, "text_key"], "left"), "decon-hits")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *id_keys(F.col("doc_id")), text_key(F.col("text")),
+                        n_tokens(F.col("text").cast("string")).alias("n_words"))
+    out = every.join(found, [*ID, "text_key"], "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
@@ -111,14 +133,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no window of an item occurs, all columns unchanged."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
-                       tokens(F.col("text")).alias("w"))
-    hits = find_hits(base, rarest_words(base, item_windows(items, window)))
-    found = materialize(hits.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(),
-                        "decon-found")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    return keyed.join(found, same, "left_anti").select(*docs.columns)
+    base = base_words(docs)
+    hits = find_hits(base, rarest_words(base, distinct_windows(items, window)), window)
+    found = materialize(hits.select(*id_keys(F.col("doc_id")), "text_key").distinct(), "decon-found")
+    rows = docs.select(*id_keys(F.col("doc_id")), text_key(F.col("text")), own_row(docs).alias("row"))
+    return unpacked(rows.join(found, [*ID, "text_key"], "left_anti"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ in proportion to their targets. The copies of all sources are range-sorted by fi
 total budget; of each source, the copy in service at the cut counts with the words served by then.
 
 No source is ever sorted or summed in one task: words before a document are the sum of the hash ranges before its own
-(one row per source and range) plus a running sum in its range; the position in the mixed stream comes from ranges of
-virtual time in the same way.
+(one row per source and range, summed in blocks) plus a running sum in its range; the position in the mixed stream comes
+from ranges of virtual time in the same way. A range that one id crowds (null ids are one id) is parted by the texts'
+hashes, and very many equal rows by a salt, which changes nothing as equal rows are interchangeable.
 
 Defined results: a null or blank text has size 0, takes 0 and is not queued; a null source is a source of its own, last;
-a null id is an id (all null ids hash alike, their sizes break the tie); repeated rows are queued each; reruns agree;
+a null id is an id (all null ids hash alike, their texts' hashes break the tie); repeated rows are queued each; reruns agree;
 other columns are ignored; an empty table gives an empty one. The source table (one row per source) is ordered in one
 task; it is an aggregate, not rows of the corpus.
 """
@@ -25,11 +26,25 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import WORD, documents, materialize
+from ridelens.llm.common import (
+    ID,
+    WORD,
+    crowded,
+    documents,
+    id_keys,
+    materialize,
+    own_row,
+    row_hash,
+    sums_before,
+    text_key,
+    top_bits,
+    unpacked,
+)
 
 ROWS_PER_RANGE = 2_000
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
+COPIES_AT_ONCE = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -57,26 +72,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), share).alias("target"), "n")
 
 
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text_key, source, size, salt, ...) of every row, written; the salt only parts equal rows."""
+    return materialize(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")),
+        F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"), *more), "mix-sizes")
+
+
+RANGE = ["range", "sub", "copy"]
+
+
 def queue_documents(sizes: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
-    """Adds source_size, target and ``upto``: words of the source's shuffled queue up to and with the document."""
+    """Adds source_size, target and ``upto``: words of the source's shuffled queue up to and with the document.
+
+    The queue is in the order of (range, sub, copy, h, doc_id, text_key, ...): ``range`` is of the id's hash h, ``sub`` of
+    the text's hash in ranges that one id or a few crowd, ``copy`` of the salt among equal rows that are very many.
+    """
     rows = sizes.count()
     bits = max(0, math.ceil(math.log2(max(1, rows / ROWS_PER_RANGE))))
-
-    def ranged(df: DataFrame) -> DataFrame:
-        word = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
-        df = df.withColumn("h", F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long"))  # 60 bits
-        return df.withColumn("range", F.shiftright("h", 60 - bits))
-
-    parts = ranged(sizes).groupBy("source", "range").agg(F.sum("size").alias("part"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("source").alias("s"), F.col("range").alias("r"),
-                          F.coalesce(F.sum("part").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, 0)
-    run = ranged(sizes).withColumn("own", F.sum("size").over(own))
+    ties = [c for c in sizes.columns if c not in ("source", "salt", "size")]
+    word = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
+    queue = sizes.withColumn("h", F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long"))  # 60 bits
+    queue = queue.withColumn("range", F.shiftright("h", 60 - bits))
+    queue = top_bits(queue, crowded(queue, ["source", "range"], ROWS_PER_RANGE, "mix-crowded"), ["source", "range"],
+                     "text_key", "sub")
+    equal = ["source", *ties]
+    queue = top_bits(queue, crowded(sizes, equal, ROWS_PER_RANGE, "mix-copies"), equal, "salt", "copy")
+    parts = queue.groupBy("source", *RANGE).agg(F.sum("size").alias("part"))
+    starts = sums_before(parts, ["source"], RANGE, "part", block=F.shiftright("range", 12))
+    starts = starts.select(*[F.col(c).alias(f"{c}_") for c in ("source", *RANGE)], "first")
+    own = Window.partitionBy("source", *RANGE).orderBy("h", *ties, "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = queue.withColumn("own", F.sum("size").over(own))
     t = targets.select(F.col("source").alias("t"), "source_size", "target")
-    run = run.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    run = run.join(t, F.col("source").eqNullSafe(F.col("t")))
+    same = F.col("source").eqNullSafe(F.col("source_"))
+    for c in RANGE:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    run = run.join(starts, same).join(t, F.col("source").eqNullSafe(F.col("t")))
     return run.select(*sizes.columns, "source_size", "target", (F.col("first") + F.col("own")).alias("upto"))
 
 
@@ -110,40 +142,36 @@ def mixed_stream(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: ``docs`` (doc_id, text, source, n_chars, ...) with a row per copy taken.
 
-    A copy that is cut has its first words only, joined by one space, and its own n_chars.
+    A copy that is cut has its first words only, joined by one space, and its own n_chars. Rows are told apart by all their columns;
+    rows equal in all of them share their copies.
     """
-    text_key = F.xxhash64("text")
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"),
-                                    F.col("source").cast("string").alias("source"),
-                                    n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = sized(docs, row_hash(docs).alias("row_key"))
     targets = materialize(source_targets(sizes, weights, max_repeats), "mix-targets")
     queue = materialize(queue_documents(sizes, targets), "mix-queue")
-    copies = mixed_stream(queue, max_repeats).groupBy(
-        F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("source").alias("_s")).agg(
-        F.collect_list(F.struct("words", "size")).alias("_copies"))
-    keyed = docs.withColumn("_key", text_key)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col(
-        "source").cast("string").eqNullSafe(F.col("_s"))
-    # rows that repeat id, text and source share their copies
-    first = Window.partitionBy("_d", "_k", "_s").orderBy(F.xxhash64(*docs.columns))
-    rows = keyed.join(materialize(copies, "mix-copies"), same).withColumn("_n", F.row_number().over(first))
-    rows = rows.where("_n = 1").withColumn("_copy", F.explode("_copies"))
-    whole = F.col("_copy.words") == F.col("_copy.size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
-                               F.col("_copy.words").cast("int")), " ")
-    rows = rows.withColumn("_text", F.when(whole, F.col("text")).otherwise(cut))
-    out = {"text": F.col("_text")}
+    keys = [*ID, "row_key"]
+    copies = mixed_stream(queue, max_repeats).groupBy(*id_keys(F.col("doc_id")), "row_key", "words", "size").agg(
+        F.count("*").alias("n"))
+    # one text of equal rows; a text is shuffled once, as the join is on the same keys
+    rows = docs.select(*id_keys(F.col("doc_id")), row_hash(docs).alias("row_key"), own_row(docs).alias("row"))
+    rows = rows.groupBy(*keys).agg(F.first("row").alias("row")).join(materialize(copies, "mix-copies"), keys)
+    at_once = F.lit(COPIES_AT_ONCE)
+    rows = rows.withColumn("rest", F.explode(F.sequence(F.col("n"), F.lit(1).cast("long"), -at_once)))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("rest", at_once))))
+    text = F.col("row").getField("text")
+    whole = F.col("words") == F.col("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")),
+                       " ")
+    rows = rows.withColumn("taken", F.when(whole, text).otherwise(cut))
+    out = {"text": F.col("taken")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(
-            F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+        out["n_chars"] = F.when(whole, F.col("row").getField("n_chars")).otherwise(
+            F.length("taken").cast(docs.schema["n_chars"].dataType))
+    return unpacked(rows, **out)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) of every row of ``docs`` (doc_id, text, source)."""
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                    F.col("source").cast("string").alias("source"),
-                                    n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = sized(docs)
     targets = materialize(source_targets(sizes, weights, max_repeats), "mix-targets")
     queue = materialize(queue_documents(sizes, targets), "mix-queue")
     keys = ["doc_id", "size", "source", "source_size", "target"]
@@ -173,7 +201,7 @@ WITH d AS (
     sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest
   FROM s1
 ), level AS (
-  SELECT rest, w_rest FROM s2 WHERE cap * w_rest >= rest * w ORDER BY cap / w, rest, w_rest LIMIT 1
+  SELECT rest, w_rest FROM s2 WHERE cap * w_rest >= rest * w ORDER BY cap / w, source NULLS LAST LIMIT 1
 ), t AS (
   SELECT source, s, least(CAST(cap AS DOUBLE), level.rest * w / level.w_rest) AS target FROM s2, level
 ), q AS (

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import materialize
+from ridelens.llm.common import ID, id_keys, materialize, own_row, row_hash, text_key, unpacked
 from ridelens.llm.components import connected_components
 
 BITS = 64
@@ -252,17 +252,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with one document of each group: the one with the smallest id."""
+    """``docs`` (doc_id, text, ...) with one document of each group: the one with the smallest id; of rows that repeat
+    both its id and its text, one by a hash of all columns. All columns are passed on as they are.
+
+    Equal (id, text) rows are reduced to one before the shuffle, which is the only one that texts go through.
+    """
     groups = simhash_components(docs, shingle=shingle, max_bits=max_bits)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key").eqNullSafe(
-        F.col("rep_key")))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    rows = keyed.join(kept, same)
-    # rows that repeat both id and text: one stays
-    first = Window.partitionBy("_d", "_k").orderBy(F.xxhash64(*docs.columns))
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return rows.select(*docs.columns)
+        F.col("rep_key")))).select(*id_keys(F.col("doc_id")), "text_key").distinct()
+    rows = docs.select(*id_keys(F.col("doc_id")), text_key(F.col("text")), row_hash(docs).alias("order"), own_row(docs).alias("row"))
+    keys = [*ID, "text_key"]
+    return unpacked(rows.groupBy(*keys).agg(F.min_by("row", "order").alias("row")).join(kept, keys))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,21 @@ row per file, in order) is written as a table; the prefix sum over it gives ever
 File format (all little-endian), in this order:
 
     ids         n_ids x uint16 (uint32 if the vocabulary needs it)
-    doc ids     n_docs x int64, then a bit per document: its id is not null
-    low bits    n_docs x low_bits bits, packed
-    high bits   Elias-Fano upper part: end i sets bit (end_i >> low_bits) + i
+    ends        an Elias-Fano sequence: ids up to and with each document
+    doc ids     an Elias-Fano sequence: the ids that are not null, less the smallest; null ids come first
+    trailer     magic, id width, n_docs, n_ids, number of null ids, smallest id, (low_bits, number of high bits) of
+                both sequences
+
+    An Elias-Fano sequence is
+    low bits    n x low_bits bits, packed
+    high bits   upper part: value i sets bit (value_i >> low_bits) + i
     samples     uint32 position of every ``SAMPLE``-th set bit
-    trailer     magic, id width, low_bits, n_docs, n_ids, number of high bits
 
-Boundaries take about 2 + log2(n_ids / n_docs) bits a document; no 64-bit offset table is stored. ``select`` finds
-one end from the nearest sample.
+Boundaries take about 2 + log2(n_ids / n_docs) bits a document and ids 2 + log2(id span / n_docs); no 64-bit table is
+stored. ``select`` finds one value from the nearest sample.
+
+Documents are sorted by id, rows of one id by text. An id that very many rows share (null is one) is spread over tasks by
+the first ``TIE_CHARS`` characters of the text and a hash of all of it; in each task its rows are in the order of the text.
 
 Encoding: a text is cut at ASCII white space, which the tokenizer drops and never joins tokens across, and each
 distinct piece is encoded once by the tokenizers library and then taken from a bounded memory. The tests hold this
@@ -41,15 +48,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import WORD, fresh_path, materialize, open_new, open_read
+from ridelens.llm.common import WORD, fresh_path, materialize, open_new, open_read, text_key
 
-MAGIC = b"EFTOKEN1"
-TRAILER = "<8sHHQQQ"
+MAGIC = b"EFTOKEN2"
+TRAILER = "<8sHQQQqHQHQ"
 SAMPLE = 256
 FILE_IDS = 8_000_000
 FILE_DOCS = 500_000
 BATCH_BYTES = 5_000_000
 READ_IDS = 1_000_000
+TIE_CHARS = 64
 WORDS_AT_ONCE = 5_000  # the library's results take far more memory than the ids
 CACHED_PIECES = 200_000
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -68,14 +76,16 @@ class EliasFano:
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
+        n, values = len(values), values.astype(np.uint64)
         low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low_bits)) & 1
-        ones = (values >> low_bits) + np.arange(n)
+        bits = np.zeros((n, low_bits), np.uint8)
+        for b in range(low_bits):
+            bits[:, b] = values >> np.uint64(b) & np.uint64(1)
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         size = n + (universe >> low_bits) + 1
         high = np.zeros(size, np.uint8)
         high[ones] = 1
-        return cls(n, low_bits, size, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes(),
+        return cls(n, low_bits, size, np.packbits(bits.ravel(), bitorder="little").tobytes(),
                    np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype(np.uint32).tobytes())
 
     @staticmethod
@@ -102,10 +112,13 @@ class EliasFano:
         return (self.select(i) - i) << self.low_bits | self._low(i)
 
     def all(self) -> np.ndarray:
+        """The whole sequence, as uint64."""
         ones = np.flatnonzero(np.unpackbits(self.high, count=self.high_size, bitorder="little"))
-        low = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return (ones - np.arange(self.n)) << self.low_bits | low
+        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        for b in range(self.low_bits):
+            out |= bits[:, b].astype(np.uint64) << np.uint64(b)
+        return out
 
 
 # ---- files ----------------------------------------------------------------------------------------------------
@@ -122,15 +135,30 @@ class TokenFileWriter:
         self.ids.append(doc_id)
 
     def close(self) -> tuple[str, int, int]:
-        n = len(self.ends)
-        ef = EliasFano.encode(np.array(self.ends, np.int64), self.n_ids)
-        self.out.write(np.array([i or 0 for i in self.ids], np.int64).tobytes())
-        self.out.write(np.packbits(np.array([i is not None for i in self.ids], bool)).tobytes())
-        for part in (ef.low, ef.high, ef.samples):
-            self.out.write(part.tobytes())
-        self.out.write(struct.pack(TRAILER, MAGIC, self.dtype.itemsize, ef.low_bits, n, self.n_ids, ef.high_size))
+        ids = [i for i in self.ids if i is not None]  # ascending, after those that are null
+        first = ids[0] if ids else 0
+        ends = EliasFano.encode(np.array(self.ends, np.int64), self.n_ids)
+        ids = EliasFano.encode(np.array([i - first for i in ids], np.uint64), ids[-1] - first if ids else 0)
+        for ef in (ends, ids):
+            for part in (ef.low, ef.high, ef.samples):
+                self.out.write(part.tobytes())
+        self.out.write(struct.pack(TRAILER, MAGIC, self.dtype.itemsize, ends.n, self.n_ids, ends.n - ids.n, first,
+                                   ends.low_bits, ends.high_size, ids.low_bits, ids.high_size))
         self.out.close()
-        return self.uri, n, self.n_ids
+        return self.uri, ends.n, self.n_ids
+
+
+class DocIds:
+    """The ids of a file's documents: nulls, then an Elias-Fano sequence above the smallest id."""
+
+    def __init__(self, n_null: int, first: int, above: EliasFano):
+        self.n_null, self.first, self.above = n_null, first, above
+
+    def __getitem__(self, i: int) -> int | None:
+        return None if i < self.n_null else self.first + self.above[i - self.n_null]
+
+    def all(self) -> list[int | None]:
+        return [None] * self.n_null + [self.first + x for x in self.above.all().tolist()]
 
 
 class TokenFile:
@@ -140,21 +168,19 @@ class TokenFile:
         self.f = open_read(uri)
         size = self.f.size()
         tail = struct.calcsize(TRAILER)
-        magic, width, low_bits, self.n, self.n_ids, high = struct.unpack(TRAILER, self._read(size - tail, tail))
+        (magic, width, self.n, self.n_ids, n_null, first, *sizes) = struct.unpack(
+            TRAILER, self._read(size - tail, tail))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a token file")
         self.dtype = np.dtype(f"<u{width}")
-        at = self.n_ids * width
-        ids = np.frombuffer(self._read(at, 8 * self.n), np.int64)
-        at += 8 * self.n
-        valid = np.unpackbits(np.frombuffer(self._read(at, (self.n + 7) // 8), np.uint8), count=self.n)
-        self.doc_ids = [int(i) if v else None for i, v in zip(ids, valid, strict=True)]
-        at += (self.n + 7) // 8
-        parts = []
-        for k in EliasFano.sizes(self.n, low_bits, high):
-            parts.append(self._read(at, k))
-            at += k
-        self.ends = EliasFano(self.n, low_bits, high, *parts)
+        at, sequences = self.n_ids * width, []
+        for n, low_bits, high in ((self.n, *sizes[:2]), (self.n - n_null, *sizes[2:])):
+            parts = []
+            for k in EliasFano.sizes(n, low_bits, high):
+                parts.append(self._read(at, k))
+                at += k
+            sequences.append(EliasFano(n, low_bits, high, *parts))
+        self.ends, self.doc_ids = sequences[0], DocIds(n_null, first, sequences[1])
 
     def _read(self, at: int, size: int) -> bytes:
         self.f.seek(at)
@@ -336,15 +362,15 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for uri, base in zip(pdf["path"], pdf["base"], strict=True):
             f = TokenFile(uri)
-            ends = f.ends.all()
+            ends = f.ends.all().astype(np.int64)
             starts = np.append(0, ends[:-1])
-            at = 0
+            doc_ids, at = f.doc_ids.all(), 0
             while at < f.n:
                 z = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_IDS)))
                 raw = f.ids(int(starts[at]), int(ends[z - 1])).astype("<u4").tobytes()
                 cut = 4 * (np.stack([starts[at:z], ends[at:z]]) - starts[at])
                 yield pd.DataFrame({
-                    "id": pd.array(f.doc_ids[at:z], "Int64"), "start": int(base) + starts[at:z],
+                    "id": pd.array(doc_ids[at:z], "Int64"), "start": int(base) + starts[at:z],
                     "n_tokens": ends[at:z] - starts[at:z],
                     "ids": [raw[a:b] for a, b in zip(*cut.tolist(), strict=True)]})
                 at = z
@@ -360,10 +386,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     size = Tokenizer.from_str(tokenizer.value).get_vocab_size()
     dtype = np.dtype("<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = base.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(
-        F.col("id").asc_nulls_first(), "text")
-    ordered = ordered.withColumn("id", F.col("id").cast("string"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       F.substring(F.col(text_col).cast("string"), 1, TIE_CHARS).alias("head"),
+                       text_key(F.col(text_col)), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").asc_nulls_first(), "head", "text_key", "row"]  # the row only parts equal rows
+    ordered = base.repartitionByRange(*order).sortWithinPartitions(order[0], "text", "row")
+    ordered = ordered.select(F.col("id").cast("string").alias("id"), "text")
     files = materialize(ordered.mapInArrow(_write(folder, tokenizer, end_id, dtype),
                                             "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
     # one row per file: small, so one ordered window is fine

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import documents, materialize, table
+from ridelens.llm.common import documents, materialize, own_row, table, unpacked
 
 MAX_LABELS = 8_000
 MAX_FEATURES = 20_000
@@ -123,8 +123,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABEL
     known = known.groupBy("id").agg(F.max("grade").alias("grade"))
     known = materialize(known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_labels), "tox-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # at most max_labels ids: a bounded broadcast
-    sample = texts.join(F.broadcast(known), "id").mapInPandas(
+    # at most max_labels ids: a bounded broadcast; of rows that repeat an id, the one with the smallest text hash
+    sample = texts.join(F.broadcast(known), "id").groupBy("id", "grade").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "grade").mapInPandas(
         _sample_features, "id long, grade int, n_words long, keys array<string>, counts array<int>")
     sample = materialize(sample, "tox-sample")
     pos, n = sample.agg(F.count_if(F.col("grade") > 0), F.count("*")).first()
@@ -213,5 +214,6 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
     """The documents whose expected severity is below ``reject_from``, all columns unchanged."""
-    scored = with_severity(docs, fit_toxicity(docs, labels), "_severity")
-    return scored.where(F.col("_severity") < reject_from).drop("_severity")
+    rows = docs.select(F.col("text").cast("string").alias("text"), own_row(docs).alias("row"))
+    scored = with_severity(rows, fit_toxicity(docs, labels))
+    return unpacked(scored.where(F.col("severity") < reject_from).select("row"))

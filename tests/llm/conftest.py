@@ -31,6 +31,22 @@ def edge_docs(spark, edge_rows):
     return spark.createDataFrame([r + (1, "x", "x", "x", "x", "x", "x", "x", "x") for r in edge_rows], SCHEMA)
 
 
+# what the row-keeping stages name their own columns, a map, nested maps, dotted and odd names
+CLASHES = {"row": "'r'", "order": "'o'", "no_id": "7", "id0": "8L", "text_key": "'t'", "row_key": "9L", "_key": "'k'",
+           "_d": "1", "_k": "2", "_s": "3", "_copies": "4", "_severity": "0.5", "severity": "'sev'", "copy": "5", "n": "6",
+           "rest": "'x'", "taken": "'y'", "words_": "'z'", "range_": "1", "salt": "2", "win": "3", "start": "4",
+           "m": "map('b', 1, 'a', doc_id)", "deep": "named_struct('m', map('k', array(1, 2)))", "list": "array(map('p', 3))",
+           "a.b": "concat('dot ', doc_id)", "we`ird name": "doc_id", "struct": "named_struct('row', 1, 'x.y', 'z')"}
+
+
+@pytest.fixture()
+def clash_docs(edge_docs):
+    """``edge_docs`` with every such column; a value tells the row it belongs to where it can."""
+    from pyspark.sql import functions as F
+
+    return edge_docs.select("*", *[F.expr(v).alias(k) for k, v in CLASHES.items()])
+
+
 @pytest.fixture()
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
