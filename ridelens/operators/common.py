@@ -56,6 +56,33 @@ def value_counts(df: DataFrame, col: str, dropna: bool = False, name: str = "n")
     return src.groupBy(col).agg(F.count(F.lit(1)).alias(name))
 
 
+# Fixed values of the frequent-items sketch behind approx_top_k: its map holds up to 3/4 of a power of two, its counts are
+# off by at most 3.5 / map size of the rows, and it names every value above twice that
+SKETCH_LOAD, SKETCH_ERROR = 0.75, 3.5
+
+
+def top_values(df: DataFrame, col: str, k: int, name: str = "n", tracked: int = 20_000) -> DataFrame:
+    """The ``k`` most frequent non-null values of a column with many distinct ones, exact, ties by value.
+
+    A mergeable frequent-items sketch of bounded size names at most ``tracked`` candidates; a second pass counts those
+    exactly (they are broadcast, so tasks send at most one row per candidate). The sketch's error bounds the
+    frequency of every value it did not name; if the k-th exact count is above that bound, no other value can
+    enter and the shuffle never grew with the number of values. Otherwise (evenly spread values) all values are counted.
+    """
+    src = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    total, items = src.agg(F.count(F.lit(1)), F.expr(f"transform(approx_top_k(_v, {tracked}, {tracked}), x -> x.item)")).first()
+    kind = src.schema["_v"].dataType
+    if items:
+        known = df.sparkSession.createDataFrame([(x,) for x in items], T.StructType([T.StructField("_c", kind)]))
+        counts = src.join(F.broadcast(known), F.col("_v") == F.col("_c")).groupBy(F.col("_v").alias(col)).agg(
+            F.count(F.lit(1)).alias(name))
+        top = order_by_count(counts, name, col).limit(k).collect()
+        size = 2 ** math.ceil(math.log2(tracked / SKETCH_LOAD))
+        if len(top) == k and top[-1][name] > 2 * SKETCH_ERROR / size * total:
+            return df.sparkSession.createDataFrame(top, counts.schema)
+    return order_by_count(value_counts(src.withColumnRenamed("_v", col), col, name=name), name, col).limit(k)
+
+
 def order_by_count(df: DataFrame, n: str, key: str | Sequence[str]) -> DataFrame:
     """Count-descending with a deterministic key tie-break (O2)."""
     return df.orderBy(F.col(n).desc(), *[F.col(k).asc_nulls_last() for k in _cols(key)])

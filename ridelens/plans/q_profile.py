@@ -24,15 +24,26 @@ from ridelens.functions import (
 )
 from ridelens.operators import bins as BN
 from ridelens.operators import clean as C
+from ridelens.operators import common as CM
 from ridelens.operators import profile as PF
 from ridelens.operators import time as TM
 from ridelens.plans.oracle_views import with_views
 from ridelens.plans.registry import register
 from ridelens.plans.sqltext import pr, share, values_table
-from ridelens.schemas import CLEAN_SCHEMA
+from ridelens.schemas import CLEAN_SCHEMA, FEEDBACK_SCHEMA
 from ridelens.session import scratch_path
 from ridelens.sources.driver_views import bookings, bookings_raw, table
-from ridelens.sources.files import csv_rejects, export_csv, read_bookings, sql_report, write_clean
+from ridelens.sources import batches as BT
+from ridelens.sources.files import (
+    append_feedback_batch,
+    csv_rejects,
+    export_csv,
+    persist_table,
+    read_bookings,
+    read_feedback,
+    sql_report,
+    write_clean,
+)
 
 # Spark types of view B, in column order (what the profile reports).
 B_TYPES = [
@@ -57,7 +68,8 @@ _PROFILE_SQL = with_views(" UNION ALL ".join(
 
 @register("column_profile", _PROFILE_SQL)
 def column_profile(spark, sf):
-    return PF.profile(bookings(spark, sf))
+    """The view is stored first: the profile scans it column by column."""
+    return PF.profile(persist_table(bookings(spark, sf), f"profile_input_{uuid.uuid4().hex[:12]}"))
 
 
 _MISSING_SQL = with_views(" UNION ALL ".join(
@@ -486,14 +498,58 @@ def unrated_counts(spark, sf):
 
 
 @register("rebased_heatmap", with_views(
-    """SELECT CAST(6 AS INTEGER) AS weekday, CAST(0 AS INTEGER) AS hour, CAST(count(*) AS BIGINT) AS n
-       FROM B WHERE weekday = 6 AND hour = 0"""))
+    """SELECT 'weekday' AS rebased, CAST(6 AS INTEGER) AS weekday, hour, CAST(count(*) AS BIGINT) AS n FROM B GROUP BY hour
+       UNION ALL SELECT 'hour', weekday, CAST(0 AS INTEGER), CAST(count(*) AS BIGINT) FROM B GROUP BY weekday
+       UNION ALL SELECT 'no value valid', weekday, hour, CAST(count(*) AS BIGINT) FROM B WHERE weekday = 6 GROUP BY 2, 3"""))
 def rebased_heatmap(spark, sf):
-    """Sunday midnight coded as weekday 7, hour 24: no value is valid as it stands, so both are rebased."""
-    b = bookings(spark, sf).where("weekday = 6 AND hour = 0").select(F.lit(7).alias("weekday"), F.lit(24).alias("hour"))
-    w = TM.normalize_weekday(b, "weekday", rule="no_valid")
-    t = TM.heatmap_time_frame(TM.normalize_hour(w)).select("weekday", "hour", F.col("_n").alias("n"))
-    return t.select(F.col("weekday").cast("int").alias("weekday"), F.col("hour").cast("int").alias("hour"), "n")
+    """An axis whose values are all out of range is rebased, the other one is left as it is (X6): weekday coded 7 for all
+    rows with their hours, hour coded 24 for all rows with their weekdays; and the Sundays, coded 7, with their hours."""
+    b = bookings(spark, sf).select("weekday", "hour")
+    coded = {"weekday": b.withColumn("weekday", F.lit(7)), "hour": b.withColumn("hour", F.lit(24)),
+             "no value valid": b.where("weekday = 6").withColumn("weekday", F.col("weekday") + 1)}
+    out = None
+    for name, rows in coded.items():
+        t = TM.heatmap_time_frame(TM.normalize_hour(TM.normalize_weekday(rows, "weekday", rule="no_valid")))
+        t = t.select(F.lit(name).alias("rebased"), F.col("weekday").cast("int").alias("weekday"),
+                     F.col("hour").cast("int").alias("hour"), F.col("_n").alias("n"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_HEAVY = "CASE WHEN booking_id % 3 = 0 THEN customer_id % 12 ELSE customer_id + booking_id % 100 END"
+
+
+@register("heavy_values", with_views(
+    f"""SELECT 'skewed' AS kind, v AS value, n FROM (SELECT {_HEAVY} AS v, CAST(count(*) AS BIGINT) AS n FROM B GROUP BY 1
+          ORDER BY n DESC, v LIMIT 10)
+        UNION ALL SELECT 'even', v, n FROM (SELECT customer_id AS v, CAST(count(*) AS BIGINT) AS n FROM B GROUP BY 1
+          ORDER BY n DESC, v LIMIT 10)"""))
+def heavy_values(spark, sf):
+    """Ten most frequent values of a skewed key with many values (candidates and their recount) and of an even one, whose
+    proof fails (full count) (A2, A38)."""
+    b = bookings(spark, sf).select("booking_id", "customer_id", F.expr(_HEAVY).alias("value"))
+    even = CM.top_values(b.select(F.col("customer_id").alias("value")), "value", 10)
+    both = {"skewed": CM.top_values(b, "value", 10), "even": even}
+    parts = [d.select(F.lit(k).alias("kind"), F.col("value").cast("long").alias("value"), "n") for k, d in both.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@register("feedback_appended_once", with_views(
+    """SELECT CASE WHEN rating IS NOT NULL THEN CAST(least(greatest(rating, 1), 5) AS INTEGER) END AS rating,
+              m2 AS message, e2 AS email, 'b' || CAST(conv_id % 3 AS VARCHAR) AS batch
+       FROM tr WHERE reason IS NULL""", _FB))
+def feedback_appended_once(spark, sf):
+    """Three batches of feedback: one sent once, one sent twice, one whose first writer died before its commit."""
+    folder = scratch_path(spark, f"feedback-{uuid.uuid4().hex[:12]}")
+    rows = feedback_rows(spark, sf)
+    for k, sent in enumerate((1, 2, 1)):
+        batch = rows.where(F.col("conv_id") % 3 == k)
+        if k == 2:
+            valid, _ = C.validate_feedback(batch)
+            BT.stage_batch(C.with_ingest_time(valid).select(*FEEDBACK_SCHEMA.names), folder, "b2")
+        for _ in range(sent):
+            append_feedback_batch(batch, folder, f"b{k}")
+    return read_feedback(spark, folder).select("rating", "message", "email", "batch")
 
 
 @register("formatted_zones", with_views(

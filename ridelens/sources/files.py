@@ -192,6 +192,25 @@ def append_feedback(df: DataFrame, path: str, fmt: str = "parquet") -> tuple[Dat
     return valid, rejected
 
 
+def append_feedback_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """Validate the feedback rows of one batch and append the valid ones once, however often the batch is sent.
+
+    False if the batch is there already. Read with :func:`read_feedback`.
+    """
+    from ridelens.sources.batches import append_batch
+
+    valid, _ = validate_feedback(df)
+    return append_batch(with_ingest_time(valid).select("timestamp", "rating", "message", "email"), path, batch)
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The feedback of all committed batches."""
+    from ridelens.schemas import FEEDBACK_SCHEMA
+    from ridelens.sources.batches import read_batches
+
+    return read_batches(spark, path, FEEDBACK_SCHEMA)
+
+
 def save_model(model, path: str) -> None:
     """Persist a fitted ``PipelineModel``."""
     model.write().overwrite().save(path)

@@ -3,9 +3,9 @@
 The reference appends one validated feedback row per form submit to an
 external sheet. Here feedback arrives as files in a landing folder; a
 Structured Streaming query validates every micro-batch with the same stateless
-operator as the batch path and appends valid rows to a Parquet table. The file
+operator as the batch path and appends valid rows, either to a Parquet table (the file
 sink plus the checkpoint give exactly-once appends across restarts and executor
-loss; the cleaning operators are likewise stateless and run unchanged on
+loss) or to a batch table with a commit ledger, which also batch jobs append to; the cleaning operators are likewise stateless and run unchanged on
 streaming input.
 """
 
@@ -54,6 +54,30 @@ def start_feedback_sink(spark: SparkSession, landing: str, sink: str, checkpoint
     return q1, q2
 
 
+def start_feedback_batches(spark: SparkSession, landing: str, sink: str, checkpoint: str, name: str = "feedback",
+                           fmt: str = "parquet", repeats_within: str = "1 hour", available_now: bool = True):
+    """Append every micro-batch to the batch table ``sink`` once (see :mod:`ridelens.sources.batches`).
+
+    A micro-batch that Spark repeats after a failure is staged again under the same batch id, and the ledger refuses it (it
+    must not be skipped before: its rows pass the state). Feedback that is sent again (equal message and e-mail) is
+    dropped with state under a watermark of ``repeats_within`` on the time of arrival. ``name`` keeps the batch ids of
+    checkpoints apart: one name per checkpoint, a new one for a new checkpoint.
+    """
+    from ridelens.sources.batches import commit_batch, stage_batch
+
+    valid, _ = validate_feedback(feedback_source(spark, landing, fmt))
+    rows = valid.withColumn("timestamp", F.current_timestamp()).withWatermark("timestamp", repeats_within)
+    rows = rows.dropDuplicatesWithinWatermark(["message", "email"])
+
+    def append(batch: DataFrame, number: int) -> None:
+        attempt = stage_batch(batch.select("timestamp", "rating", "message", "email"), sink, f"{name}-{number}")
+        commit_batch(batch.sparkSession, sink, f"{name}-{number}", attempt)
+
+    trig = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return (rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**trig).start())
+
+
 def clean_stream(spark: SparkSession, landing: str, fmt: str = "csv") -> DataFrame:
     """Raw booking files arriving in ``landing`` → cleaned streaming rows."""
     r = spark.readStream.schema(RAW_SCHEMA)
