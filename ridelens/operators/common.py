@@ -45,15 +45,31 @@ def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
+# a table with this column holds rows counted before (see plans.cube): each stands for so many rows
+ROWS = "_rows"
+
+
+def weight_of(df: DataFrame) -> list[str]:
+    """The column to keep beside the ones a report selects, if ``df`` holds counted rows."""
+    return [ROWS] if ROWS in df.columns else []
+
+
+def n_rows(df: DataFrame, when: Column | None = None) -> Column:
+    """Aggregate: number of rows (for which ``when`` holds) that ``df`` stands for."""
+    if ROWS not in df.columns:
+        return F.count(F.lit(1)) if when is None else F.count_if(when)
+    return F.coalesce(F.sum(ROWS if when is None else F.when(when, F.col(ROWS))), F.lit(0)).cast("long")
+
+
 def value_counts(df: DataFrame, col: str, dropna: bool = False, name: str = "n") -> DataFrame:
     """Rows per value, count-descending then value-ascending (A2).
 
     ``dropna=False`` keeps NULL as its own group (``value_counts(dropna=False)``).
     """
-    src = df.select(col)
+    src = df.select(col, *weight_of(df))
     if dropna:
         src = src.where(F.col(col).isNotNull())
-    return src.groupBy(col).agg(F.count(F.lit(1)).alias(name))
+    return src.groupBy(col).agg(n_rows(src).alias(name))
 
 
 # Fixed values of the frequent-items sketch behind approx_top_k: its map holds up to 3/4 of a power of two, its counts are

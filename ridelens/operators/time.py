@@ -20,7 +20,7 @@ from ridelens.functions import (
     to_int,
     weekday_name,
 )
-from ridelens.operators.common import axis_frame, densify, scalars, with_share
+from ridelens.operators.common import axis_frame, densify, n_rows, scalars, weight_of, with_share
 
 
 def normalize_weekday(df: DataFrame, col: str = "weekday", rule: str = "minmax") -> DataFrame:
@@ -66,13 +66,15 @@ def time_counts(df: DataFrame) -> DataFrame:
         numeric(df, "hour").alias("hour"),
         numeric(df, "weekday").alias("weekday"),
         numeric(df, "month").alias("month"),
+        *weight_of(df),
     ).dropna()
     t = t.select(
         clip(to_int("hour"), 0, 23).alias("hour"),
         to_int("weekday").alias("weekday"),
         clip(to_int("month"), 1, 12).alias("month"),
+        *weight_of(df),
     )
-    g = t.groupBy("hour", "weekday", "month").agg(F.count(F.lit(1)).alias("_n"))
+    g = t.groupBy("hour", "weekday", "month").agg(n_rows(t).alias("_n"))
     return normalize_weekday(g, "weekday", "minmax")
 
 
@@ -104,7 +106,9 @@ def rate_of(df: DataFrame, preds: dict, digits: int | None = None) -> DataFrame:
 
     out = []
     for name, pred in preds.items():
-        v = F.avg(as_flag(pred)) * F.lit(100.0)
+        share = F.avg(as_flag(pred)) if not weight_of(df) else F.try_divide(
+            n_rows(df, pred).cast("double"), n_rows(df).cast("double"))
+        v = share * F.lit(100.0)
         out.append((pround(v, digits) if digits is not None else v).alias(name))
     return df.agg(*out)
 
@@ -127,8 +131,8 @@ def heatmap_time_frame(df: DataFrame, weekday: str = "weekday", hour: str = "hou
     """
     from pyspark.sql import Window
 
-    t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"))
-    g = t.groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("_n"))
+    t = df.select(parse_weekday(weekday).alias("weekday"), parse_hour(hour).alias("hour"), *weight_of(df))
+    g = t.groupBy("weekday", "hour").agg(n_rows(t).alias("_n"))
     w, h = F.col("weekday"), F.col("hour")
     whole = Window.partitionBy()  # one row per (weekday, hour) value
 

@@ -29,12 +29,14 @@ from ridelens.operators.common import (
     axis_frame,
     densify,
     exact_percentiles,
+    n_rows,
     order_by_count,
     scalars,
     top_k,
     top_n_share,
     total_of,
     value_counts,
+    weight_of,
     with_share,
 )
 from ridelens.operators.geo import semi_top_k
@@ -287,7 +289,7 @@ def slowest_bin(df: DataFrame, min_count: int = 0) -> DataFrame:
 # ---------------------------------------------------------------------------
 def payment_mix(df: DataFrame, col: str = "payment_method") -> DataFrame:
     """Payment counts with NULL → "Unknown" and share 1 dp."""
-    filled = df.select(F.coalesce(F.col(col), F.lit("Unknown")).alias(col))
+    filled = df.select(F.coalesce(F.col(col), F.lit("Unknown")).alias(col), *weight_of(df))
     return order_by_count(with_share(value_counts(filled, col), "n", 1), "n", col)
 
 
@@ -357,7 +359,7 @@ def uplift(df: DataFrame, low: float = 0.08, high: float = 0.13, col: str = "boo
 # ---------------------------------------------------------------------------
 def top_locations(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """Top-k non-null locations by rides."""
-    s = df.select(F.col(col).cast("string").alias("location"))
+    s = df.select(F.col(col).cast("string").alias("location"), *weight_of(df))
     return top_k(value_counts(s, "location", dropna=True), "n", k, "location")
 
 
@@ -370,12 +372,12 @@ def heatmap_topzone_hour(df: DataFrame, k: int = 10, zone: str = "pickup_locatio
     """
     from pyspark.sql import Window
 
-    z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour")) \
+    z = df.select(F.col(zone).cast("string").alias("location"), numeric(df, "hour").alias("hour"), *weight_of(df)) \
         .where(F.col("location").isNotNull())
-    hours = [F.count_if(F.floor("hour") == h).alias(c) for h, c in enumerate(hour_columns())]
+    hours = [n_rows(z, F.floor("hour") == h).alias(c) for h, c in enumerate(hour_columns())]
     # rows with an hour outside 0..23 count for the total only
     z = z.withColumn("hour", F.when(F.col("hour").between(0, 23), F.col("hour")))
-    per = z.groupBy("location").agg(F.count(F.lit(1)).alias("n"), *hours)
+    per = z.groupBy("location").agg(n_rows(z).alias("n"), *hours)
     # k rows: rank them in one small window
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("location").asc()))
     return top_k(per, "n", k, "location").select(rank.alias("zone_rank"), "location", *hour_columns())
@@ -456,9 +458,20 @@ def zone_kpis(df: DataFrame, zone: str | None = None, by_zone: bool = True, appr
                     pround("pct_0_5", P).alias("pct_0_5"), pround("median_usd", P).alias("median_usd"))
 
 
+def revenue_groups(df: DataFrame, *keys: str, zone: str | None = None) -> DataFrame:
+    """(keys, revenue, rides) of the revenue frame; of counted rows, from their sums."""
+    if not weight_of(df):
+        return revenue_frame(df, zone).groupBy(*keys).agg(
+            F.sum("booking_value").alias("revenue"), F.count(F.lit(1)).alias("rides"))
+    d = df.where(F.col("pickup_location").isNotNull() & F.col("hour").between(0, 23) & (F.col("_fares") > 0))
+    if zone is not None:
+        d = d.where(F.col("pickup_location") == F.lit(zone))
+    return d.groupBy(*keys).agg(F.sum("_revenue").alias("revenue"), F.sum("_fares").alias("rides"))
+
+
 def revenue_by_zone(df: DataFrame, k: int = 10) -> DataFrame:
     """Top-k zones by total revenue with rank."""
-    g = revenue_frame(df).groupBy("pickup_location").agg(F.sum("booking_value").alias("revenue"))
+    g = revenue_groups(df, "pickup_location")
     top = top_k(g, "revenue", k, "pickup_location")
     from pyspark.sql import Window
 
@@ -471,7 +484,7 @@ def revenue_by_zone(df: DataFrame, k: int = 10) -> DataFrame:
 
 def top_zone_share(df: DataFrame, k: int = 5) -> DataFrame:
     """Revenue share of the top-k zones."""
-    g = revenue_frame(df).groupBy("pickup_location").agg(F.sum("booking_value").alias("revenue"))
+    g = revenue_groups(df, "pickup_location")
     return top_n_share(g, "revenue", k, "pickup_location", out="top_share_pct").select(
         pround("top_share_pct", P).alias("top_share_pct"))
 
@@ -484,21 +497,22 @@ def revenue_value_bins(df: DataFrame, zone: str | None = None) -> DataFrame:
 
 def arpu_by_hour(df: DataFrame, zone: str | None = None) -> DataFrame:
     """Mean value per hour on the 24-hour axis, NULL where no rides."""
-    d = revenue_frame(df, zone)
-    g = d.groupBy("hour").agg(F.avg("booking_value").alias("arpu"))
+    g = revenue_groups(df, "hour", zone=zone)
+    g = g.select(F.col("hour").cast("int").alias("hour"), (F.col("revenue") / F.col("rides")).alias("arpu"))
     spine = axis_frame(df.sparkSession, "hour", list(range(24)))
     return densify(g, spine, "hour").select("hour", pround("arpu", P).alias("arpu"))
 
 
 def arpu_by_zone_hour(df: DataFrame) -> DataFrame:
     """Every zone at once: zone × ``h00..h23`` mean value, NULL where no rides."""
-    p = pivot_hours(revenue_frame(df), "pickup_location", F.avg("booking_value"), fill=None)
+    g = revenue_groups(df, "pickup_location", "hour").withColumn("arpu", F.col("revenue") / F.col("rides"))
+    p = pivot_hours(g, "pickup_location", F.max("arpu"), fill=None)
     return p.select("pickup_location", *[pround(h, P).alias(h) for h in hour_columns()])
 
 
 def zone_options(df: DataFrame) -> DataFrame:
     """Distinct zones of the revenue frame, sorted."""
-    return revenue_frame(df).select("pickup_location").distinct().orderBy("pickup_location")
+    return revenue_groups(df, "pickup_location").select("pickup_location").orderBy("pickup_location")
 
 
 # ---------------------------------------------------------------------------
