@@ -41,7 +41,7 @@ CHUNK_WORDS = 1_000_000
 BUCKET_WINDOWS = 2_500_000
 GROUP_CHARS = 4_000_000
 COPIES_AT_ONCE = 10_000
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_BYTES = 300_000, 64
 # The primes of XXH64
 XXH64_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
                 2870177450012600261)
@@ -51,9 +51,11 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for the most recent vocabulary only."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 20)
+        value = xxhash.xxh64_intdigest(word, 20)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

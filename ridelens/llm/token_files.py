@@ -59,7 +59,8 @@ BATCH_BYTES = 5_000_000
 READ_IDS = 1_000_000
 TIE_CHARS = 64
 WORDS_AT_ONCE = 5_000  # the library's results take far more memory than the ids
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000  # per generation; of at most CACHED_CHARS characters
+CACHED_CHARS = 64
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
@@ -313,6 +314,9 @@ class PieceEncoder:
         at = numbered.indices.to_numpy()
         self._learn(pieces)
         raws, width = list(map(self.known.__getitem__, pieces)), self.dtype.itemsize
+        for p in pieces:
+            if len(p) > CACHED_CHARS:
+                self.known.pop(p)
         sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // width
         ids, starts = np.frombuffer(b"".join(raws), self.dtype), np.cumsum(sizes) - sizes
         n = sizes[at]

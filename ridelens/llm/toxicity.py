@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ MAX_FEATURES = 20_000
 MIN_DOCS, MIN_Z = 5, 4.0
 REJECT_FROM = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_CHARS = 100_000, 40
+TEXTS_AT_ONCE = 500
 
 
 def value_of(counts, n_words):
@@ -169,39 +171,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABEL
 
 
 def score_udf(model: OrdinalModel):
-    """Pandas UDF text -> w . x."""
+    """Arrow UDF text -> w . x; only ``TEXTS_AT_ONCE`` texts of a batch are Python objects at a time."""
     weight = dict(enumerate(model.weights.tolist()))
     place = {k: i for i, k in enumerate(model.features)}
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict[str, tuple[int, ...]] = {}
+
+        def one(text: str | None) -> float:
+            counts: dict[int, int] = {}
+            words = WORDS.findall(text.lower()) if text else []
+            for w, n in Counter(words).items():
+                at = memo.get(w)
+                if at is None:
+                    at = tuple(place[k] for k in keys_of(w) if k in place)
+                    if len(w) <= CACHED_CHARS:
+                        if len(memo) >= CACHED_WORDS:
+                            memo.clear()
+                        memo[w] = at
+                for k in at:
+                    counts[k] = counts.get(k, 0) + n
+            return sum(weight[k] * math.log1p(100.0 * c / (len(words) + 50.0)) for k, c in sorted(counts.items()))
+
         for texts in batches:
-            out = []
-            for text in texts.array:
-                counts: dict[int, int] = {}
-                words = WORDS.findall(text.lower()) if isinstance(text, str) else []
-                if words:
-                    for w, n in Counter(words).items():
-                        at = memo.get(w)
-                        if at is None:
-                            if len(memo) >= CACHED_WORDS:
-                                memo.clear()
-                            at = memo[w] = tuple(place[k] for k in keys_of(w) if k in place)
-                        for k in at:
-                            counts[k] = counts.get(k, 0) + n
-                out.append(sum(weight[k] * math.log1p(100.0 * c / (len(words) + 50.0))
-                               for k, c in sorted(counts.items())))
-            yield pd.Series(out, dtype=float)
+            out: list[float] = []
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                out += map(one, texts.slice(at, TEXTS_AT_ONCE).to_pylist())
+            yield pa.array(out, pa.float64())
 
     return score
 
 
-def with_severity(docs: DataFrame, model: OrdinalModel, out: str = "severity") -> DataFrame:
+def with_severity(docs: DataFrame, model: OrdinalModel, out: str = "severity", text: Column | None = None) -> DataFrame:
     """``docs`` with the expected severity of each row's text."""
     if not model.features:
         return docs.withColumn(out, F.lit(0.0))
-    return docs.withColumn(out, model.severity(score_udf(model)(F.col("text").cast("string"))))
+    text = F.col("text") if text is None else text
+    return docs.withColumn(out, model.severity(score_udf(model)(text.cast("string"))))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -214,6 +221,6 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
     """The documents whose expected severity is below ``reject_from``, all columns unchanged."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), own_row(docs).alias("row"))
-    scored = with_severity(rows, fit_toxicity(docs, labels))
+    rows = docs.select(own_row(docs).alias("row"))
+    scored = with_severity(rows, fit_toxicity(docs, labels), text=F.col("row").getField("text"))
     return unpacked(scored.where(F.col("severity") < reject_from).select("row"))
