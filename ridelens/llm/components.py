@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.llm.common import materialize
+from ridelens.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round each node hooks onto its smallest neighbour (or itself) and the graph of hooks is contracted.
     Node numbers should carry no order of the data (hash them first): then the number of nodes left falls by a
-    constant factor a round, whatever the shape. Each round's small tables are written to the shared folder.
+    constant factor a round, whatever the shape. Each round's small tables are written to the shared folder and removed
+    once the next round's are.
     Nodes in no edge are not returned. Hubs are aggregated before the shuffle; joins on them rely on AQE's
     skew handling.
     """
@@ -26,12 +27,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = hooks
         else:
-            step = hooks.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            step, old = hooks.select(F.col("node").alias("component"), F.col("component").alias("next")), labels
             labels = materialize(labels.join(step, "component", "left").select(
                 "node", F.coalesce("next", "component").alias("component")), "cc-labels")
+            discard(old)
         x = hooks.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         y = hooks.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        old = left
         left = materialize(left.join(x, "a").join(y, "b").where("ca <> cb").select(
             F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "cc-edges")
+        discard(old)
+        if labels is not hooks:
+            discard(hooks)
         if left.isEmpty():
             return labels

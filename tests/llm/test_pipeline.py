@@ -55,3 +55,16 @@ def test_edges(spark, edge_docs, no_docs, tmp_dir):
             docs = materialize(stage(spark, docs, tmp_dir), f"test-{name}")
             assert name == "token_files" or docs.columns == edge_docs.columns
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and docs.isEmpty() == (rows == 0)
+
+
+def test_only_the_last_input_is_left(spark, tmp_dir):
+    import os
+
+    from ridelens.llm.common import filesystem
+    from ridelens.session import scratch_path
+
+    folder = filesystem(scratch_path(spark, "x"))[1].removesuffix("/x")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    P.run(spark, SF).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"pipeline-mixing", "token-files", "token-manifest"}
