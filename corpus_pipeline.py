@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelens.llm.common import documents, materialize, table
+from ridelens.llm.common import discard, documents, materialize, own_tables, table
 from ridelens.llm.decontaminate import drop_contaminated
 from ridelens.llm.mixing import mix_documents
 from ridelens.llm.simhash import keep_one_of_each
@@ -54,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next.
+
+    Once a stage is written, its input (if it is the stage's before it) and the tables it made on its way are removed.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with own_tables(spark):
+            kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
