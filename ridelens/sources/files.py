@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ridelens.operators.clean import drop_index_columns, validate_feedback, with_ingest_time
 from ridelens.schemas import LOCATION_SCHEMA, RAW_SCHEMA
@@ -84,18 +85,22 @@ def read_locations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
 
 
 def load_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",
-                schemas: Mapping[str, T.StructType] | None = None) -> tuple[dict, dict]:
+                schemas: Mapping[str, T.StructType] | None = None, verify: bool = False) -> tuple[dict, dict]:
     """Open several named tables; collect failures instead of stopping.
 
-    Returns ``(tables, failures)``; a missing path raises ``AnalysisException`` at
-    ``read`` time (file listing), which is caught per table. Nothing is scanned.
+    Returns ``(tables, failures)``. A missing path and a file whose footer or header cannot be read while the schema is
+    made are failures; no rows are scanned. ``verify`` reads the footers of all files of a Parquet table (a distributed
+    job per table), so that one broken file among many is found here and not by a later action.
     """
     tables, failures = {}, {}
     for name, path in paths.items():
         try:
+            if verify and fmt == "parquet":
+                _ = spark.read.option("mergeSchema", True).parquet(path).schema
             tables[name] = read_bookings(spark, path, (schemas or {}).get(name), fmt)
-        except AnalysisException as e:  # noqa: PERF203
-            failures[name] = str(e).splitlines()[0]
+        except (PySparkException, Py4JJavaError) as e:  # noqa: PERF203
+            failures[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}" if not isinstance(
+                e, AnalysisException) else str(e).splitlines()[0]
     return tables, failures
 
 

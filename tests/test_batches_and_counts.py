@@ -148,3 +148,19 @@ def test_the_recount_sends_candidates_only(spark):
     top = CM.top_values(df, "v", 1, tracked=1_000)
     # proven: the answer is a local table, nothing left to shuffle
     assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString() and top.first()[:] == (7, 50_001)
+
+
+def test_broken_files_are_failures(spark, tmp_dir):
+    spark.range(30).repartition(3).write.parquet(f"{tmp_dir}/good")
+    spark.range(30).repartition(3).write.parquet(f"{tmp_dir}/mixed")
+    # one file of three is no Parquet file; its name is the last, so the schema comes from another one
+    with open(f"{tmp_dir}/mixed/part-99999-broken.snappy.parquet", "wb") as f:
+        f.write(b"PAR1 this is no table PAR1")
+    os.mkdir(f"{tmp_dir}/bad")
+    with open(f"{tmp_dir}/bad/part-00000.parquet", "wb") as f:
+        f.write(b"nothing")
+    paths = {n: f"{tmp_dir}/{n}" for n in ("good", "mixed", "bad", "missing")}
+    tables, failures = S.load_tables(spark, paths, verify=True)
+    assert set(tables) == {"good"} and set(failures) == {"mixed", "bad", "missing"} and all(failures.values())
+    tables, failures = S.load_tables(spark, paths)
+    assert "good" in tables and {"bad", "missing"} <= set(failures)
