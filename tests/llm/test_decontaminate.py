@@ -66,3 +66,20 @@ def test_lower_ascii(spark):
     texts = ["ÀÉ İ ΣΑΣ ABC é", "Plain ASCII", "naïve Straße", "Ω ǅ Ⅷ Ⓐ", ""]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(D.lower_ascii(D.F.col("t"))).collect()
     assert [r[0] for r in got] == [t.translate(UP) for t in texts]
+
+
+def test_beyond_the_bound_only_slices_are_shuffled(spark, edge_docs, monkeypatch):
+    items = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven twelve"),
+                                   ("b", "two words"), ("c", "five six seven eight nine ten eleven twelve thirteen fourteen")],
+                                  "item_id string, text string")
+    want = sorted(map(str, D.decontaminate(edge_docs, items).collect()))
+    for rows, size in ((0, 0), (4, 1 << 30)):  # nothing may be broadcast; only the rare words may
+        monkeypatch.setattr(D, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(D, "BROADCAST_BYTES", size)
+        assert sorted(map(str, D.decontaminate(edge_docs, items).collect())) == want
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    base = D.base_words(edge_docs)
+    hits = D.find_hits(base, D.rarest_words(base, D.distinct_windows(items, 10)), 10)
+    joins = [x for x in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project [" in x]
+    above = [x for x in joins if "around#" in x and "AS around" in x]
+    assert above and not any(" w#" in x.split("AS around")[1] for x in above)  # what goes on from there has no array w
