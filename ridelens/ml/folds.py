@@ -85,8 +85,9 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return c.withColumn(out, st["total"].cast("double") / (st["k"].cast("double") * F.col("n").cast("double")))
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+def with_class_weights(df: DataFrame, label: str, out: str = "weight", bounded: bool = False) -> DataFrame:
     """Attach balanced weights to each row. The class table is small unless the label is
-    no class at all; Spark broadcasts it by its measured size."""
+    no class at all; Spark broadcasts it by its measured size. ``bounded``: the caller has fitted an index of the
+    labels, which holds all of them, so the table is broadcast and no row is shuffled by its class."""
     w = class_weights(df, label, out).select(label, out)
-    return df.join(w, label, "left")
+    return df.join(F.broadcast(w) if bounded else w, label, "left")

@@ -3,13 +3,15 @@ predictions and the three reference models (M10–M22, M26–M28).
 
 Each fit is a distributed Spark ML job; the driver only loops over folds ×
 models (k × m jobs, inherent to cross-validation) and collects one metrics row
-per fold.
+per fold. A fit runs in as many tasks as its rows have partitions, pass after
+pass, so training rows are dealt out evenly first (:func:`spread`).
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,32 @@ STATUS_LEAKY = ["driver_cancellation_reason", "reason_for_cancelling_by_customer
                 "ride_distance", "avg_vtat", "booking_value", "driver_rating", "customer_rating"]
 
 
+# rows that are worth a task of their own, tasks of a small input at most, rows of a task at most
+ROWS_WORTH_A_TASK, FEW_TASKS, TASK_ROWS = 6_000, 24, 250_000
+# forests that a forest on few rows is grown as, times the tasks of each; rows of such a task
+FORESTS, FOREST_TASK_ROWS = 16, 50_000
+
+
 def _present(df: DataFrame, cols) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
+def fit_tasks(n: int) -> int:
+    """Tasks for ``n`` training rows. Every task of a forest's pass sends its own statistics of all open nodes, so more
+    than ``FEW_TASKS`` only pay once each has ``TASK_ROWS`` rows."""
+    return max(1, min(n // ROWS_WORTH_A_TASK, FEW_TASKS), -(-n // TASK_ROWS))
+
+
+def spread(df: DataFrame, id_col: str, n: int | None = None) -> DataFrame:
+    """The rows dealt out evenly over :func:`fit_tasks` tasks, whatever files, joins or windows they come from.
+
+    A compressed table of one file, or a shuffle that Spark coalesced by its bytes, is a few tasks; each pass of a fit
+    over it would use as few cores. Dealing is by turns, so ids that repeat or are null are spread like any other.
+    """
+    tasks = fit_tasks(df.count() if n is None else n)
+    return df if tasks == 1 else df.repartition(tasks).sortWithinPartitions(id_col)
+
+
 def regressors(label: str = "label", n: int | None = None, label_std: float | None = None,
                rf_depth: int = 30) -> dict:
     """The five booking-value regressors.
@@ -69,6 +93,54 @@ def regressors(label: str = "label", n: int | None = None, label_std: float | No
     }
 
 
+def fit_model(est, train: DataFrame, n: int | None = None):
+    """``est`` fitted on assembled rows. A forest on few rows is grown as several forests that share out its trees.
+
+    A task of a forest's pass sends its statistics of every open node of every tree, whatever rows it has; with few
+    rows those cost more than the rows, and more tasks only send more of them. Trees are independent, so their forests
+    are fitted concurrently, each in the few tasks its rows need, and the prediction is the mean over all trees.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    n = train.count() if n is None and isinstance(est, RandomForestRegressor) else n
+    if not isinstance(est, RandomForestRegressor) or fit_tasks(n) == 1:
+        return est.copy().fit(train)
+    tasks = -(-n // FOREST_TASK_ROWS)
+    trees, parts = est.getNumTrees(), max(1, FORESTS // tasks)
+    if parts == 1:
+        return est.copy().fit(train)
+    sizes = [trees // parts + (i < trees % parts) for i in range(min(parts, trees))]
+    names = [f"{est.getPredictionCol()}_{i}" for i in range(len(sizes))]
+    few = train.coalesce(tasks)
+
+    def grown(i: int):
+        return est.copy().setNumTrees(sizes[i]).setSeed(est.getSeed() + i).setPredictionCol(names[i]).fit(few)
+
+    with ThreadPoolExecutor(max_workers=len(sizes)) as pool:
+        forests = list(pool.map(grown, range(len(sizes))))
+    mean = " + ".join(f"{s} * `{c}`" for s, c in zip(sizes, names, strict=True))
+    return PipelineModel(stages=[*forests, SQLTransformer(
+        statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in names)}), "
+                  f"({mean}) / {trees} AS `{est.getPredictionCol()}` FROM __THIS__")])
+
+
+def fit_spread(stages: list, train: DataFrame, id_col: str) -> PipelineModel:
+    """Feature stages and a regressor fitted on the training rows. Rows and features are spread and written to the shared
+    folder once, so that no stage derives them again."""
+    import uuid
+
+    from ridelens.sources.files import drop_tables, persist_table
+
+    *prepare, est = stages
+    tag, n = uuid.uuid4().hex[:12], train.count()
+    rows = persist_table(spread(train, id_col, n), f"fit_{tag}_rows")
+    prep = Pipeline(stages=prepare).fit(rows)
+    features = persist_table(prep.transform(rows).select(est.getFeaturesCol(), est.getLabelCol()), f"fit_{tag}_features")
+    model = PipelineModel(stages=[*prep.stages, fit_model(est, features, n)])
+    drop_tables(train.sparkSession, [f"fit_{tag}_rows", f"fit_{tag}_features"])
+    return model
+
+
 def value_frame(df: DataFrame, feature_set: str = "reference") -> DataFrame:
     """Booking-value training rows: ids / locations dropped, reasons as text with
     NULL → ``"nan"`` (P8); ``feature_set="booking_time"`` drops leaky columns (D17)."""
@@ -90,7 +162,7 @@ def value_stages(df: DataFrame, feature_set: str = "reference", min_frequency: f
 def cross_validate_regression(df: DataFrame, models, stages: list, k: int = 3,
                               id_col: str = "booking_id", seed: int = 42,
                               metrics=("rmse", "r2"), persist: bool = True,
-                              parallelism: int = 4) -> DataFrame:
+                              parallelism: int = 6) -> DataFrame:
     """k-fold CV of several regressors sharing one preprocessing.
 
     ``models`` is a dictionary of estimators, or a function of (row count, label
@@ -99,9 +171,9 @@ def cross_validate_regression(df: DataFrame, models, stages: list, k: int = 3,
     first metric (M18). Per fold, the preprocessing is fitted once on the
     training split only, the transformed training/test features are written to
     the shared checkpoint folder (``persist``: lineage cut, re-read by every
-    model, recomputed from files after an executor loss), and the models are
-    fitted concurrently (``parallelism`` driver threads submitting independent
-    Spark jobs).
+    model, recomputed from files after an executor loss), and the models of all
+    folds are fitted concurrently (``parallelism`` driver threads submitting
+    independent Spark jobs), as boosting is a long chain of short jobs.
     """
     import uuid
     from concurrent.futures import ThreadPoolExecutor
@@ -109,32 +181,34 @@ def cross_validate_regression(df: DataFrame, models, stages: list, k: int = 3,
     from ridelens.sources.files import drop_tables, persist_table
 
     spark = df.sparkSession
-    folded = kfold(df, id_col, k, seed)
+    folded = kfold(spread(df, id_col), id_col, k, seed)
     tag = uuid.uuid4().hex[:12]
     if persist:
         folded = persist_table(folded, f"cv_input_{tag}")
-    vals: dict = {}
-    for f in range(k):
+
+    def prepared(f: int) -> tuple:
         train, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-        prep = Pipeline(stages=list(stages)).fit(train)
+        prep = Pipeline(stages=[s.copy() for s in stages]).fit(train)
         tr = prep.transform(train).select("features", "label")
         te = prep.transform(test).select("features", "label")
         if persist:
             tr = persist_table(tr, f"cv_{tag}_train{f}")
             te = persist_table(te, f"cv_{tag}_test{f}")
+        return tr, te, models(*_size_and_std(tr)) if callable(models) else models
 
-        fold_models = models(*_size_and_std(tr)) if callable(models) else models
-
-        def fit_eval(item, tr=tr, te=te):
-            name, est = item
-            rep = regression_report(est.fit(tr).transform(te), "label", "prediction", digits=None).first()
-            return name, rep
+    def fit_eval(job: tuple) -> tuple:
+        name, est, tr, te = job
+        rep = regression_report(fit_model(est, tr).transform(te), "label", "prediction", digits=None).first()
+        return name, rep
 
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            for name, rep in pool.map(fit_eval, fold_models.items()):
-                for m in metrics:
-                    vals.setdefault(name, {}).setdefault(m, []).append(
-                        float(rep[m]) if rep[m] is not None else float("nan"))
+    vals: dict = {}
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        folds = list(pool.map(prepared, range(k)))
+        jobs = [(name, est, tr, te) for tr, te, fold_models in folds for name, est in fold_models.items()]
+        for name, rep in pool.map(fit_eval, jobs):
+            for m in metrics:
+                vals.setdefault(name, {}).setdefault(m, []).append(
+                    float(rep[m]) if rep[m] is not None else float("nan"))
     if persist:
         drop_tables(spark, [f"cv_input_{tag}", *(f"cv_{tag}_{s}{f}" for f in range(k) for s in ("train", "test"))])
     rows = []
@@ -217,6 +291,24 @@ def status_frame(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in STATUS_LEAKY if c in df.columns])
 
 
+# rows for each distinct one from which a fit is worth counting them first
+ROWS_A_KIND = 20
+
+
+def equal_rows_as_one(train: DataFrame, name: str) -> DataFrame:
+    """Assembled rows with equal features and label as one row of their summed weight, if there are few kinds of them.
+
+    The weighted likelihood is the same sum, whatever the number of rows; every pass of the fit reads the kinds only. A
+    design of some categorical features has few; one estimate says whether there are.
+    """
+    from ridelens.sources.files import persist_table
+
+    n = train.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("features", "label_idx")).alias("k")).first()
+    if n["n"] < ROWS_WORTH_A_TASK or n["k"] * ROWS_A_KIND > n["n"]:
+        return train
+    return persist_table(train.groupBy("features", "label_idx").agg(F.sum("weight").alias("weight")), name)
+
+
 # (application, input and settings) -> folder name of the scored rows; a name per training run
 _OOF_RUNS: dict[tuple, str] = {}
 
@@ -229,7 +321,7 @@ def _content(df: DataFrame) -> tuple:
 
 def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "booking_id",
                k: int | None = None, stages=status_stages, penalty: float = 1.0, tol: float = 1e-6,
-               parallelism: int = 4) -> DataFrame:
+               parallelism: int = 5) -> DataFrame:
     """Out-of-fold status predictions over stratified folds.
 
     Returns ``(id, label, prediction, probability, classes, fold)`` for every row exactly once; ``probability`` is an
@@ -252,17 +344,20 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
     if run in _OOF_RUNS:
         return read_persisted(spark, _OOF_RUNS[run])
     tag = uuid.uuid4().hex[:12]
-    d = persist_table(stratified_folds(d, label, id_col, k), f"oof_input_{tag}")
+    # derived once: the folds read their rows three times
+    d = persist_table(d, f"oof_rows_{tag}")
+    d = persist_table(spread(stratified_folds(d, label, id_col, k), id_col, run[1][1]), f"oof_input_{tag}")
     k_used = d.agg(F.max("fold")).first()[0] + 1
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
     classes = F.array(*[F.lit(c) for c in indexer.labels])
 
     def scored(f: int) -> DataFrame:
         # weights and penalty from the fold's training rows only
-        train = with_class_weights(d.where(F.col("fold") != f), label)
+        train = with_class_weights(d.where(F.col("fold") != f), label, bounded=True)
         prep = Pipeline(stages=[indexer, *stages(train)]).fit(train)
         tr = persist_table(prep.transform(train).select("features", "label_idx", "weight"), f"oof_{tag}_train{f}")
         n_weight = tr.agg(F.sum("weight")).first()[0]
+        tr = equal_rows_as_one(tr, f"oof_{tag}_kinds{f}")
         m = status_estimator(n_weight=n_weight, penalty=penalty, tol=tol).fit(tr)
         out = m.transform(prep.transform(d.where(F.col("fold") == f)))
         return persist_table(out.select(
@@ -275,7 +370,8 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
     for p in parts[1:]:
         out = out.unionByName(p)
     out = persist_table(out, f"oof_scored_{tag}")
-    drop_tables(spark, [f"oof_input_{tag}", *(f"oof_{tag}_{s}{f}" for f in range(k_used) for s in ("train", "scored"))])
+    drop_tables(spark, [f"oof_rows_{tag}", f"oof_input_{tag}",
+                        *(f"oof_{tag}_{s}{f}" for f in range(k_used) for s in ("train", "kinds", "scored"))])
     _OOF_RUNS[run] = f"oof_scored_{tag}"
     return out
 
@@ -348,7 +444,7 @@ def wait_holdout(df: DataFrame, id_col: str = "booking_id", test_fraction: float
 
     d, stages = _wait_rows(df, id_col)
     train, test = train_test_split(d, id_col, test_fraction, seed)
-    m = Pipeline(stages=[*stages, wait_estimator()]).fit(train.drop(id_col))
+    m = fit_spread([*stages, wait_estimator()], train, id_col)
     return regression_report(m.transform(test), "label", "prediction", digits=6)
 
 
@@ -357,6 +453,6 @@ def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id", save_
     optionally saved with its feature spec (S7)."""
     d, stages = _wait_rows(df, id_col)
     cv = wait_cv(df, k, id_col)
-    model = Pipeline(stages=stages + [wait_estimator()]).fit(d)
+    model = fit_spread([*stages, wait_estimator()], d, id_col)
     _save(model, d, [c for c in d.columns if c not in ("label", id_col)], save_path)
     return cv, model
