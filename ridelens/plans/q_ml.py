@@ -7,7 +7,6 @@ rows only.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -188,11 +187,11 @@ def wait_holdout(spark, sf):
 def score_requests(spark, sf):
     """Score every region booking as a request (M29–M31): predicted wait and value."""
     hist = region(spark, sf)
-    wait_train = TR.wait_frame(hist.drop("booking_id"))
-    wait_model = Pipeline(stages=TR.wait_stages(wait_train) + [TR.wait_estimator()]).fit(wait_train)
-    wait_spec = SC.model_spec(hist, [c for c in wait_train.columns if c != "label"])
+    wait_train, wait_stages = TR._wait_rows(hist, "booking_id")
+    wait_model = TR.fit_spread([*wait_stages, TR.wait_estimator()], wait_train, "booking_id")
+    wait_spec = SC.model_spec(hist, [c for c in wait_train.columns if c not in ("label", "booking_id")])
     vt = TR.value_frame(hist)
-    value_model = Pipeline(stages=TR.value_stages(vt) + [LinearRegression(labelCol="label")]).fit(vt)
+    value_model = TR.fit_spread([*TR.value_stages(vt), LinearRegression(labelCol="label")], vt, "booking_id")
     feats = TR.VALUE_STANDARD + TR.VALUE_ROBUST + TR.VALUE_MINMAX + TR.VALUE_ONEHOT
     value_spec = SC.model_spec(vt, feats)
     req = hist.select(
