@@ -445,7 +445,7 @@ def wait_holdout(df: DataFrame, id_col: str = "booking_id", test_fraction: float
     d, stages = _wait_rows(df, id_col)
     train, test = train_test_split(d, id_col, test_fraction, seed)
     m = fit_spread([*stages, wait_estimator()], train, id_col)
-    return regression_report(m.transform(test), "label", "prediction", digits=6)
+    return regression_report(m.transform(spread(test, id_col)), "label", "prediction", digits=6)
 
 
 def train_wait_time(df: DataFrame, k: int = 3, id_col: str = "booking_id", save_path: str | None = None):
