@@ -185,7 +185,7 @@ def tree_models_exact_label(spark, sf):
     # one numeric feature: a split's random feature subset is then always that feature
     b = bookings_clean(spark, sf).select((F.col("booking_id") % 4 * 2 + late).cast("double").alias("code"),
                                          F.expr(_CELL).cast("double").alias("label"))
-    d = VectorAssembler(inputCols=["code"], outputCol="features").transform(b)
+    d = VectorAssembler(inputCols=["code"], outputCol="features").transform(TR.spread(b, "code"))
     ms = TR.regressors("label")
     out = d
     for name, est in (("rf", ms["RF"]), ("wait_rf", TR.wait_estimator()), ("boosted", ms["HGB"])):
