@@ -55,11 +55,11 @@ TRAILER = "<8sHQQQqHQHQ"
 SAMPLE = 256
 FILE_IDS = 8_000_000
 FILE_DOCS = 500_000
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 2_000_000
 READ_IDS = 1_000_000
 TIE_CHARS = 64
-WORDS_AT_ONCE = 5_000  # the library's results take far more memory than the ids
-CACHED_PIECES = 100_000  # per generation; of at most CACHED_CHARS characters
+WORDS_AT_ONCE = 2_000  # the library's results take far more memory than the ids
+CACHED_PIECES = 50_000  # per generation; of at most CACHED_CHARS characters
 CACHED_CHARS = 64
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
@@ -272,8 +272,10 @@ class PieceEncoder:
                 self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:  # a vocabulary without word ends: piece by piece
                 others = others + some
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            some = others[at:at + WORDS_AT_ONCE]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode the pieces that are not in the memory yet."""
