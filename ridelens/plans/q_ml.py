@@ -197,7 +197,6 @@ def score_requests(spark, sf):
     req = hist.select(
         F.col("booking_id").alias("request_id"), "pickup_location", "drop_location",
         weekday_name("weekday").alias("weekday"), "hour", "vehicle_type")
-    req = TR.spread(req, "request_id")  # every row meets 200 trees
     out = SC.score_requests(req, hist, locations(spark, sf), wait_model, wait_spec, value_model, value_spec)
     return out.select("request_id", "pickup_location", "drop_location",
                       pround("predicted_wait_min", 4).alias("predicted_wait_min"), "wait_label",
