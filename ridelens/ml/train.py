@@ -43,8 +43,9 @@ STATUS_LEAKY = ["driver_cancellation_reason", "reason_for_cancelling_by_customer
 
 # rows that are worth a task of their own, tasks of a small input at most, rows of a task at most
 ROWS_WORTH_A_TASK, FEW_TASKS, TASK_ROWS = 6_000, 24, 250_000
-# forests that a forest on few rows is grown as, times the tasks of each; rows of such a task
-FORESTS, FOREST_TASK_ROWS = 16, 50_000
+# forests that a forest on few rows is grown as, times the tasks of each; rows of such a task. The statistics of a node
+# are made, sent and merged once for every task: fewer tasks a forest and more forests are less of that work
+FORESTS, FOREST_TASK_ROWS = 16, 150_000
 
 
 def _present(df: DataFrame, cols) -> list[str]:

@@ -62,6 +62,18 @@ def test_forest_on_a_handful_of_rows_is_one(spark):
     assert m.getNumTrees == 3
 
 
+def test_forests_take_few_tasks_each(spark, monkeypatch):
+    seen = []
+    fit = RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    d = _assembled(_rows(spark, 2_000)).repartition(4)
+    est = RandomForestRegressor(numTrees=16, maxDepth=2, seed=3)
+    for n, tasks, forests in ((120_000, 1, 16), (280_000, 2, 8)):
+        seen.clear()
+        m = TR.fit_model(est, d, n)
+        assert seen == [tasks] * forests and sum(f.getNumTrees for f in m.stages[:-1]) == 16
+
+
 def test_equal_rows_are_fitted_as_one(spark):
     d = spark.range(0, 20_000, 1, 3)
     d = d.select((d.id % 5).cast("double").alias("x"), ((d.id * 7) % 11 % 3).cast("double").alias("label_idx"),
