@@ -58,14 +58,15 @@ def fit_tasks(n: int) -> int:
     return max(1, min(n // ROWS_WORTH_A_TASK, FEW_TASKS), -(-n // TASK_ROWS))
 
 
-def spread(df: DataFrame, id_col: str, n: int | None = None) -> DataFrame:
+def spread(df: DataFrame, id_col: str, n: int | None = None, within: tuple = ()) -> DataFrame:
     """The rows dealt out evenly over :func:`fit_tasks` tasks, whatever files, joins or windows they come from.
 
     A compressed table of one file, or a shuffle that Spark coalesced by its bytes, is a few tasks; each pass of a fit
     over it would use as few cores. Dealing is by turns, so ids that repeat or are null are spread like any other.
+    The rows of a task are in the order of the id, after that of the columns ``within``.
     """
     tasks = fit_tasks(df.count() if n is None else n)
-    return df if tasks == 1 else df.repartition(tasks).sortWithinPartitions(id_col)
+    return df if tasks == 1 else df.repartition(tasks).sortWithinPartitions(*within, id_col)
 
 
 def regressors(label: str = "label", n: int | None = None, label_std: float | None = None,
@@ -277,6 +278,10 @@ def value_holdout_ols(df: DataFrame, id_col: str = "booking_id", test_fraction:
     return regression_report(m.transform(test), "label", "prediction", digits=6)
 
 
+# rows that a fit takes through its matrices at a time: their features and margins stay in a core's own cache
+BLOCK_MB = 0.02
+
+
 def status_stages(df: DataFrame) -> list:
     return preprocessor(standard=_present(df, STATUS_NUMERIC), onehot=_present(df, STATUS_ONEHOT))
 
@@ -285,7 +290,8 @@ def status_estimator(label: str = "label_idx", weight: str = "weight", n_weight:
                      penalty: float = 1.0, tol: float = 1e-6):
     """Balanced multinomial logistic regression (M16): C = 1 / penalty ⇒ ``regParam = penalty / Σw``."""
     return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, family="multinomial",
-                              maxIter=1000, regParam=penalty / float(n_weight or 1.0), standardization=False, tol=tol)
+                              maxIter=1000, regParam=penalty / float(n_weight or 1.0), standardization=False, tol=tol,
+                              maxBlockSizeInMB=BLOCK_MB)
 
 
 def status_frame(df: DataFrame) -> DataFrame:
@@ -296,7 +302,13 @@ def status_frame(df: DataFrame) -> DataFrame:
 ROWS_A_KIND = 20
 
 
-def equal_rows_as_one(train: DataFrame, name: str) -> DataFrame:
+def _rows_and_kinds(train: DataFrame) -> dict:
+    """Rows, different rows (an estimate) and the sum of the weights, in one pass."""
+    return train.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("features", "label_idx")).alias("k"),
+                     F.sum("weight").alias("w")).first().asDict()
+
+
+def equal_rows_as_one(train: DataFrame, name: str, counted: dict | None = None) -> DataFrame:
     """Assembled rows with equal features and label as one row of their summed weight, if there are few kinds of them.
 
     The weighted likelihood is the same sum, whatever the number of rows; every pass of the fit reads the kinds only. A
@@ -304,14 +316,14 @@ def equal_rows_as_one(train: DataFrame, name: str) -> DataFrame:
     """
     from ridelens.sources.files import persist_table
 
-    n = train.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("features", "label_idx")).alias("k")).first()
+    n = counted or _rows_and_kinds(train)
     if n["n"] < ROWS_WORTH_A_TASK or n["k"] * ROWS_A_KIND > n["n"]:
         return train
     return persist_table(train.groupBy("features", "label_idx").agg(F.sum("weight").alias("weight")), name)
 
 
-# (application, input and settings) -> folder name of the scored rows; a name per training run
-_OOF_RUNS: dict[tuple, str] = {}
+# (application, input and settings) -> folder names of the folds' scored rows; names per training run
+_OOF_RUNS: dict[tuple, list[str]] = {}
 
 
 def _content(df: DataFrame) -> tuple:
@@ -339,42 +351,41 @@ def oof_status(df: DataFrame, label: str = "booking_status", id_col: str = "book
 
     from ridelens.sources.files import drop_tables, persist_table, read_persisted
 
-    spark, d = df.sparkSession, status_frame(df)
+    spark, tag = df.sparkSession, uuid.uuid4().hex[:12]
+    # derived once: the run's name reads the rows once, the folds read them three times
+    d = persist_table(status_frame(df), f"oof_rows_{tag}")
     run = (spark.sparkContext.applicationId, _content(d), label, id_col, k, f"{stages.__module__}.{stages.__qualname__}",
            penalty, tol)
     if run in _OOF_RUNS:
-        return read_persisted(spark, _OOF_RUNS[run])
-    tag = uuid.uuid4().hex[:12]
-    # derived once: the folds read their rows three times
-    d = persist_table(d, f"oof_rows_{tag}")
-    d = persist_table(spread(stratified_folds(d, label, id_col, k), id_col, run[1][1]), f"oof_input_{tag}")
+        drop_tables(spark, [f"oof_rows_{tag}"])
+        return read_persisted(spark, *_OOF_RUNS[run])
+    # a folder for each fold: its scoring reads this one, its training the others
+    folds = stratified_folds(d, label, id_col, k)
+    d = persist_table(spread(folds, id_col, run[1][1], ("fold",)), f"oof_input_{tag}", ["fold"])
     k_used = d.agg(F.max("fold")).first()[0] + 1
     indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(d)
     classes = F.array(*[F.lit(c) for c in indexer.labels])
 
-    def scored(f: int) -> DataFrame:
+    def scored(f: int) -> str:
         # weights and penalty from the fold's training rows only
         train = with_class_weights(d.where(F.col("fold") != f), label, bounded=True)
         prep = Pipeline(stages=[indexer, *stages(train)]).fit(train)
         tr = persist_table(prep.transform(train).select("features", "label_idx", "weight"), f"oof_{tag}_train{f}")
-        n_weight = tr.agg(F.sum("weight")).first()[0]
-        tr = equal_rows_as_one(tr, f"oof_{tag}_kinds{f}")
-        m = status_estimator(n_weight=n_weight, penalty=penalty, tol=tol).fit(tr)
+        counted = _rows_and_kinds(tr)
+        tr = equal_rows_as_one(tr, f"oof_{tag}_kinds{f}", counted)
+        m = status_estimator(n_weight=counted["w"], penalty=penalty, tol=tol).fit(tr)
         out = m.transform(prep.transform(d.where(F.col("fold") == f)))
-        return persist_table(out.select(
+        persist_table(out.select(
             id_col, F.col(label).alias("label"), F.get(classes, F.col("prediction").cast("int")).alias("prediction"),
             vector_to_array("probability").alias("probability"), classes.alias("classes"), "fold"), f"oof_{tag}_scored{f}")
+        return f"oof_{tag}_scored{f}"
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         parts = list(pool.map(scored, range(k_used)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = persist_table(out, f"oof_scored_{tag}")
     drop_tables(spark, [f"oof_rows_{tag}", f"oof_input_{tag}",
-                        *(f"oof_{tag}_{s}{f}" for f in range(k_used) for s in ("train", "kinds", "scored"))])
-    _OOF_RUNS[run] = f"oof_scored_{tag}"
-    return out
+                        *(f"oof_{tag}_{s}{f}" for f in range(k_used) for s in ("train", "kinds"))])
+    _OOF_RUNS[run] = parts
+    return read_persisted(spark, *parts)
 
 
 def level_probabilities(model, levels: DataFrame, classes: list[str]) -> DataFrame:

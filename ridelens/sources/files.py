@@ -139,11 +139,11 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     return spark.read.parquet(path)
 
 
-def read_persisted(spark: SparkSession, name: str) -> DataFrame:
-    """A table that :func:`persist_table` wrote in the shared folder."""
+def read_persisted(spark: SparkSession, *names: str) -> DataFrame:
+    """A table that :func:`persist_table` wrote in the shared folder, or several with the same columns as one."""
     from ridelens.session import scratch_path
 
-    return spark.read.parquet(scratch_path(spark, name))
+    return spark.read.parquet(*[scratch_path(spark, name) for name in names])
 
 
 def drop_tables(spark: SparkSession, names: list[str]) -> None:

@@ -91,3 +91,36 @@ def test_different_rows_stay(spark):
                                             F.lit(1.0).alias("weight"))
     d = _assembled(d).select("features", "label_idx", "weight")
     assert TR.equal_rows_as_one(d, "kinds_none") is d
+
+
+def _signal_stages(df):
+    from ridelens.ml.features import preprocessor
+
+    return preprocessor(onehot=["signal"])
+
+
+def test_status_rows_are_derived_once_and_scored_by_fold(spark):
+    derived = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def signal(i):
+        derived.add(1)
+        return f"s{i % 7 // 2}"
+
+    d = spark.range(0, 600, 1, 3).select(
+        F.col("id").alias("booking_id"), F.concat(F.lit("c"), (F.col("id") * 7 % 11 % 3).cast("string")).alias("booking_status"))
+    out = TR.oof_status(d.withColumn("signal", signal("booking_id")), stages=_signal_stages)
+    assert derived.value == 600
+    assert out.columns == ["booking_id", "label", "prediction", "probability", "classes", "fold"]
+    assert out.count() == 600 and out.select("booking_id").distinct().count() == 600
+    # the scored rows of a fold are read where they were written
+    per_file = out.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in per_file) and dict(out.dtypes)["fold"] == "int"
+
+
+def test_rows_are_in_order_within_their_task(spark):
+    d = _rows(spark, 24_000).withColumn("fold", F.col("x") % 3)
+    out = TR.spread(d, "rid", within=("fold",)).select(F.spark_partition_id().alias("p"), "fold", "rid").collect()
+    for p in range(4):
+        keys = [(r["fold"], r["rid"] is not None, r["rid"] or 0) for r in out if r["p"] == p]
+        assert len(keys) == 6_000 and keys == sorted(keys)
