@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ridelens.ml.evaluate import regression_report
 from ridelens.ml.features import preprocessor
 from ridelens.ml.folds import kfold, stratified_folds, with_class_weights
+from ridelens.ml.grow import fit_boosted, fit_forest
 from ridelens.operators.clean import null_as_category
 
 # ---------------------------------------------------------------------------
@@ -46,6 +47,8 @@ ROWS_WORTH_A_TASK, FEW_TASKS, TASK_ROWS = 6_000, 24, 250_000
 # forests that a forest on few rows is grown as, times the tasks of each; rows of such a task. The statistics of a node
 # are made, sent and merged once for every task: fewer tasks a forest and more forests are less of that work
 FORESTS, FOREST_TASK_ROWS = 16, 150_000
+# rows from which trees are grown where their rows are (ml/grow.py)
+GROWN_ROWS = 300_000
 
 
 def _present(df: DataFrame, cols) -> list[str]:
@@ -96,7 +99,8 @@ def regressors(label: str = "label", n: int | None = None, label_std: float | No
 
 
 def fit_model(est, train: DataFrame, n: int | None = None):
-    """``est`` fitted on assembled rows. A forest on few rows is grown as several forests that share out its trees.
+    """``est`` fitted on assembled rows. A forest on few rows is grown as several forests that share out its trees; on
+    many rows trees are grown in the tasks that have their rows (:mod:`ridelens.ml.grow`).
 
     A task of a forest's pass sends its statistics of every open node of every tree, whatever rows it has; with few
     rows those cost more than the rows, and more tasks only send more of them. Trees are independent, so their forests
@@ -104,7 +108,12 @@ def fit_model(est, train: DataFrame, n: int | None = None):
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    n = train.count() if n is None and isinstance(est, RandomForestRegressor) else n
+    trees = isinstance(est, (RandomForestRegressor, GBTRegressor))
+    n = train.count() if n is None and trees else n
+    if trees and n > GROWN_ROWS:
+        grown = fit_forest(est, train, n) if isinstance(est, RandomForestRegressor) else fit_boosted(est, train, n)
+        if grown is not None:
+            return grown
     if not isinstance(est, RandomForestRegressor) or fit_tasks(n) == 1:
         return est.copy().fit(train)
     tasks = -(-n // FOREST_TASK_ROWS)
