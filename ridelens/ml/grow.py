@@ -290,8 +290,9 @@ def boost(codes, y, lay: Layout, rounds: int, rate: float, depth: int, least: in
 # Spark jobs
 # ---------------------------------------------------------------------------
 def _dense(column) -> np.ndarray:
+    """Arrays of one length as a matrix whose columns lie together."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return np.asfortranarray(flat.reshape(len(column), -1))
 
 
 def feature_layout(train: DataFrame, features: str, max_bins: int) -> Layout:
