@@ -7,6 +7,8 @@ rows only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from ridelens.plans.q_region import region
 from ridelens.plans.registry import register
 from ridelens.plans.sqltext import pr
 from ridelens.sources.driver_views import bookings_clean, locations
+from ridelens.sources.files import persist_table
 
 # ---------------------------------------------------------------------------
 # folds and weights
@@ -186,7 +189,8 @@ def wait_holdout(spark, sf):
 @register("score_requests")
 def score_requests(spark, sf):
     """Score every region booking as a request (M29–M31): predicted wait and value."""
-    hist = region(spark, sf)
+    # derived once and spread, for both models, the history's modes and the requests
+    hist = persist_table(TR.spread(region(spark, sf), "booking_id"), f"score_{uuid.uuid4().hex[:12]}_rows")
     wait_train, wait_stages = TR._wait_rows(hist, "booking_id")
     wait_model = TR.fit_spread([*wait_stages, TR.wait_estimator()], wait_train, "booking_id")
     wait_spec = SC.model_spec(hist, [c for c in wait_train.columns if c not in ("label", "booking_id")])

@@ -127,3 +127,19 @@ def test_a_missing_label_is_an_error(spark):
     d = _rows(spark, 100).withColumn("label", F.when(F.col("label") > 0, F.col("label")))
     with pytest.raises(Exception, match="label is null"):
         G.fit_forest(RandomForestRegressor(numTrees=2), d, 100)
+
+
+def test_scored_requests_are_derived_once(spark, monkeypatch):
+    from ridelens.plans import q_ml
+
+    derived, region = spark.sparkContext.accumulator(0), q_ml.region
+
+    @F.udf("long")
+    def counted(i):
+        derived.add(1)
+        return i
+
+    monkeypatch.setattr(q_ml, "region", lambda s, sf: region(s, sf).withColumn("booking_id", counted("booking_id")))
+    monkeypatch.setattr(TR, "wait_estimator", lambda: RandomForestRegressor(numTrees=3, maxDepth=3, seed=4))
+    out = q_ml.score_requests(spark, "/root/testdata/sf0.001")
+    assert out.count() == region(spark, "/root/testdata/sf0.001").count() == derived.value
