@@ -114,16 +114,19 @@ class Layout:
 
     def statistics(self, codes: np.ndarray, node: np.ndarray | None, nodes: int, w: np.ndarray | None, wy: np.ndarray) -> tuple:
         """Sum of the weights and of the weighted labels for every (node, code); without ``w`` every weight is 1."""
-        hn, hs = np.zeros(nodes * self.size), np.zeros(nodes * self.size)
-        m, step = codes.shape[1], max(16_384, nodes * self.size // 4)
-        for at in range(0, len(codes), step):
-            key = codes[at:at + step] + self.base[:-1]
+        hn, hs = np.zeros((nodes, self.size)), np.zeros((nodes, self.size))
+        for at in range(0, len(codes), BLOCK_ROWS):
+            part = slice(at, at + BLOCK_ROWS)
+            number, lo, count = None, 0, 1
             if node is not None:
-                key += (node[at:at + step] * self.size)[:, None]
-            key = key.reshape(-1)
-            hs += np.bincount(key, np.repeat(wy[at:at + step], m), nodes * self.size)
-            hn += np.bincount(key, None if w is None else np.repeat(w[at:at + step], m), nodes * self.size)
-        return hn.reshape(nodes, -1), hs.reshape(nodes, -1)
+                lo = int(node[part].min())
+                number, count = node[part] - lo, int(node[part].max()) - lo + 1
+            for k, code in enumerate(np.ascontiguousarray(codes[part].T)):
+                size, own = int(self.base[k + 1] - self.base[k]), slice(self.base[k], self.base[k + 1])
+                key = code.astype(np.int64) if number is None else number * size + code
+                hs[lo:lo + count, own] += np.bincount(key, wy[part], count * size).reshape(count, size)
+                hn[lo:lo + count, own] += np.bincount(key, None if w is None else w[part], count * size).reshape(count, size)
+        return hn, hs
 
 
 def best_splits(lay: Layout, hn, hs, tn, ts, allowed, least: int, min_gain: float) -> tuple:
@@ -205,17 +208,17 @@ class Tree:
         return node
 
 
-def grow(codes, y, w, lay: Layout, depth: int, take: int, least: int, min_gain: float, rng, root=None) -> Tree:
+def grow(codes, y, w, lay: Layout, depth: int, take: int, least: int, min_gain: float, rng) -> Tree:
     """A tree of at most ``depth`` levels of splits on rows with bins, labels and weights (None: all 1).
 
     Nodes are taken in batches whose statistics fit in ``BATCH_BYTES``. Rows lie in the order of their nodes; of two
-    children the smaller one is counted, the other is the difference to the node. ``root`` gives its statistics.
+    children the smaller one is counted, the other is the difference to the node.
     """
     tree = Tree()
     wy = y if w is None else w * y
     total = (float(len(y)) if w is None else float(w.sum()), float(wy.sum()))
     tree.value[0] = total[1] / total[0] if total[0] else 0.0
-    hn, hs = root if root is not None else lay.statistics(codes, None, 1, w, wy)
+    hn, hs = lay.statistics(codes, None, 1, w, wy)
     one = np.array
     stack = [(depth, one([0]), one([len(y)]), codes, w, wy, hn, hs, one([total[0]]), one([total[1]]))]
     while stack:
@@ -271,15 +274,10 @@ def boost(codes, y, lay: Layout, rounds: int, rate: float, depth: int, least: in
     """Boosted trees of the squared error as Spark grows them: the first on the labels, each further one on twice the
     rest, weighed by the learning rate."""
     out, rest = [], y.copy()
-    counts = lay.statistics(codes, None, 1, None, y)[0]
     rng = np.random.default_rng(0)
     for i in range(rounds):
         target = rest if i == 0 else 2.0 * rest
-        m, hs = codes.shape[1], np.zeros(lay.size)
-        for at in range(0, len(y), 16_384):
-            key = (codes[at:at + 16_384] + lay.base[:-1]).reshape(-1)
-            hs += np.bincount(key, np.repeat(target[at:at + 16_384], m), lay.size)
-        tree = grow(codes, target, None, lay, depth, lay.features, least, min_gain, rng, (counts, hs.reshape(1, -1)))
+        tree = grow(codes, target, None, lay, depth, lay.features, least, min_gain, rng)
         weight = 1.0 if i == 0 else rate
         rest = rest - weight * tree.value[tree.leaf_of(codes, lay)]
         out.append((weight, tree))

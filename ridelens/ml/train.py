@@ -216,6 +216,8 @@ def cross_validate_regression(df: DataFrame, models, stages: list, k: int = 3,
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         folds = list(pool.map(prepared, range(k)))
         jobs = [(name, est, tr, te) for tr, te, fold_models in folds for name, est in fold_models.items()]
+        # boosting is the longest chain of steps, on one core if its rows fit: it starts first
+        jobs.sort(key=lambda job: not isinstance(job[1], GBTRegressor))
         for name, rep in pool.map(fit_eval, jobs):
             for m in metrics:
                 vals.setdefault(name, {}).setdefault(m, []).append(

@@ -143,3 +143,17 @@ def test_scored_requests_are_derived_once(spark, monkeypatch):
     monkeypatch.setattr(TR, "wait_estimator", lambda: RandomForestRegressor(numTrees=3, maxDepth=3, seed=4))
     out = q_ml.score_requests(spark, "/root/testdata/sf0.001")
     assert out.count() == region(spark, "/root/testdata/sf0.001").count() == derived.value
+
+
+def test_boosting_starts_first(spark, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+
+    from ridelens.ml.features import preprocessor
+
+    seen = []
+    monkeypatch.setattr(TR, "fit_model", lambda est, tr: seen.append(type(est).__name__) or LinearRegression().fit(tr))
+    d = spark.range(0, 90, 1, 2).select(F.col("id").alias("booking_id"), (F.col("id") % 7).cast("double").alias("x"),
+                                        (F.col("id") % 7 * 2).cast("double").alias("label"))
+    models = {"Linear": LinearRegression(), "RF": RandomForestRegressor(), "HGB": GBTRegressor()}
+    lb = TR.cross_validate_regression(d, models, preprocessor(standard=["x"]), k=2, parallelism=1, persist=False)
+    assert seen[:2] == ["GBTRegressor"] * 2 and sorted(r["model"] for r in lb.collect()) == sorted(models)
